@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import gbt_rules, sql
 from .jaccard_groups import jaccard_components
+from .langid import dictionaries, identify
 from .mixing import mix
+from .quality_crf import fit as fit_crf
+from .quality_crf import quality, training_sample
+from .storage import crc_rest
 from .winnowing import contamination
 
 
@@ -17,6 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text, quality`` of documents with a label; of several labels the least."""
+    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return docs.select("doc_id", "text").join(marks, "doc_id")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_rest(F.col("doc_id"), 3) == 1
+    sample = training_sample(labelled(docs.filter(~held_out), table(spark, sf_dir, "labels")))
+    scored = quality(docs, fit_crf(*sample))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_rest(F.col("doc_id"), 4) == 2
+    found = identify(docs.select("doc_id", "text"), dictionaries(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -25,14 +50,23 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = gbt_rules.fit(*training_sample(labelled(docs, table(spark, sf_dir, "labels"))))
+    return gbt_rules.apply_rules(docs, forest)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
