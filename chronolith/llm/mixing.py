@@ -96,19 +96,21 @@ def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
         # rank / (1 + rank) lies in (0, 1) and keeps the order of ranks
         .withColumn("bucket", F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / (1 + F.col("rank")) * buckets)))
     )
-    of = [F.col("of")]
+    ranked = saved(ranked.select("doc_id", "of", "size", "source_size", "target", "whole", "rank", "bucket"), "mix-ranked")
     by_bucket = ranked.groupBy("of", "bucket").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     by_bucket = saved(by_bucket, "mix-buckets")
     certain = by_bucket.groupBy("of").agg(F.sum("certain").alias("certain"), F.first("target").alias("target"))
-    below = F.sum("words").over(Window.partitionBy(*of).orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    below = F.sum("words").over(Window.partitionBy("of").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
     run = by_bucket.withColumn("below", F.coalesce(below, F.lit(0))).drop("certain", "target")
     run = run.join(certain.withColumnRenamed("of", "own"), F.col("of").eqNullSafe(F.col("own"))).select("of", "bucket", "words", "below", (F.col("target") - F.col("certain")).alias("left"))
     run = run.filter("bucket is not null").select(F.col("of").alias("run_of"), F.col("bucket").alias("run_bucket"), "below", "left", (F.col("below") + F.col("words") <= F.col("left")).alias("all_in"), (F.col("below") >= F.col("left")).alias("all_out"))
-    dealt = ranked.join(run, F.col("of").eqNullSafe(F.col("run_of")) & (F.col("bucket") == F.col("run_bucket")), "left")
-    edge = (F.col("rank").isNotNull()) & ~F.col("all_in") & ~F.col("all_out")
+    # documents with whole copies only have no rank, and need no bucket
+    plain, drawn = ranked.filter("rank is null"), ranked.filter("rank is not null")
+    dealt = drawn.join(run, F.col("of").eqNullSafe(F.col("run_of")) & (F.col("bucket") == F.col("run_bucket")))
+    edge = ~F.col("all_in") & ~F.col("all_out")
     so_far = F.col("below") + F.coalesce(F.sum("size").over(Window.partitionBy("of").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = lambda df, extra: df.select("doc_id", F.col("of").alias("source"), "size", "source_size", "target", (F.col("whole") + extra).cast("bigint").alias("copies"))
     # the one that crosses the target is taken if that ends nearer to it
     edges = out(dealt.filter(edge).withColumn("so_far", so_far), (F.col("so_far") + F.col("size") / 2 <= F.col("left")).cast("int"))
-    rest = out(dealt.filter(~F.coalesce(edge, F.lit(False))), F.when(F.col("all_in"), 1).otherwise(0))
+    rest = out(dealt.filter(~edge), F.col("all_in").cast("int")).unionByName(out(plain, F.lit(0)))
     return rest.unionByName(edges).withColumn("taken", F.col("copies") * F.col("size"))
