@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import sample_rows
 from .textarrays import slices
 
 #: bounds of the training sample: documents a language, bytes of a dictionary
@@ -49,15 +50,12 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary
     id. It is chosen on ids alone, at most ``sample_docs`` a language, and only then
     joined with the texts, each of which is taken whole or not at all.
     """
-    has = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = has.select("doc_id", "lang", (F.length("text") > SAMPLE_CHARS).alias("long"), F.xxhash64("doc_id").alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))
-    chosen = keys.withColumn("place", place).filter(F.col("place") <= sample_docs).select("doc_id", "lang", "place")
-    rows = has.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "place", "text").collect()
+    has = labelled.filter("lang is not null and text is not null")
+    rows = sample_rows(has, has.select("doc_id", "lang", F.length("text").alias("n_chars")), "lang", sample_docs, SAMPLE_CHARS)
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in rows}):
         parts, held, seen = [], 0, set()
-        for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], r["text"])):
+        for r in (r for r in rows if r["lang"] == lang):
             data = letters_only(r["text"])
             if data and data not in seen and (not parts or held + len(data) < dictionary_bytes):
                 seen.add(data)

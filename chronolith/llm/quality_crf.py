@@ -17,9 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import sample_rows, saved
 from .textarrays import GRAM_KEYS, buffer, mix, slices, words_of
 
 #: bounds of the training sample: documents of each label, characters of one of them
@@ -218,19 +219,17 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(-np.clip(summary(good, lines) @ model.curve, -500, 500))), np.diff(lines.first)
 
 
-def training_sample(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[int], float]:
-    """Texts, labels, and the share of label 1 among all labelled rows.
+def training_sample(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[int], float]:
+    """Texts, labels, and the share of label 1 among all labelled documents.
 
-    At most ``sample_docs`` texts a label, those with the smallest hash of the id; whole texts.
-
-    Longer ones than SAMPLE_CHARS come only where a label has too few others.
+    Of each label at most ``sample_docs`` whole texts; ones of over SAMPLE_CHARS come only
+    where a label has too few others. Of several labels of a document the least counts.
     """
-    keys = labelled.filter("quality in (0, 1) and text is not null").select("doc_id", "quality", (F.length("text") > SAMPLE_CHARS).alias("long"), F.xxhash64("doc_id").alias("h"))
-    place = F.row_number().over(Window.partitionBy("quality").orderBy("long", "h", "doc_id"))
-    chosen = keys.withColumn("place", place).filter(F.col("place") <= sample_docs).select("doc_id", "quality", "place")
-    rows = labelled.select("doc_id", "quality", "text").join(chosen, ["doc_id", "quality"]).select("quality", "place", "text").collect()
-    rows.sort(key=lambda r: (r["quality"], r["place"], r["text"]))
-    share = labelled.filter("quality in (0, 1)").agg(F.avg("quality")).first()[0]
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    sizes = documents.filter("text is not null").select("doc_id", F.length("text").alias("n_chars"))
+    keys = saved(sizes.join(marks, "doc_id"), "labelled")
+    rows = sample_rows(documents, keys, "quality", sample_docs, SAMPLE_CHARS)
+    share = keys.agg(F.avg("quality")).first()[0]
     return [r["text"] for r in rows], [r["quality"] for r in rows], 0.5 if share is None else float(share)
 
 
@@ -250,5 +249,3 @@ def quality(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(n.astype(np.int64))], names=["doc_id", "score", "n_lines"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_lines bigint")
-
-

@@ -21,16 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, quality`` of documents with a label; of several labels the least."""
-    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_rest(F.col("doc_id"), 3) == 1
-    sample = training_sample(labelled(docs.filter(~held_out), table(spark, sf_dir, "labels")))
+    sample = training_sample(docs.filter(~held_out), table(spark, sf_dir, "labels"))
     scored = quality(docs, fit_crf(*sample))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
 
@@ -61,7 +55,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    forest = gbt_rules.fit(*training_sample(labelled(docs, table(spark, sf_dir, "labels"))))
+    forest = gbt_rules.fit(*training_sample(docs, table(spark, sf_dir, "labels")))
     return gbt_rules.apply_rules(docs, forest)
 
 

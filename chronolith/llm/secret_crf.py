@@ -17,9 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import sample_rows
 from .textarrays import LOWER, SAME, Words, slices, words_of
 
 #: fixed values: the base patterns
@@ -281,11 +282,8 @@ def training_sample(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> lis
     Texts over SAMPLE_CHARS come only where a set has too few others.
     """
     likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    keys = documents.filter("text is not null").select("doc_id", likely.alias("likely"), (F.length("text") > SAMPLE_CHARS).alias("long"), F.xxhash64("doc_id").alias("h"))
-    place = F.row_number().over(Window.partitionBy("likely").orderBy("long", "h", "doc_id"))
-    chosen = keys.withColumn("place", place).filter(F.col("place") <= sample_docs // 2).select("doc_id", "likely", "place")
-    rows = documents.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").select("likely", "place", "text").collect()
-    return [r["text"] for r in sorted(rows, key=lambda r: (r["likely"], r["place"], r["text"]))]
+    keys = documents.filter("text is not null").select("doc_id", likely.alias("likely"), F.length("text").alias("n_chars"))
+    return [r["text"] for r in sample_rows(documents, keys, "likely", sample_docs // 2, SAMPLE_CHARS)]
 
 
 def scan(documents: DataFrame, model: Model) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Size of a hash filter: 2**FILTER_BITS bits (4 MB), whatever it is built from.
@@ -43,6 +43,21 @@ def crc_rest(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sample_rows(documents: DataFrame, keys: DataFrame, group: str, limit: int, long_text: int) -> list:
+    """Rows ``doc_id, <group>, place, text`` of a sample that is the same in each run.
+
+    ``keys`` has ``doc_id``, the group and ``n_chars``. Of each group at most ``limit``
+    ids come, those of the smallest hash, and of texts over ``long_text`` characters only
+    where there are too few others. Ids are chosen first; then the few chosen ones are
+    broadcast (``limit`` a group), so that no text is shuffled.
+    """
+    keys = keys.select("doc_id", group, (F.col("n_chars") > long_text).alias("long"), F.xxhash64("doc_id").alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy(group).orderBy("long", "h", "doc_id"))
+    chosen = keys.withColumn("place", place).filter(F.col("place") <= limit).select("doc_id", group, "place")
+    rows = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    return sorted(rows, key=lambda r: (r[group], r["place"], r["text"]))
+
+
 def hash_filter(df: DataFrame, hashed: str) -> np.ndarray:
     """Bits set at the low ``FILTER_BITS`` of a bigint hash column.
 
