@@ -13,7 +13,9 @@ same set (by size and two independent 64-bit sums) are one class and one query.
    linked sets have at least min(l, l') leading ones in common. That bounds what a
    query and any member of a group can share.
 3. Only (query, group) cells that reach the bound are opened, and the query is compared
-   with the members, by whole sets.
+   with the members, by whole sets. What is connected already needs no comparison: a
+   group's members are linked with its head, so the head is compared first, and the
+   others only where query and group are still apart.
 
 The order of shingles never changes what is found: it only keeps shingles of common
 passages out of the matrix. No pairs inside a group are made, and a group's common
@@ -239,6 +241,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _placed(df: DataFrame, part: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds the component of ``node``; what has no link is its own."""
+    known = part.select(F.col("node").alias(node), F.col("component").alias(name))
+    return df.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def jaccard_components(documents: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
@@ -273,30 +281,35 @@ def jaccard_components(documents: DataFrame, num: int = NUM, den: int = DEN, wid
     star_links = saved(linked(stars, star_sets, num, den), "star-links")
     head_of = star_links.groupBy("a").agg(F.min("b").alias("g"))
     up = head_of.join(head_of.select(F.col("a").alias("g"), F.col("g").alias("g2")), "g", "left").select(F.col("a").alias("rep"), F.coalesce("g2", "g").alias("g"))
-    grouped = classes.select("rep", "n", "s1").join(up, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
+    edges = member.unionByName(star_links)
+    part = components(edges)
+    grouped = _placed(classes.select("rep", "n", "s1").join(up, "rep", "left").withColumn("g", F.coalesce("g", "rep")), part, "rep", "k")
     weight = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
     grouped = saved(grouped.join(weight, "g"), "groups")
 
     # 2. the matrix, and the bound
-    cells = saved(shared_only(leading(documents, dense, num, den, width)).join(grouped, "s1").select("token", "rep", "n", "g", "members"), "cells")
-    matrix = cells.groupBy("token", "g").agg(F.first("members").alias("members"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    cells = saved(shared_only(leading(documents, dense, num, den, width)).join(grouped, "s1").select("token", "rep", "n", "g", "k", "members"), "cells")
+    matrix = cells.groupBy("token", "g").agg(F.first("k").alias("k"), F.first("members").alias("members"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     side = lambda df, p: df.select("token", *[F.col(c).alias(f"{p}{c}") for c in df.columns if c != "token"])
     # the smaller group asks the larger one; every pair of groups once
     order = (F.col("q_members") < F.col("m_members")) | ((F.col("q_members") == F.col("m_members")) & (F.col("q_g") < F.col("m_g")))
     sized = (F.col("q_n") * den >= F.col("m_n_low") * num) & (F.col("m_n_high") * den >= F.col("q_n") * num)
-    met = side(cells, "q_").join(side(matrix, "m_"), "token").filter((F.col("q_g") != F.col("m_g")) & order & sized)
+    met = side(cells, "q_").join(side(matrix, "m_"), "token").filter((F.col("q_k") != F.col("m_k")) & order & sized)
     low = F.floor(F.ceil(F.col("q_n") * num / den) / 10) + 1
     cand = met.groupBy("q_rep", "q_n", "m_g").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= low)
     cand = saved(cand.select("q_rep", "q_n", "m_g"), "opened")
 
-    # 3. open groups that reach it
+    # 3. open groups that reach it: the head first, then, where that joined nothing, the others
     inside = grouped.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("g").alias("m_g"))
-    pairs = saved(cand.join(inside, "m_g").filter((F.col("q_n") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("q_n") * num)).select(F.col("q_rep").alias("a"), "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    more = ids.join(star_sets.select("doc_id"), "doc_id", "left_anti")
-    sets = star_sets.unionByName(saved(sets_of(documents, more, width), "more-sets"))
-    links = saved(linked(pairs, sets, num, den), "links")
-
-    edges = member.unionByName(star_links).unionByName(links)
-    found = components(edges)
-    return docs.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    sets, heads_only = star_sets, F.col("b") == F.col("m_g")
+    for which in (heads_only, ~heads_only):
+        cand = _placed(_placed(cand, part, "q_rep", "q_k"), part, "m_g", "m_k").filter("q_k <> m_k").select("q_rep", "q_n", "m_g")
+        pairs = cand.join(inside.filter(which), "m_g").filter((F.col("q_n") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("q_n") * num))
+        pairs = saved(pairs.select(F.col("q_rep").alias("a"), "b"), "pairs")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        more = ids.join(sets.select("doc_id"), "doc_id", "left_anti")
+        sets = sets.unionByName(saved(sets_of(documents, more, width), "more-sets"))
+        links = saved(linked(pairs, sets, num, den), "links")
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    return docs.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
