@@ -11,9 +11,11 @@ from . import gbt_rules, secret_crf, sql, suffix_tree
 from .jaccard_groups import jaccard_components
 from .langid import dictionaries, identify
 from .mixing import mix
+from .perspectives import rotate
 from .quality_crf import fit as fit_crf
 from .quality_crf import quality, training_sample
 from .storage import crc_rest
+from .token_counts import edited_counts, review_edits
 from .winnowing import contamination
 
 
@@ -44,6 +46,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = edited_counts(docs.select("doc_id", "text", review_edits(F.col("text"), F.col("doc_id")).alias("edits")))
+    return counted.withColumn("text_sha256", F.sha2("text_after", 256)).drop("text_after")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_crf.scan(docs, secret_crf.fit(secret_crf.training_sample(docs)))
@@ -59,6 +67,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbt_rules.apply_rules(docs, forest)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = rotate(table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "perspective", "turn", "speaker", F.sha2("rendered", 256).alias("rendered_sha256"), "start", "mask_start", "mask_end", "trained")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -76,8 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_counts": op5_token_counts,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
@@ -85,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": sql.JACCARD,
     "op4_mix_sources": sql.MIX,
+    "op8_chat_formatting": sql.PERSPECTIVES,
     "op9_benchmark_decontamination": sql.CONTAMINATION,
 }

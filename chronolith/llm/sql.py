@@ -74,3 +74,19 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id LEFT JOIN found ON found.doc_id = words.doc_id
 """
+
+PERSPECTIVES = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+party AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+seen AS (
+  SELECT turns.*, perspective,
+         '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM turns JOIN party ON turns.conv_id IS NOT DISTINCT FROM party.conv_id
+), drawn AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM seen),
+placed AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM drawn
+)
+SELECT conv_id, perspective, turn, speaker, sha256(rendered) AS rendered_sha256, place::BIGINT AS start, (place + length(head))::BIGINT AS mask_start,
+       (CASE WHEN speaker = perspective THEN place + length(rendered) - 1 ELSE place + length(head) END)::BIGINT AS mask_end, speaker = perspective AS trained
+FROM placed
+"""
