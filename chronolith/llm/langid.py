@@ -96,12 +96,23 @@ def decide(n_bytes: int, sizes: list[int], margin: float = MARGIN) -> tuple[int,
     return best, score, lead < max(LEAST_BYTES, margin * n_bytes)
 
 
+def _judged(tools: Compressors, texts: pa.Array, margin: float) -> tuple[list[str], list[float], list[bool]]:
+    langs, scores, rejected = [], [], []
+    for text in texts.to_pylist():
+        n, sizes = tools.sizes(text)
+        best, score, no = decide(n, sizes, margin) if sizes else (-1, 0.0, True)
+        langs.append(tools.langs[best] if sizes else UNKNOWN)
+        scores.append(score)
+        rejected.append(no)
+    return langs, scores, rejected
+
+
 def identify(documents: DataFrame, content: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """One row per input row: ``doc_id, lang_pred, score, rejected``.
 
     ``lang_pred`` is ``und``, with score 0 and rejected, if the text is null or has no
-    letter, or nothing was learned. A narrow margin rejects, but the winner is still told. Columns other
-    than ``doc_id`` and ``text`` are ignored; repeated rows give repeated results.
+    letter, or nothing was learned. A narrow margin rejects, but the winner is still told.
+    Columns other than ``doc_id`` and ``text`` are ignored; repeated rows give repeated results.
     """
     sent = documents.sparkSession.sparkContext.broadcast(content)  # bounded by DICTIONARY_BYTES a language
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -110,13 +121,20 @@ def identify(documents: DataFrame, content: dict[str, bytes], margin: float = MA
         tools = Compressors(sent.value)
         for batch in batches:
             for part in slices(batch):
-                langs, scores, rejected = [], [], []
-                for text in part.column("text").to_pylist():
-                    n, sizes = tools.sizes(text)
-                    best, score, no = decide(n, sizes, margin) if sizes else (-1, 0.0, True)
-                    langs.append(tools.langs[best] if sizes else UNKNOWN)
-                    scores.append(score)
-                    rejected.append(no)
+                langs, scores, rejected = _judged(tools, part.column("text"), margin)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def clear_only(documents: DataFrame, content: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows that ``identify`` doesn't reject, with all their columns; no shuffle."""
+    sent = documents.sparkSession.sparkContext.broadcast(content)  # bounded by DICTIONARY_BYTES a language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = Compressors(sent.value)
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([not no for no in _judged(tools, part.column("text"), margin)[2]], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

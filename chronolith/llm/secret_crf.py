@@ -303,3 +303,31 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, span)], names=["doc_id", "spans"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start: bigint, end: bigint, kind: string>>")
+
+
+def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with each stretch that spans cover replaced by the mark."""
+    out, at = [], 0
+    reach = 0
+    for a, b, _ in sorted(spans):
+        if a >= reach:
+            out += [text[at:a], mark]
+        reach = at = max(reach, b)
+    return "".join(out) + text[at:]
+
+
+def redact(documents: DataFrame, model: Model, mark: str) -> DataFrame:
+    """All rows with all columns; in ``text`` each secret (overlapping spans as one) becomes ``mark``. Null stays null."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # about a hundred numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=2 << 20):
+                texts = part.column("text")
+                found = {i: spans for i, spans in enumerate(scan_texts(sent.value, texts)) if spans}
+                if found:
+                    new = pa.array([_redacted(t, found[i], mark) if i in found else t for i, t in enumerate(texts.to_pylist())], texts.type)
+                    part = part.set_column(part.schema.get_field_index("text"), "text", new)
+                yield part
+
+    return documents.mapInArrow(run, documents.schema)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +81,21 @@ def passes(filter_words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the int64/uint64 hashes have their bit set."""
     bit = hashes.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
     return (filter_words[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def split_by(documents: DataFrame, key: Column, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely not in the one column of ``named``, and all others, with ``key_`` beside them.
+
+    Only the others, the named ones and a few more, need an exact join, so the texts of
+    most rows are never shuffled. Rows with a null key are surely not named.
+    """
+    hashed = named.select(F.xxhash64(F.col(named.columns[0])).alias("h"))
+    sent = documents.sparkSession.sparkContext.broadcast(hash_filter(hashed, "h"))  # of fixed size
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, h.to_numpy().astype(np.int64)))
+
+    keyed = documents.withColumn("key_", key)
+    test = F.col("key_").isNotNull() & may_be(F.xxhash64("key_"))
+    return keyed.filter(~test).drop("key_"), keyed.filter(test)
