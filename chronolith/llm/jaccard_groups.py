@@ -10,8 +10,8 @@ same set (by size and two independent 64-bit sums) are one class and one query.
    leading shingles in a fixed order of all shingles (rare ones by hash first, then
    the ones that are dense in some stretch of the input). A set of n shingles with a
    partner at ratio r keeps n - ceil(r n) + l leading ones, l = floor(n / 10) + 1; two
-   linked sets have at least min(l, l') leading ones in common. That bounds what a
-   query and any member of a group can share.
+   linked sets have at least as many leading ones in common as ``least_leading`` says.
+   That bounds what a query and any member of a group can share.
 3. Only (query, group) cells that reach the bound are opened, and the query is compared
    with the members, by whole sets. What is connected already needs no comparison: a
    group's members are linked with its head, so the head is compared first, and the
@@ -70,6 +70,17 @@ def spare(n):
     return n // 10 + 1
 
 
+def least_leading(n, m, num: int = NUM, den: int = DEN):
+    """The fewest leading shingles that linked sets of n and m have in common, as columns.
+
+    They share at least ``num (n + m) / (num + den)`` shingles. All that lie within the
+    leading ones of the set whose leading ones end first are leading in both, so at most
+    what one of the sets has behind them is missing.
+    """
+    behind = lambda x: F.greatest(F.lit(0), F.ceil(x * num / den) - F.floor(x / 10) - 1)
+    return F.ceil((n + m) * num / (num + den)) - F.greatest(behind(n), behind(m))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -295,9 +306,10 @@ def jaccard_components(documents: DataFrame, num: int = NUM, den: int = DEN, wid
     order = (F.col("q_members") < F.col("m_members")) | ((F.col("q_members") == F.col("m_members")) & (F.col("q_g") < F.col("m_g")))
     sized = (F.col("q_n") * den >= F.col("m_n_low") * num) & (F.col("m_n_high") * den >= F.col("q_n") * num)
     met = side(cells, "q_").join(side(matrix, "m_"), "token").filter((F.col("q_k") != F.col("m_k")) & order & sized)
-    low = F.floor(F.ceil(F.col("q_n") * num / den) / 10) + 1
-    cand = met.groupBy("q_rep", "q_n", "m_g").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= low)
-    cand = saved(cand.select("q_rep", "q_n", "m_g"), "opened")
+    cand = met.groupBy("q_rep", "q_n", "m_g").agg(F.count(F.lit(1)).alias("common"), F.min("m_n_low").alias("low"), F.max("m_n_high").alias("high"))
+    # of members of sizes low to high one at either end needs least; between them rounding can take two off
+    needed = F.least(least_leading(F.col("q_n"), F.col("low"), num, den), least_leading(F.col("q_n"), F.col("high"), num, den)) - F.when(F.col("low") == F.col("high"), 0).otherwise(2)
+    cand = saved(cand.filter(F.col("common") >= needed).select("q_rep", "q_n", "m_g"), "opened")
 
     # 3. open groups that reach it: the head first, then, where that joined nothing, the others
     inside = grouped.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("g").alias("m_g"))
