@@ -1,4 +1,615 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries over the tables of a folder, and the SQL they are checked against.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Times of ``events`` are microseconds since 2024-01-01, and a user is a series over the 31
+days of that month. ``embeddings`` are frames of 8 by 8 pixels, a label being a series.
+``conversations`` are speech: turn n lasts from second 10 n on for 8 seconds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars, text
+from .operators import audit, bursts, coverage, frames, greedy, lookup, search
+from .plans import selection
+from .sources import captions, manifests
+
+MONTH = 31 * 86_400_000_000
+HOUR = 3_600_000_000
+MAX_GAP, MIN_GAP, MERGE = 12 * HOUR, 2 * HOUR, 3 * HOUR
+ACTIVE, QUIET = 60.0, 30.0
+PIXEL_DELTA, SIDE = 0.1, 8
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query by its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_T = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
+_EV = "ev AS (SELECT user_id AS series, event_id AS id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t, value, event_type FROM events)"
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series, id, t, value, event_type`` of all events."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("id"), F.expr(_T).alias("t"), "value", "event_type")
+
+
+_SPANS = f"""{_EV}, spans AS (
+  SELECT series, coalesce(lag(t) OVER (PARTITION BY series ORDER BY t), 0) AS a, t AS b FROM ev
+  UNION ALL SELECT series, max(t), {MONTH} FROM ev GROUP BY series
+)"""
+
+
+@query(f"""WITH {_SPANS}, sums AS (
+  SELECT series, count(*) - 1 AS n_moments, max(b - a) AS longest, sum(CASE WHEN b - a > {MAX_GAP} THEN b - a ELSE 0 END)::BIGINT AS uncovered FROM spans GROUP BY series)
+SELECT series, n_moments, longest, uncovered, ((greatest(0, {MONTH} - uncovered) * 1000000) // {MONTH})::BIGINT AS coverage_ppm, uncovered = 0 AS complete FROM sums""")
+def coverage_by_user(spark, sf_dir):
+    return coverage.summary(moments(spark, sf_dir), MONTH, MAX_GAP)
+
+
+@query(f"WITH {_SPANS} SELECT series, a, b FROM spans WHERE b - a > {MAX_GAP}")
+def coverage_gaps(spark, sf_dir):
+    return coverage.gaps(moments(spark, sf_dir), MONTH, MAX_GAP)
+
+
+@query(f"""WITH {_SPANS}, wide AS (SELECT *, ((b - a) // {MAX_GAP})::BIGINT AS n FROM spans WHERE b - a > {MAX_GAP})
+SELECT series, (a + ((b - a) * k) // (n + 1))::BIGINT AS t FROM wide, unnest(range(1, n + 1)) AS r(k)""")
+def gap_fill(spark, sf_dir):
+    return coverage.filled(moments(spark, sf_dir), MONTH, MAX_GAP)
+
+
+_STATS = """SELECT series, count(*) - 1 AS n_moments, sum(CASE WHEN b - a > {blind} THEN b - a ELSE 0 END)::BIGINT AS blind, max(b - a) AS longest FROM {spans} GROUP BY series"""
+
+
+@query(f"""WITH {_SPANS}, stats AS ({_STATS.format(blind=MAX_GAP, spans="spans")}),
+worst AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY b - a DESC, a DESC, b DESC) AS r FROM spans)
+SELECT stats.series, n_moments, blind, longest, a AS longest_from, b AS longest_to FROM stats JOIN worst ON worst.series = stats.series AND r = 1""")
+def gap_stats(spark, sf_dir):
+    return coverage.gap_stats(moments(spark, sf_dir), MONTH, MAX_GAP)
+
+
+@query(f"""WITH {_EV}, few AS (SELECT * FROM ev WHERE value >= {ACTIVE}),
+s1 AS (SELECT series, coalesce(lag(t) OVER (PARTITION BY series ORDER BY t), 0) AS a, t AS b FROM few UNION ALL SELECT series, max(t), {MONTH} FROM few GROUP BY series),
+s2 AS (SELECT series, coalesce(lag(t) OVER (PARTITION BY series ORDER BY t), 0) AS a, t AS b FROM ev UNION ALL SELECT series, max(t), {MONTH} FROM ev GROUP BY series),
+x AS ({_STATS.format(blind=MAX_GAP, spans="s1")}), y AS ({_STATS.format(blind=MAX_GAP, spans="s2")})
+SELECT coalesce(x.series, y.series) AS series, x.n_moments AS n_moments_before, x.blind AS blind_before, x.longest AS longest_before,
+       y.n_moments AS n_moments_after, y.blind AS blind_after, y.longest AS longest_after
+FROM x FULL JOIN y ON x.series = y.series""")
+def coverage_compare(spark, sf_dir):
+    m = moments(spark, sf_dir)
+    return coverage.compare(m.filter(F.col("value") >= ACTIVE), m, MONTH, MAX_GAP)
+
+
+@query(f"WITH {_EV} SELECT series, 0::BIGINT AS t FROM ev GROUP BY series HAVING min(t) > {MIN_GAP}")
+def start_anchor(spark, sf_dir):
+    return coverage.anchored(moments(spark, sf_dir), MIN_GAP)
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a dense signal: ``series, i, t, change``."""
+    m = moments(spark, sf_dir)
+    return m.select("series", (F.row_number().over(Window.partitionBy("series").orderBy("t", "id")) - 1).cast("bigint").alias("i"), "t", F.col("value").alias("change"))
+
+
+_SIGNAL = f"{_EV}, signal AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY t, id) - 1 AS i, t, value AS change FROM ev)"
+_BURSTS = f"""{_SIGNAL}, act AS (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY t, i) AS p FROM signal WHERE change >= {ACTIVE}),
+marked AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > {MERGE} THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY t, i) AS burst FROM act),
+bursts AS (SELECT series, burst::BIGINT AS burst, min(i) AS i_from, max(i) AS i_to, min(t) AS t_from, max(t) AS t_to, max(change) AS strength, count(*) AS n FROM marked GROUP BY series, burst)"""
+
+
+@query(f"WITH {_EV} SELECT series, id, t FROM ev WHERE value >= {ACTIVE}")
+def active_filter(spark, sf_dir):
+    return bursts.active(moments(spark, sf_dir).withColumn("change", F.col("value")), ACTIVE).select("series", "id", "t")
+
+
+@query(f"WITH {_BURSTS} SELECT * FROM bursts")
+def burst_sessions(spark, sf_dir):
+    return bursts.sessions(signal(spark, sf_dir), ACTIVE, MERGE)
+
+
+@query(f"""WITH {_BURSTS}, ends AS (SELECT series, max(i) AS last FROM signal GROUP BY series),
+calm AS (SELECT b.series, b.burst, min(s.i) AS calm FROM bursts b LEFT JOIN signal s ON s.series = b.series AND s.i > b.i_to AND s.change <= {QUIET} GROUP BY b.series, b.burst)
+SELECT b.series, b.burst, least(greatest(least(coalesce(calm - 1, least(last, i_to + 5)), least(last, i_to + 5)), i_to) + 1, last)::BIGINT AS i_settle
+FROM bursts b JOIN ends ON ends.series = b.series JOIN calm ON calm.series = b.series AND calm.burst = b.burst""")
+def burst_settle(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    return bursts.settled(s, bursts.sessions(s, ACTIVE, MERGE), QUIET, 5).select("series", "burst", "i_settle")
+
+
+@query()
+def burst_split(spark, sf_dir):
+    """Moments inside long bursts (no SQL: a sum that starts anew whenever it is spent)."""
+    s = signal(spark, sf_dir)
+    found = bursts.settled(s, bursts.sessions(s, ACTIVE, MERGE), QUIET, 5)
+    inside = found.select("series", "burst", F.explode(F.sequence("i_from", "i_settle")).alias("i")).join(s, ["series", "i"])
+    return greedy.split_bursts(inside.select("series", "burst", "i", "t", "change"), 6 * HOUR, 300.0, MIN_GAP)
+
+
+@query(f"""WITH RECURSIVE {_EV}, placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t) AS n FROM ev),
+fold AS (
+  SELECT series, n, t AS kept_t, value AS kept_v, 1 AS kept FROM placed WHERE n = 1
+  UNION ALL
+  SELECT p.series, p.n, CASE WHEN p.t - f.kept_t >= {MIN_GAP} OR p.value > f.kept_v THEN p.t ELSE f.kept_t END,
+         CASE WHEN p.t - f.kept_t >= {MIN_GAP} OR p.value > f.kept_v THEN p.value ELSE f.kept_v END,
+         f.kept + CASE WHEN p.t - f.kept_t >= {MIN_GAP} THEN 1 ELSE 0 END
+  FROM fold f JOIN placed p ON p.series = f.series AND p.n = f.n + 1
+)
+SELECT series, max(kept_t) AS t FROM fold GROUP BY series, kept""")
+def min_gap_thin(spark, sf_dir):
+    m = moments(spark, sf_dir).select("series", "t", F.col("value").alias("change"))
+    return greedy.thin_close(m, MIN_GAP).select("series", "t")
+
+
+@query()
+def thin_to_budget(spark, sf_dir):
+    """At most 40 moments a user while no stretch exceeds 24 hours (no SQL: each removal hangs on the ones before)."""
+    m = moments(spark, sf_dir)
+    reason = F.when(F.col("event_type") == "view", "grid").when(F.col("event_type") == "click", "cue").otherwise("change")
+    rows = m.select("series", "t", reason.alias("reason"), F.col("value").alias("change"), F.lit(40).alias("cap"), F.lit(MONTH).alias("duration"), F.lit(24 * HOUR).alias("max_gap"))
+    return greedy.fit_budget(rows)
+
+
+# frames and pixels
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series, i, t, pixels``: a label's frames in order, one each 10 seconds (t in ms)."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("bigint").alias("series"), F.col("vec_id").alias("i"), (F.col("vec_id") * 10_000).alias("t"), F.col("embedding").cast("array<double>").alias("pixels"))
+
+
+_CELL = "(CASE WHEN {} < 2 THEN 0 WHEN {} < 5 THEN 1 ELSE 2 END)"
+_PX = f"""px AS (
+  SELECT label::BIGINT AS series, vec_id AS i, k::BIGINT AS k, embedding[k + 1]::DOUBLE AS p, {_CELL.format('(k // 8)', '(k // 8)')} * 3 + {_CELL.format('(k % 8)', '(k % 8)')} AS cell
+  FROM embeddings, unnest(range(0, 64)) AS r(k)
+), moved AS (
+  SELECT series, i, cell, CASE WHEN q IS NULL OR abs(p - q) > {PIXEL_DELTA} THEN 1 ELSE 0 END AS m
+  FROM (SELECT *, lag(p) OVER (PARTITION BY series, k ORDER BY i) AS q FROM px)
+), cells AS (SELECT series, i, cell, sum(m)::BIGINT AS n, sum(m) / count(*)::DOUBLE AS share FROM moved GROUP BY series, i, cell)"""
+
+
+@query(f"WITH {_PX} SELECT series, i, sum(n)::BIGINT AS n_moved FROM cells GROUP BY series, i")
+def frame_diff(spark, sf_dir):
+    moved = frames.changed(pictures(spark, sf_dir), PIXEL_DELTA)
+    return moved.select("series", "i", F.aggregate("moved", F.lit(0), lambda a, b: a + b).cast("bigint").alias("n_moved"))
+
+
+@query(f"WITH {_PX} SELECT series, i, cell::BIGINT AS cell, n FROM cells")
+def cell_change(spark, sf_dir):
+    cells = frames.cell_change(pictures(spark, sf_dir), PIXEL_DELTA, SIDE, SIDE)
+    return cells.select("series", "i", F.posexplode("counts").alias("cell", "n")).select("series", "i", F.col("cell").cast("bigint").alias("cell"), F.col("n").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_PX} SELECT series, cell::BIGINT AS cell, round(median(share) * 1e6)::BIGINT AS base_ppm FROM cells GROUP BY series, cell")
+def cell_baseline(spark, sf_dir):
+    base = frames.baselines(frames.cell_change(pictures(spark, sf_dir), PIXEL_DELTA, SIDE, SIDE))
+    return base.select("series", F.posexplode("baseline").alias("cell", "b")).select("series", F.col("cell").cast("bigint").alias("cell"), F.round(F.col("b") * 1e6).cast("bigint").alias("base_ppm"))
+
+
+@query(f"""WITH {_PX}, base AS (SELECT series, cell, median(share) AS b FROM cells GROUP BY series, cell)
+SELECT c.series, i, round(greatest(0, least(1, max(share - 1.1 * b))) * 1e6)::BIGINT AS change_ppm FROM cells c JOIN base ON base.series = c.series AND base.cell = c.cell GROUP BY c.series, i""")
+def excess_signal(spark, sf_dir):
+    cells = frames.cell_change(pictures(spark, sf_dir), PIXEL_DELTA, SIDE, SIDE)
+    return frames.excess(cells, 1.1).select("series", "i", F.round(F.col("change") * 1e6).cast("bigint").alias("change_ppm"))
+
+
+_QUIET_CELL = 0.55
+
+
+@query(f"""WITH {_PX}, base AS (SELECT series, cell, median(share) AS b FROM cells GROUP BY series, cell),
+pairs AS (SELECT series, i, k, cell, p, lag(p) OVER (PARTITION BY series, k ORDER BY i) AS q FROM px),
+flags AS (SELECT pairs.series, i, CASE WHEN abs(p - q) > {PIXEL_DELTA} THEN 1 ELSE 0 END AS d, CASE WHEN b <= {_QUIET_CELL} THEN 1 ELSE 0 END AS s
+          FROM pairs JOIN base ON base.series = pairs.series AND base.cell = pairs.cell WHERE q IS NOT NULL)
+SELECT series, i, (CASE WHEN sum(s) = 0 THEN sum(d) ELSE sum(d * s) END)::BIGINT AS differ, (CASE WHEN sum(s) = 0 THEN count(*) ELSE sum(s) END)::BIGINT AS seen FROM flags GROUP BY series, i""")
+def screen_distance(spark, sf_dir):
+    """Pixels that differ from the frame before, outside noisy cells."""
+    p = pictures(spark, sf_dir)
+    base = frames.baselines(frames.cell_change(p, PIXEL_DELTA, SIDE, SIDE))
+    places = frames.cell_places(SIDE, SIDE)
+    cell_of = [next(c for c, own in enumerate(places) if x in own) for x in range(SIDE * SIDE)]
+    both = p.withColumn("before", F.lag("pixels").over(Window.partitionBy("series").orderBy("i"))).filter("before is not null").join(base, "series")
+    share = frames.screen_distance(F.col("before"), F.col("pixels"), F.col("baseline"), cell_of, PIXEL_DELTA, _QUIET_CELL)
+    quiet = F.size(F.filter(F.array(*[F.element_at("baseline", c + 1) for c in cell_of]), lambda b: b <= _QUIET_CELL))
+    seen = F.when(quiet == 0, SIDE * SIDE).otherwise(quiet)
+    return both.select("series", "i", F.round(share * seen).cast("bigint").alias("differ"), seen.cast("bigint").alias("seen"))
+
+
+@query()
+def same_screens(spark, sf_dir):
+    """Frames left when equal screens are merged (no SQL: compares with the last kept)."""
+    p = pictures(spark, sf_dir).select("series", "t", F.lit("change").alias("reason"), F.lit(0.0).alias("change"), "pixels", F.array_repeat(F.lit(True), SIDE * SIDE).alias("seen"))
+    return greedy.drop_same_screens(p, PIXEL_DELTA, 0.5)
+
+
+@query()
+def select_moments(spark, sf_dir):
+    """The whole selection over frames as pictures, with cues (no SQL: it folds)."""
+    p = pictures(spark, sf_dir)
+    durations = p.groupBy("series").agg((F.max("t") + 10_000).alias("duration"))
+    cues = captions.pointing_cues(segments(spark, sf_dir)).select(F.pmod("series", F.lit(10)).alias("series"), F.col("t_ms").alias("t"))
+    found = selection.signal_of(p, PIXEL_DELTA, SIDE, SIDE)
+    return selection.select_moments(found, durations, PIXEL_DELTA, fps=0.1, cues=cues)
+
+
+# speech and screen text
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series, i, t0_ms, t1_ms, text`` of conversations."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("series"), F.col("turn").alias("i"), (F.col("turn") * 10_000).alias("t0_ms"), (F.col("turn") * 10_000 + 8000).alias("t1_ms"), "text")
+
+
+def body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as speech and documents as screen text."""
+    speech = segments(spark, sf_dir).select("series", "i", F.col("t0_ms").alias("t0"), "text")
+    d = table(spark, sf_dir, "documents")
+    screen = d.select(F.lit(-1).cast("bigint").alias("series"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("t"), F.col("text").alias("ocr"), F.col("doc_id").alias("place"))
+    return search.corpus(speech, screen)
+
+
+_BODY = """body AS (
+  SELECT conv_id AS series, 'speech' AS kind, turn * 10000 AS t, 'seg#' || turn::VARCHAR AS ref, text AS body, turn AS place FROM conversations
+  UNION ALL SELECT -1, 'screen', doc_id, doc_id::VARCHAR, text, doc_id FROM documents WHERE text IS NOT NULL AND text <> ''
+)"""
+
+
+@query(f"WITH {_BODY} SELECT series, kind, t, ref, sha256(body) AS body_sha256 FROM body")
+def corpus_union(spark, sf_dir):
+    return body(spark, sf_dir).select("series", "kind", "t", "ref", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(f"WITH {_BODY} SELECT series, kind, t, ref FROM body WHERE kind = 'screen' AND contains(lower(body), 'the and') ORDER BY t, ref LIMIT 20")
+def search_text(spark, sf_dir):
+    return search.search(body(spark, sf_dir).filter("kind = 'screen'"), "The and").select("series", "kind", "t", "ref")
+
+
+@query(f"WITH {_BODY}, first AS (SELECT * FROM body WHERE contains(lower(body), 'qu') AND kind = 'screen' ORDER BY place, ref LIMIT 20) SELECT series, kind, t, ref FROM first")
+def search_plain(spark, sf_dir):
+    return search.search(body(spark, sf_dir).filter("kind = 'screen'"), "Qu").select("series", "kind", "t", "ref")
+
+
+@query(f"""WITH {_BODY}, grams AS (
+  SELECT DISTINCT series, ref, substr(lower(body), k::INT, 3) AS gram FROM body, unnest(range(1, length(body) - 1)) AS r(k) WHERE kind = 'speech' AND length(body) >= 3)
+SELECT gram, count(*) AS n FROM grams GROUP BY gram""")
+def trigram_postings(spark, sf_dir):
+    """Texts of each trigram of the speech postings."""
+    return search.postings(body(spark, sf_dir).filter("kind = 'speech'")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_BODY} SELECT series, kind, t, ref FROM body WHERE kind = 'speech' AND contains(lower(body), 'en de') ORDER BY t, series, ref LIMIT 20")
+def search_postings(spark, sf_dir):
+    """Postings and re-check give what a scan gives."""
+    b = body(spark, sf_dir).filter("kind = 'speech'")
+    return search.search_postings(search.postings(b), b, "en de").select("series", "kind", "t", "ref")
+
+
+@query(r"""WITH terms AS (
+  SELECT DISTINCT source, doc_id, t AS term FROM (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[\w./:-]+')) AS t FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) WHERE length(t) > 1)
+SELECT source AS series, term, count(*) AS n FROM terms GROUP BY source, term HAVING count(*) >= 2""")
+def reliable_terms(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return search.reliable_terms(d.select(F.col("source").alias("series"), F.col("doc_id").alias("id"), F.col("text").alias("ocr")))
+
+
+@query("""SELECT DISTINCT conv_id AS series, ((turn * 10000 + least(turn * 10000 + 8000, turn * 10000 + 6000)) // 2)::BIGINT AS t_ms FROM conversations
+WHERE turn % 3 = 0 OR turn % 7 = 2 OR contains(lower(text), 'look at') OR contains(lower(text), 'notice') OR contains(lower(text), 'i click')""")
+def pointing_cues(spark, sf_dir):
+    """Cues among turns of which some say a phrase, in other case and spacing."""
+    said = F.when(F.col("i") % 3 == 0, F.concat("text", F.lit(" As  you\tCAN see"))).when(F.col("i") % 7 == 2, F.concat(F.lit("Вот\u00a0ЗДЕСЬ "), "text")).otherwise(F.col("text"))
+    return captions.pointing_cues(segments(spark, sf_dir).withColumn("text", said))
+
+
+@query("""WITH rows AS (SELECT conv_id AS series, turn AS pos, substr(text, 1, CASE turn % 3 WHEN 0 THEN 12 ELSE 12 + 6 * (turn % 3)::INT END) AS text, turn * 10000 AS t0, turn * 10000 + 8000 AS t1 FROM conversations),
+grown AS (SELECT series, pos, t0, t1, first_value(text) OVER (PARTITION BY series, pos // 2 ORDER BY pos) AS head, text FROM rows),
+lines AS (SELECT series, pos, t0, t1, CASE WHEN pos % 2 = 1 THEN head || text ELSE text END AS text FROM grown),
+marked AS (SELECT *, lag(text) OVER (PARTITION BY series ORDER BY pos) AS p FROM lines),
+blocks AS (SELECT *, sum(CASE WHEN text = p OR (starts_with(text, p) AND length(p) >= 10) THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY pos) AS b FROM marked)
+SELECT series, (b - 1)::BIGINT AS i, arg_min(t0, pos) AS t0_ms, max(t1) AS t1_ms, arg_max(text, pos) AS text FROM blocks GROUP BY series, b""")
+def rolling_dedup(spark, sf_dir):
+    """Captions that grow: every other line is the one before with more behind it."""
+    s = segments(spark, sf_dir).select("series", F.col("i").alias("pos"), "t0_ms", "t1_ms", F.expr("substring(text, 1, CASE i % 3 WHEN 0 THEN 12 ELSE int(12 + 6 * (i % 3)) END)").alias("text"))
+    head = F.first("text").over(Window.partitionBy("series", F.expr("pos div 2")).orderBy("pos"))
+    return captions.merge_rolling(s.withColumn("head", head).select("series", "pos", "t0_ms", "t1_ms", F.when(F.col("pos") % 2 == 1, F.concat("head", "text")).otherwise(F.col("text")).alias("text")))
+
+
+@query("SELECT conv_id AS series, string_agg(text, ' ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+def transcript_text(spark, sf_dir):
+    return captions.transcript(segments(spark, sf_dir))
+
+
+@query(r"""SELECT conv_id AS series, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS i, turn * 10000 AS t0_ms, turn * 10000 + 8000 AS t1_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations""")
+def json3_captions(spark, sf_dir):
+    """Conversations written as a caption file and read again."""
+    s = segments(spark, sf_dir)
+    event = F.struct(F.col("t0_ms").alias("tStartMs"), (F.col("t1_ms") - F.col("t0_ms")).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
+    files = s.groupBy("series").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("i", event.alias("e")))), lambda x: x["e"]).alias("events"))).alias("raw"))
+    return captions.json3_segments(files)
+
+
+@query(r"""SELECT conv_id AS series, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS i, turn * 10000 AS t0_ms, turn * 10000 + 8000 AS t1_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations""")
+def vtt_captions(spark, sf_dir):
+    """Conversations written as WebVTT, with tags and entities, and read again."""
+    s = segments(spark, sf_dir)
+    clock = lambda ms: F.format_string("%02d:%02d:%02d.%03d", F.expr(f"{ms} div 3600000"), F.expr(f"{ms} div 60000 % 60"), F.expr(f"{ms} div 1000 % 60"), F.expr(f"{ms} % 1000"))
+    cue = F.concat(clock("t0_ms"), F.lit(" --> "), clock("t1_ms"), F.lit("\n<b>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</b>\n\n"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", cue.alias("cue")))), lambda x: x["cue"]), "")
+    return captions.vtt_segments(s.groupBy("series").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), lines).alias("raw")))
+
+
+# joins of moments and segments
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of conversations: series by id, within the first two minutes."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.pmod("event_id", F.lit(100)).alias("series"), F.col("event_id").alias("id"), F.pmod(F.col("event_id") * 977, F.lit(120_000)).alias("t"))
+
+
+_PROBES = "probes AS (SELECT event_id % 100 AS series, event_id AS id, (event_id * 977) % 120000 AS t FROM events)"
+
+
+@query(f"""WITH {_PROBES} SELECT probes.series, id, t, coalesce(min(turn), -1)::BIGINT AS segment_i FROM probes LEFT JOIN conversations c
+ON c.conv_id = probes.series AND t BETWEEN turn * 10000 AND turn * 10000 + 8000 GROUP BY probes.series, id, t""")
+def segment_at(spark, sf_dir):
+    s = segments(spark, sf_dir).select("series", "i", F.col("t0_ms").alias("t0"), F.col("t1_ms").alias("t1"))
+    found = lookup.segment_at(_probes(spark, sf_dir), s, 10_000)
+    return found.select("series", "id", "t", F.coalesce("segment_i", F.lit(-1)).cast("bigint").alias("segment_i"))
+
+
+@query(f"""WITH {_PROBES}, asked AS (SELECT conv_id AS series, turn AS probe, turn * 10000 AS x FROM conversations),
+ranked AS (SELECT asked.series, probe, id, t, abs(t - x) AS distance, row_number() OVER (PARTITION BY asked.series, probe ORDER BY abs(t - x), t, id) AS r FROM asked JOIN probes ON probes.series = asked.series)
+SELECT series, probe, id, t, distance FROM ranked WHERE r <= 3""")
+def nearest_frames(spark, sf_dir):
+    asked = segments(spark, sf_dir).select("series", F.col("i").alias("probe"), F.col("t0_ms").alias("at"))
+    return lookup.nearest(asked, _probes(spark, sf_dir), 3)
+
+
+@query(f"""WITH {_PROBES} SELECT probes.series, id, t, sha256(coalesce(string_agg(text, ' ' ORDER BY turn), '')) AS near_sha256 FROM probes LEFT JOIN conversations c
+ON c.conv_id = probes.series AND t BETWEEN turn * 10000 - 8000 AND turn * 10000 + 16000 GROUP BY probes.series, id, t""")
+def speech_window(spark, sf_dir):
+    s = segments(spark, sf_dir).select("series", "i", F.col("t0_ms").alias("t0"), F.col("t1_ms").alias("t1"), "text")
+    return lookup.near_texts(_probes(spark, sf_dir), s, 8000, 10_000).select("series", "id", "t", F.sha2("near", 256).alias("near_sha256"))
+
+
+@query(f"""WITH {_SPANS}, gaps AS (SELECT * FROM spans WHERE b - a > {MAX_GAP}),
+grid AS (SELECT DISTINCT user_id AS series FROM events), pts AS (SELECT series, k AS id, k * {HOUR * 5} AS t FROM grid, unnest(range(0, 140)) AS r(k))
+SELECT pts.series, id, t, coalesce(min(a), -1)::BIGINT AS gap_from FROM pts LEFT JOIN gaps ON gaps.series = pts.series AND t BETWEEN a AND b GROUP BY pts.series, id, t""")
+def gap_flag(spark, sf_dir):
+    m = moments(spark, sf_dir)
+    pts = m.select("series").distinct().select("series", F.explode(F.expr("sequence(0L, 139L)")).alias("id")).withColumn("t", F.col("id") * 5 * HOUR)
+    return lookup.in_gap(pts, coverage.gaps(m, MONTH, MAX_GAP), 24 * HOUR).withColumn("gap_from", F.coalesce("gap_from", F.lit(-1)).cast("bigint"))
+
+
+@query("SELECT DISTINCT e.event_id AS id, e.user_id AS series FROM events e WHERE e.event_id IN (SELECT doc_id FROM labels)")
+def frames_by_ids(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("series"))
+    return lookup.by_ids(e, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def never_opened(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return lookup.not_opened(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents)")
+def unknown_ref(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    return lookup.not_opened(e, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS series, l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_quantity AS t, (ceil(l_quantity * 40 / 28.0) * ceil(360 / 28.0))::BIGINT AS est FROM lineitem)
+SELECT series, sum(est)::BIGINT AS tokens, arg_max(est, t) AS per_frame, arg_max(est, t) * 8 AS per_call FROM f GROUP BY series""")
+def token_totals(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    f = items.select(F.col("l_orderkey").alias("series"), (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 100 + F.col("l_quantity")).alias("t"), scalars.image_tokens(F.col("l_quantity") * 40, F.lit(360)).alias("est_tokens"))
+    return lookup.token_totals(f)
+
+
+# audit
+
+
+@query(r"""WITH pairs AS (SELECT item_id, d.doc_id, lower(b.text) AS q, lower(d.text) AS h FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE d.lang = 'en'),
+w AS (SELECT item_id, doc_id, trim(regexp_replace(q, '\s+', ' ', 'g')) AS q, trim(regexp_replace(h, '\s+', ' ', 'g')) AS h FROM pairs),
+qw AS (SELECT item_id, doc_id, q, h, unnest(regexp_extract_all(q, '[\w./:-]+')) AS t FROM w),
+hw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(h, '[\w./:-]+')) AS t FROM w),
+n AS (SELECT item_id, qw.doc_id, any_value(q) AS q, any_value(h) AS h, count(*) AS total, sum(CASE WHEN hw.t IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM qw LEFT JOIN hw ON hw.doc_id = qw.doc_id AND hw.t = qw.t WHERE length(qw.t) > 1 GROUP BY item_id, qw.doc_id)
+SELECT item_id, doc_id, contains(h, q) OR total < 2 OR hit * 10 >= total * 6 AS supported FROM n WHERE h <> ''""")
+def quote_support(spark, sf_dir):
+    """Whether documents hold benchmark passages, as quotes are judged."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.pmod("item_id", F.lit(40)).alias("k"))
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("k"))
+    return b.join(d, "k").filter("text <> ''").select("item_id", "doc_id", text.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
+
+
+def audit_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Answers that cite documents as frames: one line for each order, some wrong in one way each."""
+    o = table(spark, sf_dir, "orders").filter("o_orderkey < 4000").select("o_orderkey", F.pmod("o_orderkey", F.lit(7)).alias("case"), F.pmod("o_orderkey", F.lit(100)).alias("f"))
+    second = F.col("f") * 10 + F.when(F.col("case") == 1, 5).otherwise(0)
+    frame = F.when(F.col("case") == 2, F.col("f") + 5000).otherwise(F.col("f"))
+    clock = F.format_string("%d:%02d", F.expr("cast(s as bigint) div 60"), F.expr("cast(s as bigint) % 60"))
+    lines = o.withColumn("s", second).withColumn("frame", frame).withColumn("clock", clock)
+    line = F.concat(F.lit("- shown \"zyxq wvut\" here "), F.when(F.col("case") == 3, F.concat(F.lit("["), F.col("clock"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("clock"), F.lit(" / f"), F.lpad(F.col("frame").cast("string"), 4, "0"), F.lit("]"))))
+    answers = lines.groupBy(F.expr("o_orderkey div 40").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("x")))), lambda y: y["x"]), "\n").alias("text"))
+    frames_ = spark.range(100).select(F.lit("s").alias("series"), F.col("id").alias("place"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), (F.col("id") * 10.0).alias("t"), F.when(F.col("id") % 2 == 0, "plain words on the screen").alias("ocr"), F.concat(F.lit("frames/"), F.col("id").cast("string")).alias("path"))
+    return {
+        "answers": answers.select(F.lit("s").alias("series"), "doc_id", "text"),
+        "frames": frames_,
+        "segments": spark.range(30).select(F.lit("s").alias("series"), F.col("id").alias("i"), (F.col("id") * 20.0).alias("t0"), (F.col("id") * 20.0 + 8).alias("t1"), F.lit("nothing of that kind").alias("text")),
+        "gaps": spark.createDataFrame([("s", 300.0, 340.0), ("s", 700.0, 705.0)], "series string, a double, b double"),
+        "served": spark.range(0, 100, 3).select(F.lit("s").alias("series"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id")),
+    }
+
+
+_AUDIT = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS c, o_orderkey % 100 AS f FROM orders WHERE o_orderkey < 4000),
+claims AS (SELECT k, k // 40 AS doc_id, row_number() OVER (PARTITION BY k // 40 ORDER BY k) AS n, f * 10 + CASE WHEN c = 1 THEN 5 ELSE 0 END AS s, c <> 3 AS cites, c = 2 AS lost, f, c FROM o),
+judged AS (SELECT *, lost AS not_found, cites AND NOT lost AND c = 1 AS mistimed, s BETWEEN 300 AND 340 OR s BETWEEN 700 AND 705 AS gap, cites AND NOT lost AND f % 3 <> 0 AS unopened,
+  CASE WHEN cites AND NOT lost AND f % 2 = 0 THEN 'screen' WHEN EXISTS (SELECT 1 FROM range(0, 30) r(i) WHERE s BETWEEN i * 20 - 8 AND i * 20 + 16) THEN 'speech' ELSE 'none' END AS quote FROM claims)"""
+
+
+@query(f"""{_AUDIT} SELECT doc_id, n, cites, not_found, mistimed, gap, unopened, quote = 'screen' AS quote_screen, quote = 'speech' AS quote_speech,
+  CASE WHEN not_found OR mistimed OR gap THEN 'FAIL' WHEN unopened OR quote <> 'none' THEN 'WARN' ELSE 'OK' END AS severity FROM judged""")
+def audit_findings(spark, sf_dir):
+    """All six findings and the severity of each claim."""
+    a = audit.audit(**audit_inputs(spark, sf_dir))
+    has = lambda code: F.exists("findings", lambda f: f["code"] == code)
+    return a.select(
+        "doc_id", F.col("n").cast("bigint").alias("n"), F.col("frame_id").isNotNull().alias("cites"), has("FRAME_NOT_FOUND").alias("not_found"), has("TIME_MISMATCH").alias("mistimed"), has("IN_COVERAGE_GAP").alias("gap"),
+        has("NEVER_OPENED").alias("unopened"), has("QUOTE_NOT_ON_SCREEN").alias("quote_screen"), has("QUOTE_NOT_IN_SPEECH").alias("quote_speech"), "severity",
+    )
+
+
+@query(f"""{_AUDIT}, sev AS (SELECT *, not_found OR mistimed OR gap AS failed, unopened OR quote <> 'none' AS warned FROM judged)
+SELECT doc_id, count(*) AS claims, sum(failed::INT)::BIGINT AS fails, sum((warned AND NOT failed)::INT)::BIGINT AS warns, sum((NOT failed AND cites)::INT)::BIGINT AS second_looks FROM sev GROUP BY doc_id""")
+def audit_severity(spark, sf_dir):
+    return audit.totals(audit.audit(**audit_inputs(spark, sf_dir))).drop("series")
+
+
+@query(f"""{_AUDIT}, due AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place FROM judged WHERE cites AND NOT (not_found OR mistimed OR gap))
+SELECT doc_id, n AS claim_id, 'shown "zyxq wvut" here' AS claim_text, 'frames/' || f::VARCHAR AS frame_path, 'f' || lpad(f::VARCHAR, 4, '0') AS frame_id FROM due WHERE place <= 8""")
+def second_look(spark, sf_dir):
+    return audit.second_look(audit.audit(**audit_inputs(spark, sf_dir))).drop("series").withColumn("claim_id", F.col("claim_id").cast("bigint"))
+
+
+# scalar functions
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey * 7 % 9000)::BIGINT AS s FROM lineitem)
+SELECT k, n, s, CASE WHEN s >= 3600 THEN (s // 3600)::BIGINT::VARCHAR || ':' || lpad(((s % 3600) // 60)::BIGINT::VARCHAR, 2, '0') || ':' ELSE (s // 60)::BIGINT::VARCHAR || ':' END || lpad((s % 60)::VARCHAR, 2, '0') AS short,
+       CASE WHEN s >= 3600 THEN (s // 3600)::BIGINT::VARCHAR || ':' || lpad(((s % 3600) // 60)::BIGINT::VARCHAR, 2, '0') || ':' ELSE (s // 60)::BIGINT::VARCHAR || ':' END || lpad((s % 60)::VARCHAR, 2, '0') || '.0' AS full, s::DOUBLE AS parsed FROM s""")
+def timecode(spark, sf_dir):
+    """Time codes of whole seconds, long and short, and read again."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.expr("l_partkey * 7 % 9000").alias("s"))
+    return s.select("k", "n", "s", scalars.timecode_short(F.col("s")).alias("short"), scalars.timecode(F.col("s").cast("double")).alias("full"), scalars.parse_timecode(scalars.timecode_short(F.col("s"))).alias("parsed"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, (p_size * 61)::INT AS w, (p_partkey % 2000 + 20)::INT AS h FROM part),
+fit AS (SELECT *, CASE WHEN greatest(w, h) <= 1568 THEN w ELSE greatest(1, floor(w * (1568.0::DOUBLE / greatest(w, h)))) END AS fw, CASE WHEN greatest(w, h) <= 1568 THEN h ELSE greatest(1, floor(h * (1568.0::DOUBLE / greatest(w, h)))) END AS fh FROM s)
+SELECT k, (ceil(w / 28.0) * ceil(h / 28.0))::BIGINT AS tokens, (ceil(fw / 28.0) * ceil(fh / 28.0))::BIGINT AS effective FROM fit""")
+def token_cost(spark, sf_dir):
+    s = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 61).cast("int").alias("w"), (F.col("p_partkey") % 2000 + 20).cast("int").alias("h"))
+    return s.select("k", scalars.image_tokens(F.col("w"), F.col("h")).alias("tokens"), scalars.effective_tokens(F.col("w"), F.col("h")).alias("effective"))
+
+
+@query("""SELECT o_orderkey AS k, least(600, greatest(40, (o_orderkey % 9000) // 10))::BIGINT AS budget, CASE WHEN o_orderkey % 9000 < 18 THEN least(15000, greatest(1000, (o_orderkey % 9000) * 10000 // 12)) ELSE 15000 END::BIGINT AS gap_ms FROM orders""")
+def frame_budget(spark, sf_dir):
+    """Budgets of durations that are whole multiples of ten seconds, so that no half has to be rounded."""
+    s = (F.col("o_orderkey") % 9000 * 10).cast("double")
+    tens = F.expr("(o_orderkey % 9000) div 10 * 10").cast("double")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), scalars.moment_budget(tens).cast("bigint").alias("budget"), F.floor(scalars.gap_target(s, 15.0) * 1000 + 1e-6).cast("bigint").alias("gap_ms"))
+
+
+@query(r"""SELECT page_id, lower(CASE WHEN s = '' THEN 'video' ELSE s END) AS slug FROM (
+  SELECT page_id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(trim(url), '[^\w\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS s FROM pages)""")
+def slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalars.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT page_id, url || '#t=' || (page_id % 500)::VARCHAR AS link FROM pages")
+def moment_link(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalars.moment_link(F.col("url"), F.col("page_id") % 500 + 0.75).alias("link"))
+
+
+@query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), '<[^>]+>', '', 'g'))) AS bare_sha256 FROM pages""")
+def strip_markup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.bare_text(F.col("html")), 256).alias("bare_sha256"))
+
+
+@query("""SELECT p_partkey AS k, p_name AS name, p_brand AS lang, p_size::VARCHAR AS bandwidth FROM part""")
+def attr_parse(spark, sf_dir):
+    """Attributes of tag lines, quoted and not."""
+    p = table(spark, sf_dir, "part")
+    line = F.concat(F.lit('TYPE=SUBTITLES,NAME="'), "p_name", F.lit('",LANGUAGE="'), "p_brand", F.lit('",BANDWIDTH='), F.col("p_size").cast("string"))
+    a = p.select("p_partkey", manifests.attributes(line).alias("a"))
+    return a.select(F.col("p_partkey").alias("k"), F.col("a")["NAME"].alias("name"), F.col("a")["LANGUAGE"].alias("lang"), F.col("a")["BANDWIDTH"].alias("bandwidth"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS series, (l_quantity * 40)::INT AS height, l_partkey AS bandwidth, l_linenumber AS place FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY CASE WHEN height <= 1080 THEN 0 ELSE 1 END, height DESC, bandwidth DESC) AS n FROM t)
+SELECT series, height, bandwidth FROM r WHERE n = 1""")
+def pick_best_track(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.lit("video").alias("kind"), (F.col("l_quantity") * 40).cast("int").alias("height"), F.col("l_partkey").alias("bandwidth"))
+    return manifests.pick_video(t).select("series", "height", "bandwidth")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS series, l_linenumber AS place, CASE l_returnflag WHEN 'A' THEN 'en' WHEN 'N' THEN 'ru' ELSE 'de' END AS lang, l_linestatus = 'O' AS auto FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY CASE lang WHEN 'ru' THEN 1 ELSE 2 END, auto, place) AS n FROM t WHERE lang IN ('ru', 'en'))
+SELECT series, place::BIGINT AS place, lang, auto FROM r WHERE n = 1""")
+def pick_subtitle(spark, sf_dir):
+    lang = F.when(F.col("l_returnflag") == "A", "en").when(F.col("l_returnflag") == "N", "ru").otherwise("de")
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("bigint").alias("place"), lang.alias("lang"), (F.col("l_linestatus") == "O").alias("auto"))
+    return manifests.pick_subtitle(t)
+
+
+@query("""WITH t AS (SELECT l_orderkey AS series, l_linenumber AS place, CASE l_returnflag WHEN 'A' THEN 'en' WHEN 'N' THEN 'ru-orig' ELSE 'de' END AS lang,
+  CASE l_partkey % 3 WHEN 0 THEN 'vtt' WHEN 1 THEN 'json3' ELSE 'sub' END AS ext, l_linestatus = 'O' AS auto FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY auto, CASE lang WHEN 'ru-orig' THEN 1 ELSE 2 END, CASE ext WHEN 'json3' THEN 1 WHEN 'vtt' THEN 2 ELSE 3 END, place) AS n FROM t WHERE lang <> 'de')
+SELECT series, place::BIGINT AS place, lang, ext, auto FROM r WHERE n = 1""")
+def pick_caption(spark, sf_dir):
+    lang = F.when(F.col("l_returnflag") == "A", "en").when(F.col("l_returnflag") == "N", "ru-orig").otherwise("de")
+    ext = F.when(F.col("l_partkey") % 3 == 0, "vtt").when(F.col("l_partkey") % 3 == 1, "json3").otherwise("sub")
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("bigint").alias("place"), lang.alias("lang"), ext.alias("ext"), F.lit("u").alias("url"), (F.col("l_linestatus") == "O").alias("auto"))
+    return manifests.pick_caption(t).drop("url")
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, round(l_partkey / (l_suppkey + 1)::DOUBLE * 1000)::BIGINT AS rate_milli, abs(l_partkey / (l_suppkey + 1)::DOUBLE - l_quantity) / greatest(l_partkey / (l_suppkey + 1)::DOUBLE, l_quantity) > 0.01 AS vfr FROM lineitem""")
+def frame_rates(spark, sf_dir):
+    r = scalars.ratio(F.concat_ws("/", F.col("l_partkey").cast("string"), (F.col("l_suppkey") + 1).cast("string")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round(r * 1000).cast("bigint").alias("rate_milli"), scalars.variable_rate(F.col("l_quantity"), r).alias("vfr"))
+
+
+@query("SELECT p_partkey AS k, (p_size % 7 * 3600 + p_size * 60 + p_partkey % 60)::DOUBLE AS seconds FROM part")
+def iso_duration(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("k"), scalars.iso_duration(F.format_string("PT%dH%dM%dS", F.col("p_size") % 7, F.col("p_size"), F.col("p_partkey") % 60)).alias("seconds"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, p_partkey * 1000003 % 300000000 AS size, p_size * 1000000 AS done FROM part),
+f AS (SELECT k, size, CASE WHEN done > size THEN 0 ELSE done END AS done FROM s)
+SELECT k, x AS first, least(x + 33554432, size) - 1 AS last FROM f, unnest(range(done, size, 33554432)) AS r(x)""")
+def chunk_plan(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    plan = scalars.range_plan(F.col("p_size") * 1_000_000, F.col("p_partkey") * 1_000_003 % 300_000_000)
+    return p.select(F.col("p_partkey").alias("k"), F.inline(plan))
+
+
+@query("""SELECT (c * 4 + w)::INT AS attempt, ['default', 'android', 'ios', 'web_safari'][c + 1] AS client, [0, 5, 15, 45][w + 1]::INT AS wait FROM unnest(range(0, 4)) AS a(c), unnest(range(0, 4)) AS b(w)""")
+def retry_schedule(spark, sf_dir):
+    return scalars.retry_schedule(spark)
+
+
+@query("""SELECT p_partkey AS k, 'bv*[height<=' || h || '][ext=mp4],bv*[height<=' || h || '],b[height<=' || h || ']' || CASE WHEN h > 720 THEN ',b[height<=720]' ELSE '' END || CASE WHEN h > 480 THEN ',b[height<=480]' ELSE '' END || CASE WHEN h > 360 THEN ',b[height<=360]' ELSE '' END AS formats
+FROM (SELECT p_partkey, p_size * 30 AS h FROM part)""")
+def format_ladder(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("k"), F.array_join(scalars.video_formats(F.col("p_size") * 30), ",").alias("formats"))
+
+
+@query("SELECT p_partkey AS k, p_partkey % 3 = 0 AS limited, p_partkey % 3 = 1 AS forbidden FROM part")
+def error_class(spark, sf_dir):
+    m = F.when(F.col("p_partkey") % 3 == 0, "HTTP Error 429: Too Many Requests").when(F.col("p_partkey") % 3 == 1, "Forbidden").otherwise("HTTP Error 500")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), scalars.is_rate_limit(m).alias("limited"), scalars.is_forbidden(m).alias("forbidden"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS line FROM documents")
+def short_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.short_line(F.col("text")).alias("line"))
