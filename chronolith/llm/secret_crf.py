@@ -79,7 +79,10 @@ def suspects(w: Words, raw: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], is_hex, [False]]).astype(np.int8)))
     a, b = edge[0::2], edge[1::2]
     long = b - a >= HEX_MIN
-    flag[np.searchsorted(w.offsets, a[long], side="right") - 1] = True  # a run over two texts only adds a suspect
+    # a run can go on over the end of a text: then all the texts that it touches are suspects
+    low, high = (np.searchsorted(w.offsets, x, side="right") - 1 for x in (a[long], b[long] - 1))
+    edge = np.bincount(low, minlength=n_rows + 1) - np.bincount(high + 1, minlength=n_rows + 1)
+    flag |= np.cumsum(edge)[:n_rows] > 0
     return flag
 
 
