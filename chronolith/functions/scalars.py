@@ -83,7 +83,8 @@ def timecode_short(seconds: Column) -> Column:
     """``H:MM:SS`` or ``M:SS`` of seconds rounded half to even."""
     s = F.rint(seconds).cast("bigint")
     hours, minutes, rest = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
-    return F.when(hours > 0, F.concat_ws(":", hours.cast("string"), _two(minutes), _two(rest))).otherwise(F.concat_ws(":", minutes.cast("string"), _two(rest)))
+    text = F.when(hours > 0, F.concat_ws(":", hours.cast("string"), _two(minutes), _two(rest))).otherwise(F.concat_ws(":", minutes.cast("string"), _two(rest)))
+    return F.when(seconds.isNotNull(), text)
 
 
 def parse_timecode(value: Column, strict: bool = False) -> Column:

@@ -87,16 +87,19 @@ def bare_text(markup: Column) -> Column:
     return F.trim(F.regexp_replace(unescaped(markup), r"<[^>]+>", ""))
 
 
-@F.pandas_udf(StringType())
-def _plain_escapes(text: pd.Series) -> pd.Series:
-    one = lambda m: chr(int(m[1], 16)) if 0x20 <= int(m[1], 16) <= 0x7E else m[0]
-    return text.str.replace(r"\\u([0-9a-fA-F]{4})", one, regex=True)
+def plain_escapes(text: Column) -> Column:
+    r"""``\uXXXX`` as the character, where that is printable ASCII; a backslash comes last, so that it makes no new escape."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1)))
+    number = lambda c: F.conv(c, 16, 10).cast("int")
+    plain = F.filter(codes, lambda c: number(c).between(0x20, 0x7E))
+    ordered = F.concat(F.filter(plain, lambda c: number(c) != 0x5C), F.filter(plain, lambda c: number(c) == 0x5C))
+    return F.aggregate(ordered, text, lambda acc, c: F.replace(acc, F.concat(F.lit("\\u"), c), F.char(number(c))))
 
 
 def link_signature(source: Column, keys: tuple[str, ...] = ("expires", "sign", "token")) -> Column:
     """``key=value`` of each signing key, the first value of it, in the order of first places."""
     pattern = rf"(?i)\b({'|'.join(keys)})=([^&\"'\s<>]+)"
-    clean = _plain_escapes(F.coalesce(source, F.lit("")))
+    clean = plain_escapes(F.coalesce(source, F.lit("")))
     all_of = lambda group: F.regexp_extract_all(clean, F.lit(pattern), F.lit(group))
     names = F.transform(all_of(1), lambda k: F.lower(k))
     pairs = F.zip_with(names, all_of(2), lambda k, v: F.concat(k, F.lit("="), v))

@@ -49,19 +49,24 @@ def near_texts(points: DataFrame, segments: DataFrame, slack: int, width: int) -
 def nearest(probes: DataFrame, moments: DataFrame, k: int) -> DataFrame:
     """``series, probe, id, t, distance``: the k moments (``series, id, t``) nearest to each probe (``series, probe, at``), by time.
 
-    Ties go to the earlier row, so the k nearest are among the k last up to the probe and the k first behind
-    it; only these are compared. Both come from one sorted pass in which each row
-    knows its k neighbours.
+    Ties go to the earlier time, then to the smaller id, so the k nearest are among the k
+    last up to the probe and the k first behind it; only these are compared. Each row
+    knows its place among the moments of its series, of equal times once in falling and
+    once in rising order of ids, and probes ask for places.
     """
-    kinds = F.struct(F.col("t"), F.col("id"))
-    both = moments.select("series", "t", F.lit(0).alias("is_probe"), F.lit(None).cast("long").alias("probe"), kinds.alias("own")).unionByName(
-        probes.select("series", F.col("at").alias("t"), F.lit(1).alias("is_probe"), F.col("probe").cast("long"), F.lit(None).cast(moments.select(kinds.alias("own")).schema["own"].dataType).alias("own"))
+    own = F.struct("t", "id")
+    kind = moments.select(own.alias("own")).schema["own"].dataType
+    both = moments.select("series", "t", F.lit(0).alias("is_probe"), F.lit(None).cast("bigint").alias("probe"), own.alias("own")).unionByName(
+        probes.select("series", F.col("at").alias("t"), F.lit(1).alias("is_probe"), F.col("probe").cast("bigint"), F.lit(None).cast(kind).alias("own"))
     )
-    order = Window.partitionBy("series").orderBy("t", "is_probe", "own.id")
-    rank = both.withColumn("place", F.sum(1 - F.col("is_probe")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    asked = rank.filter("is_probe = 1").select("series", "probe", F.col("t").alias("at"), F.explode(F.sequence(F.col("place") - k + 1, F.col("place") + k)).alias("place"))
-    known = rank.filter("is_probe = 0").select("series", "place", "own.id", F.col("own.t").alias("t"))
-    pairs = asked.join(known, ["series", "place"]).withColumn("distance", F.abs(F.col("t") - F.col("at")))
+    sides = []
+    for ids, first, last in ((F.col("own.id").desc(), 1 - k, 0), (F.col("own.id").asc(), 1, k)):
+        order = Window.partitionBy("series").orderBy("t", "is_probe", ids).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = both.withColumn("place", F.sum(1 - F.col("is_probe")).over(order))
+        asked = placed.filter("is_probe = 1").select("series", "probe", F.col("t").alias("at"), F.explode(F.sequence(F.col("place") + first, F.col("place") + last)).alias("place"))
+        known = placed.filter("is_probe = 0").select("series", "place", "own.id", F.col("own.t").alias("t"))
+        sides.append(asked.join(known, ["series", "place"]))
+    pairs = sides[0].unionByName(sides[1]).withColumn("distance", F.abs(F.col("t") - F.col("at")))
     best = F.row_number().over(Window.partitionBy("series", "probe").orderBy("distance", "t", "id"))
     return pairs.withColumn("rank_", best).filter(F.col("rank_") <= k).select("series", "probe", "id", "t", "distance")
 
