@@ -47,7 +47,9 @@ def words(text: Column) -> Column:
 def quote_supported(quote: Column, haystack: Column) -> Column:
     """Whether a text holds a quote: literally, or QUOTE_SHARE of its words; an empty text holds none."""
     own, there = words(quote), F.array_distinct(words(haystack))
-    found = F.size(F.filter(own, lambda w: F.array_contains(there, w)))
+    # the haystack's words are repeated as one value: named inside the lambda they would be cut anew for each word
+    hits = F.zip_with(own, F.array_repeat(there, F.size(own)), lambda w, known: F.array_contains(known, w))
+    found = F.size(F.filter(hits, lambda h: h))
     near = (F.size(own) < QUOTE_WORDS) | (found * 10 >= F.size(own) * int(QUOTE_SHARE * 10))
     return F.when(F.coalesce(haystack, F.lit("")) == "", False).otherwise(normalized(haystack).contains(normalized(quote)) | near)
 
@@ -72,8 +74,7 @@ def tags(line: Column) -> Column:
 
 def points_at_screen(text: Column, phrases: tuple[str, ...] = POINTING) -> Column:
     """Whether a line holds one of the phrases."""
-    line = normalized(text)
-    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: line.contains(p))
+    return normalized(text).rlike("|".join(rf"\Q{p}\E" for p in phrases))
 
 
 @F.pandas_udf(StringType())

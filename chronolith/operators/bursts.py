@@ -35,7 +35,8 @@ def settled(signal: DataFrame, bursts: DataFrame, quiet: float, steps: int) -> D
     ``i`` counts a series' samples from 0 without holes. The next quiet sample of each
     sample is found in one backward pass over the series, so that no range join is needed.
     """
-    ahead = Window.partitionBy("series").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    # from the end on, so that the frame only grows
+    ahead = Window.partitionBy("series").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("series")
     calm = signal.select("series", F.col("i").alias("i_to"), F.min(F.when(F.col("change") <= quiet, F.col("i"))).over(ahead).alias("calm"), F.max("i").over(whole).alias("last"))
     limit = F.least(F.col("last"), F.col("i_to") + steps)

@@ -120,7 +120,7 @@ def cue_anchors(cues: DataFrame, moments: DataFrame, tolerance: int) -> DataFram
     both = moments.select("series", "t", F.lit(False).alias("cue")).unionByName(cues.select("series", "t", F.lit(True).alias("cue")))
     known = F.when(~F.col("cue"), F.col("t"))
     back = F.last(known, True).over(Window.partitionBy("series").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first(known, True).over(Window.partitionBy("series").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    ahead = F.last(known, True).over(Window.partitionBy("series").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     near = F.least(F.coalesce(F.col("t") - back, F.lit(1 << 62)), F.coalesce(ahead - F.col("t"), F.lit(1 << 62)))
     free = both.withColumn("near", near).filter(F.col("cue") & (F.col("near") > tolerance)).select("series", "t")
     return thin_close(free.withColumn("change", F.lit(0.0)), tolerance + 1).select("series", "t")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import gap_target, moment_budget
 from ..operators import bursts, coverage, frames, greedy
+from .lineage import cut
 
 MS = 1000
 MAX_GAP_SECONDS = 15.0
@@ -18,7 +19,7 @@ def signal_of(pictures: DataFrame, delta: float, height: int, width: int) -> Dat
     ``change`` is what the most changed cell has over its own baseline; ``seen`` flags the
     pixels of cells that are not noisy.
     """
-    cells = frames.cell_change(pictures, delta, height, width)
+    cells = cut(frames.cell_change(pictures, delta, height, width))
     base = frames.baselines(cells)
     places = frames.cell_places(height, width)
     cell_of = [next(c for c, own in enumerate(places) if p in own) for p in range(height * width)]
@@ -40,7 +41,7 @@ def select_moments(signal: DataFrame, durations: DataFrame, delta: float, fps: f
     thinned, an anchor at 0, equal screens merged, cues, grid points in bare stretches,
     and the budget (``cap``, or by duration). With ``keyframes`` each sample is a candidate.
     """
-    signal = signal.persist()  # read at five places below; its pixel arithmetic is the dear part
+    signal = cut(signal)  # read at five places below; its pixel arithmetic is the dear part
     merge, min_gap = int(bursts.MERGE_SECONDS * MS), int(greedy.MIN_GAP_SECONDS * MS)
     plain = signal.select("series", "i", "t", "change")
     if keyframes:
@@ -48,11 +49,11 @@ def select_moments(signal: DataFrame, durations: DataFrame, delta: float, fps: f
     else:
         found = bursts.settled(plain, bursts.sessions(plain, bursts.ACTIVE, merge), bursts.QUIET, round(bursts.MERGE_SECONDS * fps))
         span = found.select("series", "burst", F.explode(F.sequence("i_from", "i_settle")).alias("i"))
-        inside = span.join(plain, ["series", "i"]).persist()
+        inside = cut(span.join(plain, ["series", "i"]))
         strength = inside.groupBy("series", "burst").agg(F.max("change").alias("strength"))
         picked = greedy.split_bursts(inside.select("series", "burst", "i", "t", "change"), int(greedy.SPLIT_SECONDS * MS), greedy.NOVELTY, min_gap)
         caught = picked.join(strength, ["series", "burst"]).select("series", "t", F.col("strength").alias("change"))
-    caught = greedy.thin_close(caught, min_gap).withColumn("reason", F.lit("change")).persist()
+    caught = cut(greedy.thin_close(caught, min_gap).withColumn("reason", F.lit("change")))
 
     # an anchor where nothing is caught early
     early = durations.select("series").join(caught.groupBy("series").agg(F.min("t").alias("first")), "series", "left")
@@ -63,7 +64,7 @@ def select_moments(signal: DataFrame, durations: DataFrame, delta: float, fps: f
     blank = with_screen.filter("pixels is null").drop("pixels", "seen")  # an anchor before the first sample: its screen never counts
     some = signal.groupBy("series").agg(F.first("pixels").alias("pixels"), F.first("seen").alias("seen"))
     with_screen = with_screen.filter("pixels is not null").unionByName(blank.join(some, "series"))
-    kept = greedy.drop_same_screens(with_screen.select("series", "t", "reason", "change", "pixels", "seen"), delta).select("series", "t", "reason", "change").persist()
+    kept = cut(greedy.drop_same_screens(with_screen.select("series", "t", "reason", "change", "pixels", "seen"), delta).select("series", "t", "reason", "change"))
 
     if cues is not None:
         inside_cues = cues.join(durations, "series").filter((F.col("t") >= 0) & (F.col("t") <= F.col("duration"))).select("series", "t")
