@@ -184,3 +184,27 @@ def test_live_sessions_match_batch(spark):
     rows = [("a", datetime.datetime(2024, 1, 1, 0, 0, s), c) for s, c in ((0, 1.0), (1, 2.0), (2, 0.0), (9, 1.5))]
     got = guard.sessions(spark.createDataFrame(rows, "series string, ts timestamp, change double"), 0.5, "3 seconds", "1 minute").orderBy("ts_from").collect()
     assert [(r.n, r.strength) for r in got] == [(2, 2.0), (1, 1.5)]
+
+
+def test_the_whole_way(spark):
+    from chronolith.plans import evidence as e
+
+    root = tempfile.mkdtemp(prefix="spark-way-")
+    signal, _ = dense(spark, 90, [10, 25, 40, 55, 70])
+    spoken = spark.createDataFrame([("s", 0, 9_000, 12_000, "right here we type"), ("s", 1, 50_000, 61_000, "the end of it")], "series string, i bigint, t0_ms bigint, t1_ms bigint, text string")
+    about = spark.createDataFrame([("s", 90.0, 1920, 1080, "https://youtu.be/x")], "series string, duration double, width int, height int, url string")
+    e.index(root, signal, spoken, about, 24.0)
+    rows = store.read(spark, root, "frames").orderBy("place").collect()
+    assert [r.id for r in rows] == [f"f{k:04d}" for k in range(len(rows))] and rows[0].t == 0.0
+    assert {(r.w, r.h, r.est_tokens) for r in rows} == {(1280, 720, 1196)} and rows[1].url.startswith("https://youtu.be/x?t=")
+    assert {r.segment_i for r in rows if 9 <= r.t <= 12} == {0} and {r.segment_i for r in rows if r.t < 9} == {None}
+    told = e.report(spark, root).first()
+    assert told.complete and told.n_frames == len(rows) == told.n_grid + told.n_cue + told.n_change and told.tokens_call == 1196 * 8
+    assert [h.ref for h in e.search(spark, root, "Right Here").collect()] == ["seg#0"]
+    near = e.frames(spark, root, spark.createDataFrame([("s", 7, 10.2)], "series string, probe bigint, at double"), count=2).orderBy("t").collect()
+    assert len(near) == 2 and not near[0].in_gap and min(abs(r.t - 10.2) for r in near) == min(abs(r.t - 10.2) for r in rows)
+    seen = next(r for r in rows if r.id == near[0].id)
+    clock = f"{int(seen.t // 60)}:{int(seen.t % 60):02d}"
+    claims = e.verify(spark, root, spark.createDataFrame([("s", 1, f"- typed [{clock} / {seen.id}]\n- nowhere [0:30 / f9999]")], "series string, doc_id bigint, text string")).orderBy("n").collect()
+    assert [c.severity for c in claims] == ["OK", "FAIL"]
+    assert e.frames(spark, root, ids=spark.createDataFrame([("s", "f0001"), ("s", "f0001")], "series string, id string")).count() == 1
