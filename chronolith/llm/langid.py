@@ -44,7 +44,7 @@ def letters_only(text: str | None) -> bytes:
 
 
 def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each non-null ``lang`` of ``doc_id, text, lang``.
+    """A dictionary for each non-null ``lang`` of ``doc_id, text, lang``, the language of most documents first.
 
     The sample is the same in each run: the documents with the smallest hash of their
     id. It is chosen on ids alone, at most ``sample_docs`` a language, and only then
@@ -53,7 +53,9 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary
     has = labelled.filter("lang is not null and text is not null")
     rows = sample_rows(has, has.select("doc_id", "lang", F.length("text").alias("n_chars")), "lang", sample_docs, SAMPLE_CHARS)
     out: dict[str, bytes] = {}
-    for lang in sorted({r["lang"] for r in rows}):
+    known = {r["lang"] for r in rows}
+    often = {r["lang"]: -r["count"] for r in has.groupBy("lang").count().collect() if r["lang"] in known}
+    for lang in sorted(known, key=lambda x: (often[x], x)):
         parts, held, seen = [], 0, set()
         for r in (r for r in rows if r["lang"] == lang):
             data = letters_only(r["text"])
@@ -70,7 +72,7 @@ class Compressors:
     """One compressor for each language, made once in a worker."""
 
     def __init__(self, content: dict[str, bytes]) -> None:
-        self.langs = sorted(content)
+        self.langs = list(content)
         how = zstandard.ZstdCompressionParameters(**PARAMETERS)
         self.contexts = []
         for lang in self.langs:
@@ -85,7 +87,7 @@ class Compressors:
 
 
 def decide(n_bytes: int, sizes: list[int], margin: float = MARGIN) -> tuple[int, float, bool]:
-    """Index of the winner, its share of the odds, whether it is rejected."""
+    """Index of the winner (of equals the first), its share of the odds, whether it is rejected."""
     best = int(np.argmin(sizes))
     others = sizes[:best] + sizes[best + 1 :]
     if not others:
