@@ -436,9 +436,11 @@ n AS (SELECT item_id, qw.doc_id, any_value(q) AS q, any_value(h) AS h, count(*)
 SELECT item_id, doc_id, contains(h, q) OR total < 2 OR hit * 10 >= total * 6 AS supported FROM n WHERE h <> ''""")
 def quote_support(spark, sf_dir):
     """Whether documents hold benchmark passages, as quotes are judged."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.pmod("item_id", F.lit(40)).alias("k"))
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("k"))
-    return b.join(d, "k").filter("text <> ''").select("item_id", "doc_id", text.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
+    folded = lambda df, key, p: df.select(key, F.pmod(key, F.lit(40)).alias("k"), text.normalized(F.col("text")).alias(p), text.words(F.col("text")).alias(f"{p}_words"))
+    b = folded(table(spark, sf_dir, "benchmark"), "item_id", "q")
+    d = folded(table(spark, sf_dir, "documents").filter("lang = 'en' and text <> ''"), "doc_id", "h")
+    held = text.holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
+    return b.join(d, "k").select("item_id", "doc_id", held.alias("supported"))
 
 
 def audit_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

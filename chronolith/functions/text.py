@@ -44,14 +44,22 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(normalized(text), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 1)
 
 
-def quote_supported(quote: Column, haystack: Column) -> Column:
-    """Whether a text holds a quote: literally, or QUOTE_SHARE of its words; an empty text holds none."""
-    own, there = words(quote), F.array_distinct(words(haystack))
-    # the haystack's words are repeated as one value: named inside the lambda they would be cut anew for each word
-    hits = F.zip_with(own, F.array_repeat(there, F.size(own)), lambda w, known: F.array_contains(known, w))
+def holds(quote: Column, quote_words: Column, haystack: Column, haystack_words: Column) -> Column:
+    """Whether a normalized text with its words holds a normalized quote: literally, or QUOTE_SHARE of its words.
+
+    Words of a quote count as often as they come. An empty text holds none.
+    """
+    common = F.array_intersect(quote_words, haystack_words)
+    # repeated as one value: named inside the lambda it would be worked out anew for each word
+    hits = F.zip_with(quote_words, F.array_repeat(common, F.size(quote_words)), lambda w, known: F.array_contains(known, w))
     found = F.size(F.filter(hits, lambda h: h))
-    near = (F.size(own) < QUOTE_WORDS) | (found * 10 >= F.size(own) * int(QUOTE_SHARE * 10))
-    return F.when(F.coalesce(haystack, F.lit("")) == "", False).otherwise(normalized(haystack).contains(normalized(quote)) | near)
+    near = (F.size(quote_words) < QUOTE_WORDS) | (found * 10 >= F.size(quote_words) * int(QUOTE_SHARE * 10))
+    return haystack.contains(quote) | near
+
+
+def quote_supported(quote: Column, haystack: Column) -> Column:
+    """``holds`` of a quote and a text as they are; an empty or null text holds none."""
+    return F.when(F.coalesce(haystack, F.lit("")) == "", False).otherwise(holds(normalized(quote), words(quote), normalized(haystack), words(haystack)))
 
 
 def claim_text(line: Column) -> Column:
