@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import scalars, text
 from .operators import audit, bursts, coverage, frames, greedy, lookup, search
-from .plans import selection
-from .sources import captions, manifests
+from .plans import evidence, selection
+from .sources import captions, manifests, media, store
+from .streaming import guard
 
 MONTH = 31 * 86_400_000_000
 HOUR = 3_600_000_000
@@ -245,8 +246,8 @@ def select_moments(spark, sf_dir):
     p = pictures(spark, sf_dir)
     durations = p.groupBy("series").agg((F.max("t") + 10_000).alias("duration"))
     cues = captions.pointing_cues(segments(spark, sf_dir)).select(F.pmod("series", F.lit(10)).alias("series"), F.col("t_ms").alias("t"))
-    found = selection.signal_of(p, PIXEL_DELTA, SIDE, SIDE)
-    return selection.select_moments(found, durations, PIXEL_DELTA, fps=0.1, cues=cues)
+    delta = 0.5  # embeddings differ in most pixels by less
+    return selection.select_moments(selection.signal_of(p, delta, SIDE, SIDE), durations, delta, fps=0.1, cues=cues)
 
 
 # speech and screen text
@@ -615,3 +616,136 @@ def error_class(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS line FROM documents")
 def short_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.short_line(F.col("text")).alias("line"))
+
+
+@query("SELECT p_partkey AS k, greatest(2, (1080 * (p_size * 2) // 1920) - ((1080 * (p_size * 2) // 1920) % 2))::BIGINT AS height FROM part WHERE (1080 * p_size * 2) % 1920 = 0")
+def scaled_heights(spark, sf_dir):
+    """Heights at widths where nothing has to be rounded but to even."""
+    p = table(spark, sf_dir, "part").filter("(1080 * p_size * 2) % 1920 = 0")
+    return p.select(F.col("p_partkey").alias("k"), scalars.scaled_height(F.lit(1920), F.lit(1080), F.col("p_size") * 2).cast("bigint").alias("height"))
+
+
+@query("SELECT p_partkey AS k, 1280 AS width, 720 AS height, 1196::BIGINT AS tokens, p_size AS moments, (1196 * p_size)::BIGINT AS tokens_all, (1196 * 8)::BIGINT AS tokens_call FROM part")
+def budget_plans(spark, sf_dir):
+    plan = scalars.budget_plan(F.col("p_size"), F.lit(1280), F.lit(1920), F.lit(1080))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), plan.alias("p")).select("k", "p.*")
+
+
+@query("SELECT p_partkey AS k, 'expires=' || p_size::VARCHAR || '&sign=' || replace(p_brand, '#', '-') AS signature, CASE WHEN p_partkey % 2 = 0 THEN (1000000 + p_partkey)::VARCHAR END AS video_id FROM part")
+def link_parts(spark, sf_dir):
+    """Signing keys of links, some escaped and repeated, and ids in their paths."""
+    tail = F.concat(F.lit(r"?expires="), F.col("p_size").cast("string"), F.lit(r"&SIGN="), F.regexp_replace("p_brand", "#", "-"), F.lit("&sign=other"))
+    url = F.concat(F.lit("https://host/embed/"), F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") + 1_000_000).cast("string")).otherwise("page"), tail)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.link_signature(url).alias("signature"), text.video_id(url).alias("video_id"))
+
+
+@query("SELECT o_orderkey AS k, date_diff('day', o_orderdate::DATE, DATE '1995-06-17') > 120 AS stale FROM orders")
+def stale_versions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("k"), scalars.is_stale(F.date_format("o_orderdate", "yyyy.MM.dd"), F.to_date(F.lit("1995-06-17"))).alias("stale"))
+
+
+@query(f"WITH {_EV} SELECT series, id FROM ev WHERE value / 100 >= 0.3")
+def scene_filter(spark, sf_dir):
+    return bursts.scene_cuts(moments(spark, sf_dir).withColumn("change_global", F.col("value") / 100)).select("series", "id")
+
+
+@query(f"WITH {_EV} SELECT DISTINCT series, t::DOUBLE AS t FROM ev WHERE event_type = 'view'")
+def keyframe_times(spark, sf_dir):
+    m = moments(spark, sf_dir).select("series", F.col("t").cast("double").alias("t"), (F.col("event_type") == "view").alias("keyframe"))
+    return media.keyframe_times(m)
+
+
+@query("SELECT vec_id AS i, k::BIGINT AS place, round(embedding[(k // 3) * 8 // 3 * 8 + (k % 3) * 8 // 3 + 1]::DOUBLE * 1000000)::BIGINT AS pixel FROM embeddings, unnest(range(0, 9)) AS r(k)")
+def thumbnails(spark, sf_dir):
+    small = pictures(spark, sf_dir).select("i", F.posexplode(frames.thumbnail(F.col("pixels"), SIDE, SIDE, 3, 3)).alias("place", "p"))
+    return small.select("i", F.col("place").cast("bigint").alias("place"), F.round(F.col("p") * 1e6).cast("bigint").alias("pixel"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS series, p_size AS size, p_retailprice AS price FROM part)
+SELECT series::VARCHAR AS series, 'video' AS kind, 'https://h/v/0/' || (size * 1000)::VARCHAR || '/v.mp4' AS url, (size * 1000)::BIGINT AS size, (size * 10)::INT AS height, (size * 60 + 1)::DOUBLE AS duration FROM f
+UNION ALL SELECT series::VARCHAR, 'audio', 'https://h/a.mp4', (size * 7 + 1)::BIGINT, 0, (size * 60 + 1)::DOUBLE FROM f""")
+def dash_tracks(spark, sf_dir):
+    """Tracks of manifests written from parts, in both shapes of segment lists."""
+    raw = F.format_string(
+        '<MPD xmlns="urn:x" mediaPresentationDuration="PT%dM1S"><Period><AdaptationSet mimeType="video/mp4"><Representation height="%d" bandwidth="5"><BaseURL>https://h/v/</BaseURL><SegmentList>'
+        '<SegmentURL media="0/%d/v.mp4"/><SegmentURL media="9/%d/v.mp4"/></SegmentList></Representation></AdaptationSet><AdaptationSet mimeType="audio/mp4"><Representation bandwidth="5"><BaseURL>https://h/a.mp4</BaseURL>'
+        '<SegmentList><SegmentURL mediaRange="0-3"/><SegmentURL mediaRange="4-%d"/></SegmentList></Representation></AdaptationSet></Period></MPD>',
+        F.col("p_size"), F.col("p_size") * 10, F.lit(9), F.col("p_size") * 1000, F.col("p_size") * 7,
+    )
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("series"), raw.alias("raw"))
+    return manifests.dash_tracks(files).select("series", "kind", "url", "size", "height", "duration")
+
+
+@query("SELECT p_partkey AS series, lower(p_brand) AS lang, p_name AS name, 'https://h/v/m.m3u8?id=' || p_size::VARCHAR AS url, p_size % 2 = 0 AS auto FROM part")
+def hls_subtitles(spark, sf_dir):
+    name = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, " (Automatic), x").otherwise(""))
+    line = F.concat(F.lit('#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,URI="a"\n#EXT-X-MEDIA:TYPE=SUBTITLES,LANGUAGE="'), "p_brand", F.lit('",NAME="'), name, F.lit('",URI="m.m3u8?id='), F.col("p_size").cast("string"), F.lit('"\n'))
+    tracks = manifests.hls_subtitles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("series"), line.alias("raw"), F.lit("https://h/v/").alias("base")))
+    return tracks.select("series", "lang", F.replace("name", F.lit(" (Automatic), x"), F.lit("")).alias("name"), "url", "auto")
+
+
+@query("SELECT p_partkey AS series, p_size::DOUBLE AS duration, 1920 AS width, 1080 AS height, p_size % 3 = 0 AS vfr FROM part")
+def media_probe(spark, sf_dir):
+    raw = F.format_string('{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":1920,"height":1080,"r_frame_rate":"30/1","avg_frame_rate":"%s"}],"format":{"duration":"%d"}}', F.when(F.col("p_size") % 3 == 0, "29/1").otherwise("30000/1001"), F.col("p_size"))
+    info = media.media_info(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("series"), F.lit("p").alias("path"), raw.alias("raw")))
+    return info.select("series", "duration", "width", "height", "vfr")
+
+
+@query(f"{_AUDIT} SELECT doc_id, n, n AS line_no, s::DOUBLE AS t, CASE WHEN cites THEN 'f' || lpad((CASE WHEN lost THEN f + 5000 ELSE f END)::VARCHAR, 4, '0') END AS frame_id, 'shown \"zyxq wvut\" here' AS text, 'zyxq wvut' AS quote FROM claims")
+def claims(spark, sf_dir):
+    """Claims of answers with number, line, time, frame, text and quote."""
+    c = audit.claims(audit_inputs(spark, sf_dir)["answers"])
+    return c.select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("line_no").cast("bigint").alias("line_no"), "t", "frame_id", "text", F.array_join("quotes", "|").alias("quote"))
+
+
+@query(f"{_AUDIT} SELECT doc_id, count(*) AS lines FROM o2 GROUP BY doc_id".replace("judged AS", "o2 AS (SELECT k // 120 AS doc_id, k // 3 AS line FROM o GROUP BY ALL), judged AS"))
+def logical_lines(spark, sf_dir):
+    """Lines that a list mark begins, each wrapped over up to three."""
+    o = table(spark, sf_dir, "orders").filter("o_orderkey < 4000").select(F.col("o_orderkey").alias("k"))
+    first = F.col("k") == F.min("k").over(Window.partitionBy(F.expr("k div 3")))
+    lines = o.withColumn("line", F.when(first, F.concat(F.lit("- k"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("  more "), F.col("k").cast("string"))))
+    texts = lines.groupBy(F.expr("k div 120").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return audit.logical_lines(texts.select(F.lit("s").alias("series"), "doc_id", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""WITH {_EV}, r AS (SELECT series, t, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS place FROM ev)
+SELECT series, 'f' || lpad(place::VARCHAR, 4, '0') AS id, (t // 1000)::BIGINT AS t_ms, 1196::BIGINT AS est_tokens FROM r""")
+def frame_rows(spark, sf_dir):
+    """Rows of the frames table for all events of the month."""
+    m = moments(spark, sf_dir).select("series", F.expr("t div 1000").alias("t"), F.lit("change").alias("reason"), F.lit(0.0).alias("change"))
+    about = m.select("series").distinct().select("series", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(None).cast("string").alias("url"))
+    none = spark.createDataFrame([], "series bigint, i bigint, t0_ms bigint, t1_ms bigint")
+    rows = evidence.frame_rows(m, none, about)
+    return rows.select("series", "id", F.rint(F.col("t") * 1000).cast("bigint").alias("t_ms"), "est_tokens")
+
+
+@query("SELECT d.doc_id AS place, CASE WHEN l.doc_id IS NULL THEN d.lang WHEN l.quality = 1 THEN 'good' END AS ocr FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id")
+def ocr_write_back(spark, sf_dir):
+    """Texts that a recogniser gives replace those there are; blank ones clear them."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("ocr"))
+    found = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("q") == 1, " good ").otherwise("  ").alias("text"))
+    return store.with_ocr(d, found).select("place", "ocr")
+
+
+@query(f"WITH {_BURSTS} SELECT series, t_from, strength, n FROM bursts")
+def live_sessions(spark, sf_dir):
+    """The streaming rule for bursts, run over a finished stream."""
+    m = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("change"))
+    found = guard.sessions(m, ACTIVE, "3 hours", "1 hour")
+    start = F.unix_micros("ts_from") - F.unix_micros(F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'").cast("timestamp"))
+    return found.select("series", start.alias("t_from"), "strength", "n")
+
+
+@query()
+def cue_anchors(spark, sf_dir):
+    """Cues that no moment is near to, nor a cue taken before (no SQL: it folds)."""
+    m = moments(spark, sf_dir)
+    return greedy.cue_anchors(m.filter("event_type = 'click'"), m.filter("event_type = 'purchase'"), 4 * HOUR)
+
+
+@query()
+def selection_report(spark, sf_dir):
+    """Moments by reason, longest stretch and coverage of the whole selection (no SQL: it folds)."""
+    p = pictures(spark, sf_dir)
+    return selection.report(select_moments(spark, sf_dir), p.groupBy("series").agg((F.max("t") + 10_000).alias("duration")))
