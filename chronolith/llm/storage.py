@@ -49,12 +49,21 @@ def sample_rows(documents: DataFrame, keys: DataFrame, group: str, limit: int, l
 
     ``keys`` has ``doc_id``, the group and ``n_chars``. Of each group at most ``limit``
     ids come, those of the smallest hash, and of texts over ``long_text`` characters only
-    where there are too few others. Ids are chosen first; then the few chosen ones are
-    broadcast (``limit`` a group), so that no text is shuffled.
+    where there are too few others. Groups are counted first, so that only hashes below
+    a share that holds ``limit`` of them (with a tenth and six deviations to spare) are ranked:
+    no group meets in one task. The few chosen ids are broadcast, and no text is shuffled.
     """
-    keys = keys.select("doc_id", group, (F.col("n_chars") > long_text).alias("long"), F.xxhash64("doc_id").alias("h")).distinct()
+    keys = saved(keys.select("doc_id", group, (F.col("n_chars") > long_text).alias("long"), F.xxhash64("doc_id").alias("h")), "sample-keys")
+    counted = keys.groupBy(group, "long").agg(F.approx_count_distinct("h", 0.02).alias("ids"))  # repeated rows are one id
+    counts = {(r[group], r["long"]): r["ids"] for r in counted.collect()}
+    low = F.lit(False)
+    for (name, is_long), n in counts.items():
+        wanted = limit if not is_long else limit - 0.9 * counts.get((name, False), 0)
+        if wanted > 0:
+            share = min(1.0, 1.1 * (wanted + 6 * wanted**0.5 + 50) / max(n, 1))
+            low = low | ((F.col(group) == F.lit(name)) & (F.col("long") == F.lit(is_long)) & (F.lit(0.5) + F.col("h") / F.lit(2.0**64) <= share))
     place = F.row_number().over(Window.partitionBy(group).orderBy("long", "h", "doc_id"))
-    chosen = keys.withColumn("place", place).filter(F.col("place") <= limit).select("doc_id", group, "place")
+    chosen = keys.filter(low).distinct().withColumn("place", place).filter(F.col("place") <= limit).select("doc_id", group, "place")
     rows = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
     return sorted(rows, key=lambda r: (r[group], r["place"], r["text"]))
 
