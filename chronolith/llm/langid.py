@@ -1,8 +1,9 @@
 """Language identification by compression (op2).
 
 Each language has a zstandard raw-content dictionary of its own training text. A text,
-lower-cased with all but letters reduced to single spaces, is compressed whole with
-each of them; the smallest wins. It is rejected where the runner-up comes near.
+lower-cased with all but letters reduced to single spaces, is compressed with each of
+them, block by block, so that the dictionary counts as much at the end of a long text as
+at its start; the smallest sum wins. It is rejected where the runner-up comes near.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ PARAMETERS = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 4, "window_log"
 #: a text is rejected if the second language needs less than this share of its bytes, or bytes, more
 MARGIN = 0.0015
 LEAST_BYTES = 1
+#: a text is cut into equal blocks of at most so many bytes, each compressed alone; all of them count
+BLOCK_BYTES = 32 << 10
 UNKNOWN = "und"
 
 _ASCII_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -43,6 +46,12 @@ def letters_only(text: str | None) -> bytes:
     return data
 
 
+def blocks(data: bytes, limit: int = BLOCK_BYTES) -> list[bytes]:
+    """The bytes in as few equal parts of at most ``limit`` as do; one part if they are no more."""
+    n = -(-len(data) // limit)
+    return [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+
+
 def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each non-null ``lang`` of ``doc_id, text, lang``, the language of most documents first.
 
@@ -81,9 +90,10 @@ class Compressors:
             self.contexts.append(zstandard.ZstdCompressor(compression_params=how, dict_data=known))
 
     def sizes(self, text: str | None) -> tuple[int, list[int]]:
-        """Bytes of the reduced text, and compressed with each language; none if it has no letter."""
+        """Bytes of the reduced text, and the sum of its blocks' sizes with each language; none if it has no letter."""
         data = letters_only(text)
-        return (len(data), [len(c.compress(data)) for c in self.contexts]) if data else (0, [])
+        parts = blocks(data)
+        return (len(data), [sum(len(c.compress(part)) for part in parts) for c in self.contexts]) if data else (0, [])
 
 
 def decide(n_bytes: int, sizes: list[int], margin: float = MARGIN) -> tuple[int, float, bool]:

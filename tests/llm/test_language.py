@@ -2,6 +2,8 @@
 
 import zlib
 
+import pytest
+
 from chronolith.llm import langid, queries
 
 SF01 = "/root/testdata/sf0.01"
@@ -44,3 +46,38 @@ def test_whole_text_decides():
     assert n > 10_000 and len(sizes) == 2
     assert langid.decide(100, [50, 50])[2]
     assert not langid.decide(100, [20, 50])[2]
+
+
+@pytest.fixture(scope="module")
+def joined():
+    """Dictionaries of three quarters of the texts of each language, and the others' texts."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    known, others = {}, {}
+    for r in sorted((r for r in rows if r["text"] and r["lang"]), key=lambda r: zlib.crc32(b"x%d" % r["doc_id"])):
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2:
+            others.setdefault(r["lang"], []).append(r["text"])
+        elif len(r["text"]) <= langid.SAMPLE_CHARS and len(known.get(r["lang"], b"")) < langid.DICTIONARY_BYTES:
+            known[r["lang"]] = known.get(r["lang"], b"") + b" " + langid.letters_only(r["text"])
+    return known, others
+
+
+def test_length_does_not_reject(joined):
+    """A clean text of any length keeps its lead: what the dictionary saves does not end with the first window."""
+    known, others = joined
+    tools = langid.Compressors(known)
+    for lang, texts in others.items():
+        whole = "\n".join(texts)
+        whole *= -(-3_000_000 // len(whole))
+        for n in (30_000, 200_000, 1_000_000, 3_000_000):
+            size, sizes = tools.sizes(whole[:n])
+            best, _, rejected = langid.decide(size, sizes)
+            assert tools.langs[best] == lang and not rejected, (lang, n, sizes)
+
+
+def test_blocks_are_the_whole_text():
+    data = bytes(range(256)) * 1000
+    for n in (0, 1, langid.BLOCK_BYTES, langid.BLOCK_BYTES + 1, len(data)):
+        parts = langid.blocks(data[:n])
+        assert b"".join(parts) == data[:n] and all(0 < len(p) <= langid.BLOCK_BYTES for p in parts)
