@@ -80,7 +80,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_rest(F.col("doc_id"), 7) == 2
-    tree = suffix_tree.fit(docs.filter(~held_out))
+    tree = suffix_tree.fit(docs.filter(~held_out), longest=None)
     return suffix_tree.score(docs, tree).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

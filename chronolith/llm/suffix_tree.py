@@ -1,17 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words (op10).
 
-A state of the tree is a context of none, one or two words. A context is kept if the
+A state of the tree is a context of any number of words. A context is kept if the
 words that follow it diverge enough from what its shorter suffix predicts: the
 log-likelihood that it gains, with each occurrence judged by the others, has to reach
-``GAIN``. A word is scored in the longest kept context that precedes it, smoothed by
+``GAIN``. Nothing else decides: what was seen once has no other occurrence that could
+judge it, and contexts grow by a word as long as any of the last length is kept. A word is scored in the longest kept context that precedes it, smoothed by
 absolute discounting down to the root; the root keeps the mass of once-seen words for
 unknown ones.
 
 The tree grows with the corpus and is never held in one place. Words are counted in a
-shuffle; (context, next word) pairs go to buckets as packed arrays, and only those seen
-``MIN_COUNT`` times or more come out as rows. A text's log-probability is a sum of one
-value for each word, each pair and each triple of it, so scoring is a join of keys with
-values. Values of keys with a share of at least ``HEAD_SHARE`` of all tokens, which
+shuffle; (context, next word) pairs go to buckets as packed arrays, one length of contexts after
+the other, and only those seen ``MIN_COUNT`` times or more come out as rows. A text's
+log-probability is a sum of one value for each word and each run of words of it, up to
+the longest in the tree, so scoring is a join of keys with values. Values of keys with a share of at least ``HEAD_SHARE`` of all tokens, which
 are at most ``1 / HEAD_SHARE`` a length, are broadcast; so no hot key is shuffled. All
 others meet their values in buckets of packed keys. Words are told apart by 64-bit hashes.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .storage import hash_filter, passes, saved
 from .textarrays import GRAM_KEYS, mix, slices, words_of
 
-MIN_COUNT = 16
+MIN_COUNT = 2
 GAIN = 12.0
 DISCOUNT = 0.75
 HEAD_SHARE = 2e-7
@@ -47,7 +48,8 @@ BUCKET_BYTES = 30 << 20
 HOT_TOKENS = 250_000
 #: stands behind each text's last word
 END = np.uint64(0x656E64206F662074)
-WORD, PAIR, TRIPLE = 0, 1, 2
+#: kind of a value: how many words the context has
+WORD = 0
 
 
 def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -55,6 +57,14 @@ def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(context * GRAM_KEYS[0] + symbol * GRAM_KEYS[1])
 
 
+def runs_of(h: np.ndarray, length: int) -> np.ndarray:
+    """Key of the ``length`` words from each place on, whatever their row."""
+    run = h
+    for k in range(1, length):
+        run = joined(run[:-1], h[k:])
+    return run
+
+
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token, ends included, and its row."""
     w = words_of(texts)
@@ -110,10 +120,10 @@ def _packed(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, hot: np.ndar
 
 
 def successors(documents: DataFrame, order: int, bits: np.ndarray, hot: np.ndarray, n_tokens: int, min_count: int) -> DataFrame:
-    """``context, symbol, key, c`` of pairs seen ``min_count`` times or more.
+    """``context, symbol, key, c`` of contexts of ``order`` words with the next, seen ``min_count`` times or more.
 
-    ``bits`` holds the words (order 1) or the pairs (order 2) that are frequent
-    themselves; only pairs made of two such can be.
+    ``bits`` holds the runs of ``order`` words that are frequent themselves; only what
+    begins and ends with such can be.
     """
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast((bits, hot))  # a filter of fixed size; at most 1 / HEAD_SHARE keys
@@ -131,17 +141,12 @@ def successors(documents: DataFrame, order: int, bits: np.ndarray, hot: np.ndarr
         for batch in batches:
             for part in slices(batch):
                 h, row = tokens_of(part.column("text"))
-                if order == 1:
-                    fine = passes(let, h) | (h == END)
-                    use = np.flatnonzero((row[1:] == row[:-1]) & fine[1:] & fine[:-1])
-                    kept.append((h[use], h[use + 1]))
-                elif len(h) > 2:
-                    pair = joined(h[:-1], h[1:])
-                    fine = passes(let, pair) & (row[1:] == row[:-1])
-                    use = np.flatnonzero(fine[1:] & fine[:-1])
-                    kept.append((pair[use], h[use + 2]))
-                else:
+                if len(h) <= order:
                     continue
+                run = runs_of(h, order)
+                fine = passes(let, run) | (h == END) if order == 1 else passes(let, run)
+                use = np.flatnonzero((row[order:] == row[:-order]) & fine[1:] & fine[:-1])
+                kept.append((run[use], h[use + order]))
                 held += len(use)
                 if held >= BLOCK_PAIRS:
                     yield from block()
@@ -165,20 +170,22 @@ def _keys(df: DataFrame, key: str = "key") -> np.ndarray:
     return np.sort(df.select(key).toArrow().column(key).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def divergent(entries: DataFrame, gain: float, discount: float = DISCOUNT) -> DataFrame:
-    """Adds ``p`` and ``rest`` to the entries of kept contexts.
+def divergent(entries: DataFrame, gain: float, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+    """The entries with ``kept`` and ``p``, and ``context, rest`` of kept contexts.
 
     ``entries`` has ``context, key, c, n`` (of the context) and ``below``, what the
-    shorter suffix predicts; ``rest`` is the mass that a context leaves to it.
+    shorter suffix predicts; ``rest`` is the mass that a context leaves to it, and ``p``
+    what a kept context predicts, or one that isn't kept hands on from ``below``.
     """
     mass = entries.groupBy("context").agg((1 - F.sum(F.col("c") - discount) / F.max("n")).alias("rest"))
     e = entries.join(mass, "context")
-    e = e.withColumn("p", (F.col("c") - discount) / F.col("n") + F.col("rest") * F.col("below"))
+    own = (F.col("c") - discount) / F.col("n") + F.col("rest") * F.col("below")
     others = (F.col("c") - 1 - discount) / F.greatest(F.col("n") - 1, F.lit(1)) + F.col("rest") * F.col("below")
-    e = saved(e.withColumn("won", F.col("c") * F.log(others / F.col("below"))), "tree-entries")
+    e = saved(e.withColumn("own", own).withColumn("won", F.col("c") * F.log(others / F.col("below"))), "tree-entries")
     kept = e.groupBy("context").agg(F.sum("won").alias("won"), F.sum("c").alias("told"), F.max("n").alias("n"), F.max("rest").alias("rest"))
-    kept = kept.filter(F.col("won") + (F.col("n") - F.col("told")) * F.log("rest") >= gain).select("context")
-    return saved(e.join(kept, "context").drop("won"), "tree-kept")
+    kept = saved(kept.filter(F.col("won") + (F.col("n") - F.col("told")) * F.log("rest") >= gain).select("context", "rest"), "tree-kept")
+    e = e.join(kept.select("context", F.lit(True).alias("kept")), "context", "left").withColumn("kept", F.col("kept").isNotNull())
+    return saved(e.withColumn("p", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below"))).drop("own", "won"), "tree-level"), kept
 
 
 @dataclass
@@ -189,42 +196,53 @@ class Tree:
     tokens: int
     distinct: int
     unknown: float  # log10 probability of an unknown word
+    longest: int  # words of the longest context
 
     def base(self, c):
         return F.log10((F.coalesce(c, F.lit(0)) + 1) / F.lit(float(self.tokens + self.distinct + 1)))
 
 
-def fit(documents: DataFrame, min_count: int = MIN_COUNT, gain: float = GAIN) -> Tree:
-    """The tree of all ``text`` of ``documents``; a null text counts as empty, and has one token, its end."""
+def fit(documents: DataFrame, min_count: int = MIN_COUNT, gain: float = GAIN, longest: int | None = 2) -> Tree:
+    """The tree of all ``text`` of ``documents``; a null text counts as empty, and has one token, its end.
+
+    Contexts have at most ``longest`` words; with None they grow until none of a length is kept.
+    """
     documents = documents.select("text")
     words = saved(word_counts(documents), "words")
     n, v, once, twice = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
     hot_from = max(HOT_TOKENS, int(HEAD_SHARE * n))
-    pairs = saved(successors(documents, 1, hash_filter(words.filter(F.col("c") >= min_count), "key"), _keys(words.filter(F.col("c") >= hot_from)), n, min_count), "pairs")
-    triples = saved(successors(documents, 2, hash_filter(pairs, "key"), _keys(pairs.filter(F.col("c") >= hot_from)), n, min_count), "triples")
-
     lost = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
     root = lambda c: (c - F.lit(lost)) / F.lit(float(max(n, 1)))
-    common = words.filter(F.col("c") >= min_count)
-    as_symbol = common.select(F.col("key").alias("symbol"), root(F.col("c")).alias("p_symbol"))
-    entries = pairs.join(as_symbol, "symbol").join(common.select(F.col("key").alias("context"), F.col("c").alias("n")), "context")
-    first = divergent(entries.withColumn("below", F.col("p_symbol")), gain)
-    first_rest = first.groupBy("context").agg(F.max("rest").alias("rest"))
-
-    entries = triples.join(pairs.select(F.col("key").alias("context"), F.col("symbol").alias("middle"), F.col("c").alias("n")), "context").join(as_symbol, "symbol")
-    entries = entries.join(first.select(F.col("context").alias("middle"), "symbol", F.col("p").alias("p_pair")), ["middle", "symbol"], "left")
-    entries = entries.join(first_rest.select(F.col("context").alias("middle"), F.col("rest").alias("r_pair")), "middle", "left")
-    second = divergent(entries.withColumn("below", F.coalesce("p_pair", F.coalesce("r_pair", F.lit(1.0)) * F.col("p_symbol"))), gain)
-    second_rest = second.groupBy("context").agg(F.max("rest").alias("rest"))
-
-    log_rest = lambda df, key: df.select(F.col("context").alias(key), F.log10("rest").alias("log_rest"))
     over = F.log10(F.col("p") / (F.col("rest") * F.col("below")))
     none = F.lit(0.0)
-    values = words.join(log_rest(first_rest, "key"), "key", "left").select(F.lit(WORD).alias("kind"), "key", "c", (F.log10(root(F.col("c"))) + F.coalesce("log_rest", none)).alias("value"))
-    of_pairs = pairs.select("key", "c").join(first.select("key", over.alias("over")), "key", "left").join(log_rest(second_rest, "key"), "key", "left")
-    of_pairs = of_pairs.filter("over is not null or log_rest is not null").select(F.lit(PAIR).alias("kind"), "key", "c", (F.coalesce("over", none) + F.coalesce("log_rest", none)).alias("value"))
-    values = values.unionByName(of_pairs).unionByName(second.select(F.lit(TRIPLE).alias("kind"), "key", "c", over.alias("value")))
-    return Tree(saved(values, "tree-values"), n, v, log10(lost * v / n) if n else 0.0)
+
+    values = []
+    # of each run of words: its count, what predicts its last word, and the run without its first word
+    level = words.filter(F.col("c") >= min_count).select("key", F.lit(0).cast("bigint").alias("context"), F.col("key").alias("symbol"), "c", root(F.col("c")).alias("p"), F.lit(0).cast("bigint").alias("tail"))
+    adds = words.select("key", "c", F.log10(root(F.col("c"))).alias("add"))
+    order = 0
+    while True:
+        if longest is not None and order >= longest:
+            values.append(adds.filter("add is not null").select(F.lit(order).alias("kind"), "key", "c", F.col("add").alias("value")))
+            break
+        pairs = saved(successors(documents, order + 1, hash_filter(level, "key"), _keys(level.filter(F.col("c") >= hot_from)), n, min_count), "runs")
+        about = level.select(F.col("key").alias("context"), F.col("c").alias("n"), (F.col("key") if order == 0 else F.col("tail")).alias("shorter"))
+        entries = pairs.join(about, "context")
+        lower = level.select(F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"), F.col("key").alias("tail"))
+        entries = entries.join(lower.drop("shorter"), "symbol") if order == 0 else entries.join(lower, ["shorter", "symbol"])
+        told, kept = divergent(entries.select("context", "symbol", "key", "c", "n", "below", "tail"), gain)
+        rests = kept.select(F.col("context").alias("key"), F.log10("rest").alias("log_rest"))
+        of_order = adds.join(rests, "key", "left").filter("add is not null or log_rest is not null")
+        values.append(of_order.select(F.lit(order).alias("kind"), "key", "c", (F.coalesce("add", none) + F.coalesce("log_rest", none)).alias("value")))
+        if kept.isEmpty():
+            break
+        adds = told.select("key", "c", F.when(F.col("kept"), over).alias("add"))
+        level = told.select("key", "context", "symbol", "c", "p", "tail")
+        order += 1
+    every = values[0]
+    for more in values[1:]:
+        every = every.unionByName(more)
+    return Tree(saved(every, "tree-values"), n, v, log10(lost * v / n) if n else 0.0, order)
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +277,7 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
     spark = documents.sparkSession
     in_head = F.col("c") >= head_share * tree.tokens
     head, bits = [], []
-    for kind in (WORD, PAIR, TRIPLE):
+    for kind in range(tree.longest + 1):
         own = tree.values.filter(F.col("kind") == kind)
         t = own.filter(in_head).select("key", tree.base(F.col("c")).alias("base"), "value").toArrow()
         key = t.column("key").to_numpy().astype(np.int64).view(np.uint64)
@@ -298,13 +316,12 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
                 base, value, known = sums(1, there), sums(2, there), np.bincount(row[there], minlength=n_rows)
                 kept[True].append((next_row + row[~there], h[~there]))
                 held += len(h) - int(there.sum())
-                same = row[1:] == row[:-1]
-                pair = joined(h[:-1], h[1:])
-                for kind in (PAIR, TRIPLE):
-                    if kind == PAIR:
-                        use, keys = np.flatnonzero(same), pair
-                    else:
-                        use, keys = np.flatnonzero(same[1:] & same[:-1]), joined(pair[:-1], h[2:]) if len(h) > 2 else pair[:0]
+                keys = h
+                for kind in range(1, len(tops)):
+                    if len(h) <= kind:
+                        break
+                    keys = joined(keys[:-1], h[kind:])
+                    use = np.flatnonzero(row[kind:] == row[:-kind])
                     use = use[passes(lets[kind], keys[use])]
                     at, there = _found(tops[kind][0], keys[use])
                     value += np.bincount(row[use[there]], tops[kind][2][at[there]], n_rows)

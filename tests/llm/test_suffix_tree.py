@@ -96,3 +96,67 @@ def test_odd_rows(odd, none):
     assert suffix_tree.score(none, tree).count() == 0
     blank = suffix_tree.score(odd, suffix_tree.fit(none)).collect()
     assert all(r.n_known == 0 and r.score == 0 and r.base_score == 0 for r in blank)
+
+
+def brute_any(train, texts, gain):
+    """Contexts of any length, until none of a length is kept; how many of each are."""
+    seqs = [tokens(t) for t in train]
+    c1 = Counter(w for s in seqs for w in s)
+    n, v = sum(c1.values()), len(c1)
+    once, twice = (sum(x == k for x in c1.values()) for k in (1, 2))
+    lost = min(0.9, max(0.1, once / (once + 2 * twice)))
+    d, levels = suffix_tree.DISCOUNT, []
+
+    def p(context, w):
+        for k in range(min(len(context), len(levels)), 0, -1):
+            state = levels[k - 1].get(context[-k:])
+            if state:
+                return state[1].get(w, 0) + state[0] * p(context[len(context) - k + 1 :], w)
+        return (c1[w] - lost) / n if c1[w] else lost * v / n
+
+    while not levels or levels[-1]:
+        k = len(levels) + 1
+        by = defaultdict(Counter)
+        for s in seqs:
+            for i in range(k, len(s)):
+                by[tuple(s[i - k : i])][s[i]] += 1
+        kept = {}
+        for context, nxt in by.items():
+            size, nxt = sum(nxt.values()), {w: c for w, c in nxt.items() if c >= 2}
+            if nxt:
+                rest = 1 - sum(c - d for c in nxt.values()) / size
+                below = {w: p(context[1:], w) for w in nxt}
+                won = sum(c * math.log(((c - 1 - d) / (size - 1) + rest * below[w]) / below[w]) for w, c in nxt.items())
+                if won + (size - sum(nxt.values())) * math.log(rest) >= gain:
+                    kept[context] = (rest, {w: (c - d) / size for w, c in nxt.items()})
+        levels.append(kept)
+    scores = [sum(math.log10(p(tuple(s[:i]), w)) for i, w in enumerate(s)) for s in map(tokens, texts)]
+    return scores, [len(x) for x in levels[:-1]]
+
+
+@pytest.mark.parametrize("share", [suffix_tree.HEAD_SHARE, 2.0])
+def test_contexts_of_any_length(spark, share):
+    """Words that hang on the four before them, and a pair seen twice, are in the tree."""
+    r = random.Random(3)
+    follows = {}
+    texts = []
+    for _ in range(20):
+        said = ["a", "b", "c", "a"]
+        for _ in range(300):
+            said.append(follows.setdefault(tuple(said[-4:]), r.choice("abc")) if r.random() < 0.9 else r.choice("abc"))
+        texts.append(" ".join(said))
+    texts += ["once rare pair", "twice rare pair", *(prose(k, 40) for k in range(20)), None, ""]
+    tree = suffix_tree.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), longest=None)
+    unseen = [*texts, "rare pair of a b c a b", "q a b c c a b"]
+    want, kept = brute_any(texts, unseen, suffix_tree.GAIN)
+    assert tree.longest == len(kept) >= 4
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(list(enumerate(unseen)), "doc_id bigint, text string"), tree, share).collect()}
+    assert all(math.isclose(got[i], w, rel_tol=1e-9) for i, w in enumerate(want))
+
+
+def test_two_occurrences_are_enough(spark):
+    """A context seen twice with one rare follower gains over GAIN, and is kept."""
+    texts = [prose(k, 60) for k in range(100)] + ["qqq zzz", "qqq zzz"]
+    tree = suffix_tree.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    score = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame([(1, "qqq zzz"), (2, "zzz qqq")], "doc_id bigint, text string"), tree).collect()}
+    assert score[1] > score[2] + 2
