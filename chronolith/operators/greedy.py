@@ -88,27 +88,22 @@ def drop_same_screens(moments: DataFrame, delta: float, same: float = SAME_SCREE
     that counts); what is kept comes with ``replaced``, how many it took the place of.
     """
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        kept, replaced = [], []
-        pixels, reason = rows["pixels"].to_list(), rows["reason"].to_list()
-        mask = np.array(rows["seen"].iloc[0], bool)
-        mask = mask if mask.any() else ~mask
-        for k in range(len(rows)):
-            if kept and "grid" not in (reason[k], reason[kept[-1]]):
-                far = np.abs(np.asarray(pixels[k], float) - np.asarray(pixels[kept[-1]], float)) > delta
-                if far[mask].mean() <= same:
-                    kept[-1] = k
-                    replaced[-1] += 1
-                    continue
-            kept.append(k)
-            replaced.append(0)
-        out = rows.iloc[kept][["series", "t", "reason", "change"]].copy()
-        out["replaced"] = np.array(replaced, np.int64)
-        return out
-
-    kind = moments.schema["series"].dataType.simpleString()
-    return moments.groupBy("series").applyInPandas(choose, f"series {kind}, t bigint, reason string, change double, replaced bigint")
+    order = Window.partitionBy("series").orderBy("t", "reason", "change")
+    # what is kept last is always the row before: that one either was appended or took the last one's place
+    rows = moments.withColumn("before_", F.lag("pixels").over(order)).withColumn("grid_", (F.col("reason") == "grid") | (F.lag("reason").over(order) == "grid"))
+    rows = rows.withColumn("mask_", F.first("seen").over(order)).withColumn("mask_", F.when(F.exists("mask_", lambda m: m), F.col("mask_")).otherwise(F.transform("mask_", lambda m: F.lit(True))))
+
+    def differs(x, y):
+        far = F.abs(x.cast("double") - y.cast("double"))
+        return F.coalesce((far > delta) & ~F.isnan(far), F.lit(False))
+
+    far = F.zip_with(F.zip_with("pixels", "before_", differs), "mask_", lambda d, m: d & m)
+    share = F.size(F.filter(far, lambda x: x)) / F.size(F.filter("mask_", lambda m: m))
+    new = F.col("before_").isNull() | F.col("grid_") | (share > same)
+    rows = rows.select("series", "t", "reason", "change", F.when(new, 1).otherwise(0).alias("new_"))
+    rows = rows.withColumn("screen_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    of_screen = rows.groupBy("series", "screen_").agg(F.max(F.struct("t", "reason", "change")).alias("last"), (F.count(F.lit(1)) - 1).alias("replaced"))
+    return of_screen.select("series", "last.t", "last.reason", "last.change", "replaced")
 
 
 def cue_anchors(cues: DataFrame, moments: DataFrame, tolerance: int) -> DataFrame:

@@ -112,6 +112,32 @@ def test_drop_same_screens(spark):
     assert [x.t for x in got] == [x[1] for x in kept] and sum(x.replaced for x in got) == dropped > 0
 
 
+def test_same_screens_without_a_task_for_a_series(spark):
+    """Many series, masks with nothing set and pixels that are no number; no series is gathered in one frame."""
+    import numpy as np
+
+    r = random.Random(12)
+    rows = []
+    for s in range(6):
+        seen = [False] * 4 if s % 3 == 0 else [True, True, False, True]
+        for k in range(40):
+            rows.append((s, k * 10, r.choice(["change", "cue", "change", "grid"]), r.random(), [r.choice([0.0, 0.0, 1.0, float("nan")]) for _ in range(4)], seen))
+    want = []
+    for s in range(6):
+        kept = []
+        for x in (x for x in rows if x[0] == s):
+            mask = np.array(x[5]) if any(x[5]) else np.ones(4, bool)
+            if kept and "grid" not in (x[2], kept[-1][0][2]) and (np.abs(np.array(x[4]) - np.array(kept[-1][0][4])) > 0.5)[mask].mean() <= 0.34:
+                kept[-1] = (x, kept[-1][1] + 1)
+            else:
+                kept.append((x, 0))
+        want += [(x[0], x[1], x[2], x[3], n) for x, n in kept]
+    df = spark.createDataFrame(rows, "series bigint, t bigint, reason string, change double, pixels array<double>, seen array<boolean>")
+    got = greedy.drop_same_screens(df.repartition(4), 0.5, 0.34)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(n for *_, n in want)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_cue_anchors(spark):
     r = random.Random(6)
     moments = sorted(r.sample(range(100_000), 12))
