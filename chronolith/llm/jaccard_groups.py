@@ -3,19 +3,24 @@
 A document is its set of distinct word shingles, hashed to 64 bits. Documents with the
 same set (by size and two independent 64-bit sums) are one class and one query.
 
-1. Similar classes are put in groups: classes that share a band of min-hashes are
-   compared with the smallest id of that band, exactly, and join it if they link.
-   Groups only save work; links between groups are all found below.
-2. The matrix holds, for every shingle and group, whether a member has it among its
-   leading shingles in a fixed order of all shingles (rare ones by hash first, then
-   the ones that are dense in some stretch of the input). A set of n shingles with a
+1. Classes that share a band of min-hashes are one group, linked or not. Its head is the
+   one that meets most others in its bands, so the one nearest to what the group has in
+   common; members that link with a head of their bands are connected from here on.
+2. Inside a group, members are told apart by their difference from the shingles that
+   most members have. If two differences together are small enough, both members link
+   with the member of the smallest one; if not, linked members have some of their
+   differing shingles in common, which are few and rare. So only these are joined.
+3. Between groups (from here on the connected members of one), the matrix holds, for every
+   shingle and group, whether a member has it among its leading shingles in a fixed order
+   of all shingles (rare ones by hash first, then dense ones). A set of n shingles with a
    partner at ratio r keeps n - ceil(r n) + l leading ones, l = floor(n / 10) + 1; two
    linked sets have at least as many leading ones in common as ``least_leading`` says.
-   That bounds what a query and any member of a group can share.
-3. Only (query, group) cells that reach the bound are opened, and the query is compared
+   At most as many of them are dense (in ``MANY`` sets or more) as either has dense ones.
+   So where that is too few, a rare one is in common, and rare ones alone are joined.
+4. Only (query, group) cells that reach the bound are opened, and the query is compared
    with the members, by whole sets. What is connected already needs no comparison: a
-   group's members are linked with its head, so the head is compared first, and the
-   others only where query and group are still apart.
+   group's head is compared first, and the others only where query and group are still
+   apart.
 
 The order of shingles never changes what is found: it only keeps shingles of common
 passages out of the matrix. No pairs inside a group are made, and a group's common
@@ -25,10 +30,11 @@ shingles are one cell, however many members have them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import hash_filter, passes, saved
@@ -39,8 +45,9 @@ WIDTH = 5
 BANDS = 4
 #: shingles of one block in which dense ones are looked for
 BLOCK = 2 << 20
-#: at most 2**DENSE_BITS shingles are dense: each is over that share of all
-DENSE_BITS = 20
+#: a shingle is dense in so many sets; it comes last in the order if it is met so often in blocks that have it SEEN times
+MANY = 16
+SEEN = 3
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -108,11 +115,11 @@ def sketches(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n, s1, s2, bands, dense``: dense lists (shingle, count) of a block in its last row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def dense(kept: list[np.ndarray], seen: int) -> list[tuple[int, int]]:
+    def dense(kept: list[np.ndarray]) -> list[tuple[int, int]]:
         if not kept:
             return []
         found, n = np.unique(np.concatenate(kept), return_counts=True)
-        many = n >= max(8, seen // 512)
+        many = n >= SEEN
         return list(zip(found[many].view(np.int64).tolist(), n[many].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +140,11 @@ def sketches(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                         kept.append(s)
                         held += len(s)
                         if held >= BLOCK:
-                            found = dense(kept, len(kept))
+                            found = dense(kept)
                             kept, held, known = [], 0, set()
                     values.append((len(s), one, two, bands, found))
                 yield rows(part.column("doc_id"), values)
-        if found := dense(kept, len(kept)):
+        if found := dense(kept):
             null = pa.nulls(1, pa.int64())
             yield rows(null.cast(pa.string()) if kind == "string" else null.cast({"int": pa.int32()}.get(kind, pa.int64())), [(None, None, None, None, found)])
 
@@ -145,7 +152,7 @@ def sketches(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def leading(documents: DataFrame, dense: np.ndarray, num: int, den: int, width: int) -> DataFrame:
-    """``s1, token``: the leading shingles of every set."""
+    """``s1, token``: the leading shingles of every set; those that pass the filter ``dense`` come last."""
     sent = documents.sparkSession.sparkContext.broadcast(dense)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +170,8 @@ def leading(documents: DataFrame, dense: np.ndarray, num: int, den: int, width:
                     known.add(one)
                     n = len(s)
                     p = min(n, n - least_common(n, num, den) + spare(n))
-                    if len(common):
-                        at = np.searchsorted(common, s)
-                        is_dense = common[np.minimum(at, len(common) - 1)] == s
-                        s = np.concatenate([s[~is_dense], s[is_dense]])[:p] if is_dense.any() else s[:p]
-                    else:
-                        s = s[:p]
+                    is_dense = passes(common, s)
+                    s = np.concatenate([s[~is_dense], s[is_dense]])[:p]
                     of.append(np.full(p, one, np.int64))
                     tokens.append(s)
                 if of:
@@ -177,35 +180,36 @@ def leading(documents: DataFrame, dense: np.ndarray, num: int, den: int, width:
     return documents.select("text").mapInArrow(run, "s1 bigint, token bigint")
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """Of (s1, token) rows those of tokens that two or more sets have, once each.
+def shared_only(rows: DataFrame, many: int = MANY) -> DataFrame:
+    """Of (s1, token) rows those of tokens that two or more sets have, once each; ``dense`` if ``many`` have it.
 
     Rows are dealt and sorted by token, and runs are read as a stream: what is held
-    is the batch and the last row.
+    is the batch and the rows of its last token, or one of them if that is dense.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token, last_of, told = None, None, True
-        for batch in batches:
-            t, s = batch.column("token").to_numpy(), batch.column("s1").to_numpy()
+        t = s = np.zeros(0, np.int64)
+        told = False  # the first row is held of a dense token and was told
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                t, s = np.concatenate([t, batch.column("token").to_numpy()]), np.concatenate([s, batch.column("s1").to_numpy()])
             if not len(t):
                 continue
-            if last_token is not None:
-                t, s = np.concatenate([[last_token], t]), np.concatenate([[last_of], s])
-            fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
-            same = np.concatenate([[False], t[1:] == t[:-1]]) & fresh  # another set with the token before
-            at = np.flatnonzero(fresh)
-            follows = same[at]
-            opens = np.concatenate([follows[1:], [False]]) if len(at) else follows
-            mark = follows | opens
-            if last_token is not None and len(at) and told:
-                mark[0] = False  # already told in the batch before
-            out = at[mark]
-            told_last = bool(mark[-1]) if len(at) > 1 or last_token is None else (told or bool(mark[-1]))
-            last_token, last_of, told = t[-1], s[-1], told_last
-            yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(t[out])], names=["s1", "token"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(run, "s1 bigint, token bigint")
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
+            t, s = t[new], s[new]
+            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.append(start, len(t)))
+            dense = size >= many
+            dense[0] |= told
+            out = np.repeat(dense | (size > 1), size)
+            out[0] &= not told
+            if batch is not None and not dense[-1]:  # its token may go on
+                out[start[-1] :] = False
+            yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(t[out]), pa.array(np.repeat(dense, size)[out])], names=["s1", "token", "dense"])
+            told = bool(dense[-1])
+            t, s = (t[-1:], s[-1:]) if told else (t[start[-1] :], s[start[-1] :])
+
+    return rows.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(run, "s1 bigint, token bigint, dense boolean")
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -258,6 +262,71 @@ def _placed(df: DataFrame, part: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _side(df: DataFrame, p: str, key: list[str]) -> DataFrame:
+    return df.select(*key, *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in key])
+
+
+def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
+    return components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
+def stars(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of a class and a head of one of its bands, and ``rep, g``: the group of each class that has a pair.
+
+    The head of a band is the class that meets most classes in all its bands together.
+    A class goes to the greatest of its heads, and with it to that one's own.
+    """
+    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    crowd = saved(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "band"), "bands")
+    crowd = crowd.join(crowd.groupBy("rep").agg(F.sum("c").alias("met")), "rep")
+    heads = crowd.groupBy("band").agg(F.max(F.struct("met", "rep", "n")).alias("head"))
+    near = (F.col("head.n") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("head.n") * den)
+    pairs = saved(crowd.join(heads, "band").filter((F.col("rep") != F.col("head.rep")) & near).select("rep", "met", "head").distinct(), "stars")
+    up = pairs.groupBy("rep").agg(F.max(F.struct("met", "rep")).alias("own"), F.max(F.struct("head.met", "head.rep")).alias("top")).select("rep", F.greatest("own", "top")["rep"].alias("g"))
+    up = saved(up, "groups-of")
+    far = up.join(up.select(F.col("rep").alias("g"), F.col("g").alias("g2")), "g", "left").select("rep", F.coalesce("g2", "g").alias("g"))
+    return pairs.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")), far
+
+
+def inside(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that connect all linked ones of a group, and some that don't link.
+
+    ``members`` has ``g, rep, n, k`` (the component). With e shingles of difference from what most of
+    a group have, two members whose e together are at most (den - num) / (den + num) of
+    their sizes link, both with the member of the least e (den + num) - n (den - num).
+    All other linked ones have at least half of what is over that in common.
+    """
+    of_g = members.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "k"))["k"].alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("parts"))
+    m = saved(members.join(of_g.filter("parts > 1"), "g").join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "inside")
+    most = m.select("g", "members", F.explode("tokens").alias("token")).groupBy("g", "members", "token").count().filter(2 * F.col("count") > F.col("members")).groupBy("g").agg(F.collect_list("token").alias("most"))
+    most = F.coalesce("most", F.array().cast("array<bigint>")), most
+    apart = m.join(most[1], "g", "left").select("g", "rep", "n", "k", "main", F.concat(F.array_except("tokens", most[0]), F.array_except(most[0], "tokens")).alias("odd"))
+    apart = saved(apart.withColumn("f", F.size("odd") * (den + num) - F.col("n") * (den - num)), "apart")
+    least = apart.groupBy("g").agg(F.min(F.struct("f", "rep", "k")).alias("low"))
+    auto = apart.join(least, "g").filter((F.col("k") != F.col("low.k")) & (F.col("f") + F.col("low.f") <= 0)).select(F.col("rep").alias("a"), F.col("low.rep").alias("b"))
+    cells = apart.withColumn("token", F.explode("odd")).drop("odd")
+    one, two = _side(cells.filter("k <> main").drop("main"), "q_", ["g", "token"]), _side(cells, "m_", ["g", "token"])
+    once = (F.col("m_k") == F.col("m_main")) | (F.col("q_rep") < F.col("m_rep"))
+    sized = (F.col("q_n") * den >= F.col("m_n") * num) & (F.col("m_n") * den >= F.col("q_n") * num)
+    met = one.join(two, ["g", "token"]).filter((F.col("q_k") != F.col("m_k")) & once & sized & (F.col("q_f") + F.col("m_f") > 0))
+    met = met.groupBy("q_rep", "m_rep").agg(F.count(F.lit(1)).alias("common"), F.first(F.col("q_f") + F.col("m_f")).alias("over")).filter(2 * (den + num) * F.col("common") >= F.col("over"))
+    return auto.unionByName(met.select(F.col("q_rep").alias("a"), F.col("m_rep").alias("b")))
+
+
+def asked(cells: DataFrame, num: int, den: int) -> tuple[DataFrame, Column, Column]:
+    """Rows (query, group, shingle) that can count, how many a query and group need in common, and how many dense ones they can have."""
+    matrix = cells.groupBy("token", "gk").agg(*[F.first(c).alias(c) for c in ("g", "k", "members", "low", "high", "most")])
+    # the smaller group asks the larger one; every pair of groups once
+    order = (F.col("q_members") < F.col("m_members")) | ((F.col("q_members") == F.col("m_members")) & (F.col("q_gk") < F.col("m_gk")))
+    sized = (F.col("q_n") * den >= F.col("m_low") * num) & (F.col("m_high") * den >= F.col("q_n") * num)
+    # of members of sizes low to high one at either end needs least; between them rounding can take two off
+    needed = F.least(least_leading(F.col("q_n"), F.col("m_low"), num, den), least_leading(F.col("q_n"), F.col("m_high"), num, den)) - F.when(F.col("m_low") == F.col("m_high"), 0).otherwise(2)
+    common_dense = F.least("q_dl", "m_most")
+    apart = (F.col("q_k") != F.col("m_k")) & (F.col("q_g") != F.col("m_g"))
+    met = _side(cells.select("token", "rep", "n", "dl", "dense", "g", "k", "gk", "members"), "q_", ["token"]).join(_side(matrix, "m_", ["token"]), "token")
+    return met.filter(apart & order & sized & (~F.col("q_dense") | (needed <= common_dense))), needed, common_dense
+
+
 def jaccard_components(documents: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
@@ -267,61 +336,53 @@ def jaccard_components(documents: DataFrame, num: int = NUM, den: int = DEN, wid
     Columns other than ``doc_id`` and ``text`` are ignored.
     """
     documents = documents.select("doc_id", "text")
-    spark = documents.sparkSession
     all_rows = saved(sketches(documents, width), "sketches")
     docs = all_rows.filter("n is not null").select("doc_id", "n", "s1", "s2", "bands")
-    total = docs.agg(F.sum("n")).first()[0] or 0
-    dense = (
-        all_rows.filter("dense is not null").select(F.explode("dense").alias("d")).groupBy("d.token").agg(F.sum("d.count").alias("count"))
-        .filter(F.col("count") >= max(16, total >> DENSE_BITS)).select("token").toArrow().column("token").to_numpy()
-    )
-    dense = np.sort(dense.view(np.uint64))
-
-    # classes of equal sets
+    often = all_rows.filter("dense is not null").select(F.explode("dense").alias("d")).groupBy("d.token").agg(F.sum("d.count").alias("count")).filter(F.col("count") >= MANY)
+    dense = hash_filter(often, "token")
+
+    # classes of equal sets, and which of them one id joins
     named = docs.filter("doc_id is not null and n > 0")
     classes = saved(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    member = named.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    # 1. groups around the smallest of each band
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", F.col("head.rep").alias("b"), F.col("head.n").alias("bn"))
-    near = (F.col("bn") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("bn") * den)
-    stars = saved(banded.join(heads, "band").filter((F.col("rep") != F.col("b")) & near).select(F.col("rep").alias("a"), "b").distinct(), "stars")
-    star_ids = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id")))
-    star_sets = saved(sets_of(documents, star_ids, width), "star-sets")
-    star_links = saved(linked(stars, star_sets, num, den), "star-links")
-    head_of = star_links.groupBy("a").agg(F.min("b").alias("g"))
-    up = head_of.join(head_of.select(F.col("a").alias("g"), F.col("g").alias("g2")), "g", "left").select(F.col("a").alias("rep"), F.coalesce("g2", "g").alias("g"))
-    edges = member.unionByName(star_links)
-    part = components(edges)
-    grouped = _placed(classes.select("rep", "n", "s1").join(up, "rep", "left").withColumn("g", F.coalesce("g", "rep")), part, "rep", "k")
-    weight = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    grouped = saved(grouped.join(weight, "g"), "groups")
-
-    # 2. the matrix, and the bound
-    cells = saved(shared_only(leading(documents, dense, num, den, width)).join(grouped, "s1").select("token", "rep", "n", "g", "k", "members"), "cells")
-    matrix = cells.groupBy("token", "g").agg(F.first("k").alias("k"), F.first("members").alias("members"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    side = lambda df, p: df.select("token", *[F.col(c).alias(f"{p}{c}") for c in df.columns if c != "token"])
-    # the smaller group asks the larger one; every pair of groups once
-    order = (F.col("q_members") < F.col("m_members")) | ((F.col("q_members") == F.col("m_members")) & (F.col("q_g") < F.col("m_g")))
-    sized = (F.col("q_n") * den >= F.col("m_n_low") * num) & (F.col("m_n_high") * den >= F.col("q_n") * num)
-    met = side(cells, "q_").join(side(matrix, "m_"), "token").filter((F.col("q_k") != F.col("m_k")) & order & sized)
-    cand = met.groupBy("q_rep", "q_n", "m_g").agg(F.count(F.lit(1)).alias("common"), F.min("m_n_low").alias("low"), F.max("m_n_high").alias("high"))
-    # of members of sizes low to high one at either end needs least; between them rounding can take two off
-    needed = F.least(least_leading(F.col("q_n"), F.col("low"), num, den), least_leading(F.col("q_n"), F.col("high"), num, den)) - F.when(F.col("low") == F.col("high"), 0).otherwise(2)
-    cand = saved(cand.filter(F.col("common") >= needed).select("q_rep", "q_n", "m_g"), "opened")
-
-    # 3. open groups that reach it: the head first, then, where that joined nothing, the others
-    inside = grouped.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("g").alias("m_g"))
-    sets, heads_only = star_sets, F.col("b") == F.col("m_g")
+    placed = saved(docs.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "placed")
+    of_id = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high"), F.min("n").alias("few")).filter("b <> high or few = 0")
+    twins = saved(placed.join(of_id, "doc_id").filter("b is not null").select("doc_id", "rep", "b").distinct(), "twins")
+
+    # 1. groups, and who links with a head
+    pairs, group_of = stars(classes, num, den)
+    star_ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    sets = saved(sets_of(documents, star_ids, width), "star-sets")
+    part = components(saved(linked(pairs, sets, num, den).unionByName(twins.filter("rep <> b").select(F.col("rep").alias("a"), "b")), "star-links"))
+    grouped = classes.select("rep", "n", "s1").join(group_of, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
+
+    # 2. inside a group
+    near = saved(inside(_placed(grouped, part, "rep", "k").select("g", "rep", "n", "k"), sets, num, den), "near")
+    part = _merged(part, saved(linked(near, sets, num, den), "near-links"))
+
+    # 3. the matrix of leading shingles and connected members of a group, and the bound
+    shared = saved(shared_only(leading(documents, dense, num, den, width)), "shared")
+    own = shared.groupBy("s1").agg(F.count_if("dense").alias("dl"))
+    grouped = saved(_placed(grouped, part, "rep", "k").join(own, "s1", "left").fillna(0, ["dl"]), "groups")
+    bounds = grouped.groupBy("g", "k").agg(F.min("rep").alias("gk"), F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("dl").alias("most"))
+    grouped = saved(grouped.join(bounds, ["g", "k"]), "bounded-groups")
+    met, needed, common_dense = asked(saved(shared.join(grouped, "s1").drop("s1"), "cells"), num, den)
+    cand = met.groupBy("q_rep", "q_n", "m_gk").agg(F.count(F.lit(1)).alias("common"), F.first(needed - F.when(needed > common_dense, common_dense).otherwise(0)).alias("needed"))
+    cand = saved(cand.filter(F.col("common") >= F.col("needed")).select("q_rep", "q_n", "m_gk"), "opened")
+
+    # 4. open groups that reach it: the head first, then, where that joined nothing, the others
+    members = grouped.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("gk").alias("m_gk"))
+    heads_only = F.col("b") == F.col("m_gk")
     for which in (heads_only, ~heads_only):
-        cand = _placed(_placed(cand, part, "q_rep", "q_k"), part, "m_g", "m_k").filter("q_k <> m_k").select("q_rep", "q_n", "m_g")
-        pairs = cand.join(inside.filter(which), "m_g").filter((F.col("q_n") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("q_n") * num))
+        cand = _placed(_placed(cand, part, "q_rep", "q_k"), part, "m_gk", "m_k").filter("q_k <> m_k").select("q_rep", "q_n", "m_gk")
+        pairs = cand.join(members.filter(which), "m_gk").filter((F.col("q_n") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("q_n") * num))
         pairs = saved(pairs.select(F.col("q_rep").alias("a"), "b"), "pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         more = ids.join(sets.select("doc_id"), "doc_id", "left_anti")
         sets = sets.unionByName(saved(sets_of(documents, more, width), "more-sets"))
-        links = saved(linked(pairs, sets, num, den), "links")
-        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        part = _merged(part, saved(linked(pairs, sets, num, den), "links"))
 
-    return docs.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # a row without words is its id's, whatever other rows have that
+    empty = F.col("n") == 0
+    others = placed.filter(empty).drop("rep").join(twins.select("doc_id", F.col("b").alias("rep")).distinct(), "doc_id", "left").select("doc_id", "n", "rep")
+    placed = placed.filter(~empty).unionByName(others)
+    return placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

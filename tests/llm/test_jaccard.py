@@ -3,6 +3,7 @@
 import random
 import re
 
+from chronolith.llm import jaccard_groups
 from chronolith.llm.jaccard_groups import jaccard_components
 
 from .conftest import SCHEMA, prose
@@ -67,3 +68,63 @@ def test_odd_rows(spark, odd, none):
     assert got[got.doc_id.isna()].component_id.isna().all()
     assert jaccard_components(none).count() == 0
     assert jaccard_components(spark.createDataFrame([(1, None)], SCHEMA.split(", lang")[0])).collect()[0].component_id == 1
+    twice = spark.createDataFrame([(9, "one two three"), (3, "one two three"), (9, ""), (8, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(twice).collect()) == [(3, 1, 3), (8, 0, 8), (9, 0, 3), (9, 1, 3)]
+
+
+def _counted(spark, monkeypatch, texts):
+    """Components, and the rows of the two joins on shingles: between groups and inside one."""
+    n = {}
+    asked, side = jaccard_groups.asked, jaccard_groups.inside
+
+    def count_asked(cells, num, den):
+        out = asked(cells, num, den)
+        n["asked"] = out[0].count()
+        return out
+
+    def count_inside(*args):
+        out = side(*args)
+        n["inside"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_groups, "asked", count_asked)
+    monkeypatch.setattr(jaccard_groups, "inside", count_inside)
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5))
+    return {r.doc_id: r.component_id for r in got.collect()}, n
+
+
+def test_a_passage_in_all_documents_makes_no_pairs(spark, monkeypatch):
+    passage = prose(5, 60)
+    texts = [prose(10_000 + k, 20) + " " + passage + " " + prose(20_000 + k, 20) for k in range(2000)]
+    got, n = _counted(spark, monkeypatch, texts)
+    assert got == {i: i for i in range(2000)}
+    assert n["asked"] + n["inside"] < 20_000
+
+
+def test_edited_copies_of_one_base_that_mostly_do_not_link(spark, monkeypatch):
+    r = random.Random(8)
+    base = prose(6, 100)
+    texts = [edited(base, r, r.choice([0.01, 0.02, 0.03, 0.04, 0.05])) for _ in range(2000)]
+    got, n = _counted(spark, monkeypatch, texts)
+    assert got == brute_fast(texts)
+    assert n["asked"] + n["inside"] < 100_000
+
+
+def brute_fast(texts):
+    """Components of all links, with sets as bits."""
+    import numpy as np
+
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split(" ") for t in texts)]
+    place = {s: i for i, s in enumerate(set().union(*sets))}
+    common = np.zeros((len(texts), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        common[i, [place[x] for x in s]] = 1
+    n = common.sum(1)
+    common = common @ common.T
+    near = 100 * common >= 80 * (n[:, None] + n[None] - common)
+    low = np.arange(len(texts))
+    while True:
+        new = np.array([low[row].min() for row in near])
+        if (new == low).all():
+            return dict(enumerate(low.tolist()))
+        low = new
