@@ -9,7 +9,8 @@ same set (by size and two independent 64-bit sums) are one class and one query.
 2. Inside a group, members are told apart by their difference from the shingles that
    most members have. If two differences together are small enough, both members link
    with the member of the smallest one; if not, linked members have some of their
-   differing shingles in common, which are few and rare. So only these are joined.
+   differing shingles in common. Only these are joined, and of those that many members
+   have only where the rare ones might not tell (as in 3).
 3. Between groups (from here on the connected members of one), the matrix holds, for every
    shingle and group, whether a member has it among its leading shingles in a fixed order
    of all shingles (rare ones by hash first, then dense ones). A set of n shingles with a
@@ -305,11 +306,16 @@ def inside(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     least = apart.groupBy("g").agg(F.min(F.struct("f", "rep", "k")).alias("low"))
     auto = apart.join(least, "g").filter((F.col("k") != F.col("low.k")) & (F.col("f") + F.col("low.f") <= 0)).select(F.col("rep").alias("a"), F.col("low.rep").alias("b"))
     cells = apart.withColumn("token", F.explode("odd")).drop("odd")
+    often = cells.groupBy("g", "token").count().filter(F.col("count") >= MANY).select("g", "token", F.lit(True).alias("dense"))
+    cells = saved(cells.join(often, ["g", "token"], "left").fillna(False, ["dense"]), "odd-cells")
+    cells = cells.join(cells.groupBy("rep").agg(F.count_if("dense").alias("d")), "rep")
     one, two = _side(cells.filter("k <> main").drop("main"), "q_", ["g", "token"]), _side(cells, "m_", ["g", "token"])
     once = (F.col("m_k") == F.col("m_main")) | (F.col("q_rep") < F.col("m_rep"))
     sized = (F.col("q_n") * den >= F.col("m_n") * num) & (F.col("m_n") * den >= F.col("q_n") * num)
-    met = one.join(two, ["g", "token"]).filter((F.col("q_k") != F.col("m_k")) & once & sized & (F.col("q_f") + F.col("m_f") > 0))
-    met = met.groupBy("q_rep", "m_rep").agg(F.count(F.lit(1)).alias("common"), F.first(F.col("q_f") + F.col("m_f")).alias("over")).filter(2 * (den + num) * F.col("common") >= F.col("over"))
+    over = F.col("q_f") + F.col("m_f")
+    needed, common_dense = F.ceil(over / (2 * (den + num))), F.least("q_d", "m_d")
+    met = one.join(two, ["g", "token"]).filter((F.col("q_k") != F.col("m_k")) & once & sized & (over > 0) & (~F.col("q_dense") | (needed <= common_dense)))
+    met = met.groupBy("q_rep", "m_rep").agg(F.count(F.lit(1)).alias("common"), F.first(needed - F.when(needed > common_dense, common_dense).otherwise(0)).alias("needed")).filter("common >= needed")
     return auto.unionByName(met.select(F.col("q_rep").alias("a"), F.col("m_rep").alias("b")))
 
 
