@@ -1,81 +1,94 @@
 """Language-model scores from a probabilistic suffix tree over words (op10).
 
-A state of the tree is a context of any number of words. A context is kept if the
-words that follow it diverge enough from what its shorter suffix predicts: the
+The tree's alphabet has the most frequent words, at most ``2**bits``, the end of a text,
+its start (in contexts only), and one class for all other words, which are told apart by
+their own frequency. A state of the tree is a context of up to ``depth`` symbols. A context
+is kept if what follows it diverges enough from what its shorter suffix predicts: the
 log-likelihood that it gains, with each occurrence judged by the others, has to reach
-``GAIN``. Nothing else decides: what was seen once has no other occurrence that could
-judge it, and contexts grow by a word as long as any of the last length is kept. A word is scored in the longest kept context that precedes it, smoothed by
-absolute discounting down to the root; the root keeps the mass of once-seen words for
-unknown ones.
-
-The tree grows with the corpus and is never held in one place. Words are counted in a
-shuffle; (context, next word) pairs go to buckets as packed arrays, one length of contexts after
-the other, and only those seen ``MIN_COUNT`` times or more come out as rows. A text's
-log-probability is a sum of one value for each word and each run of words of it, up to
-the longest in the tree, so scoring is a join of keys with values. Values of keys with a share of at least ``HEAD_SHARE`` of all tokens, which
-are at most ``1 / HEAD_SHARE`` a length, are broadcast; so no hot key is shuffled. All
-others meet their values in buckets of packed keys. Words are told apart by 64-bit hashes.
+``GAIN``. Nothing else decides: what was seen once has no other occurrence that could judge
+it, and gains nothing. A token is scored in the longest kept context before it, smoothed by
+absolute discounting down to the root. What the root takes from all words is shared by as
+many unknown words as get half of what a word seen once has, or all of it if that is less;
+so an unknown word is always rarer than any known one in its place.
+
+The alphabet bounds what is sent to all tasks and how many symbols can follow a context;
+the tree itself grows with the corpus and is never held in one place. A run of depth + 1
+symbols is one 64-bit number. Runs are counted in blocks, packed, and dealt by context to
+buckets (a frequent context's by whole run); those seen twice or more come out as rows, and
+the rest are joins and windows by context. A text's log-probability is a sum of one value
+for each token and each run of it, so scoring looks up keys: the most frequent ones, of
+which at most ``1 / HEAD_SHARE`` a length can be, in a broadcast, others in buckets of packed
+keys, and only after contexts that are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import log10
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import hash_filter, passes, saved
-from .textarrays import GRAM_KEYS, mix, slices, words_of
+from .textarrays import mix, slices, words_of
 
-MIN_COUNT = 2
 GAIN = 12.0
 DISCOUNT = 0.75
-HEAD_SHARE = 2e-7
-#: words, and pairs, that are gathered before a task sends them, and pairs that a bucket is meant to get
+#: symbols of the longest context; a run of depth + 1 symbols has 64 bits, so deeper trees have a smaller alphabet
+DEPTH = 3
+MOST_BITS = 16
+#: codes: a word outside the alphabet, the start, the end, and the first word; 0 is none
+RARE, START, STOP, FIRST = 1, 2, 3, 4
+#: keys of so large a share of all tokens are sent to all tasks
+HEAD_SHARE = 2e-6
+#: tokens that are counted before a task sends them, and that a bucket is meant to get
 BLOCK_TOKENS = 2_000_000
-BLOCK_PAIRS = 1_000_000
 BUCKET_TOKENS = 500_000
 #: rarer keys that a scoring task gathers before it asks, and bytes of text whose rarer keys a bucket answers
-BLOCK_ASKS = 500_000
+BLOCK_ASKS = 1_000_000
 BUCKET_BYTES = 30 << 20
 #: a context with so many occurrences (and a head's share) is dealt to all buckets
 HOT_TOKENS = 250_000
 #: stands behind each text's last word
 END = np.uint64(0x656E64206F662074)
-#: kind of a value: how many words the context has
-WORD = 0
+#: steps of counts in an octave, by which the alphabet is cut
+STEPS = 16
 
 
-def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Key of a context with the word behind it."""
-    return mix(context * GRAM_KEYS[0] + symbol * GRAM_KEYS[1])
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token, ends included, its row, and its place in the row."""
+    w = words_of(texts)
+    size = np.diff(w.first) + 1
+    first = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    return np.insert(w.hash, w.first[1:], END), row, np.arange(len(row)) - first[row]
 
 
-def runs_of(h: np.ndarray, length: int) -> np.ndarray:
-    """Key of the ``length`` words from each place on, whatever their row."""
-    run = h
-    for k in range(1, length):
-        run = joined(run[:-1], h[k:])
-    return run
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n (or the count) of each."""
+    if n is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n, at)
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token, ends included, and its row."""
-    w = words_of(texts)
-    n_rows = len(w.first) - 1
-    return np.insert(w.hash, w.first[1:], END), np.repeat(np.arange(n_rows), np.diff(w.first) + 1)
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
-def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each is first, and the sum of n (or the count) of each."""
-    distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return distinct, first, np.bincount(inverse, n, len(distinct)).astype(np.int64)
+def _unsigned(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64).view(np.uint64)
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -83,188 +96,267 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
+
+        def block() -> pa.RecordBatch:
+            keys, n = _counted(np.concatenate(kept))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
         for batch in batches:
             for part in slices(batch):
-                keys, _ = tokens_of(part.column("text"))
-                kept.append(keys)
-                held += len(keys)
+                kept.append(tokens_of(part.column("text"))[0])
+                held += len(kept[-1])
                 if held >= BLOCK_TOKENS:
-                    keys, _, n = _summed(np.concatenate(kept))
+                    yield block()
                     kept, held = [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
         if kept:
-            keys, _, n = _summed(np.concatenate(kept))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            yield block()
 
     return documents.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
 
 
-def _packed(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: its contexts, how many next words each has, these and their counts."""
-    spread = mix(context.copy())
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        spread = np.where(hot[at] == context, joined(context, symbol), spread)
-    bucket = (spread >> np.uint64(16)) % np.uint64(buckets)
-    order = np.lexsort((symbol, context, bucket))
-    bucket, context, symbol, n = bucket[order], context[order], symbol[order], n[order].astype(np.int32)
-    new_bucket = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    heads = np.flatnonzero(new_bucket | np.concatenate([[True], context[1:] != context[:-1]]))
-    cut, cut_heads = np.flatnonzero(new_bucket), np.flatnonzero(new_bucket[heads])
-    spans = np.diff(np.concatenate([heads, [len(symbol)]])).astype(np.int32)
-    tell = lambda a, at, size: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.concatenate([at, [len(a)]]) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[cut].astype(np.int64)), tell(context[heads], cut_heads, 8), tell(spans, cut_heads, 4), tell(symbol, cut, 8), tell(n, cut, 4)],
-        names=["bucket", "contexts", "spans", "symbols", "counts"],
-    )
+@dataclass
+class Alphabet:
+    bits: int
+    keys: np.ndarray  # hashes in order
+    codes: np.ndarray  # of each
+    counts: np.ndarray  # tokens of each code; texts of the start
 
+    def coded(self, hashes: np.ndarray) -> np.ndarray:
+        at, there = _found(self.keys, hashes)
+        return np.where(there, self.codes[at], np.uint64(RARE)) if len(self.keys) else np.full(len(hashes), RARE, np.uint64)
 
-def successors(documents: DataFrame, order: int, bits: np.ndarray, hot: np.ndarray, n_tokens: int, min_count: int) -> DataFrame:
-    """``context, symbol, key, c`` of contexts of ``order`` words with the next, seen ``min_count`` times or more.
 
-    ``bits`` holds the runs of ``order`` words that are frequent themselves; only what
-    begins and ends with such can be.
+def alphabet(words: DataFrame, n: int, bits: int) -> Alphabet:
+    """The end, and all words as frequent as the least frequent of the most frequent ones that fit.
+
+    Words are cut by steps of their count, so that equally frequent ones are in or out together.
     """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast((bits, hot))  # a filter of fixed size; at most 1 / HEAD_SHARE keys
+    end = int(END.view(np.int64))
+    step = F.floor(F.log2("c") * STEPS)
+    sizes = words.filter(F.col("key") != end).groupBy(step.alias("step")).count().collect()  # some thousand at most
+    room, least = (1 << bits) - FIRST, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    chosen = words.filter(F.col("key") == end).unionByName(words.filter((F.col("key") != end) & (step >= least)) if least is not None else words.limit(0)).toArrow()  # at most 2**bits
+    keys, c = _unsigned(chosen, "key"), chosen.column("c").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    keys, c = keys[order], c[order]
+    is_end = keys == END
+    codes = np.where(is_end, STOP, FIRST + np.cumsum(~is_end) - 1).astype(np.uint64)
+    counts = np.zeros(1 << bits, np.int64)
+    counts[codes.astype(np.int64)] = c
+    counts[RARE] = n - c.sum()
+    counts[START] = counts[STOP]
+    return Alphabet(bits, keys, codes, counts)
+
+
+def runs_of(codes: np.ndarray, place: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``order`` symbols and the next, as numbers, and where their next symbol is.
+
+    Before the first word stands one start.
+    """
+    at = np.flatnonzero(place >= order - 1)
+    key = codes[at].copy()
+    for j in range(1, order + 1):
+        before = codes[np.maximum(at - j, 0)]
+        key |= np.where(place[at] >= j, before, np.uint64(START)) << np.uint64(j * bits)
+    return key, at
+
+
+def _planes(keys: np.ndarray, n: int) -> list[np.ndarray]:
+    """The keys as n arrays of 16 bits, high ones first: in order, high ones take next to no room when compressed."""
+    return [(keys >> np.uint64(16 * j)).astype(np.uint16) for j in range(n - 1, -1, -1)]
+
+
+def _joined(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(planes[0]), np.uint64)
+    for p in planes:
+        out = (out << np.uint64(16)) | p.astype(np.uint64)
+    return out
+
+
+def _cut(a: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of ``a`` cut at places, the last one's end included."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * a.dtype.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
+
+
+def _read(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    found = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name) if x.is_valid]
+    return np.concatenate(found) if found else np.zeros(0, kind)
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(x.copy()) >> np.uint64(16)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 15 else np.int64)
+
+
+def successors(documents: DataFrame, names: Alphabet, order: int, hot: tuple[np.ndarray, np.ndarray], n_tokens: int) -> DataFrame:
+    """``key, c, n``: runs of a context of ``order`` symbols and the next that are seen twice or more, and how often the context is.
+
+    ``hot`` has frequent contexts, in order, and their counts.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast((names, hot))  # at most 2**bits words and 1 / HEAD_SHARE contexts
     buckets = max(64, -(-n_tokens // BUCKET_TOKENS))
+    shift = np.uint64(names.bits)
+    n_planes = -(-(order + 1) * names.bits // 16)
+    columns = [f"w{j}" for j in range(n_planes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let, top = sent.value
+        known, (top, _) = sent.value
         kept, held = [], 0
 
-        def block():
-            context, symbol = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-            _, first, n = _summed(joined(context, symbol))
-            return _packed(context[first], symbol[first], n, top, buckets) if len(first) else iter(())
+        def block() -> pa.RecordBatch:
+            """A row for each bucket: its runs, those seen more than once first, and these ones' counts."""
+            keys, n = _counted(np.concatenate(kept))
+            context = keys >> shift
+            bucket = _bucket(np.where(_found(top, context)[1], keys, context), buckets)
+            place = bucket * 2 + (n == 1)
+            by = np.argsort(place, kind="stable")
+            keys, n, place = keys[by], n[by].astype(np.int32), place[by]
+            many = n > 1
+            told = np.unique(place >> 1)
+            at, at_many = np.append(np.searchsorted(place >> 1, told), len(place)), np.append(np.searchsorted(place[many] >> 1, told), int(many.sum()))
+            return pa.RecordBatch.from_arrays([pa.array(told.astype(np.int64)), *(_cut(p, at) for p in _planes(keys, n_planes)), _cut(n[many], at_many)], names=["bucket", *columns, "counts"])
 
         for batch in batches:
             for part in slices(batch):
-                h, row = tokens_of(part.column("text"))
-                if len(h) <= order:
-                    continue
-                run = runs_of(h, order)
-                fine = passes(let, run) | (h == END) if order == 1 else passes(let, run)
-                use = np.flatnonzero((row[order:] == row[:-order]) & fine[1:] & fine[:-1])
-                kept.append((run[use], h[use + order]))
-                held += len(use)
-                if held >= BLOCK_PAIRS:
-                    yield from block()
+                h, _, place = tokens_of(part.column("text"))
+                kept.append(runs_of(known.coded(h), place, order, known.bits)[0])
+                held += len(kept[-1])
+                if held >= BLOCK_TOKENS:
+                    yield block()
                     kept, held = [], 0
         if held:
-            yield from block()
+            yield block()
 
     def count(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        context, symbol = np.repeat(read("contexts", np.uint64), read("spans", np.int32)), read("symbols", np.uint64)
-        key, first, n = _summed(joined(context, symbol), read("counts", np.int32))
-        many = n >= min_count
-        key, first, n = key[many], first[many], n[many]
-        return pa.table({"context": context[first].view(np.int64), "symbol": symbol[first].view(np.int64), "key": key.view(np.int64), "c": n})
-
-    rows = documents.select("text").mapInArrow(run, "bucket bigint, contexts binary, spans binary, symbols binary, counts binary")
-    return rows.groupBy("bucket").applyInArrow(count, "context bigint, symbol bigint, key bigint, c bigint")
-
-
-def _keys(df: DataFrame, key: str = "key") -> np.ndarray:
-    return np.sort(df.select(key).toArrow().column(key).to_numpy().astype(np.int64).view(np.uint64))
-
-
-def divergent(entries: DataFrame, gain: float, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """The entries with ``kept`` and ``p``, and ``context, rest`` of kept contexts.
-
-    ``entries`` has ``context, key, c, n`` (of the context) and ``below``, what the
-    shorter suffix predicts; ``rest`` is the mass that a context leaves to it, and ``p``
-    what a kept context predicts, or one that isn't kept hands on from ``below``.
+        keys = _joined([_read(table, c, np.uint16) for c in columns])
+        n, at = np.ones(len(keys), np.int64), 0
+        for size, counts in zip(pc.divide(pc.binary_length(table.column("w0")), 2).to_pylist(), table.column("counts"), strict=True):
+            more = np.frombuffer(counts.as_buffer(), np.int32)
+            n[at : at + len(more)] = more
+            at += size
+        keys, n = _counted(keys, n)
+        context = keys >> shift
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(n))))
+        top, counts = sent.value[1]
+        at, there = _found(top, context)
+        total[there] = counts[at[there]]
+        twice = n > 1
+        return pa.table({"key": keys[twice].view(np.int64), "c": n[twice], "n": total[twice]})
+
+    rows = documents.select("text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} binary" for c in [*columns, "counts"]))
+    return rows.groupBy("bucket").applyInArrow(count, "key bigint, c bigint, n bigint")
+
+
+def divergent(entries: DataFrame, bits: int, gain: float, discount: float = DISCOUNT) -> DataFrame:
+    """``key, c, n, kept, p, over, log_rest`` of entries ``key, c, n, below``.
+
+    ``below`` is what the shorter suffix predicts, ``p`` what a kept context does, or one
+    that isn't hands on. A kept context's entry is ``over`` times (log10) as likely as by
+    the rest alone that it leaves to its suffix; one entry of it tells that as ``log_rest``.
     """
-    mass = entries.groupBy("context").agg((1 - F.sum(F.col("c") - discount) / F.max("n")).alias("rest"))
-    e = entries.join(mass, "context")
-    own = (F.col("c") - discount) / F.col("n") + F.col("rest") * F.col("below")
-    others = (F.col("c") - 1 - discount) / F.greatest(F.col("n") - 1, F.lit(1)) + F.col("rest") * F.col("below")
-    e = saved(e.withColumn("own", own).withColumn("won", F.col("c") * F.log(others / F.col("below"))), "tree-entries")
-    kept = e.groupBy("context").agg(F.sum("won").alias("won"), F.sum("c").alias("told"), F.max("n").alias("n"), F.max("rest").alias("rest"))
-    kept = saved(kept.filter(F.col("won") + (F.col("n") - F.col("told")) * F.log("rest") >= gain).select("context", "rest"), "tree-kept")
-    e = e.join(kept.select("context", F.lit(True).alias("kept")), "context", "left").withColumn("kept", F.col("kept").isNotNull())
-    return saved(e.withColumn("p", F.when(F.col("kept"), F.col("own")).otherwise(F.col("below"))).drop("own", "won"), "tree-level"), kept
+    context = Window.partitionBy(F.shiftrightunsigned("key", bits))
+    c, n = F.col("c"), F.col("n")
+    e = entries.withColumn("rest", 1 - F.sum(c - discount).over(context) / n)
+    handed = F.col("rest") * F.col("below")
+    others = (c - 1 - discount) / F.greatest(n - 1, F.lit(1)) + handed
+    e = e.withColumn("won", F.sum(c * F.log(others / F.col("below"))).over(context) + (n - F.sum("c").over(context)) * F.log("rest"))
+    e = e.withColumn("kept", F.col("won") >= gain).withColumn("one", F.min("key").over(context) == F.col("key"))
+    own = (c - discount) / n + handed
+    return e.select(
+        "key", "c", "n", "kept", F.when(F.col("kept"), own).otherwise(F.col("below")).alias("p"),
+        F.when(F.col("kept"), F.log10(own / handed)).alias("over"), F.when(F.col("kept") & F.col("one"), F.log10("rest")).alias("log_rest"),
+    )
 
 
 @dataclass
 class Tree:
-    """``values`` has ``kind, key, c, value``: what each key adds to a text's log10 probability."""
+    """``levels``: a table of each length of contexts; ``words``: ``key, c``; ``log_root``: log10 probability of each code."""
 
-    values: DataFrame
+    names: Alphabet
+    words: DataFrame
+    levels: list[DataFrame]
+    log_root: np.ndarray
     tokens: int
     distinct: int
-    unknown: float  # log10 probability of an unknown word
-    longest: int  # words of the longest context
+    lost: float  # what the root takes from each word's count
 
     def base(self, c):
-        return F.log10((F.coalesce(c, F.lit(0)) + 1) / F.lit(float(self.tokens + self.distinct + 1)))
+        return np.log10((c + 1) / (self.tokens + self.distinct + 1))
+
+    def of_rare(self, c: np.ndarray) -> np.ndarray:
+        """log10 probability of words outside the alphabet among their like; c is 0 for unknown ones."""
+        if not self.tokens:
+            return np.zeros(len(c))
+        of_class = 10 ** self.log_root[RARE] * self.tokens
+        unknown = min(self.lost * self.distinct, (1 - self.lost) / 2)
+        return np.log10(np.where(c > 0, np.maximum(c - self.lost, 1e-9), unknown) / of_class)
 
+    def kept(self, order: int) -> int:
+        """Contexts of a length that are kept."""
+        return self.levels[order - 1].filter("log_rest is not null").count()
 
-def fit(documents: DataFrame, min_count: int = MIN_COUNT, gain: float = GAIN, longest: int | None = 2) -> Tree:
+
+def fit(documents: DataFrame, gain: float = GAIN, depth: int = DEPTH, most_bits: int = MOST_BITS, hot_tokens: int = HOT_TOKENS) -> Tree:
     """The tree of all ``text`` of ``documents``; a null text counts as empty, and has one token, its end.
 
-    Contexts have at most ``longest`` words; with None they grow until none of a length is kept.
+    Contexts have at most ``depth`` symbols; the alphabet has at most ``2**most_bits``, and
+    as many as depth + 1 of them fit into 64 bits.
     """
     documents = documents.select("text")
     words = saved(word_counts(documents), "words")
     n, v, once, twice = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    hot_from = max(HOT_TOKENS, int(HEAD_SHARE * n))
     lost = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-    root = lambda c: (c - F.lit(lost)) / F.lit(float(max(n, 1)))
-    over = F.log10(F.col("p") / (F.col("rest") * F.col("below")))
-    none = F.lit(0.0)
-
-    values = []
-    # of each run of words: its count, what predicts its last word, and the run without its first word
-    level = words.filter(F.col("c") >= min_count).select("key", F.lit(0).cast("bigint").alias("context"), F.col("key").alias("symbol"), "c", root(F.col("c")).alias("p"), F.lit(0).cast("bigint").alias("tail"))
-    adds = words.select("key", "c", F.log10(root(F.col("c"))).alias("add"))
-    order = 0
-    while True:
-        if longest is not None and order >= longest:
-            values.append(adds.filter("add is not null").select(F.lit(order).alias("kind"), "key", "c", F.col("add").alias("value")))
-            break
-        pairs = saved(successors(documents, order + 1, hash_filter(level, "key"), _keys(level.filter(F.col("c") >= hot_from)), n, min_count), "runs")
-        about = level.select(F.col("key").alias("context"), F.col("c").alias("n"), (F.col("key") if order == 0 else F.col("tail")).alias("shorter"))
-        entries = pairs.join(about, "context")
-        lower = level.select(F.col("context").alias("shorter"), "symbol", F.col("p").alias("below"), F.col("key").alias("tail"))
-        entries = entries.join(lower.drop("shorter"), "symbol") if order == 0 else entries.join(lower, ["shorter", "symbol"])
-        told, kept = divergent(entries.select("context", "symbol", "key", "c", "n", "below", "tail"), gain)
-        rests = kept.select(F.col("context").alias("key"), F.log10("rest").alias("log_rest"))
-        of_order = adds.join(rests, "key", "left").filter("add is not null or log_rest is not null")
-        values.append(of_order.select(F.lit(order).alias("kind"), "key", "c", (F.coalesce("add", none) + F.coalesce("log_rest", none)).alias("value")))
-        if kept.isEmpty():
-            break
-        adds = told.select("key", "c", F.when(F.col("kept"), over).alias("add"))
-        level = told.select("key", "context", "symbol", "c", "p", "tail")
-        order += 1
-    every = values[0]
-    for more in values[1:]:
-        every = every.unionByName(more)
-    return Tree(saved(every, "tree-values"), n, v, log10(lost * v / n) if n else 0.0, order)
+    bits = min(most_bits, 64 // (depth + 1))
+    names = alphabet(words, n, bits)
+    mass = names.counts - np.where(names.counts > 0, lost, 0.0)
+    mass[[0, START]] = 0
+    mass[RARE] = n - (mass.sum() - mass[RARE])
+    root = mass / max(n, 1)
+    used = np.flatnonzero(root > 0)
+    below = documents.sparkSession.createDataFrame(pd.DataFrame({"symbol": used.astype(np.int64), "below": root[used]}), "symbol bigint, below double")
+
+    levels: list[DataFrame] = []
+    hot_from = max(hot_tokens, int(HEAD_SHARE * n))
+    hot = (np.flatnonzero(names.counts >= hot_from).astype(np.uint64), names.counts[names.counts >= hot_from])
+    for order in range(1, depth + 1):
+        pairs = saved(successors(documents, names, order, hot, n), "runs")
+        tail = F.col("key").bitwiseAND(F.lit((1 << (order * bits)) - 1))
+        shorter = F.broadcast(below) if order == 1 else levels[-1].select(F.col("key").alias("symbol"), F.col("p").alias("below"))  # at most 2**bits rows
+        levels.append(saved(divergent(pairs.join(shorter, tail == F.col("symbol")).drop("symbol"), bits, gain), "tree-level"))
+        top = pairs.filter(F.col("c") >= hot_from).select("key", "c").toArrow()  # at most 1 / HEAD_SHARE
+        order_of = np.argsort(_unsigned(top, "key"))
+        hot = _unsigned(top, "key")[order_of], top.column("c").to_numpy().astype(np.int64)[order_of]
+    with np.errstate(divide="ignore"):
+        return Tree(names, words, levels, np.where(root > 0, np.log10(root), 0.0), n, v, lost)
+
+
+def _mixed(df: DataFrame, key: Column) -> DataFrame:
+    """``h``: the keys, spread over all bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64).copy()).view(np.int64))], names=["h"])
+
+    return df.select(key.alias("key")).mapInArrow(run, "h bigint")
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
 
+def _asked(rows: np.ndarray, keys: np.ndarray, first: int, buckets: int) -> tuple[np.ndarray, list[pa.Array], int]:
+    """For each bucket which row asks for which key: buckets from ``first`` on, packed rows and keys, the row from which rows count."""
+    bucket = _bucket(keys, buckets)
+    by = np.argsort(bucket, kind="stable")
+    told = np.unique(bucket)
+    at = np.append(np.searchsorted(bucket[by], told), len(by))
+    base = int(rows.min())
+    near = (rows[by] - base).astype(np.uint64)
+    return told.astype(np.int64) + first, [_cut(p, at) for p in (*_planes(near, 2), *_planes(keys[by], 4))], base
 
-def _asked(rows: np.ndarray, keys: np.ndarray, is_word: bool, buckets: int) -> list[dict]:
-    """A row for each bucket of keys: which row of the input asks for which key, packed; rows count from ``base``."""
-    bucket = keys.view(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    base = int(rows.min()) if len(rows) else 0
-    near = (rows - base).astype(np.int32)
-    return [
-        {"bucket": b, "is_word": is_word, "base_row": base, "rows": near[at].tobytes(), "keys": keys[at].tobytes()}
-        for b in range(buckets)
-        if len(at := order[cut[b] : cut[b + 1]])
-    ]
+
+_ASK = ["r0", "r1", "k0", "k1", "k2", "k3"]
 
 
 def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> DataFrame:
@@ -275,102 +367,150 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
     rows and null ids give rows of their own.
     """
     spark = documents.sparkSession
-    in_head = F.col("c") >= head_share * tree.tokens
-    head, bits = [], []
-    for kind in range(tree.longest + 1):
-        own = tree.values.filter(F.col("kind") == kind)
-        t = own.filter(in_head).select("key", tree.base(F.col("c")).alias("base"), "value").toArrow()
-        key = t.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        head.append((key[order], t.column("base").to_numpy()[order], t.column("value").to_numpy()[order]))
-        bits.append(hash_filter(own, "key") if kind != WORD else None)
-    sent = spark.sparkContext.broadcast((head, bits))  # at most 1 / head_share keys a kind, and filters of fixed size
-    kind_of_id = documents.schema["doc_id"].dataType.simpleString()
+    bits, depth = tree.names.bits, len(tree.levels)
+    context = F.shiftrightunsigned("key", bits)
+    entries = [level.filter("kept").select("key", "c", F.col("over").alias("value")) for level in tree.levels]
+    rests = [level.filter("log_rest is not null").select(context.alias("key"), F.col("n").alias("c"), F.col("log_rest").alias("value")) for level in tree.levels]
+    one = rests[0].toArrow()  # at most 2**bits
+    rest_of = np.zeros(1 << bits)
+    rest_of[one.column("key").to_numpy().astype(np.int64)] = one.column("value").to_numpy()
+    values = entries[0]
+    for more in entries[1:] + rests[1:]:
+        values = values.unionByName(more)
+    in_head = F.col("c") >= max(2, head_share * tree.tokens)
+    top = values.filter(in_head).select("key", "value").toArrow()  # at most 2 / head_share a length
+    head = _counted(_unsigned(top, "key"), top.column("value").to_numpy()) if top.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
+    has_entry = [hash_filter(_mixed(e, F.col("key")), "h") for e in entries]
+    has_rest = [None, *(hash_filter(_mixed(r, F.col("key")), "h") for r in rests[1:])]
+    alone = np.stack([tree.base(tree.names.counts), tree.log_root]) if tree.tokens else np.zeros((2, 1 << bits))
+    sent = spark.sparkContext.broadcast((tree.names, alone, rest_of, head, has_entry, has_rest))  # all of bounded size
+    id_kind = documents.schema["doc_id"].dataType.simpleString()
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, -(-n_bytes // BUCKET_BYTES))
-    asked = pa.schema([("bucket", pa.int64()), ("is_word", pa.bool_()), ("base_row", pa.int64()), ("rows", pa.binary()), ("keys", pa.binary())])
-    told = ["row", "n_tokens", "known", "base", "value"]
+    run_buckets = max(12, -(-n_bytes // BUCKET_BYTES))
+    word_buckets = max(12, run_buckets // 4)
+    learned = tree.tokens > 0
+    schema = f"doc_id {id_kind}, bucket bigint, base_row bigint, n_tokens bigint, known bigint, base double, value double, " + ", ".join(f"{c} binary" for c in _ASK)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, lets = sent.value
+        names, (base_of, root_of), rest_1, (top_keys, top_values), entry_bits, rest_bits = sent.value
         next_row = TaskContext.get().partitionId() << 40
         kept: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
-        id_type = None
+        id_type, held = None, 0
 
-        def asking() -> pa.RecordBatch:
-            rows = [x for w, got in kept.items() if got for x in _asked(*(np.concatenate([g[i] for g in got]) for i in (0, 1)), w, buckets)]
-            for got in kept.values():
+        def asking() -> Iterator[pa.RecordBatch]:
+            for is_word, got in kept.items():
+                rows, keys = (np.concatenate([g[i] for g in got]) for i in (0, 1)) if got else (np.zeros(0), np.zeros(0))
                 got.clear()
-            rest = pa.RecordBatch.from_pylist(rows, asked)
-            empty = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([*empty, *rest.columns], names=["doc_id", *told, *asked.names])
+                if len(rows):
+                    buckets, packed, base_row = _asked(rows, keys, 0 if is_word else word_buckets, word_buckets if is_word else run_buckets)
+                    n = len(buckets)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.array(buckets), pa.array(np.full(n, base_row)), *(pa.nulls(n, k) for k in kinds[2:]), *packed], names=["doc_id", "bucket", "base_row", "n_tokens", "known", "base", "value", *_ASK])
 
-        held = 0
         for batch in batches:
             for part in slices(batch):
-                id_type = part.column("doc_id").type
-                h, row = tokens_of(part.column("text"))
-                n_rows = part.num_rows
-                at, there = _found(tops[WORD][0], h)
-                sums = lambda i, where: np.bincount(row[where], tops[WORD][i][at[there]], n_rows).astype(np.float64)  # noqa: B023, E731
-                base, value, known = sums(1, there), sums(2, there), np.bincount(row[there], minlength=n_rows)
-                kept[True].append((next_row + row[~there], h[~there]))
-                held += len(h) - int(there.sum())
-                keys = h
-                for kind in range(1, len(tops)):
-                    if len(h) <= kind:
-                        break
-                    keys = joined(keys[:-1], h[kind:])
-                    use = np.flatnonzero(row[kind:] == row[:-kind])
-                    use = use[passes(lets[kind], keys[use])]
-                    at, there = _found(tops[kind][0], keys[use])
-                    value += np.bincount(row[use[there]], tops[kind][2][at[there]], n_rows)
-                    kept[False].append((next_row + row[use[~there]], keys[use[~there]]))
-                    held += len(use) - int(there.sum())
-                values = [np.arange(next_row, next_row + n_rows), np.bincount(row, minlength=n_rows).astype(np.int64), known.astype(np.int64), base, value]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, values), *(pa.nulls(n_rows, f.type) for f in asked)], names=["doc_id", *told, *asked.names])
+                id_type, n_rows = part.column("doc_id").type, part.num_rows
+                h, row, place = tokens_of(part.column("text"))
+                codes = names.coded(h)
+                at = codes.astype(np.int64)
+                rare = at == RARE
+                of_row = lambda x, where=slice(None): np.bincount(row[where], x, n_rows)  # noqa: B023, E731
+                base, value, known = of_row(np.where(rare, 0, base_of[at])), of_row(root_of[at]), of_row((~rare).astype(float))
+                kept[True].append((next_row + row[rare], h[rare]))
+                before = np.where(place > 0, at[np.maximum(np.arange(len(at)) - 1, 0)], START)
+                value += of_row(rest_1[before])
+                held += int(rare.sum())
+                follows = rest_1[before] != 0  # where a context of the last length is kept
+                use = np.arange(len(at))
+                for order in range(1, depth + 1):
+                    key, where = runs_of(codes, place, order, names.bits)
+                    spread = mix(key.copy())
+                    own = np.zeros(len(at), bool)
+                    own[use] = follows
+                    may = own[where] & passes(entry_bits[order - 1], spread)
+                    if order < depth:
+                        more = passes(rest_bits[order], spread)
+                        may |= more
+                    at_top, there = _found(top_keys, key)
+                    value += of_row(top_values[at_top[there]], where[there]) if len(top_keys) else 0
+                    may &= ~there
+                    kept[False].append((next_row + row[where[may]], key[may]))
+                    held += int(may.sum())
+                    if order < depth:
+                        # the context of the next length ends one token before
+                        full = np.zeros(len(at) + 1, bool)
+                        full[where + 1] = more
+                        use, follows = np.flatnonzero(place >= order), full[:-1][place >= order]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(-1 - (np.arange(next_row, next_row + n_rows) >> 12)), pa.array(np.arange(next_row, next_row + n_rows)), pa.array(np.bincount(row, minlength=n_rows).astype(np.int64)), pa.array(known.astype(np.int64) * learned), pa.array(base * learned), pa.array(value * learned), *(pa.nulls(n_rows, pa.binary()) for _ in _ASK)],
+                    names=["doc_id", "bucket", "base_row", "n_tokens", "known", "base", "value", *_ASK],
+                )
                 next_row += n_rows
                 if held >= BLOCK_ASKS:
-                    yield asking()
+                    yield from asking()
                     held = 0
         if held:
-            yield asking()
-
-    schema = f"doc_id {kind_of_id}, row bigint, n_tokens bigint, known bigint, base double, value double, bucket bigint, is_word boolean, base_row bigint, rows binary, keys binary"
-    part = saved(documents.select("doc_id", "text").mapInArrow(run, schema), "lm-heads")
-
-    tokens, distinct, unknown = tree.tokens, tree.distinct, tree.unknown
-
-    def answer(asks: pa.Table, values: pa.Table) -> pa.Table:
-        """What the keys of this bucket add to the rows that ask for them, packed as they were asked."""
-        out: list[dict] = []
-        for is_word in (True, False):
-            own = values.filter(pc.equal(values.column("is_word"), is_word))
-            key = own.column("key").to_numpy().astype(np.int64).view(np.uint64)
-            order = np.argsort(key)
-            key, c, value = key[order], own.column("c").to_numpy()[order], own.column("value").to_numpy()[order]
-            for base_row, near, wanted in asks.filter(pc.equal(asks.column("is_word"), is_word)).select(["base_row", "rows", "keys"]).to_pandas().itertuples(index=False):
-                rows, inverse = np.unique(np.frombuffer(near, np.int32), return_inverse=True)
-                at, there = _found(key, np.frombuffer(wanted, np.uint64))
-                count, add = np.zeros(len(at), np.int64), np.full(len(at), unknown if is_word else 0.0)
-                count[there], add[there] = c[at[there]], value[at[there]]
-                adds = ((count > 0) & is_word, np.log10((count + 1) / (tokens + distinct + 1)) * is_word, add)
-                out.append({"base_row": base_row, "rows": rows.tobytes(), "adds": np.stack([np.bincount(inverse, x, len(rows)) for x in adds]).tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("base_row", pa.int64()), ("rows", pa.binary()), ("adds", pa.binary())]))
+            yield from asking()
+
+    bare = replace(tree, words=None, levels=[])  # tables stay with the driver
+
+    def answer(asks: pa.Table, told: pa.Table) -> pa.Table:
+        """Sums of what a bucket's keys add to the rows that ask for them; rows of texts pass."""
+        plain = ["doc_id", "base_row", "n_tokens", "known", "base", "value"]
+        if not asks.num_rows or asks.column("bucket")[0].as_py() < 0:
+            n = asks.num_rows
+            return asks.select(plain).append_column("rows", pa.nulls(n, pa.binary())).append_column("adds", pa.nulls(n, pa.binary()))
+        is_word = asks.column("bucket")[0].as_py() < word_buckets
+        near, keys = (_joined([_read(asks, c, np.uint16) for c in cs]) for cs in (_ASK[:2], _ASK[2:]))
+        size = pc.divide(pc.binary_length(asks.column("r0")), 2).to_numpy()
+        key, value = _counted(_unsigned(told, "key"), told.column("c" if is_word else "value").to_numpy()) if told.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
+        at, there = _found(key, keys)
+        got = np.zeros(len(keys))
+        got[there] = value[at[there]]
+        if is_word:
+            adds = ((got > 0).astype(float), bare.base(got), bare.of_rare(got))
+        else:
+            adds = (got,)
+        of_ask = np.repeat(np.arange(len(size)), size)
+        spot = (of_ask.astype(np.uint64) << np.uint64(32)) | near
+        rows, inverse = np.unique(spot, return_inverse=True)
+        sums = np.stack([np.bincount(inverse, x, len(rows)) for x in adds])
+        cut = np.searchsorted(rows, np.arange(len(size) + 1).astype(np.uint64) << np.uint64(32))
+        n, rows = len(size), rows.astype(np.uint32)
+        empty = [asks.column("doc_id"), asks.column("base_row"), *(pa.nulls(n, k) for k in kinds[2:])]
+        parts = pa.array([sums[:, a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+        return pa.Table.from_arrays([*empty, _cut(rows, cut), parts], names=[*plain, "rows", "adds"])
 
     def together(answers: pa.Table) -> pa.Table:
         """Sums over the buckets that rows from one ``base_row`` on asked."""
-        rows = [np.frombuffer(x, np.int32) for x in answers.column("rows").to_pylist()]
-        adds = np.concatenate([np.frombuffer(x, np.float64).reshape(3, -1) for x in answers.column("adds").to_pylist()], axis=1)
-        distinct_rows, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-        known, base, value = (np.bincount(inverse, x, len(distinct_rows)) for x in adds)
-        return pa.table({"row": distinct_rows.astype(np.int64) + answers.column("base_row")[0].as_py(), "more_known": known.astype(np.int64), "more_base": base, "more_value": value})
-
-    tail = tree.values.filter(~in_head).select(F.pmod("key", F.lit(buckets)).alias("bucket"), (F.col("kind") == WORD).alias("is_word"), "key", "c", "value")
-    asks = part.filter("bucket is not null").select("bucket", "is_word", "base_row", "rows", "keys")
-    met = asks.groupBy("bucket").cogroup(tail.groupBy("bucket")).applyInArrow(answer, "base_row bigint, rows binary, adds binary")
-    summed = met.groupBy("base_row").applyInArrow(together, "row bigint, more_known bigint, more_base double, more_value double")
+        rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in answers.column("rows")]
+        adds = []
+        for r, x in zip(rows, answers.column("adds"), strict=True):
+            a = np.frombuffer(x.as_buffer(), np.float64).reshape(-1, len(r))
+            adds.append(a if len(a) == 3 else np.concatenate([np.zeros((2, len(r))), a]))
+        distinct, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        known, base, value = (np.bincount(inverse, x, len(distinct)) for x in np.concatenate(adds, axis=1))
+        return pa.table({"row": distinct.astype(np.int64) + answers.column("base_row")[0].as_py(), "more_known": known.astype(np.int64), "more_base": base, "more_value": value})
+
+    rare = tree.words.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"key": tree.names.keys.view(np.int64)}), "key bigint")), "key", "left_anti")  # at most 2**bits
+    spots = _bucketed(rare.select("key", "c", F.lit(0.0).alias("value")), 0, word_buckets).unionByName(_bucketed(values.filter(~in_head), word_buckets, run_buckets))
+    asks = documents.select("doc_id", "text").mapInArrow(run, schema)
+    met = asks.groupBy("bucket").cogroup(spots.groupBy("bucket")).applyInArrow(answer, f"doc_id {id_kind}, base_row bigint, n_tokens bigint, known bigint, base double, value double, rows binary, adds binary")
+    met = saved(met, "lm-answers")
+    summed = met.filter("rows is not null").groupBy("base_row").applyInArrow(together, "row bigint, more_known bigint, more_base double, more_value double")
     more = summed.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_value")])
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    rows = part.filter("bucket is null").select("doc_id", *told)
-    return rows.join(more, "row", "left").select("doc_id", "n_tokens", plus("known", "more_known").alias("n_known"), plus("base", "more_base").alias("base_score"), plus("value", "more_value").alias("score"))
+    rows = met.filter("rows is null").select("doc_id", F.col("base_row").alias("row"), "n_tokens", "known", "base", "value")
+    out = rows.join(more, "row", "left") if learned else rows.withColumns({x: F.lit(0) for x in ("more_known", "more_base", "more_value")})
+    return out.select("doc_id", "n_tokens", plus("known", "more_known").alias("n_known"), plus("base", "more_base").alias("base_score"), plus("value", "more_value").alias("score"))
+
+
+def _bucketed(df: DataFrame, first: int, buckets: int) -> DataFrame:
+    """``bucket, key, c, value``, dealt as asking rows deal their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys, buckets).astype(np.int64) + first), *(batch.column(c) for c in ("key", "c", "value"))], names=["bucket", "key", "c", "value"])
+
+    return df.select("key", "c", "value").mapInArrow(run, "bucket bigint, key bigint, c bigint, value double")
