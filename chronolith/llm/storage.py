@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,7 +37,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` gave and that nothing reads any more, and lets go of finished shuffles.
+
+    Spark deletes shuffle files when the driver's JVM finds that nothing refers to them.
+    With a small heap in use that may take long, so it is asked to look now.
+    """
+    jvm = SparkSession.active()._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def crc_rest(doc_id: Column, modulus: int) -> Column:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import hash_filter, passes, saved
+from .storage import discard, hash_filter, passes, saved
 from .textarrays import mix, slices, words_of
 
 GAIN = 12.0
@@ -51,7 +51,7 @@ BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 500_000
 #: rarer keys that a scoring task gathers before it asks, and bytes of text whose rarer keys a bucket answers
 BLOCK_ASKS = 1_000_000
-BUCKET_BYTES = 30 << 20
+BUCKET_BYTES = 20 << 20
 #: a context with so many occurrences (and a head's share) is dealt to all buckets
 HOT_TOKENS = 250_000
 #: stands behind each text's last word
@@ -331,6 +331,7 @@ def fit(documents: DataFrame, gain: float = GAIN, depth: int = DEPTH, most_bits:
         top = pairs.filter(F.col("c") >= hot_from).select("key", "c").toArrow()  # at most 1 / HEAD_SHARE
         order_of = np.argsort(_unsigned(top, "key"))
         hot = _unsigned(top, "key")[order_of], top.column("c").to_numpy().astype(np.int64)[order_of]
+        discard(pairs)
     with np.errstate(divide="ignore"):
         return Tree(names, words, levels, np.where(root > 0, np.log10(root), 0.0), n, v, lost)
 
@@ -461,25 +462,20 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
             n = asks.num_rows
             return asks.select(plain).append_column("rows", pa.nulls(n, pa.binary())).append_column("adds", pa.nulls(n, pa.binary()))
         is_word = asks.column("bucket")[0].as_py() < word_buckets
-        near, keys = (_joined([_read(asks, c, np.uint16) for c in cs]) for cs in (_ASK[:2], _ASK[2:]))
-        size = pc.divide(pc.binary_length(asks.column("r0")), 2).to_numpy()
         key, value = _counted(_unsigned(told, "key"), told.column("c" if is_word else "value").to_numpy()) if told.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
-        at, there = _found(key, keys)
-        got = np.zeros(len(keys))
-        got[there] = value[at[there]]
-        if is_word:
-            adds = ((got > 0).astype(float), bare.base(got), bare.of_rare(got))
-        else:
-            adds = (got,)
-        of_ask = np.repeat(np.arange(len(size)), size)
-        spot = (of_ask.astype(np.uint64) << np.uint64(32)) | near
-        rows, inverse = np.unique(spot, return_inverse=True)
-        sums = np.stack([np.bincount(inverse, x, len(rows)) for x in adds])
-        cut = np.searchsorted(rows, np.arange(len(size) + 1).astype(np.uint64) << np.uint64(32))
-        n, rows = len(size), rows.astype(np.uint32)
+        rows, sums = [], []
+        for packed in zip(*(asks.column(c) for c in _ASK), strict=True):
+            planes = [np.frombuffer(x.as_buffer(), np.uint16) for x in packed]
+            distinct, inverse = np.unique(_joined(planes[:2]), return_inverse=True)
+            at, there = _found(key, _joined(planes[2:]))
+            got = np.zeros(len(inverse))
+            got[there] = value[at[there]]
+            adds = ((got > 0).astype(float), bare.base(got), bare.of_rare(got)) if is_word else (got,)
+            rows.append(distinct.astype(np.uint32).tobytes())
+            sums.append(np.stack([np.bincount(inverse, x, len(distinct)) for x in adds]).tobytes())
+        n = asks.num_rows
         empty = [asks.column("doc_id"), asks.column("base_row"), *(pa.nulls(n, k) for k in kinds[2:])]
-        parts = pa.array([sums[:, a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
-        return pa.Table.from_arrays([*empty, _cut(rows, cut), parts], names=[*plain, "rows", "adds"])
+        return pa.Table.from_arrays([*empty, pa.array(rows, pa.binary()), pa.array(sums, pa.binary())], names=[*plain, "rows", "adds"])
 
     def together(answers: pa.Table) -> pa.Table:
         """Sums over the buckets that rows from one ``base_row`` on asked."""
