@@ -327,7 +327,8 @@ def fit(documents: DataFrame, gain: float = GAIN, depth: int = DEPTH, most_bits:
         pairs = saved(successors(documents, names, order, hot, n), "runs")
         tail = F.col("key").bitwiseAND(F.lit((1 << (order * bits)) - 1))
         shorter = F.broadcast(below) if order == 1 else levels[-1].select(F.col("key").alias("symbol"), F.col("p").alias("below"))  # at most 2**bits rows
-        levels.append(saved(divergent(pairs.join(shorter, tail == F.col("symbol")).drop("symbol"), bits, gain), "tree-level"))
+        level = divergent(pairs.join(shorter, tail == F.col("symbol")).drop("symbol"), bits, gain)
+        levels.append(saved(level if order < depth else level.drop("p"), "tree-level"))
         top = pairs.filter(F.col("c") >= hot_from).select("key", "c").toArrow()  # at most 1 / HEAD_SHARE
         order_of = np.argsort(_unsigned(top, "key"))
         hot = _unsigned(top, "key")[order_of], top.column("c").to_numpy().astype(np.int64)[order_of]
@@ -349,7 +350,8 @@ def _mixed(df: DataFrame, key: Column) -> DataFrame:
 def _asked(rows: np.ndarray, keys: np.ndarray, first: int, buckets: int) -> tuple[np.ndarray, list[pa.Array], int]:
     """For each bucket which row asks for which key: buckets from ``first`` on, packed rows and keys, the row from which rows count."""
     bucket = _bucket(keys, buckets)
-    by = np.argsort(bucket, kind="stable")
+    by = np.argsort(keys)  # packs better
+    by = by[np.argsort(bucket[by], kind="stable")]
     told = np.unique(bucket)
     at = np.append(np.searchsorted(bucket[by], told), len(by))
     base = int(rows.min())
@@ -380,7 +382,7 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
         values = values.unionByName(more)
     in_head = F.col("c") >= max(2, head_share * tree.tokens)
     top = values.filter(in_head).select("key", "value").toArrow()  # at most 2 / head_share a length
-    head = _counted(_unsigned(top, "key"), top.column("value").to_numpy()) if top.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
+    head = _counted(_unsigned(top, "key"), top.column("value").to_numpy().astype(float)) if top.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
     has_entry = [hash_filter(_mixed(e, F.col("key")), "h") for e in entries]
     has_rest = [None, *(hash_filter(_mixed(r, F.col("key")), "h") for r in rests[1:])]
     alone = np.stack([tree.base(tree.names.counts), tree.log_root]) if tree.tokens else np.zeros((2, 1 << bits))
@@ -462,7 +464,7 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
             n = asks.num_rows
             return asks.select(plain).append_column("rows", pa.nulls(n, pa.binary())).append_column("adds", pa.nulls(n, pa.binary()))
         is_word = asks.column("bucket")[0].as_py() < word_buckets
-        key, value = _counted(_unsigned(told, "key"), told.column("c" if is_word else "value").to_numpy()) if told.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
+        key, value = _counted(_unsigned(told, "key"), told.column("value").to_numpy().astype(float)) if told.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
         rows, sums = [], []
         for packed in zip(*(asks.column(c) for c in _ASK), strict=True):
             planes = [np.frombuffer(x.as_buffer(), np.uint16) for x in packed]
@@ -489,7 +491,7 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
         return pa.table({"row": distinct.astype(np.int64) + answers.column("base_row")[0].as_py(), "more_known": known.astype(np.int64), "more_base": base, "more_value": value})
 
     rare = tree.words.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"key": tree.names.keys.view(np.int64)}), "key bigint")), "key", "left_anti")  # at most 2**bits
-    spots = _bucketed(rare.select("key", "c", F.lit(0.0).alias("value")), 0, word_buckets).unionByName(_bucketed(values.filter(~in_head), word_buckets, run_buckets))
+    spots = _bucketed(rare.select("key", F.col("c").cast("double").alias("value")), 0, word_buckets).unionByName(_bucketed(values.filter(~in_head), word_buckets, run_buckets))
     asks = documents.select("doc_id", "text").mapInArrow(run, schema)
     met = asks.groupBy("bucket").cogroup(spots.groupBy("bucket")).applyInArrow(answer, f"doc_id {id_kind}, base_row bigint, n_tokens bigint, known bigint, base double, value double, rows binary, adds binary")
     met = saved(met, "lm-answers")
@@ -502,11 +504,11 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
 
 
 def _bucketed(df: DataFrame, first: int, buckets: int) -> DataFrame:
-    """``bucket, key, c, value``, dealt as asking rows deal their keys."""
+    """``bucket, key, value``, dealt as asking rows deal their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys, buckets).astype(np.int64) + first), *(batch.column(c) for c in ("key", "c", "value"))], names=["bucket", "key", "c", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys, buckets).astype(np.int64) + first), batch.column("key"), batch.column("value")], names=["bucket", "key", "value"])
 
-    return df.select("key", "c", "value").mapInArrow(run, "bucket bigint, key bigint, c bigint, value double")
+    return df.select("key", "value").mapInArrow(run, "bucket bigint, key bigint, value double")
