@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import GRAM_KEYS, HEADS, SAME, SPACED, buffer, grams, mix, slices, words_of
+from .textarrays import GRAM_KEYS, HEADS, PIECE_BYTES, SAME, SPACED, buffer, grams, mix, slices, words_of
 
 TREES = 60
 DEPTH = 3
@@ -107,13 +107,22 @@ def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _range_hash(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each range [lo, hi), which are in order and apart."""
-    place = np.arange(len(raw), dtype=np.int64) - np.repeat(np.concatenate([[0], lo]), np.diff(np.concatenate([[0], lo, [len(raw)]])))
-    key = (raw.astype(np.uint64) + np.uint64(1)) * GRAM_KEYS[place & 63]
-    key += key * (place >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mix(key)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(key, dtype=np.uint64)])
-    return mix((sums[hi] - sums[lo]) ^ (hi - lo).astype(np.uint64))
+    """Hash of the bytes of each range [lo, hi), which are in order and apart; bytes are hashed in pieces."""
+    total = np.zeros(len(lo), np.uint64)
+    at = 0
+    while at < len(lo):
+        # as many ranges as fit into a piece, or one range in pieces
+        to = max(at + 1, int(np.searchsorted(hi, lo[at] + PIECE_BYTES, side="right")))
+        for a in range(int(lo[at]), int(hi[to - 1]), PIECE_BYTES) if to == at + 1 else [int(lo[at])]:
+            b = min(int(hi[to - 1]), a + PIECE_BYTES) if to == at + 1 else int(hi[to - 1])
+            own_lo, own_hi = np.maximum(lo[at:to], a), np.minimum(hi[at:to], b)
+            place = np.arange(a, b, dtype=np.int64) - np.repeat(lo[at:to], np.diff(np.append(own_lo, b)))
+            key = (raw[a:b].astype(np.uint64) + np.uint64(1)) * GRAM_KEYS[place & 63]
+            key += key * (place >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(key), dtype=np.uint64)])
+            total[at:to] += sums[own_hi - a] - sums[own_lo - a]
+        at = to
+    return mix(total ^ (hi - lo).astype(np.uint64))
 
 
 @dataclass

@@ -16,14 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import sample_rows
+from .storage import sample_keys, sample_rows
 from .textarrays import slices
 
 #: bounds of the training sample: documents a language, bytes of a dictionary
 SAMPLE_DOCS = 160
 DICTIONARY_BYTES = 32 << 10
-#: texts of more characters come into the sample only where a language has too few shorter ones
-SAMPLE_CHARS = 8000
+#: bytes of a language's sample
+SAMPLE_BYTES = 1 << 20
 #: a lazy match finder with short matches: words of a few letters count
 PARAMETERS = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 4, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 3}
 #: a text is rejected if the second language needs less than this share of its bytes, or bytes, more
@@ -57,23 +57,25 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary
 
     The sample is the same in each run: the documents with the smallest hash of their
     id. It is chosen on ids alone, at most ``sample_docs`` a language, and only then
-    joined with the texts, each of which is taken whole or not at all.
+    joined with the texts, each of which is taken whole or not at all; only where none
+    fits into a dictionary does the first one fill it with its beginning.
     """
     has = labelled.filter("lang is not null and text is not null")
-    rows = sample_rows(has, has.select("doc_id", "lang", F.length("text").alias("n_chars")), "lang", sample_docs, SAMPLE_CHARS)
+    rows = sample_rows(has, sample_keys(has, "lang"), "lang", sample_docs, SAMPLE_BYTES)
     out: dict[str, bytes] = {}
     known = {r["lang"] for r in rows}
     often = {r["lang"]: -r["count"] for r in has.groupBy("lang").count().collect() if r["lang"] in known}
     for lang in sorted(known, key=lambda x: (often[x], x)):
-        parts, held, seen = [], 0, set()
+        parts, held, seen, first = [], 0, set(), b""
         for r in (r for r in rows if r["lang"] == lang):
             data = letters_only(r["text"])
-            if data and data not in seen and (not parts or held + len(data) < dictionary_bytes):
+            first = first or data
+            if data and data not in seen and held + len(data) < dictionary_bytes:
                 seen.add(data)
                 parts.append(data)
                 held += len(data) + 1
-        if parts:
-            out[lang] = b" ".join(parts)
+        if first:
+            out[lang] = b" ".join(parts) or first[:dictionary_bytes]
     return out
 
 

@@ -20,9 +20,14 @@ NOBODY = "unknown"
 BLOCK_TURNS = 256
 
 
+def _plain(text: Column) -> Column:
+    """Text that holds neither mark: their first underscore becomes a hyphen."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<|im-"))
+
+
 def _head(speaker: Column, perspective: Column) -> Column:
     """The line above a turn: rules stay rules, the perspective's turns are the assistant's."""
-    user = F.concat(F.lit(OPEN + "user name="), speaker, F.lit("\n"))
+    user = F.concat(F.lit(OPEN + "user name="), _plain(F.translate(speaker, "\n\r", "  ")), F.lit("\n"))
     return F.when(speaker.isin(*RULES), F.concat(F.lit(OPEN), speaker, F.lit("\n"))).when(speaker == perspective, F.lit(OPEN + "assistant\n")).otherwise(user)
 
 
@@ -32,7 +37,8 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     ``rendered`` is the turn's part of the dialogue, from code point ``start`` on;
     [mask_start, mask_end) are the code points to train on, empty where ``trained`` is
     false. A null role is a speaker of the name ``unknown``, a null text is empty, a null
-    turn comes first; null ``conv_id``s are one conversation. Turns of one number go by
+    turn comes first; marks in a text or role lose their underscore to a hyphen, and line
+    breaks in a role become spaces, so that no turn can be forged; null ``conv_id``s are one conversation. Turns of one number go by
     speaker and text; repeated rows are repeated turns. A conversation of rules alone,
     or an empty table, gives no row. Other columns are ignored. Only the number of
     repeats of one turn number has to fit a task's sort, which spills.
@@ -42,9 +48,12 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
         F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("bigint").alias("block"),
     )
     cast = turns.filter(~F.col("speaker").isin(*RULES)).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    seen = turns.join(cast, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    # a row for each block and participant, so that a long conversation's turns meet them block by block
+    spans = turns.select(F.col("conv_id").alias("in_conv"), F.col("block").alias("in_block")).distinct()
+    views = spans.join(cast, F.col("in_conv").eqNullSafe(F.col("of"))).drop("of")
+    seen = turns.join(views, F.col("conv_id").eqNullSafe(F.col("in_conv")) & (F.col("block") == F.col("in_block"))).drop("in_conv", "in_block")
     head = _head(F.col("speaker"), F.col("perspective"))
-    seen = seen.withColumn("rendered", F.concat(head, F.col("text"), F.lit(CLOSE + "\n"))).withColumn("body", F.length(head))
+    seen = seen.withColumn("rendered", F.concat(head, _plain(F.col("text")), F.lit(CLOSE + "\n"))).withColumn("body", F.length(head))
     seen = seen.withColumn("size", F.length("rendered").cast("bigint"))
     own = ["conv_id", "perspective"]
     blocks = seen.groupBy(*own, "block").agg(F.sum("size").alias("block_size"))

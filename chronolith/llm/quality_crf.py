@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import sample_rows, saved
+from .storage import sample_keys, sample_rows, saved
 from .textarrays import GRAM_KEYS, buffer, mix, slices, words_of
 
-#: bounds of the training sample: documents of each label, characters of one of them
+#: bounds of the training sample: documents and bytes of each label
 SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 6 << 20
 EPOCHS = 120
 
 _BYTES = np.arange(256)
@@ -222,13 +222,11 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def training_sample(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[int], float]:
     """Texts, labels, and the share of label 1 among all labelled documents.
 
-    Of each label at most ``sample_docs`` whole texts; ones of over SAMPLE_CHARS come only
-    where a label has too few others. Of several labels of a document the least counts.
+    Of each label at most ``sample_docs`` whole texts of SAMPLE_BYTES together. Of several labels of a document the least counts.
     """
     marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sizes = documents.filter("text is not null").select("doc_id", F.length("text").alias("n_chars"))
-    keys = saved(sizes.join(marks, "doc_id"), "labelled")
-    rows = sample_rows(documents, keys, "quality", sample_docs, SAMPLE_CHARS)
+    keys = saved(sample_keys(documents).join(marks, "doc_id"), "labelled")
+    rows = sample_rows(documents, keys, "quality", sample_docs, SAMPLE_BYTES)
     share = keys.agg(F.avg("quality")).first()[0]
     return [r["text"] for r in rows], [r["quality"] for r in rows], 0.5 if share is None else float(share)
 

@@ -6,7 +6,8 @@ before and after, and how its file looks (long, full of digits). Viterbi decodes
 line. Runs of begin and inside words that no base match touches become ``crf`` spans,
 cut to the part that looks like a secret.
 
-The base patterns teach it: words that base matches cover, in a bounded sample of texts.
+The base patterns teach it: words that base matches cover, in a bounded sample of texts,
+each of which is learned from twice, as it is and without the names of secrets.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import sample_rows
+from .storage import sample_keys, sample_rows
 from .textarrays import LOWER, SAME, Words, slices, words_of
 
-#: fixed values: the base patterns
-ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+#: fixed values: the base patterns; "either case" means the letters A to Z
+ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 12, 18, 16
@@ -33,8 +34,8 @@ _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: bounds of the training sample
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 3000
-EPOCHS = 80
+SAMPLE_BYTES = 600_000
+EPOCHS = 60
 #: a secret of the model has at least so many characters, of two classes or more
 CRF_MIN = 16
 
@@ -55,7 +56,7 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the base patterns, leftmost and apart within a kind, by start and kind."""
     found = []
     low = text.lower()
-    if any(c in low for c in ("password", "passwd", "secret", "token", "apikey", "api_key")) or not low.isascii():
+    if any(c in low for c in ("password", "passwd", "secret", "token", "apikey", "api_key")):
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
@@ -127,6 +128,8 @@ def word_features(w: Words, raw: np.ndarray) -> np.ndarray:
 
 
 N_FEATURES = 15 + 5 + 5 + 3 + 1
+#: features that come from names of secrets and from the sign behind them, of a word, its neighbours and its file
+NAMES = [12, 13, 17, 18, 22, 23, 27]
 _BANNED = np.array([[0, 0, -1e4], [0, 0, 0], [0, 0, 0]], np.float64)  # inside never follows outside
 
 
@@ -221,6 +224,10 @@ def fit(texts: list[str], epochs: int = EPOCHS) -> Model:
     if not state.any():
         return nothing
     x, first = word_features(w, raw), chains(w, raw)
+    # every text once more without what names a secret, so that its own shape has to tell it
+    blind = x.copy()
+    blind[:, NAMES] = 0
+    x, state, first = np.concatenate([x, blind]), np.concatenate([state, state]), np.concatenate([first, first[1:] + len(state)])
     inner = np.ones(len(state), bool)
     inner[first[:-1]] = False
     i = np.flatnonzero(inner)
@@ -280,13 +287,9 @@ def scan_texts(model: Model, texts: pa.Array) -> list[list[tuple[int, int, int]]
 
 
 def training_sample(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    """Two bounded sets of whole texts by the smallest hash of the id: with a likely base match, and any.
-
-    Texts over SAMPLE_CHARS come only where a set has too few others.
-    """
+    """Two bounded sets of whole texts by the smallest hash of the id: with a likely base match, and without."""
     likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    keys = documents.filter("text is not null").select("doc_id", likely.alias("likely"), F.length("text").alias("n_chars"))
-    return [r["text"] for r in sample_rows(documents, keys, "likely", sample_docs // 2, SAMPLE_CHARS)]
+    return [r["text"] for r in sample_rows(documents, sample_keys(documents, likely.alias("likely")), "likely", sample_docs // 2, SAMPLE_BYTES)]
 
 
 def scan(documents: DataFrame, model: Model) -> DataFrame:

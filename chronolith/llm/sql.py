@@ -80,9 +80,9 @@ WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coale
 party AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
 seen AS (
   SELECT turns.*, perspective,
-         '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+         '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || replace(translate(speaker, chr(10) || chr(13), '  '), '<|im_', '<|im-') END || chr(10) AS head
   FROM turns JOIN party ON turns.conv_id IS NOT DISTINCT FROM party.conv_id
-), drawn AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM seen),
+), drawn AS (SELECT *, head || replace(text, '<|im_', '<|im-') || '<|im_end|>' || chr(10) AS rendered FROM seen),
 placed AS (
   SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM drawn
 )

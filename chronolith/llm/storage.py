@@ -61,28 +61,36 @@ def crc_rest(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_rows(documents: DataFrame, keys: DataFrame, group: str, limit: int, long_text: int) -> list:
+def sample_keys(documents: DataFrame, *columns: Column | str) -> DataFrame:
+    """``doc_id``, the given columns, and what tells texts of one id apart: ``n_bytes`` and ``t``, a hash."""
+    return documents.filter("text is not null and doc_id is not null").select("doc_id", *columns, F.octet_length("text").cast("bigint").alias("n_bytes"), F.xxhash64("text").alias("t"))
+
+
+def sample_rows(documents: DataFrame, keys: DataFrame, group: str, limit: int, most_bytes: int) -> list:
     """Rows ``doc_id, <group>, place, text`` of a sample that is the same in each run.
 
-    ``keys`` has ``doc_id``, the group and ``n_chars``. Of each group at most ``limit``
-    ids come, those of the smallest hash, and of texts over ``long_text`` characters only
-    where there are too few others. Groups are counted first, so that only hashes below
+    ``keys`` comes from ``sample_keys`` and has a column ``group``. Of each group at most
+    ``limit`` ids come, those of the smallest hash, whatever the length of their texts; the
+    sample ends where the next text would take it over ``most_bytes``. A text that is
+    longer than that alone is passed over. An id comes once in a group, with the text of the
+    smallest hash. Groups are counted first, so that only hashes below
     a share that holds ``limit`` of them (with a tenth and six deviations to spare) are ranked:
-    no group meets in one task. The few chosen ids are broadcast, and no text is shuffled.
+    no group meets in one task. The few chosen ids are broadcast, and no text is shuffled
+    but the chosen ones.
     """
-    keys = saved(keys.select("doc_id", group, (F.col("n_chars") > long_text).alias("long"), F.xxhash64("doc_id").alias("h")), "sample-keys")
-    counted = keys.groupBy(group, "long").agg(F.approx_count_distinct("h", 0.02).alias("ids"))  # repeated rows are one id
-    counts = {(r[group], r["long"]): r["ids"] for r in counted.collect()}
+    keys = saved(keys.filter(F.col("n_bytes") <= most_bytes).select("doc_id", group, "n_bytes", "t", F.xxhash64("doc_id").alias("h")), "sample-keys")
+    counted = keys.groupBy(group).agg(F.approx_count_distinct("h", 0.02).alias("ids")).collect()  # repeated rows are one id
     low = F.lit(False)
-    for (name, is_long), n in counts.items():
-        wanted = limit if not is_long else limit - 0.9 * counts.get((name, False), 0)
-        if wanted > 0:
-            share = min(1.0, 1.1 * (wanted + 6 * wanted**0.5 + 50) / max(n, 1))
-            low = low | ((F.col(group) == F.lit(name)) & (F.col("long") == F.lit(is_long)) & (F.lit(0.5) + F.col("h") / F.lit(2.0**64) <= share))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("long", "h", "doc_id"))
-    chosen = keys.filter(low).distinct().withColumn("place", place).filter(F.col("place") <= limit).select("doc_id", group, "place")
-    rows = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    return sorted(rows, key=lambda r: (r[group], r["place"], r["text"]))
+    for r in counted:
+        share = min(1.0, 1.1 * (limit + 6 * limit**0.5 + 50) / max(r["ids"], 1))
+        low = low | (F.col(group).eqNullSafe(F.lit(r[group])) & (F.lit(0.5) + F.col("h") / F.lit(2.0**64) <= share))
+    once = keys.filter(low).groupBy(group, "doc_id", "h").agg(F.min(F.struct("t", "n_bytes")).alias("one"))
+    of_group = Window.partitionBy(group).orderBy("h", "doc_id")
+    ranked = once.select("doc_id", group, "h", "one.t", "one.n_bytes", F.row_number().over(of_group).alias("place")).filter(F.col("place") <= limit)
+    chosen = ranked.withColumn("held", F.sum("n_bytes").over(of_group)).filter(F.col("held") <= most_bytes).select("doc_id", group, "place", "t")
+    texts = documents.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(chosen), ["doc_id", "t"])  # limit rows a group
+    rows = texts.groupBy("doc_id", group, "place").agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (r[group], r["place"]))
 
 
 def hash_filter(df: DataFrame, hashed: str) -> np.ndarray:
@@ -109,8 +117,16 @@ def passes(filter_words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (filter_words[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
 
 
-def split_by(documents: DataFrame, key: Column, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key is surely not in the one column of ``named``, and all others, with ``key_`` beside them.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it a new column."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def split_by(documents: DataFrame, key: Column, named: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Rows whose key is surely not in the one column of ``named``; all others, with the key beside them; its name.
 
     Only the others, the named ones and a few more, need an exact join, so the texts of
     most rows are never shuffled. Rows with a null key are surely not named.
@@ -122,6 +138,7 @@ def split_by(documents: DataFrame, key: Column, named: DataFrame) -> tuple[DataF
     def may_be(h: pd.Series) -> pd.Series:
         return pd.Series(passes(sent.value, h.to_numpy().astype(np.int64)))
 
-    keyed = documents.withColumn("key_", key)
-    test = F.col("key_").isNotNull() & may_be(F.xxhash64("key_"))
-    return keyed.filter(~test).drop("key_"), keyed.filter(test)
+    name = free_name(documents, "key")
+    keyed = documents.withColumn(name, key)
+    test = F.col(name).isNotNull() & may_be(F.xxhash64(name))
+    return keyed.filter(~test).drop(name), keyed.filter(test), name

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,13 @@ def _describe(w: Words, length: int, whole: bool, at: int, reach: int, base: int
 
 
 def _printed(df: DataFrame, key: str, k: int, span: int, short: list[int], own_short: bool, bits: np.ndarray | None) -> DataFrame:
-    """Of each row: key, n_words and its fingerprints, those that the filter lets pass."""
+    """Of each row: key, a number of its own, n_words and its fingerprints, those that the filter lets pass."""
     key_type = df.schema[key].dataType.simpleString()
     sent = None if bits is None else df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let = None if sent is None else sent.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch):
                 w = words_of(part.column("text"), ALNUM)
@@ -89,11 +91,12 @@ def _printed(df: DataFrame, key: str, k: int, span: int, short: list[int], own_s
                     for at, h in zip(places.tolist(), hashes, strict=True):
                         found[w.row[at]].append(_describe(w, length, whole, at, reach, w.first[w.row[at]], h))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.struct([("hash", pa.int64()), ("len", pa.int32()), ("whole", pa.bool_()), ("pos", pa.int32()), ("core", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])))],
-                    names=["id", "n_words", "prints"],
+                    [part.column(key), pa.array(np.arange(row, row + part.num_rows)), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.struct([("hash", pa.int64()), ("len", pa.int32()), ("whole", pa.bool_()), ("pos", pa.int32()), ("core", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])))],
+                    names=["id", "row", "n_words", "prints"],
                 )
+                row += part.num_rows
 
-    return df.select(key, "text").mapInArrow(run, f"id {key_type}, n_words bigint, prints {_PRINT}")
+    return df.select(key, "text").mapInArrow(run, f"id {key_type}, row bigint, n_words bigint, prints {_PRINT}")
 
 
 def _equal_run(a: str, b: str):
@@ -108,9 +111,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 10, k:
 
     ``n_hit`` counts the words inside any window of ``span`` item words; ``items`` holds
     the ids, as strings in order, of the items that have an occurring window. A null
-    or wordless text has no words and no hit; a wordless item never occurs. Rows with
-    the same ``doc_id`` are taken together (their hits are united); a null id is never
-    joined and reports no hit, and an item without an id counts as a hit but not in ``items``. Other columns of either table are ignored.
+    or wordless text has no words and no hit; a wordless item never occurs. Every row
+    is judged by its own text, whatever its id and with none; an item without an id counts as a hit but not in ``items``. Other columns of either table are ignored.
     """
     items = _printed(benchmark.select(F.col(item_id), F.col("text")), item_id, k, span, list(range(1, span)), True, None)
     items = saved(items.filter(F.col("n_words") > 0), "item-prints")
@@ -122,20 +124,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 10, k:
     short = sorted(r["len"] for r in sides.filter("whole").select("len").distinct().collect())  # below span, so few
     marked = saved(_printed(documents.select(doc_id, "text"), doc_id, k, span, short, False, hash_filter(sides, "hash")), "doc-prints")
 
-    hits = marked.filter(F.col("id").isNotNull() & (F.size("prints") > 0)).select("id", F.explode("prints").alias("p")).select("id", "p.*")
+    hits = marked.filter(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", "p.*")
     other = sides.select("hash", "len", "whole", "core", F.col("left").alias("item_left"), F.col("right").alias("item_right"), "items")
-    met = hits.join(other, ["hash", "len", "whole", "core"]).select("id", "pos", "len", "whole", "items", _equal_run("left", "item_left").alias("before"), _equal_run("right", "item_right").alias("after"))
+    met = hits.join(other, ["hash", "len", "whole", "core"]).select("row", "pos", "len", "whole", "items", _equal_run("left", "item_left").alias("before"), _equal_run("right", "item_right").alias("after"))
     met = met.filter(F.col("whole") | (F.col("before") + F.col("after") + F.col("len") >= span))
-    runs = met.select("id", "items", F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("len") + F.col("after")).alias("b")).alias("run"))
-    by_doc = runs.groupBy("id").agg(F.sort_array(F.collect_set("run")).alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    runs = met.select("row", "items", F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("len") + F.col("after")).alias("b")).alias("run"))
+    by_doc = runs.groupBy("row").agg(F.sort_array(F.collect_set("run")).alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "runs",
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("to")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["to"]))).cast("bigint").alias("n"), F.greatest(acc["to"], r["b"]).alias("to")),
         lambda acc: acc["n"],
     )
-    by_doc = by_doc.select("id", covered.alias("n_hit"), "items")
-    return marked.select("id", "n_words").join(by_doc, "id", "left").select(
+    by_doc = by_doc.select("row", covered.alias("n_hit"), "items")
+    return marked.select("id", "row", "n_words").join(by_doc, "row", "left").select(
         F.col("id").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

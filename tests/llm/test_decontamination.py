@@ -53,3 +53,11 @@ def test_odd_rows(spark, odd, none):
     assert not by[4].contaminated and by[4].n_words == 0
     assert contamination(none, bench).count() == 0
     assert not any(x.contaminated for x in contamination(odd, bench.limit(0)).collect())
+
+
+def test_rows_of_one_id_and_of_none_are_judged_by_their_own_text(spark):
+    item = prose(7, 30)
+    docs = [(1, prose(1, 14) + " " + item), (1, item), (1, prose(2, 4)), (None, item), (None, prose(3, 20)), (None, None)]
+    got = contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    key = lambda x: (x[0] or 0, x[1], x[2], x[3])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got), key=key) == sorted([(1, 44, 30, True), (1, 30, 30, True), (1, 4, 0, False), (None, 30, 30, True), (None, 20, 0, False), (None, 0, 0, False)], key=key)

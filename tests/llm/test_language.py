@@ -1,8 +1,13 @@
 """Language identification: held-out accuracy, and odd rows."""
 
+import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from chronolith.llm import langid, queries
 
@@ -39,15 +44,43 @@ def test_odd_rows(odd, none):
 
 
 def test_whole_text_decides():
-    """What stands behind a long head counts."""
-    tools = langid.Compressors({"a": b"alpha beta gamma delta", "b": b"uno dos tres cuatro cinco"})
-    head, tail = "alpha beta gamma " * 30, "dos tres uno cinco cuatro uno tres dos " * 400
-    n, sizes = tools.sizes(head + tail)
-    assert n > 10_000 and len(sizes) == 2
+    """What stands behind a long head counts, also beyond the first block."""
+    r = random.Random(1)
+    words = {lang: ["".join(r.choice(letters) for _ in range(7)) for _ in range(300)] for lang, letters in (("a", "abcdefghijkl"), ("b", "mnopqrstuvwx"))}
+    tools = langid.Compressors({lang: " ".join(w).encode() for lang, w in words.items()})
+    said = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    for head, tail, winner in ((400, 100, "a"), (400, 900, "b"), (5000, 2000, "a"), (5000, 9000, "b")):
+        n, sizes = tools.sizes(said("a", head) + " " + said("b", tail))
+        assert n > 7 * (head + tail) and tools.langs[langid.decide(n, sizes)[0]] == winner
     assert langid.decide(100, [50, 50])[2]
     assert not langid.decide(100, [20, 50])[2]
 
 
+def test_every_row_against_a_plain_loop(spark, odd):
+    """Blocks of a text, compressed by themselves behind each language's dictionary, summed."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd.select((F.col("doc_id") - 1000).alias("doc_id"), "text"))
+    known = langid.dictionaries(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    how = zstandard.ZstdCompressionParameters(**langid.PARAMETERS)
+
+    def plain(text):
+        data = b" ".join(re.sub(rb"[^a-z\x80-\xff]+", b" ", (text or "").lower().encode()).split())
+        if not any(c.isalpha() for c in data.decode()):
+            return "und", True
+        n = -(-len(data) // (32 << 10))
+        parts = [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+        sizes = {lang: sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(x)) for x in parts) for lang, d in known.items()}
+        first, second = sorted(sizes.values())[:2]
+        return min(sizes, key=sizes.get), second - first < max(1, 0.0015 * len(data))
+
+    got = Counter((r.doc_id, r.lang_pred, r.rejected) for r in langid.identify(docs, known).collect())
+    assert got == Counter((r.doc_id, *plain(r.text)) for r in docs.collect())
+
+
+def test_a_dictionary_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "a long text " * 10_000, "en"), (2, "kurz", "de")], "doc_id bigint, text string, lang string")
+    assert {k: len(v) for k, v in langid.dictionaries(docs).items()} == {"en": langid.DICTIONARY_BYTES, "de": 4}
+
+
 @pytest.fixture(scope="module")
 def joined():
     """Dictionaries of three quarters of the texts of each language, and the others' texts."""
@@ -58,7 +91,7 @@ def joined():
     for r in sorted((r for r in rows if r["text"] and r["lang"]), key=lambda r: zlib.crc32(b"x%d" % r["doc_id"])):
         if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2:
             others.setdefault(r["lang"], []).append(r["text"])
-        elif len(r["text"]) <= langid.SAMPLE_CHARS and len(known.get(r["lang"], b"")) < langid.DICTIONARY_BYTES:
+        elif len(known.get(r["lang"], b"")) < langid.DICTIONARY_BYTES:
             known[r["lang"]] = known.get(r["lang"], b"") + b" " + langid.letters_only(r["text"])
     return known, others
 

@@ -57,3 +57,13 @@ def test_rows_without_ids_are_judged_too(spark):
     docs = spark.createDataFrame([(None, prose(1, 40) + " " + item, "en", "a", 1), (None, prose(1, 40), "en", "a", 1), (5, item, "en", "a", 1), (5, prose(2, 40), "en", "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = cp.decontamination(spark, docs, SF).collect()
     assert sorted(r.text for r in got) == sorted([prose(1, 40), prose(2, 40)])
+
+
+def test_other_columns_survive(spark):
+    """A column named like a key, and one of a type without order, beside repeated ids."""
+    rows = [(1, prose(1, 40), "en", "a", 1, "mine", {"a": 1}), (1, prose(2, 40), "en", "a", 1, "mine", {"a": 2}), (2, prose(1, 40), "en", "a", 1, "mine", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, m map<string,int>")
+    for stage in (cp.jaccard_join, cp.decontamination, cp.secret_scan):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and {r.key for r in got.collect()} == {"mine"}
+    assert cp.jaccard_join(spark, docs, SF).count() == 1

@@ -7,18 +7,26 @@ from chronolith.llm import storage
 
 
 def test_a_sample_is_the_smallest_hashes(spark):
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    keys = docs.select("doc_id", (F.col("doc_id") % 3 == 0).alias("g"), F.when(F.col("doc_id") < 19_980, 10).otherwise(99).alias("n_chars"))
-    keys = keys.filter("not g or doc_id < 60 or n_chars = 99")
-    got = storage.sample_rows(docs, keys.union(keys), "g", 200, 50)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).alias("text"))
+    keys = storage.sample_keys(docs, (F.col("doc_id") % 3 == 0).alias("g")).filter("not g or doc_id < 60")
+    got = storage.sample_rows(docs, keys.union(keys), "g", 200, 10**6)
     by = {g: [r["doc_id"] for r in got if r["g"] == g] for g in (True, False)}
-    ranked = [r.doc_id for r in docs.filter("doc_id % 3 <> 0 and doc_id < 19980").orderBy(F.xxhash64("doc_id")).limit(200).collect()]
-    assert by[False] == ranked
-    assert sorted(by[True]) == sorted([*range(0, 60, 3), *range(19_980, 20_000, 3)])
-    assert by[True][:20] == [r.doc_id for r in docs.filter("doc_id % 3 = 0 and doc_id < 60").orderBy(F.xxhash64("doc_id")).collect()]
+    ranked = [r.doc_id for r in docs.filter("doc_id % 3 <> 0").orderBy(F.xxhash64("doc_id")).limit(200).collect()]
+    assert by[False] == ranked and sorted(by[True]) == list(range(0, 60, 3))
     assert storage.sample_rows(docs, keys.limit(0), "g", 5, 50) == []
 
 
+def test_a_sample_is_bounded(spark):
+    """One id on many rows gives one row; bytes end a sample; a text longer than all of it is passed over."""
+    docs = spark.range(5000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(docs).union(spark.range(10, 30).select("id", F.repeat(F.lit("y"), 100))).union(spark.createDataFrame([(99, "z" * 5000)], docs.schema))
+    keys = storage.sample_keys(docs, F.lit(1).alias("g"))
+    assert len(storage.sample_rows(docs, keys, "g", 10, 10**6)) == 10
+    got = storage.sample_rows(docs, keys, "g", 1000, 3000)
+    assert len(got) == len({r["doc_id"] for r in got}) == 21 and 99 not in {r["doc_id"] for r in got}
+    assert sum(len(r["text"]) for r in storage.sample_rows(docs, keys, "g", 1000, 450)) <= 450
+
+
 def test_filters_let_their_own_pass(spark):
     named = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bits = storage.hash_filter(named, "h")
@@ -31,6 +39,8 @@ def test_filters_let_their_own_pass(spark):
 
 def test_split_by_keeps_every_row(spark):
     docs = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"))
-    clear, maybe = storage.split_by(docs, F.col("doc_id"), spark.range(10, 60).select("id"))
-    assert clear.count() + maybe.count() == 1000 and clear.columns == ["doc_id"]
-    assert {r.key_ for r in maybe.collect()} >= set(range(10, 60)) and clear.filter("doc_id is null").count() == 1
+    docs = docs.withColumn("key", F.lit("mine"))
+    clear, maybe, key = storage.split_by(docs, F.col("doc_id"), spark.range(10, 60).select("id"))
+    assert clear.count() + maybe.count() == 1000 and clear.columns == ["doc_id", "key"] and key == "key_"
+    assert {r[key] for r in maybe.collect()} >= set(range(10, 60)) and clear.filter("doc_id is null").count() == 1
+    assert maybe.union(clear.withColumn("key_", F.lit(None))).filter("key = 'mine'").count() == 1000
