@@ -27,16 +27,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of repeated ids the least row.
+    """Of each group of linked documents the one with the smallest id; of repeated ids the least row as JSON, whatever their texts.
 
     Documents without words, or without an id, are linked with nothing and stay.
     """
     groups = saved(jaccard_components(docs), "pipeline-groups")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept, others = split_by(docs, F.col("doc_id"), saved(gone.union(again), "pipeline-named"))
-    others = others.drop("key_").join(gone, "doc_id", "left_anti")
-    once = others.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept, others, key = split_by(docs, F.col("doc_id"), saved(gone.union(again), "pipeline-named"))
+    others = others.drop(key).join(gone, "doc_id", "left_anti")
+    row = F.struct(*docs.columns)  # maps have no order, so rows are compared as JSON
+    once = others.groupBy("doc_id").agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("row")).select("row.*")
     return kept.unionByName(once)
 
 
@@ -46,8 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     told = contamination(docs.select(own.alias("doc_id"), "text"), benchmark)
     gone = saved(told.filter("contaminated").select("doc_id").distinct(), "pipeline-leaks")
-    kept, others = split_by(docs, own, gone)
-    return kept.unionByName(others.join(gone.withColumnRenamed("doc_id", "key_"), "key_", "left_anti").drop("key_"))
+    kept, others, key = split_by(docs, own, gone)
+    return kept.unionByName(others.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").drop(key))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
