@@ -116,7 +116,13 @@ def link_signature(source: Column, keys: tuple[str, ...] = ("expires", "sign", "
     return F.array_join(first, "&")
 
 
-def video_id(url: Column) -> Column:
-    """A UUID or a number of six digits or more that stands as a part of a link's path; null without one."""
+def video_id(url: Column, host: str | None = None) -> Column:
+    """A UUID or a number of six digits or more that stands as a part of a link's path; null without one.
+
+    With ``host``, links of that host and its subdomains alone count; a link without a scheme counts too.
+    """
+    if host is not None:
+        own = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
+        url = F.when((own == host) | own.endswith("." + host), url)
     found = F.regexp_extract(F.lower(url), r"/(?:embed/)?([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|\d{6,})(?:[/?#]|$)", 1)
     return F.when(found != "", found)

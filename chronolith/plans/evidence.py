@@ -66,7 +66,7 @@ def index(root: str, signal: DataFrame, segments: DataFrame, media: DataFrame, d
 
 def search(spark: SparkSession, root: str, query: str, limit: int = 20) -> DataFrame:
     """Hits in speech and screen text, with their time codes and shortened lines."""
-    hits = finding.search(spark.read.parquet(f"{root}/corpus"), query, limit)
+    hits = finding.search(store.read(spark, root, "corpus"), query, limit)
     return hits.select("series", "kind", "t", "ref", scalars.timecode_short(F.col("t")).alias("tc"), scalars.short_line(F.col("body")).alias("line"))
 
 

@@ -13,7 +13,10 @@ SCHEMAS = {
     "gaps": "series string, a double, b double, tc string",
     "summary": "series string, duration double, n_frames bigint, est_tokens_per_frame bigint, max_gap_target double, longest double, coverage double, complete boolean",
     "served": "series string, id string, t double, at timestamp",
+    "corpus": "series string, kind string, t double, ref string, body string, place bigint",
 }
+#: of each table a column that no row lacks but the mark of a series without rows
+ALWAYS = {"segments": "i", "frames": "id", "gaps": "a", "summary": "duration", "served": "id", "corpus": "ref"}
 
 
 def read_jsonl(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -22,41 +25,37 @@ def read_jsonl(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}").filter(F.col(ALWAYS[table]).isNotNull())
 
 
-def _replace(df: DataFrame, path: str, *more: str) -> None:
-    """Replaces the partitions of the series in ``df``, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series", *more).parquet(path)
+def _replace(df: DataFrame, series: DataFrame, path: str) -> None:
+    """Replaces the partitions of all ``series``, and no others.
+
+    Only partitions that occur in what is written are replaced. So each series has a row
+    with nothing but its name too, which takes the place of old rows where it has no new one.
+    """
+    marked = df.unionByName(series.select("series").distinct(), allowMissingColumns=True)
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series").parquet(path)
 
 
 def write_index(root: str, segments: DataFrame, frames: DataFrame, gaps: DataFrame, summary: DataFrame) -> None:
     """Writes all tables of the series in ``summary`` anew; their log of served frames starts again, and search postings follow."""
-    spark = summary.sparkSession
-    for name, df in (("segments", segments), ("frames", frames), ("gaps", gaps), ("summary", summary)):
-        _replace(df, f"{root}/{name}")
-    try:
-        log = spark.read.schema(SCHEMAS["served"]).parquet(f"{root}/served")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    else:
-        keep = log.join(summary.select("series").distinct(), "series", "left_anti")
-        keep.write.mode("overwrite").parquet(f"{root}/served.next")
-        spark.read.schema(SCHEMAS["served"]).parquet(f"{root}/served.next").write.mode("overwrite").parquet(f"{root}/served")
-    write_search(root, segments, frames)
-
-
-def write_search(root: str, segments: DataFrame, frames: DataFrame) -> None:
-    """Search corpus and postings of the series in ``segments`` and ``frames``."""
+    for name, df in (("segments", segments), ("frames", frames), ("gaps", gaps), ("summary", summary), ("served", summary.sparkSession.createDataFrame([], SCHEMAS["served"]))):
+        _replace(df, summary, f"{root}/{name}")
+    write_search(root, segments, frames, summary)
+
+
+def write_search(root: str, segments: DataFrame, frames: DataFrame, series: DataFrame | None = None) -> None:
+    """Search corpus and postings of ``series``, or of those in ``segments`` and ``frames``."""
     body = corpus(segments, frames)
-    _replace(body, f"{root}/corpus")
-    _replace(postings(body), f"{root}/postings")
+    series = segments.select("series").union(frames.select("series")) if series is None else series
+    _replace(body, series, f"{root}/corpus")
+    _replace(postings(body), series, f"{root}/postings")
 
 
 def log_served(root: str, frames: DataFrame) -> None:
     """Appends frames to the log of served ones."""
-    frames.select("series", "id", "t", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/served")
+    frames.select("series", "id", "t", F.current_timestamp().alias("at")).write.mode("append").partitionBy("series").parquet(f"{root}/served")
 
 
 def with_ocr(frames: DataFrame, texts: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def test_store(spark):
     store.write_index(root, *tables("a", "second words"))
     assert {r.series: r.text for r in store.read(spark, root, "segments").collect()} == {"a": "second words", "b": "other words"}
     assert [r.series for r in store.read(spark, root, "served").collect()] == ["b"]
-    body = spark.read.parquet(f"{root}/corpus")
+    body = store.read(spark, root, "corpus")
     index = spark.read.parquet(f"{root}/postings")
     assert [h.series for h in search.search_postings(index, body, "words").orderBy("series").collect()] == ["a", "b"]
     texts = spark.createDataFrame([("a.jpg", " seen "), ("b.jpg", " ")], "path string, text string")
@@ -163,6 +163,23 @@ def test_store(spark):
     assert store.read_jsonl(spark, f"{root}/lines", "frames").filter("ocr is null").count() == 2
 
 
+def test_nothing_old_stays_in_the_store(spark):
+    """A series that is indexed again without gaps, speech or frames has none; the other one keeps its own."""
+    root = tempfile.mkdtemp(prefix="spark-store-")
+    empty = lambda name: spark.createDataFrame([], store.SCHEMAS[name])
+    gaps = spark.createDataFrame([("007", 1.0, 9.0, "0:01"), ("t", 2.0, 9.0, "0:02")], store.SCHEMAS["gaps"])
+    speech = spark.createDataFrame([("007", 0, 0.0, 5.0, "old words", "0:00"), ("t", 0, 0.0, 5.0, "kept words", "0:00")], store.SCHEMAS["segments"])
+    summary = spark.createDataFrame([(s, 9.0, 0, 0, 15.0, 8.0, 1.0, True) for s in ("007", "t")], store.SCHEMAS["summary"])
+    store.write_index(root, speech, empty("frames"), gaps, summary)
+    from chronolith.plans import evidence as plan
+
+    assert [h.series for h in plan.search(spark, root, "old words").collect()] == ["007"]
+    store.write_index(root, empty("segments"), empty("frames"), empty("gaps"), summary.filter("series = '007'"))
+    for table, left in (("segments", ["t"]), ("gaps", ["t"]), ("corpus", ["t"]), ("summary", ["007", "t"])):
+        assert sorted(r.series for r in store.read(spark, root, table).collect()) == left
+    assert spark.read.parquet(f"{root}/postings").filter("series = '007' and gram is not null").isEmpty()
+
+
 def test_live_guard(spark):
     folder, out, state = (tempfile.mkdtemp(prefix="spark-live-") for _ in range(3))
     at = lambda s: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)

@@ -49,6 +49,8 @@ def test_links_and_names(spark):
     assert values(spark, [(a,) for a, _ in names], "x string", S.slug(F.col("x"))) == [b for _, b in names]
     ids = [("https://h.example/embed/1234567?x", "1234567"), ("https://h.example/0A0b0c0d-0000-4000-8000-000000000001", "0a0b0c0d-0000-4000-8000-000000000001"), ("https://h.example/a/b", None)]
     assert values(spark, [(a,) for a, _ in ids], "u string", T.video_id(F.col("u"))) == [b for _, b in ids]
+    hosts = [("https://v.example/1234567", "1234567"), ("https://a.v.example:80/1234567", "1234567"), ("v.example/1234567", "1234567"), ("https://other.example/1234567", None), ("https://notv.example/1234567", None), ("https://other.example/v.example/1234567", None)]
+    assert values(spark, [(a,) for a, _ in hosts], "u string", T.video_id(F.col("u"), "v.example")) == [b for _, b in hosts]
     signs = [("x?expires=1&sign=AB&sign=C", "expires=1&sign=AB"), (r"x?expires=1&sign=Z", "expires=1&sign=Z"), ("x?a=1", ""), (None, ""), (r"Token=фq", r"token=фq")]
     assert values(spark, [(a,) for a, _ in signs], "u string", T.link_signature(F.col("u"))) == [b for _, b in signs]
 
