@@ -161,10 +161,14 @@ def min_gap_thin(spark, sf_dir):
 
 @query()
 def thin_to_budget(spark, sf_dir):
-    """At most 40 moments a user while no stretch exceeds 24 hours (no SQL: each removal hangs on the ones before)."""
+    """At most 40 moments a user while no stretch exceeds 24 hours (no SQL: each removal hangs on the ones before).
+
+    Close moments are thinned first, so that a user's moments are bounded by the month over the least gap.
+    """
     m = moments(spark, sf_dir)
     reason = F.when(F.col("event_type") == "view", "grid").when(F.col("event_type") == "click", "cue").otherwise("change")
-    rows = m.select("series", "t", reason.alias("reason"), F.col("value").alias("change"), F.lit(40).alias("cap"), F.lit(MONTH).alias("duration"), F.lit(24 * HOUR).alias("max_gap"))
+    m = greedy.thin_close(m.select("series", "t", reason.alias("reason"), F.col("value").alias("change")), MIN_GAP)
+    rows = m.select("series", "t", "reason", "change", F.lit(40).alias("cap"), F.lit(MONTH).alias("duration"), F.lit(24 * HOUR).alias("max_gap"))
     return greedy.fit_budget(rows)
 
 
@@ -278,36 +282,36 @@ def corpus_union(spark, sf_dir):
     return body(spark, sf_dir).select("series", "kind", "t", "ref", F.sha2("body", 256).alias("body_sha256"))
 
 
-@query(f"WITH {_BODY} SELECT series, kind, t, ref FROM body WHERE kind = 'screen' AND contains(lower(body), 'the and') ORDER BY t, ref LIMIT 20")
+@query(f"WITH {_BODY} SELECT series, kind, t, ref FROM body WHERE contains(lower(body), 'the and') ORDER BY t, series, ref LIMIT 20")
 def search_text(spark, sf_dir):
-    return search.search(body(spark, sf_dir).filter("kind = 'screen'"), "The and").select("series", "kind", "t", "ref")
+    return search.search(body(spark, sf_dir), "The and").select("series", "kind", "t", "ref")
 
 
-@query(f"WITH {_BODY}, first AS (SELECT * FROM body WHERE contains(lower(body), 'qu') AND kind = 'screen' ORDER BY place, ref LIMIT 20) SELECT series, kind, t, ref FROM first")
+@query(f"WITH {_BODY}, first AS (SELECT * FROM body WHERE contains(replace(lower(body), 'ё', 'е'), 'qu') ORDER BY kind = 'screen', place, series, ref LIMIT 20) SELECT series, kind, t, ref FROM first")
 def search_plain(spark, sf_dir):
-    return search.search(body(spark, sf_dir).filter("kind = 'screen'"), "Qu").select("series", "kind", "t", "ref")
+    return search.search(body(spark, sf_dir), "Qu").select("series", "kind", "t", "ref")
 
 
 @query(f"""WITH {_BODY}, grams AS (
-  SELECT DISTINCT series, ref, substr(lower(body), k::INT, 3) AS gram FROM body, unnest(range(1, length(body) - 1)) AS r(k) WHERE kind = 'speech' AND length(body) >= 3)
+  SELECT DISTINCT series, ref, unnest(regexp_extract_all(substr(lower(body), k::INT), '(?s).{{3}}')) AS gram FROM body, range(1, 4) AS r(k))
 SELECT gram, count(*) AS n FROM grams GROUP BY gram""")
 def trigram_postings(spark, sf_dir):
-    """Texts of each trigram of the speech postings."""
-    return search.postings(body(spark, sf_dir).filter("kind = 'speech'")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    """Texts of each trigram, of speech and documents."""
+    return search.postings(body(spark, sf_dir)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_BODY} SELECT series, kind, t, ref FROM body WHERE kind = 'speech' AND contains(lower(body), 'en de') ORDER BY t, series, ref LIMIT 20")
+@query(f"WITH {_BODY} SELECT series, kind, t, ref FROM body WHERE contains(lower(body), 'en de') ORDER BY t, series, ref LIMIT 20")
 def search_postings(spark, sf_dir):
     """Postings and re-check give what a scan gives."""
-    b = body(spark, sf_dir).filter("kind = 'speech'")
+    b = body(spark, sf_dir)
     return search.search_postings(search.postings(b), b, "en de").select("series", "kind", "t", "ref")
 
 
 @query(r"""WITH terms AS (
-  SELECT DISTINCT source, doc_id, t AS term FROM (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[\w./:-]+')) AS t FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) WHERE length(t) > 1)
+  SELECT DISTINCT source, doc_id, t AS term FROM (SELECT source, doc_id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}./:-]+')) AS t FROM documents) WHERE length(t) > 1)
 SELECT source AS series, term, count(*) AS n FROM terms GROUP BY source, term HAVING count(*) >= 2""")
 def reliable_terms(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    d = table(spark, sf_dir, "documents")
     return search.reliable_terms(d.select(F.col("source").alias("series"), F.col("doc_id").alias("id"), F.col("text").alias("ocr")))
 
 
@@ -319,7 +323,7 @@ def pointing_cues(spark, sf_dir):
     return captions.pointing_cues(segments(spark, sf_dir).withColumn("text", said))
 
 
-@query("""WITH rows AS (SELECT conv_id AS series, turn AS pos, substr(text, 1, CASE turn % 3 WHEN 0 THEN 12 ELSE 12 + 6 * (turn % 3)::INT END) AS text, turn * 10000 AS t0, turn * 10000 + 8000 AS t1 FROM conversations),
+@query("""WITH rows AS (SELECT conv_id AS series, turn AS pos, text, turn * 10000 AS t0, turn * 10000 + 8000 AS t1 FROM conversations),
 grown AS (SELECT series, pos, t0, t1, first_value(text) OVER (PARTITION BY series, pos // 2 ORDER BY pos) AS head, text FROM rows),
 lines AS (SELECT series, pos, t0, t1, CASE WHEN pos % 2 = 1 THEN head || text ELSE text END AS text FROM grown),
 marked AS (SELECT *, lag(text) OVER (PARTITION BY series ORDER BY pos) AS p FROM lines),
@@ -327,7 +331,7 @@ blocks AS (SELECT *, sum(CASE WHEN text = p OR (starts_with(text, p) AND length(
 SELECT series, (b - 1)::BIGINT AS i, arg_min(t0, pos) AS t0_ms, max(t1) AS t1_ms, arg_max(text, pos) AS text FROM blocks GROUP BY series, b""")
 def rolling_dedup(spark, sf_dir):
     """Captions that grow: every other line is the one before with more behind it."""
-    s = segments(spark, sf_dir).select("series", F.col("i").alias("pos"), "t0_ms", "t1_ms", F.expr("substring(text, 1, CASE i % 3 WHEN 0 THEN 12 ELSE int(12 + 6 * (i % 3)) END)").alias("text"))
+    s = segments(spark, sf_dir).select("series", F.col("i").alias("pos"), "t0_ms", "t1_ms", "text")
     head = F.first("text").over(Window.partitionBy("series", F.expr("pos div 2")).orderBy("pos"))
     return captions.merge_rolling(s.withColumn("head", head).select("series", "pos", "t0_ms", "t1_ms", F.when(F.col("pos") % 2 == 1, F.concat("head", "text")).otherwise(F.col("text")).alias("text")))
 
@@ -360,12 +364,14 @@ def vtt_captions(spark, sf_dir):
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as frames of conversations: series by id, within the first two minutes."""
+    """Events as frames of all conversations in turn, at times up to a while behind the longest one."""
+    last = table(spark, sf_dir, "conversations").agg(F.max("conv_id"), F.max("turn")).first()
+    n, end = (last[0] or 0) + 1, ((last[1] or 0) + 2) * 10_000
     e = table(spark, sf_dir, "events")
-    return e.select(F.pmod("event_id", F.lit(100)).alias("series"), F.col("event_id").alias("id"), F.pmod(F.col("event_id") * 977, F.lit(120_000)).alias("t"))
+    return e.select(F.pmod("event_id", F.lit(n)).alias("series"), F.col("event_id").alias("id"), F.pmod(F.col("event_id") * 977, F.lit(end)).alias("t"))
 
 
-_PROBES = "probes AS (SELECT event_id % 100 AS series, event_id AS id, (event_id * 977) % 120000 AS t FROM events)"
+_PROBES = """probes AS (SELECT event_id % (SELECT max(conv_id) + 1 FROM conversations) AS series, event_id AS id, (event_id * 977) % (SELECT (max(turn) + 2) * 10000 FROM conversations) AS t FROM events)"""
 
 
 @query(f"""WITH {_PROBES} SELECT probes.series, id, t, coalesce(min(turn), -1)::BIGINT AS segment_i FROM probes LEFT JOIN conversations c
@@ -429,68 +435,69 @@ def token_totals(spark, sf_dir):
 # audit
 
 
-@query(r"""WITH pairs AS (SELECT item_id, d.doc_id, lower(b.text) AS q, lower(d.text) AS h FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE d.lang = 'en'),
-w AS (SELECT item_id, doc_id, trim(regexp_replace(q, '\s+', ' ', 'g')) AS q, trim(regexp_replace(h, '\s+', ' ', 'g')) AS h FROM pairs),
-qw AS (SELECT item_id, doc_id, q, h, unnest(regexp_extract_all(q, '[\w./:-]+')) AS t FROM w),
-hw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(h, '[\w./:-]+')) AS t FROM w),
-n AS (SELECT item_id, qw.doc_id, any_value(q) AS q, any_value(h) AS h, count(*) AS total, sum(CASE WHEN hw.t IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM qw LEFT JOIN hw ON hw.doc_id = qw.doc_id AND hw.t = qw.t WHERE length(qw.t) > 1 GROUP BY item_id, qw.doc_id)
-SELECT item_id, doc_id, contains(h, q) OR total < 2 OR hit * 10 >= total * 6 AS supported FROM n WHERE h <> ''""")
+@query(r"""WITH folded AS (SELECT 1 AS quote, item_id AS id, text FROM benchmark UNION ALL SELECT 0, doc_id, text FROM documents WHERE text <> ''),
+w AS (SELECT quote, id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[\s\p{Z}\x{0b}\x{85}]+', ' ', 'g')) AS body FROM folded WHERE text IS NOT NULL),
+words AS (SELECT quote, id, t FROM (SELECT quote, id, unnest(regexp_extract_all(body, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}./:-]+')) AS t FROM w) WHERE length(t) > 1),
+totals AS (SELECT id, count(*) AS total FROM words WHERE quote = 1 GROUP BY id),
+hits AS (SELECT q.id AS item_id, d.id AS doc_id, count(*) AS hit FROM words q JOIN (SELECT DISTINCT id, t FROM words WHERE quote = 0) d ON d.t = q.t WHERE q.quote = 1 GROUP BY q.id, d.id)
+SELECT i.id AS item_id, d.id AS doc_id FROM w i JOIN w d ON i.quote = 1 AND d.quote = 0 LEFT JOIN totals ON totals.id = i.id LEFT JOIN hits ON hits.item_id = i.id AND hits.doc_id = d.id
+WHERE contains(d.body, i.body) OR coalesce(total, 0) < 2 OR coalesce(hit, 0) * 10 >= total * 6""")
 def quote_support(spark, sf_dir):
-    """Whether documents hold benchmark passages, as quotes are judged."""
-    folded = lambda df, key, p: df.select(key, F.pmod(key, F.lit(40)).alias("k"), text.normalized(F.col("text")).alias(p), text.words(F.col("text")).alias(f"{p}_words"))
-    b = folded(table(spark, sf_dir, "benchmark"), "item_id", "q")
-    d = folded(table(spark, sf_dir, "documents").filter("lang = 'en' and text <> ''"), "doc_id", "h")
-    held = text.holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
-    return b.join(d, "k").select("item_id", "doc_id", held.alias("supported"))
+    """Which documents hold which benchmark passages, as quotes are judged: all documents, all passages."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return search.holders(quotes, "item_id", table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
 
 
 def audit_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Answers that cite documents as frames: one line for each order, some wrong in one way each."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 4000").select("o_orderkey", F.pmod("o_orderkey", F.lit(7)).alias("case"), F.pmod("o_orderkey", F.lit(100)).alias("f"))
+    """Answers that cite frames: one line for each order, some wrong in one way each; a customer is an answer, four of them a series."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id"), F.expr("o_custkey div 4").alias("series"), F.pmod("o_orderkey", F.lit(7)).alias("case"), F.pmod("o_orderkey", F.lit(100)).alias("f"))
     second = F.col("f") * 10 + F.when(F.col("case") == 1, 5).otherwise(0)
     frame = F.when(F.col("case") == 2, F.col("f") + 5000).otherwise(F.col("f"))
     clock = F.format_string("%d:%02d", F.expr("cast(s as bigint) div 60"), F.expr("cast(s as bigint) % 60"))
     lines = o.withColumn("s", second).withColumn("frame", frame).withColumn("clock", clock)
     line = F.concat(F.lit("- shown \"zyxq wvut\" here "), F.when(F.col("case") == 3, F.concat(F.lit("["), F.col("clock"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("clock"), F.lit(" / f"), F.lpad(F.col("frame").cast("string"), 4, "0"), F.lit("]"))))
-    answers = lines.groupBy(F.expr("o_orderkey div 40").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("x")))), lambda y: y["x"]), "\n").alias("text"))
-    frames_ = spark.range(100).select(F.lit("s").alias("series"), F.col("id").alias("place"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), (F.col("id") * 10.0).alias("t"), F.when(F.col("id") % 2 == 0, "plain words on the screen").alias("ocr"), F.concat(F.lit("frames/"), F.col("id").cast("string")).alias("path"))
+    answers = lines.groupBy("series", "doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("x")))), lambda y: y["x"]), "\n").alias("text"))
+    cited = o.select("series", F.col("f").alias("place"), F.concat(F.lit("f"), F.lpad(F.col("f").cast("string"), 4, "0")).alias("id")).distinct()
+    each = o.select("series").distinct()
+    shift = F.pmod("series", F.lit(5)) * 10.0
+    spoken = each.select("series", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(29).cast("bigint"))).alias("i")).filter((F.col("i") + F.col("series")) % 3 != 0)
     return {
-        "answers": answers.select(F.lit("s").alias("series"), "doc_id", "text"),
-        "frames": frames_,
-        "segments": spark.range(30).select(F.lit("s").alias("series"), F.col("id").alias("i"), (F.col("id") * 20.0).alias("t0"), (F.col("id") * 20.0 + 8).alias("t1"), F.lit("nothing of that kind").alias("text")),
-        "gaps": spark.createDataFrame([("s", 300.0, 340.0), ("s", 700.0, 705.0)], "series string, a double, b double"),
-        "served": spark.range(0, 100, 3).select(F.lit("s").alias("series"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id")),
+        "answers": answers,
+        "frames": cited.select("series", "place", "id", (F.col("place") * 10.0).alias("t"), F.when(F.col("place") % 2 == 0, "plain words on the screen").alias("ocr"), F.concat(F.lit("frames/"), F.col("place").cast("string")).alias("path")),
+        "segments": spoken.select("series", "i", (F.col("i") * 20.0).alias("t0"), (F.col("i") * 20.0 + 8).alias("t1"), F.lit("nothing of that kind").alias("text")),
+        "gaps": each.select("series", F.explode(F.array(F.struct((shift + 300).alias("a"), (shift + 340).alias("b")), F.struct(F.lit(700.0).alias("a"), F.lit(705.0).alias("b")))).alias("gap")).select("series", "gap.a", "gap.b"),
+        "served": cited.filter((F.col("place") + F.col("series")) % 3 == 0).select("series", "id"),
     }
 
 
-_AUDIT = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS c, o_orderkey % 100 AS f FROM orders WHERE o_orderkey < 4000),
-claims AS (SELECT k, k // 40 AS doc_id, row_number() OVER (PARTITION BY k // 40 ORDER BY k) AS n, f * 10 + CASE WHEN c = 1 THEN 5 ELSE 0 END AS s, c <> 3 AS cites, c = 2 AS lost, f, c FROM o),
-judged AS (SELECT *, lost AS not_found, cites AND NOT lost AND c = 1 AS mistimed, s BETWEEN 300 AND 340 OR s BETWEEN 700 AND 705 AS gap, cites AND NOT lost AND f % 3 <> 0 AS unopened,
-  CASE WHEN cites AND NOT lost AND f % 2 = 0 THEN 'screen' WHEN EXISTS (SELECT 1 FROM range(0, 30) r(i) WHERE s BETWEEN i * 20 - 8 AND i * 20 + 16) THEN 'speech' ELSE 'none' END AS quote FROM claims)"""
+_AUDIT = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS doc_id, o_custkey // 4 AS series, o_orderkey % 7 AS c, o_orderkey % 100 AS f FROM orders),
+claims AS (SELECT k, doc_id, series, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n, f * 10 + CASE WHEN c = 1 THEN 5 ELSE 0 END AS s, c <> 3 AS cites, c = 2 AS lost, f, c FROM o),
+judged AS (SELECT *, lost AS not_found, cites AND NOT lost AND c = 1 AS mistimed, s - 10 * (series % 5) BETWEEN 300 AND 340 OR s BETWEEN 700 AND 705 AS gap, cites AND NOT lost AND (f + series) % 3 <> 0 AS unopened,
+  CASE WHEN cites AND NOT lost AND f % 2 = 0 THEN 'screen' WHEN EXISTS (SELECT 1 FROM range(0, 30) r(i) WHERE (i + series) % 3 <> 0 AND s BETWEEN i * 20 - 8 AND i * 20 + 16) THEN 'speech' ELSE 'none' END AS quote FROM claims)"""
 
 
-@query(f"""{_AUDIT} SELECT doc_id, n, cites, not_found, mistimed, gap, unopened, quote = 'screen' AS quote_screen, quote = 'speech' AS quote_speech,
+@query(f"""{_AUDIT} SELECT series, doc_id, n, cites, not_found, mistimed, gap, unopened, quote = 'screen' AS quote_screen, quote = 'speech' AS quote_speech,
   CASE WHEN not_found OR mistimed OR gap THEN 'FAIL' WHEN unopened OR quote <> 'none' THEN 'WARN' ELSE 'OK' END AS severity FROM judged""")
 def audit_findings(spark, sf_dir):
     """All six findings and the severity of each claim."""
     a = audit.audit(**audit_inputs(spark, sf_dir))
     has = lambda code: F.exists("findings", lambda f: f["code"] == code)
     return a.select(
-        "doc_id", F.col("n").cast("bigint").alias("n"), F.col("frame_id").isNotNull().alias("cites"), has("FRAME_NOT_FOUND").alias("not_found"), has("TIME_MISMATCH").alias("mistimed"), has("IN_COVERAGE_GAP").alias("gap"),
+        "series", "doc_id", F.col("n").cast("bigint").alias("n"), F.col("frame_id").isNotNull().alias("cites"), has("FRAME_NOT_FOUND").alias("not_found"), has("TIME_MISMATCH").alias("mistimed"), has("IN_COVERAGE_GAP").alias("gap"),
         has("NEVER_OPENED").alias("unopened"), has("QUOTE_NOT_ON_SCREEN").alias("quote_screen"), has("QUOTE_NOT_IN_SPEECH").alias("quote_speech"), "severity",
     )
 
 
 @query(f"""{_AUDIT}, sev AS (SELECT *, not_found OR mistimed OR gap AS failed, unopened OR quote <> 'none' AS warned FROM judged)
-SELECT doc_id, count(*) AS claims, sum(failed::INT)::BIGINT AS fails, sum((warned AND NOT failed)::INT)::BIGINT AS warns, sum((NOT failed AND cites)::INT)::BIGINT AS second_looks FROM sev GROUP BY doc_id""")
+SELECT series, doc_id, count(*) AS claims, sum(failed::INT)::BIGINT AS fails, sum((warned AND NOT failed)::INT)::BIGINT AS warns, sum((NOT failed AND cites)::INT)::BIGINT AS second_looks FROM sev GROUP BY series, doc_id""")
 def audit_severity(spark, sf_dir):
-    return audit.totals(audit.audit(**audit_inputs(spark, sf_dir))).drop("series")
+    return audit.totals(audit.audit(**audit_inputs(spark, sf_dir)))
 
 
 @query(f"""{_AUDIT}, due AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place FROM judged WHERE cites AND NOT (not_found OR mistimed OR gap))
-SELECT doc_id, n AS claim_id, 'shown "zyxq wvut" here' AS claim_text, 'frames/' || f::VARCHAR AS frame_path, 'f' || lpad(f::VARCHAR, 4, '0') AS frame_id FROM due WHERE place <= 8""")
+SELECT series, doc_id, n AS claim_id, 'shown "zyxq wvut" here' AS claim_text, 'frames/' || f::VARCHAR AS frame_path, 'f' || lpad(f::VARCHAR, 4, '0') AS frame_id FROM due WHERE place <= 8""")
 def second_look(spark, sf_dir):
-    return audit.second_look(audit.audit(**audit_inputs(spark, sf_dir))).drop("series").withColumn("claim_id", F.col("claim_id").cast("bigint"))
+    return audit.second_look(audit.audit(**audit_inputs(spark, sf_dir))).withColumn("claim_id", F.col("claim_id").cast("bigint"))
 
 
 # scalar functions
@@ -618,11 +625,10 @@ def short_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.short_line(F.col("text")).alias("line"))
 
 
-@query("SELECT p_partkey AS k, greatest(2, (1080 * (p_size * 2) // 1920) - ((1080 * (p_size * 2) // 1920) % 2))::BIGINT AS height FROM part WHERE (1080 * p_size * 2) % 1920 = 0")
+@query("SELECT k, greatest(2, h - h % 2) AS height FROM (SELECT p_partkey AS k, round_even(1080::DOUBLE * (p_size * 2) / 1920, 0)::BIGINT AS h FROM part)")
 def scaled_heights(spark, sf_dir):
-    """Heights at widths where nothing has to be rounded but to even."""
-    p = table(spark, sf_dir, "part").filter("(1080 * p_size * 2) % 1920 = 0")
-    return p.select(F.col("p_partkey").alias("k"), scalars.scaled_height(F.lit(1920), F.lit(1080), F.col("p_size") * 2).cast("bigint").alias("height"))
+    """Heights at all widths, halves rounded to even."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), scalars.scaled_height(F.lit(1920), F.lit(1080), F.col("p_size") * 2).cast("bigint").alias("height"))
 
 
 @query("SELECT p_partkey AS k, 1280 AS width, 720 AS height, 1196::BIGINT AS tokens, p_size AS moments, (1196 * p_size)::BIGINT AS tokens_all, (1196 * 8)::BIGINT AS tokens_call FROM part")
@@ -692,17 +698,17 @@ def media_probe(spark, sf_dir):
     return info.select("series", "duration", "width", "height", "vfr")
 
 
-@query(f"{_AUDIT} SELECT doc_id, n, n AS line_no, s::DOUBLE AS t, CASE WHEN cites THEN 'f' || lpad((CASE WHEN lost THEN f + 5000 ELSE f END)::VARCHAR, 4, '0') END AS frame_id, 'shown \"zyxq wvut\" here' AS text, 'zyxq wvut' AS quote FROM claims")
+@query(f"{_AUDIT} SELECT series, doc_id, n, n AS line_no, s::DOUBLE AS t, CASE WHEN cites THEN 'f' || lpad((CASE WHEN lost THEN f + 5000 ELSE f END)::VARCHAR, 4, '0') END AS frame_id, 'shown \"zyxq wvut\" here' AS text, 'zyxq wvut' AS quote FROM claims")
 def claims(spark, sf_dir):
     """Claims of answers with number, line, time, frame, text and quote."""
     c = audit.claims(audit_inputs(spark, sf_dir)["answers"])
-    return c.select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("line_no").cast("bigint").alias("line_no"), "t", "frame_id", "text", F.array_join("quotes", "|").alias("quote"))
+    return c.select("series", "doc_id", F.col("n").cast("bigint").alias("n"), F.col("line_no").cast("bigint").alias("line_no"), "t", "frame_id", "text", F.array_join("quotes", "|").alias("quote"))
 
 
 @query(f"{_AUDIT} SELECT doc_id, count(*) AS lines FROM o2 GROUP BY doc_id".replace("judged AS", "o2 AS (SELECT k // 120 AS doc_id, k // 3 AS line FROM o GROUP BY ALL), judged AS"))
 def logical_lines(spark, sf_dir):
     """Lines that a list mark begins, each wrapped over up to three."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 4000").select(F.col("o_orderkey").alias("k"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     first = F.col("k") == F.min("k").over(Window.partitionBy(F.expr("k div 3")))
     lines = o.withColumn("line", F.when(first, F.concat(F.lit("- k"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("  more "), F.col("k").cast("string"))))
     texts = lines.groupBy(F.expr("k div 120").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))

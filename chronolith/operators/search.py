@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, words
+from ..functions.text import QUOTE_SHARE, folded, holds, normalized, words
 
 #: fixed value: shorter queries have no trigram
 TRIGRAM = 3
@@ -53,3 +53,27 @@ def reliable_terms(frames: DataFrame, least: int = 2) -> DataFrame:
     """``series, term, n``: words of screen texts that are seen on ``least`` frames or more."""
     terms = frames.select("series", "id", F.explode(F.array_distinct(words(F.col("ocr")))).alias("term"))
     return terms.groupBy("series", "term").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= least)
+
+
+def holders(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) -> DataFrame:
+    """Pairs of a quote (its id and ``quote``) and a text (its id and ``body``) that holds it, as ``text.holds`` judges.
+
+    A text that holds a quote lacks few of its words: what the share leaves, or the first
+    and the last one if it holds the quote literally. So it has one of the quote's words
+    that are in fewest texts, as many as weigh more than that; pairs come from these, and are then
+    judged whole. Quotes of fewer than three words have no such word and meet every text,
+    as a query set. Ids are unique; null quotes and null or empty texts give no pair.
+    """
+    q = quotes.filter("quote is not null").select(quote_id, normalized(F.col("quote")).alias("q"), words(F.col("quote")).alias("q_words"))
+    t = texts.filter("body <> ''").select(text_id, normalized(F.col("body")).alias("h"), words(F.col("body")).alias("h_words"))
+    held = holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
+    short = F.size("q_words") < 3
+    asked = q.filter(~short).select(quote_id, F.size("q_words").alias("total"), F.explode("q_words").alias("word")).groupBy(quote_id, "total", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = t.select(text_id, F.explode(F.array_distinct("h_words")).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    often = known.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    rare_first = Window.partitionBy(quote_id).orderBy("texts", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = asked.join(often, "word", "left").fillna(0, ["texts"]).withColumn("before", F.sum("n").over(rare_first) - F.col("n"))
+    lacking = F.greatest(F.lit(20), (10 - int(QUOTE_SHARE * 10)) * F.col("total"))
+    near = ranked.filter((10 * F.col("before") <= lacking) & (F.col("texts") > 0)).join(known, "word").select(quote_id, text_id).distinct()
+    found = near.join(q, quote_id).join(t, text_id).filter(held).select(quote_id, text_id)
+    return found.unionByName(q.filter(short).join(t, held).select(quote_id, text_id))
