@@ -65,15 +65,16 @@ def holders(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) ->
     as a query set. Ids are unique; null quotes and null or empty texts give no pair.
     """
     q = quotes.filter("quote is not null").select(quote_id, normalized(F.col("quote")).alias("q"), words(F.col("quote")).alias("q_words"))
-    t = texts.filter("body <> ''").select(text_id, normalized(F.col("body")).alias("h"), words(F.col("body")).alias("h_words"))
+    t = texts.filter("body <> ''").select(text_id, normalized(F.col("body")).alias("h"), F.array_distinct(words(F.col("body"))).alias("h_words"))
     held = holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
     short = F.size("q_words") < 3
     asked = q.filter(~short).select(quote_id, F.size("q_words").alias("total"), F.explode("q_words").alias("word")).groupBy(quote_id, "total", "word").agg(F.count(F.lit(1)).alias("n"))
-    known = t.select(text_id, F.explode(F.array_distinct("h_words")).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    known = t.select(text_id, F.explode("h_words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
     often = known.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
     rare_first = Window.partitionBy(quote_id).orderBy("texts", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = asked.join(often, "word", "left").fillna(0, ["texts"]).withColumn("before", F.sum("n").over(rare_first) - F.col("n"))
-    lacking = F.greatest(F.lit(20), (10 - int(QUOTE_SHARE * 10)) * F.col("total"))
-    near = ranked.filter((10 * F.col("before") <= lacking) & (F.col("texts") > 0)).join(known, "word").select(quote_id, text_id).distinct()
-    found = near.join(q, quote_id).join(t, text_id).filter(held).select(quote_id, text_id)
+    lacking = lambda total: F.greatest(F.lit(20), (10 - int(QUOTE_SHARE * 10)) * total)
+    near = ranked.filter((10 * F.col("before") <= lacking(F.col("total"))) & (F.col("texts") > 0)).join(known, "word").select(quote_id, text_id).distinct()
+    may = 10 * F.size(F.array_except("q_words", "h_words")) <= lacking(F.size("q_words"))  # cheaper, and leaves few
+    found = near.join(q, quote_id).join(t, text_id).filter(F.when(may, held)).select(quote_id, text_id)
     return found.unionByName(q.filter(short).join(t, held).select(quote_id, text_id))
