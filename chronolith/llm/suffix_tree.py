@@ -275,7 +275,7 @@ def divergent(entries: DataFrame, bits: int, gain: float, discount: float = DISC
 
 @dataclass
 class Tree:
-    """``levels``: a table of each length of contexts; ``words``: ``key, c``; ``log_root``: log10 probability of each code."""
+    """``levels``: a table of each length of contexts that are kept; ``words``: ``key, c``; ``log_root``: log10 probability of each code."""
 
     names: Alphabet
     words: DataFrame
@@ -328,11 +328,14 @@ def fit(documents: DataFrame, gain: float = GAIN, depth: int = DEPTH, most_bits:
         tail = F.col("key").bitwiseAND(F.lit((1 << (order * bits)) - 1))
         shorter = F.broadcast(below) if order == 1 else levels[-1].select(F.col("key").alias("symbol"), F.col("p").alias("below"))  # at most 2**bits rows
         level = divergent(pairs.join(shorter, tail == F.col("symbol")).drop("symbol"), bits, gain)
-        levels.append(saved(level if order < depth else level.drop("p"), "tree-level"))
+        # what isn't kept is only needed for the next length
+        levels.append(saved(level if order < depth else level.filter("kept").drop("p"), "tree-level"))
+        whole = levels[-2:-1]
+        levels[-2:-1] = [saved(x.filter("kept").drop("p"), "tree-level") for x in whole]
         top = pairs.filter(F.col("c") >= hot_from).select("key", "c").toArrow()  # at most 1 / HEAD_SHARE
         order_of = np.argsort(_unsigned(top, "key"))
         hot = _unsigned(top, "key")[order_of], top.column("c").to_numpy().astype(np.int64)[order_of]
-        discard(pairs)
+        discard(pairs, *whole)
     with np.errstate(divide="ignore"):
         return Tree(names, words, levels, np.where(root > 0, np.log10(root), 0.0), n, v, lost)
 
