@@ -14,7 +14,7 @@ from .mixing import mix
 from .perspectives import rotate
 from .quality_crf import fit as fit_crf
 from .quality_crf import quality, training_sample
-from .storage import crc_rest
+from .storage import crc_rest, small_batches
 from .token_counts import edited_counts, review_edits
 from .winnowing import contamination
 
@@ -96,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
+QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": sql.JACCARD,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,26 @@ from pyspark.sql import functions as F
 
 #: Size of a hash filter: 2**FILTER_BITS bits (4 MB), whatever it is built from.
 FILTER_BITS = 25
+#: Bytes of rows that go to a Python worker, or come from the JVM, at once, and the setting that says so.
+BATCH_BYTES = "4m"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(query: Callable) -> Callable:
+    """``query(spark, ...)`` with Arrow batches of ``BATCH_BYTES`` from then on, unless the session has a smaller size of its own.
+
+    Spark's 64 MB are held twice for each task, by the JVM and by its Python worker; texts
+    are worked on in slices of 2 MB anyway. It changes no result.
+    """
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest: object) -> DataFrame:
+        sized = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        if not 0 < sized(spark.conf.get(BATCH_SETTING)) <= sized(BATCH_BYTES):
+            spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+        return query(spark, *rest)
+
+    return run
 
 
 def shared_folder(spark: SparkSession) -> str:

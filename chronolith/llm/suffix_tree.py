@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, hash_filter, passes, saved
-from .textarrays import mix, slices, words_of
+from .textarrays import give_back, mix, slices, words_of
 
 GAIN = 12.0
 DISCOUNT = 0.75
@@ -58,6 +58,8 @@ HOT_TOKENS = 250_000
 END = np.uint64(0x656E64206F662074)
 #: steps of counts in an octave, by which the alphabet is cut
 STEPS = 16
+#: keys whose buckets are told at once
+PIECE = 1 << 17
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,12 +73,14 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of n (or the count) of each."""
+    order = None if n is None else np.argsort(keys)
+    keys = np.sort(keys) if n is None else keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.flatnonzero(new)
     if n is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(n, at)
+        return keys[at], np.diff(at, append=len(keys))
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +193,21 @@ def _read(table: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(x.copy()) >> np.uint64(16)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 15 else np.int64)
+    """Bucket of each key, a piece at a time."""
+    out = np.empty(len(x), np.uint16 if buckets <= 1 << 15 else np.int64)
+    for lo in range(0, len(x), PIECE):
+        out[lo : lo + PIECE] = (mix(x[lo : lo + PIECE].copy()) >> np.uint64(16)) % np.uint64(buckets)
+    return out
+
+
+def _dealt(keys: np.ndarray, shift: np.uint64, top: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each run's context, or of the run itself where its context is one of ``top``; a piece at a time."""
+    out = np.empty(len(keys), np.uint16 if buckets <= 1 << 15 else np.int64)
+    for lo in range(0, len(keys), PIECE):
+        piece = keys[lo : lo + PIECE]
+        context = piece >> shift
+        out[lo : lo + PIECE] = _bucket(np.where(_found(top, context)[1], piece, context), buckets)
+    return out
 
 
 def successors(documents: DataFrame, names: Alphabet, order: int, hot: tuple[np.ndarray, np.ndarray], n_tokens: int) -> DataFrame:
@@ -209,10 +227,11 @@ def successors(documents: DataFrame, names: Alphabet, order: int, hot: tuple[np.
 
         def block() -> pa.RecordBatch:
             """A row for each bucket: its runs, those seen more than once first, and these ones' counts."""
-            keys, n = _counted(np.concatenate(kept))
-            context = keys >> shift
-            bucket = _bucket(np.where(_found(top, context)[1], keys, context), buckets)
-            place = bucket * 2 + (n == 1)
+            together = np.concatenate(kept)
+            kept.clear()
+            keys, n = _counted(together)
+            del together
+            place = _dealt(keys, shift, top, buckets) * 2 + (n == 1)
             by = np.argsort(place, kind="stable")
             keys, n, place = keys[by], n[by].astype(np.int32), place[by]
             many = n > 1
@@ -227,7 +246,7 @@ def successors(documents: DataFrame, names: Alphabet, order: int, hot: tuple[np.
                 held += len(kept[-1])
                 if held >= BLOCK_TOKENS:
                     yield block()
-                    kept, held = [], 0
+                    held = 0
         if held:
             yield block()
 
@@ -246,6 +265,7 @@ def successors(documents: DataFrame, names: Alphabet, order: int, hot: tuple[np.
         at, there = _found(top, context)
         total[there] = counts[at[there]]
         twice = n > 1
+        give_back()
         return pa.table({"key": keys[twice].view(np.int64), "c": n[twice], "n": total[twice]})
 
     rows = documents.select("text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} binary" for c in [*columns, "counts"]))
@@ -478,6 +498,7 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
             adds = ((got > 0).astype(float), bare.base(got), bare.of_rare(got)) if is_word else (got,)
             rows.append(distinct.astype(np.uint32).tobytes())
             sums.append(np.stack([np.bincount(inverse, x, len(distinct)) for x in adds]).tobytes())
+        give_back()
         n = asks.num_rows
         empty = [asks.column("doc_id"), asks.column("base_row"), *(pa.nulls(n, k) for k in kinds[2:])]
         return pa.Table.from_arrays([*empty, pa.array(rows, pa.binary()), pa.array(sums, pa.binary())], names=[*plain, "rows", "adds"])

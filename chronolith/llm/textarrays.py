@@ -8,6 +8,7 @@ bytes; the separators of all operators here are ASCII, so that is exact.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,9 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 PIECE_BYTES = 2 << 20
 
+#: of the C library, where it has it
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 SAME = _BYTES.astype(np.uint8)
@@ -44,6 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Hands memory that arrays no longer use back to the machine: a worker that lives on would keep its highest mark."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold at most ``limit`` bytes, or one row."""
     n = batch.num_rows
@@ -55,6 +66,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(lo, hi - lo)
         lo, base = hi, int(ends[hi - 1])
+    give_back()
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
