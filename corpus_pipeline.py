@@ -14,18 +14,20 @@ from chronolith.llm import secret_crf
 from chronolith.llm.jaccard_groups import jaccard_components
 from chronolith.llm.langid import clear_only, dictionaries
 from chronolith.llm.mixing import mix
-from chronolith.llm.storage import saved, split_by
+from chronolith.llm.storage import saved, small_batches, split_by
 from chronolith.llm.winnowing import contamination
 
 #: what stands in the place of a secret
 REDACTED = "[secret]"
 
 
+@small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; null texts and narrow margins go."""
     return clear_only(docs, dictionaries(docs))
 
 
+@small_batches
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; of repeated ids the least row as JSON, whatever their texts.
 
@@ -41,6 +43,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.unionByName(once)
 
 
+@small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item; of rows with one id each is judged by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -51,6 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(others.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").drop(key))
 
 
+@small_batches
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with a mark in place of each secret; ``n_chars`` follows the text."""
     found = secret_crf.redact(docs, secret_crf.fit(secret_crf.training_sample(docs)), REDACTED)
@@ -59,6 +63,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@small_batches
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: ``doc_id, source, size, copies, taken, target`` of the documents that are taken at least once."""
     return mix(docs).filter("copies > 0").select("doc_id", "source", "size", "copies", "taken", "target")
