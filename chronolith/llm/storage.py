@@ -30,7 +30,7 @@ def small_batches(query: Callable) -> Callable:
     @wraps(query)
     def run(spark: SparkSession, *rest: object) -> DataFrame:
         sized = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-        if not 0 < sized(spark.conf.get(BATCH_SETTING)) <= sized(BATCH_BYTES):
+        if sized(spark.conf.get(BATCH_SETTING)) > sized(BATCH_BYTES):
             spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         return query(spark, *rest)
 

@@ -44,3 +44,16 @@ def test_split_by_keeps_every_row(spark):
     assert clear.count() + maybe.count() == 1000 and clear.columns == ["doc_id", "key"] and key == "key_"
     assert {r[key] for r in maybe.collect()} >= set(range(10, 60)) and clear.filter("doc_id is null").count() == 1
     assert maybe.union(clear.withColumn("key_", F.lit(None))).filter("key = 'mine'").count() == 1000
+
+
+def test_small_batches(spark):
+    """A session's larger bound becomes 4 MB; a smaller one of its own stays."""
+    query = storage.small_batches(lambda spark, n: spark.range(n))
+    before = spark.conf.get(storage.BATCH_SETTING)
+    try:
+        for own, then in (("64m", 4 << 20), ("1m", 1 << 20)):
+            spark.conf.set(storage.BATCH_SETTING, own)
+            assert query(spark, 3).count() == 3
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(storage.BATCH_SETTING)) == then
+    finally:
+        spark.conf.set(storage.BATCH_SETTING, before)
