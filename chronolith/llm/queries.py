@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt_rules, secret_crf, sql, suffix_tree
+from .forced_bpe import round_trip
 from .jaccard_groups import jaccard_components
 from .langid import dictionaries, identify
 from .mixing import mix
@@ -84,6 +86,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(docs, tree).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
 
