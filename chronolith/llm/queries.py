@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt_rules, secret_crf, sql, suffix_tree
+from .filter_audit import audit as filter_audit
 from .forced_bpe import round_trip
 from .jaccard_groups import jaccard_components
 from .langid import dictionaries, identify
@@ -86,6 +87,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(docs, tree).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_filter_audit": op12_filter_audit,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
@@ -111,4 +117,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": sql.MIX,
     "op8_chat_formatting": sql.PERSPECTIVES,
     "op9_benchmark_decontamination": sql.CONTAMINATION,
+    "op12_filter_audit": sql.FILTER_AUDIT,
 }

@@ -90,3 +90,35 @@ SELECT conv_id, perspective, turn, speaker, sha256(rendered) AS rendered_sha256,
        (CASE WHEN speaker = perspective THEN place + length(rendered) - 1 ELSE place + length(head) END)::BIGINT AS mask_end, speaker = perspective AS trained
 FROM placed
 """
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), least AS (SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text),
+told AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(texts.text, '[^A-Z]', '', 'g')) > 10 * length(texts.text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(texts.text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN texts.doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM texts JOIN least ON least.text = texts.text LEFT JOIN told ON told.doc_id = texts.doc_id
+), counted AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails),
+orders AS (
+  SELECT '' AS o
+  UNION ALL
+  SELECT o || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS letters(l) WHERE NOT contains(o, l)
+), steps AS (SELECT o AS filter_order, step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS before FROM orders, range(1, 6) AS r(step) WHERE length(o) = 5),
+each AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS hit, before <> '' AND regexp_matches(fails, '[' || before || 'x]') AS gone
+  FROM counted, steps
+), summed AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM each GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM summed
+"""
