@@ -18,6 +18,7 @@ from .perspectives import rotate
 from .quality_crf import fit as fit_crf
 from .quality_crf import quality, training_sample
 from .storage import crc_rest, small_batches
+from .structure_repair import summary as repair_summary
 from .token_counts import edited_counts, review_edits
 from .winnowing import contamination
 
@@ -87,6 +88,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(docs, tree).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_summary(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_structure_repair": op11_structure_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
@@ -117,5 +123,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": sql.MIX,
     "op8_chat_formatting": sql.PERSPECTIVES,
     "op9_benchmark_decontamination": sql.CONTAMINATION,
+    "op11_structure_repair": sql.STRUCTURE_REPAIR,
     "op12_filter_audit": sql.FILTER_AUDIT,
 }

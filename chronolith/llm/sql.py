@@ -122,3 +122,59 @@ each AS (
 SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM summed
 """
+
+STRUCTURE_REPAIR = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, zero: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(0::BIGINT, 256::BIGINT) AS r(n)
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, bytes
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM named, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS r(copy)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), judged AS (
+  SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+         substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), told AS MATERIALIZED (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM judged
+), follow(state, nxt, needed) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+allowed(state, initial, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts AS (
+  SELECT state, state AS at, 0 AS c, '' AS a, []::VARCHAR[] AS put FROM follow
+  UNION ALL SELECT f.state, f.nxt, 5, 'I', [f.needed || ':'] FROM follow f
+  UNION ALL SELECT f.state, g.nxt, 10, 'II', [f.needed || ':', g.needed || ':'] FROM follow f JOIN follow g ON g.state = f.nxt
+), lengths AS (SELECT conv_id, count(*) AS n FROM told GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS put FROM lengths
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, put FROM (
+    SELECT p.conv_id, t.i, e.nxt AS state, p.cost + s.c + e.c + CASE WHEN t.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END AS cost,
+           p.audit || s.a || e.letter AS audit,
+           list_concat(p.put, s.put, CASE e.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [e.needed || ':' || t.text] END) AS put,
+           row_number() OVER (PARTITION BY p.conv_id, e.nxt ORDER BY p.cost + s.c + e.c + CASE WHEN t.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END, p.audit || s.a || e.letter) AS best
+    FROM paths p JOIN told t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1 JOIN inserts s ON s.state = p.state
+    JOIN (
+      SELECT state, state AS nxt, 'D' AS letter, 2 AS c, '' AS needed, NULL AS initial FROM follow
+      UNION ALL SELECT state, nxt, 'R', 1, needed, NULL FROM follow
+      UNION ALL SELECT state, nxt, 'K', 0, '', initial FROM allowed
+    ) e ON e.state = s.at AND (e.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (e.initial IS NULL OR e.initial = t.initial)
+  ) WHERE best = 1
+), ended AS (
+  SELECT p.conv_id, p.cost + s.c AS cost, p.audit || s.a AS audit, list_concat(p.put, s.put) AS put,
+         row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + s.c, p.audit || s.a) AS best
+  FROM paths p JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.n = p.i JOIN inserts s ON s.state = p.state WHERE s.at IN (0, 3)
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(put, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM c.conv_id AND best = 1
+"""
