@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalars, text
 from .operators import audit, bursts, coverage, frames, greedy, lookup, search
 from .plans import evidence, selection
+from .plans.lineage import fresh
 from .sources import captions, manifests, media, store
 from .streaming import guard
 
@@ -307,6 +308,24 @@ def search_postings(spark, sf_dir):
     return search.search_postings(search.postings(b), b, "en de").select("series", "kind", "t", "ref")
 
 
+@query("""WITH body AS (
+  SELECT conv_id::VARCHAR AS series, 'speech' AS kind, turn * 10.0 AS t, 'seg#' || turn::VARCHAR AS ref, text AS body FROM conversations
+  UNION ALL SELECT source, 'screen', doc_id::DOUBLE, doc_id::VARCHAR, trim(text, ' ') FROM documents
+) SELECT series, kind, t::DOUBLE AS t, ref FROM body WHERE contains(lower(body), 'he an') ORDER BY t, series, ref LIMIT 200""")
+def search_index(spark, sf_dir):
+    """A store of conversations as speech and documents as frames, then their texts as recognised ones, searched through its index."""
+    spoken = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("series"), F.col("turn").alias("i"), (F.col("turn") * 10.0).alias("t0"), (F.col("turn") * 10.0 + 8).alias("t1"), "text", scalars.timecode(F.col("turn") * 10.0).alias("tc"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), "source", "text")
+    none = {c: F.lit(None).cast(t) for c, t in (("tc", "string"), ("w", "int"), ("h", "int"), ("bytes", "bigint"), ("est_tokens", "bigint"), ("reason", "string"), ("segment_i", "bigint"), ("caption", "string"), ("ocr", "string"), ("url", "string"))}
+    shown = d.select(F.col("source").alias("series"), F.col("doc_id").alias("place"), F.col("name").alias("id"), F.col("doc_id").cast("double").alias("t"), F.col("name").alias("path")).withColumns(none)
+    every = spoken.select("series").union(shown.select("series")).distinct()
+    summary = every.select("series", *[F.lit(None).cast(t).alias(c) for c, t in (c.split() for c in store.SCHEMAS["summary"].split(", ")[1:])])
+    root = fresh(spark, "store")
+    store.write_index(root, spoken, shown, spark.createDataFrame([], store.SCHEMAS["gaps"]), summary)
+    store.put_ocr(spark, root, d.select(F.col("name").alias("path"), "text"))
+    return evidence.search(spark, root, "HE an", 200).select("series", "kind", "t", "ref")
+
+
 @query(r"""WITH terms AS (
   SELECT DISTINCT source, doc_id, t AS term FROM (SELECT source, doc_id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}./:-]+')) AS t FROM documents) WHERE length(t) > 1)
 SELECT source AS series, term, count(*) AS n FROM terms GROUP BY source, term HAVING count(*) >= 2""")

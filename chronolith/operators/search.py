@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import QUOTE_SHARE, folded, holds, normalized, words
+from ..plans.lineage import cut
 
 #: fixed value: shorter queries have no trigram
 TRIGRAM = 3
+#: texts of a block, as a power of two: what a posting list spans at most and a search opens at least
+BLOCK_BITS = 16
+#: folders that posting lists are divided among by their gram
+BUCKETS = 32
+#: blocks that a query names one by one; where more have hits, the join alone picks their texts
+OPENED = 2000
 
 
 def corpus(segments: DataFrame, frames: DataFrame) -> DataFrame:
@@ -35,10 +47,8 @@ def search(body: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 
 def postings(body: DataFrame) -> DataFrame:
-    """``gram, series, ref``: each trigram of each text once. Overlapping grams come from three passes of a plain split."""
-    low = F.lower("body")
-    grams = F.flatten(F.array(*[F.regexp_extract_all(F.substr(low, F.lit(k + 1)), F.lit(r"(?s).{3}"), F.lit(0)) for k in range(TRIGRAM)]))
-    return body.select("series", "ref", F.explode(F.array_distinct(grams)).alias("gram"))
+    """``gram, series, ref``: each trigram of each text once."""
+    return body.select("series", "ref", F.explode(_grams(F.lower("body"))).alias("gram"))
 
 
 def search_postings(index: DataFrame, body: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -49,6 +59,71 @@ def search_postings(index: DataFrame, body: DataFrame, query: str, limit: int =
     return scan(body.join(held.select("series", "ref"), ["series", "ref"], "left_semi"), query, limit)
 
 
+def numbered(body: DataFrame) -> DataFrame:
+    """A corpus with ``doc``, a number that goes up with series and place, and ``block``, the run of 2**``BLOCK_BITS`` numbers it lies in.
+
+    Numbers depend on how rows are dealt out: they hold for what is written of them at once.
+    """
+    placed = body.drop("doc").repartitionByRange("series", "kind", "place").sortWithinPartitions("series", "kind", "place")
+    return placed.withColumn("doc", F.monotonically_increasing_id()).withColumn("block", F.shiftright("doc", BLOCK_BITS))
+
+
+def _grams(text: Column) -> Column:
+    """All runs of three characters, each once. Overlapping ones come from three passes of a plain split."""
+    runs = [F.regexp_extract_all(F.substr(text, F.lit(k + 1)), F.lit(r"(?s).{3}"), F.lit(0)) for k in range(TRIGRAM)]
+    return F.array_distinct(F.flatten(F.array(*runs)))
+
+
+def bucket_of(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def packed_postings(body: DataFrame) -> DataFrame:
+    """``bucket, gram, block, n, first, gaps``: of each trigram and block the numbers of texts that hold it, as the first one and differences.
+
+    A list has at most 2**``BLOCK_BITS`` numbers, however often a gram occurs.
+    """
+    lists = body.select("block", "doc", F.explode(_grams(F.lower("body"))).alias("gram")).groupBy("gram", "block").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    gaps = F.transform("docs", lambda d, i: F.when(i == 0, F.lit(0)).otherwise((d - F.col("docs")[i - 1]).cast("int")))
+    return lists.select(bucket_of(F.col("gram")).alias("bucket"), "gram", "block", F.size("docs").alias("n"), F.col("docs")[0].alias("first"), gaps.alias("gaps"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _in_all(first: pd.Series, gaps: pd.Series) -> pd.Series:
+    """Numbers that all lists of a row hold; the shortest lists meet first."""
+
+    def one(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        left = None
+        for k in sorted(range(len(lists)), key=lambda k: len(lists[k])):
+            docs = np.cumsum(lists[k], dtype=np.int64) + starts[k]
+            if left is not None:
+                at = np.searchsorted(docs, left)
+                docs = left[docs[np.minimum(at, len(docs) - 1)] == left]
+            left = docs
+        return left
+
+    return pd.Series([one(a, b) for a, b in zip(first, gaps, strict=True)])
+
+
+def indexed(postings: DataFrame, body: DataFrame, query: str, limit: int = 20, live: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """What ``scan`` finds, through ``packed_postings``: ``written`` tells apart numbers of several writes on both sides.
+
+    Only the buckets of the query's grams are opened, and of these only row groups that
+    may hold them; blocks that lack a gram are passed over, lists of the others meet, and only blocks
+    with texts that hold all grams are opened. ``live`` takes away rows that were replaced.
+    """
+    low = query.strip().lower()
+    grams = sorted({low[i : i + TRIGRAM] for i in range(len(low) - TRIGRAM + 1)})
+    buckets = body.sparkSession.createDataFrame([(g,) for g in grams], "gram string").select(bucket_of(F.col("gram"))).distinct().collect()  # of the query
+    lists = postings.filter(F.col("bucket").isin([r[0] for r in buckets]) & F.col("gram").isin(grams))
+    met = lists.groupBy("written", "block").agg(F.count("*").alias("held"), F.collect_list("first").alias("first"), F.collect_list("gaps").alias("gaps")).filter(F.col("held") == len(grams))
+    docs = cut(met.select("written", "block", F.explode(_in_all("first", "gaps")).alias("doc")))
+    blocks = docs.select("written", "block").distinct().limit(OPENED + 1).collect()
+    if len(blocks) <= OPENED:
+        body = body.filter(F.col("written").isin(sorted({b["written"] for b in blocks})) & F.col("block").isin(sorted({b["block"] for b in blocks})))
+    return scan(live(body.join(docs, ["written", "block", "doc"], "left_semi")), query, limit)
+
+
 def reliable_terms(frames: DataFrame, least: int = 2) -> DataFrame:
     """``series, term, n``: words of screen texts that are seen on ``least`` frames or more."""
     terms = frames.select("series", "id", F.explode(F.array_distinct(words(F.col("ocr")))).alias("term"))

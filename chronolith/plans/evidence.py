@@ -65,48 +65,49 @@ def index(root: str, signal: DataFrame, segments: DataFrame, media: DataFrame, d
 
 
 def search(spark: SparkSession, root: str, query: str, limit: int = 20) -> DataFrame:
-    """Hits in speech and screen text, with their time codes and shortened lines."""
-    hits = finding.search(store.read(spark, root, "corpus"), query, limit)
+    """Hits in speech and screen text, with their time codes and shortened lines; a query of three characters or more goes through the index."""
+    now = store.snapshot(spark, root)
+    if len(query.strip()) < finding.TRIGRAM:
+        hits = finding.scan_short(now.table("corpus"), query, limit)
+    else:
+        hits = finding.indexed(now.stored("postings"), now.stored("corpus"), query, limit, lambda rows: now.live(rows, "corpus"))
     return hits.select("series", "kind", "t", "ref", scalars.timecode_short(F.col("t")).alias("tc"), scalars.short_line(F.col("body")).alias("line"))
 
 
-def frames(spark: SparkSession, root: str, probes: DataFrame | None = None, ids: DataFrame | None = None, count: int = 1, log: bool = True) -> DataFrame:
-    """Frames by ``ids`` (series, id), or the ``count`` nearest to each of ``probes`` (series, probe, at in seconds); they are logged as served.
+def frames(spark: SparkSession, root: str, probes: DataFrame | None = None, ids: DataFrame | None = None, count: int = 1, log: bool = True, batch: str | None = None) -> DataFrame:
+    """Frames by ``ids`` (series, id), or the ``count`` nearest to each of ``probes`` (series, probe, at in seconds); they are logged as served, once for a ``batch`` of the same name.
 
     ``in_gap`` tells whether a probe lies in a stretch without frames.
     """
-    rows = store.read(spark, root, "frames")
+    now = store.snapshot(spark, root)
+    rows = now.table("frames")
     if ids is not None:
         found = rows.join(ids.select("series", "id").distinct(), ["series", "id"], "left_semi").withColumn("in_gap", F.lit(False))
     else:
         ms = lambda c: F.rint(F.col(c) * 1000).cast("bigint")
         asked = probes.select("series", "probe", ms("at").alias("at"))
         near = lookup.nearest(asked, rows.select("series", F.col("place").alias("id"), ms("t").alias("t")), count)
-        bare = store.read(spark, root, "gaps").select("series", ms("a").alias("a"), ms("b").alias("b"))
+        bare = now.table("gaps").select("series", ms("a").alias("a"), ms("b").alias("b"))
         flagged = lookup.in_gap(asked.select("series", F.col("probe").alias("id"), F.col("at").alias("t")), bare, BUCKET_MS).select("series", F.col("id").alias("probe"), F.col("gap_from").isNotNull().alias("in_gap"))
         found = near.join(flagged, ["series", "probe"]).select("series", "probe", F.col("id").alias("place"), "in_gap").join(rows, ["series", "place"])
     found = selection.cut(found)
     if log:
-        store.log_served(root, found.select("series", "id", "t").distinct())
+        store.log_served(root, found.select("series", "id", "t").distinct(), batch)
     return found
 
 
 def verify(spark: SparkSession, root: str, answers: DataFrame) -> DataFrame:
     """Claims of ``answers`` (series, doc_id, text) with findings against the store; see ``audit.second_look`` and ``audit.totals``."""
-    try:
-        served = store.read(spark, root, "served").select("series", "id")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        served = spark.createDataFrame([], "series string, id string")
-    return audit.audit(answers, store.read(spark, root, "frames"), store.read(spark, root, "segments"), store.read(spark, root, "gaps"), served)
+    now = store.snapshot(spark, root)
+    return audit.audit(answers, now.table("frames"), now.table("segments"), now.table("gaps"), now.table("served").select("series", "id"))
 
 
 def report(spark: SparkSession, root: str) -> DataFrame:
     """Of each series its summary, frames by reason, tokens of all frames and of a usual call, and its first eight gaps."""
-    rows = store.read(spark, root, "frames")
+    now = store.snapshot(spark, root)
+    rows = now.table("frames")
     counts = rows.groupBy("series").agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("grid", "cue", "change")], F.sum("est_tokens").alias("tokens_all"))
     place = F.row_number().over(Window.partitionBy("series").orderBy("a"))
-    first = store.read(spark, root, "gaps").withColumn("n", place).filter("n <= 8").groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "tc"))), lambda g: g["tc"]).alias("gaps"))
-    out = store.read(spark, root, "summary").join(counts, "series", "left").join(first, "series", "left")
+    first = now.table("gaps").withColumn("n", place).filter("n <= 8").groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "tc"))), lambda g: g["tc"]).alias("gaps"))
+    out = now.table("summary").join(counts, "series", "left").join(first, "series", "left")
     return out.withColumn("tokens_call", F.col("est_tokens_per_frame") * scalars.FRAMES_PER_CALL)

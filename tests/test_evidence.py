@@ -136,31 +136,15 @@ def test_nearest_ties_go_to_the_earlier(spark):
         assert got[k] == sorted(i for _, i, t in sorted(frames, key=lambda f: (abs(f[2] - at), f[2], f[1]))[:4])
 
 
-def test_store(spark):
-    root = tempfile.mkdtemp(prefix="spark-store-")
-
-    def tables(series, body):
-        seg = spark.createDataFrame([(series, 0, 0.0, 5.0, body, "0:00")], store.SCHEMAS["segments"])
-        fr = spark.createDataFrame([(series, 0, "f0000", 1.0, "0:01", f"{series}.jpg", 64, 36, 10, 6, "grid", 0, None, None, None)], store.SCHEMAS["frames"])
-        gaps = spark.createDataFrame([], store.SCHEMAS["gaps"])
-        return seg, fr, gaps, spark.createDataFrame([(series, 9.0, 1, 6, 15.0, 8.0, 1.0, True)], store.SCHEMAS["summary"])
-
-    store.write_index(root, *tables("a", "first words"))
-    store.write_index(root, *tables("b", "other words"))
-    frames = store.read(spark, root, "frames")
-    store.log_served(root, frames)
-    store.write_index(root, *tables("a", "second words"))
-    assert {r.series: r.text for r in store.read(spark, root, "segments").collect()} == {"a": "second words", "b": "other words"}
-    assert [r.series for r in store.read(spark, root, "served").collect()] == ["b"]
-    body = store.read(spark, root, "corpus")
-    index = spark.read.parquet(f"{root}/postings")
-    assert [h.series for h in search.search_postings(index, body, "words").orderBy("series").collect()] == ["a", "b"]
+def test_texts_by_path(spark):
+    frames = spark.createDataFrame([(s, 0, "f0000", 1.0, "0:01", f"{s}.jpg", 64, 36, 10, 6, "grid", 0, None, None, None) for s in "ab"], store.SCHEMAS["frames"])
     texts = spark.createDataFrame([("a.jpg", " seen "), ("b.jpg", " ")], "path string, text string")
-    with_text = store.with_ocr(store.read(spark, root, "frames"), texts)
+    with_text = store.with_ocr(frames, texts)
     assert {r.series: r.ocr for r in with_text.collect()} == {"a": "seen", "b": None}
     assert {r.series: r.caption for r in store.with_caption(with_text, "a", "f0000", "a cat").collect()} == {"a": "a cat", "b": None}
-    store.read(spark, root, "frames").select("series", "id").write.json(f"{root}/lines")
-    assert store.read_jsonl(spark, f"{root}/lines", "frames").filter("ocr is null").count() == 2
+    folder = tempfile.mkdtemp(prefix="spark-lines-")
+    frames.select("series", "id").write.json(f"{folder}/lines")
+    assert store.read_jsonl(spark, f"{folder}/lines", "frames").filter("ocr is null").count() == 2
 
 
 def test_nothing_old_stays_in_the_store(spark):
@@ -177,7 +161,7 @@ def test_nothing_old_stays_in_the_store(spark):
     store.write_index(root, empty("segments"), empty("frames"), empty("gaps"), summary.filter("series = '007'"))
     for table, left in (("segments", ["t"]), ("gaps", ["t"]), ("corpus", ["t"]), ("summary", ["007", "t"])):
         assert sorted(r.series for r in store.read(spark, root, table).collect()) == left
-    assert spark.read.parquet(f"{root}/postings").filter("series = '007' and gram is not null").isEmpty()
+    assert plan.search(spark, root, "old words").isEmpty()
 
 
 def test_live_guard(spark):
