@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 #: fixed values: change that is active, quiet, and a scene cut; seconds within which bursts are one
 ACTIVE, QUIET, SCENE = 0.015, 0.004, 0.3
 MERGE_SECONDS = 1.2
@@ -20,10 +22,10 @@ def scene_cuts(signal: DataFrame, threshold: float = SCENE) -> DataFrame:
 
 
 def sessions(signal: DataFrame, threshold: float, merge_gap: int) -> DataFrame:
-    """``series, burst, i_from, i_to, t_from, t_to, strength, n``: active samples at most ``merge_gap`` apart."""
-    by_time = Window.partitionBy("series").orderBy("t", "i")
-    new = (F.col("t") - F.lag("t").over(by_time) > merge_gap) | F.lag("t").over(by_time).isNull()
-    marked = active(signal, threshold).withColumn("burst", F.sum(new.cast("bigint")).over(by_time))
+    """``series, burst, i_from, i_to, t_from, t_to, strength, n``: active samples at most ``merge_gap`` apart; ``i`` goes up with time."""
+    block, order = scans.block_of(F.col("i")), ["t", "i"]
+    new = (F.col("t") - F.col("before_.t") > merge_gap) | F.col("before_").isNull()
+    marked = scans.running(scans.lagged(active(signal, threshold), block, order, ["t"]), block, order, new.cast("bigint"), "burst")
     return marked.groupBy("series", "burst").agg(
         F.min("i").alias("i_from"), F.max("i").alias("i_to"), F.min("t").alias("t_from"), F.max("t").alias("t_to"), F.max("change").alias("strength"), F.count(F.lit(1)).alias("n"),
     )
@@ -35,10 +37,8 @@ def settled(signal: DataFrame, bursts: DataFrame, quiet: float, steps: int) -> D
     ``i`` counts a series' samples from 0 without holes. The next quiet sample of each
     sample is found in one backward pass over the series, so that no range join is needed.
     """
-    # from the end on, so that the frame only grows
-    ahead = Window.partitionBy("series").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("series")
-    calm = signal.select("series", F.col("i").alias("i_to"), F.min(F.when(F.col("change") <= quiet, F.col("i"))).over(ahead).alias("calm"), F.max("i").over(whole).alias("last"))
+    next_calm = scans.least_ahead(signal.select("series", "i", "change"), scans.block_of(F.col("i")), "i", F.when(F.col("change") <= quiet, F.col("i")), "calm")
+    calm = next_calm.join(signal.groupBy("series").agg(F.max("i").alias("last")), "series").select("series", F.col("i").alias("i_to"), "calm", "last")
     limit = F.least(F.col("last"), F.col("i_to") + steps)
     stop = F.least(F.coalesce(F.col("calm") - 1, limit), limit)
     return bursts.join(calm, ["series", "i_to"]).withColumn("i_settle", F.least(F.greatest(stop, F.col("i_to")) + 1, F.col("last"))).drop("calm", "last")

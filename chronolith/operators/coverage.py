@@ -6,15 +6,19 @@ series' start); ``duration`` is a column or a number in the same unit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def spans(moments: DataFrame, duration: Column | int) -> DataFrame:
     """``series, a, b``: stretches between moments, with 0 before the first and the duration behind the last."""
     end = duration if isinstance(duration, Column) else F.lit(duration)
-    by_time = Window.partitionBy("series").orderBy("t")
-    pairs = moments.select("series", F.coalesce(F.lag("t").over(by_time), F.lit(0)).cast("bigint").alias("a"), F.col("t").alias("b"), end.cast("bigint").alias("end"))
+    rows = moments.select("series", "t", end.cast("bigint").alias("end"))
+    # a timeline has a fixed number of blocks; what lies outside of it is in the first or the last one
+    block = F.floor(F.least(F.greatest(F.col("t"), F.lit(0)), F.col("end")) / F.greatest(F.col("end"), F.lit(1)) * scans.BLOCKS)
+    pairs = scans.lagged(rows, block, ["t"], ["t"]).select("series", F.coalesce("before_.t", F.lit(0)).cast("bigint").alias("a"), F.col("t").alias("b"), "end")
     last = pairs.groupBy("series").agg(F.max("b").alias("a"), F.max("end").alias("b"))
     return pairs.select("series", "a", "b").unionByName(last)
 

@@ -6,9 +6,11 @@ split edges, so that cells may differ in size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 #: fixed values: how many times its own median a cell has to exceed; noise of a masked cell
 BASELINE_FACTOR = 4.0
 NOISY = 0.005
@@ -32,9 +34,9 @@ def thumbnail(pixels: Column, height: int, width: int, to_height: int, to_width:
 
 def changed(frames: DataFrame, delta: float) -> DataFrame:
     """Adds ``moved``, a flag for each pixel that differs by more than ``delta`` from the frame before; all of the first frame."""
-    before = F.lag("pixels").over(Window.partitionBy("series").orderBy("i"))
-    flags = F.zip_with("pixels", before, lambda a, b: (F.abs(a - b) > delta).cast("int"))
-    return frames.withColumn("moved", F.when(before.isNull(), F.transform("pixels", lambda _: F.lit(1))).otherwise(flags))
+    rows = scans.lagged(frames, scans.block_of(F.col("i")), ["i"], ["pixels"])
+    flags = F.zip_with("pixels", "before_.pixels", lambda a, b: (F.abs(a - b) > delta).cast("int"))
+    return rows.withColumn("moved", F.when(F.col("before_").isNull(), F.transform("pixels", lambda _: F.lit(1))).otherwise(flags)).drop("before_")
 
 
 def cell_counts(moved: Column, cells: list[list[int]]) -> Column:
@@ -54,7 +56,7 @@ def cell_change(frames: DataFrame, delta: float, height: int, width: int) -> Dat
 
 def baselines(cells: DataFrame) -> DataFrame:
     """``series, baseline``: the median of each cell over time, in order of cells."""
-    long = cells.select("series", F.posexplode("cells").alias("cell", "share")).groupBy("series", "cell").agg(F.median("share").alias("base"))
+    long = scans.medians(cells.select("series", F.posexplode("cells").alias("cell", "share")), ["series", "cell"], "share", "base")
     return long.groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "base"))), lambda x: x["base"]).alias("baseline"))
 
 

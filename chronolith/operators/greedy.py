@@ -8,16 +8,20 @@ cut apart first, so that a long series still spreads.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from . import scans
+
 #: fixed values: seconds over which a burst is split and between moments; novelty of one moment; share of equal screens
 SPLIT_SECONDS, MIN_GAP_SECONDS, NOVELTY, SAME_SCREEN = 2.5, 0.75, 5.0, 0.001
 CUE_SECONDS = 3.0
-#: bursts or islands of a series that one call gets
+#: bursts of a series that one call gets
 TOGETHER = 256
 #: reasons by worth: a grid point goes first, a caught change last
 WORTH = {"grid": 0, "cue": 1, "change": 2}
@@ -55,30 +59,95 @@ def split_bursts(samples: DataFrame, split: int, budget: float, min_gap: int) ->
     return samples.groupBy("series", F.expr(f"burst div {TOGETHER}")).applyInPandas(choose, kinds)
 
 
-def thin_close(moments: DataFrame, min_gap: int) -> DataFrame:
+def _follow(t: np.ndarray, change: np.ndarray, min_gap: int) -> np.ndarray:
+    """Of each row, once it is kept last, the next one that is kept: the first that is far enough or stronger; the number of rows if none is."""
+    n = len(t)
+    out = np.full(n, n)
+    far = np.searchsorted(t, t + min_gap)
+    rising: list[int] = []  # rows behind, the nearest last, each stronger than those nearer
+    for k in range(n - 1, -1, -1):
+        while rising and change[rising[-1]] <= change[k]:
+            rising.pop()
+        out[k] = min(far[k], rising[-1] if rising else n)
+        rising.append(k)
+    return out
+
+
+def _entered(t: np.ndarray, change: np.ndarray, last: tuple[int, float] | None, min_gap: int) -> int:
+    """The first row that is kept after ``last``, which lies before all of them."""
+    if last is None:
+        return 0
+    stronger = np.flatnonzero(change > last[1])
+    return int(min(np.searchsorted(t, last[0] + min_gap), stronger[0] if len(stronger) else len(t)))
+
+
+BLOCK_EXITS = "block_ bigint, first bigint, exits array<struct<t: bigint, change: double, last_t: bigint, last_change: double>>"
+
+
+def thin_close(moments: DataFrame, min_gap: int, span: int | None = None) -> DataFrame:
     """Of moments closer than ``min_gap`` to the last kept one the stronger stays (of equals the earlier).
 
-    Rows ``series, t, change`` and what else they have. A row at least ``min_gap`` behind
-    the one before it is always kept, so a series can be cut before such a row; TOGETHER
-    of the islands between cuts go to Python at once.
+    Rows ``series, t, change`` and what else they have; neither time nor change is null. What is kept next hangs on the
+    last kept row alone, so a block of time (``span``, 256 gaps unless given) is a map: for each row near its start, if it is kept
+    first, which row is kept last. These small maps are composed along the series, and then every
+    block knows the row that it is entered with: a series of rows that are all close is
+    spread like any other. A task holds a block's rows.
     """
-    order = Window.partitionBy("series").orderBy("t")
-    before = F.lag("t").over(order)
-    islands = moments.withColumn("island_", F.sum(F.when(before.isNull() | (F.col("t") - before >= min_gap), 1).otherwise(0)).over(order))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        t, change = rows["t"].to_numpy(), rows["change"].to_numpy()
-        kept: list[int] = []
-        for k in range(len(rows)):
-            if kept and t[k] - t[kept[-1]] < min_gap:
-                if change[k] > change[kept[-1]]:
-                    kept[-1] = k
-            else:
+    span = max(span or 256 * min_gap, min_gap)
+    names = moments.columns
+    rows = moments.withColumn("block_", scans.block_of(F.col("t"), span))
+
+    def exits(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["t", "change"], kind="stable", ascending=[True, False])
+        t, change = found["t"].to_numpy(), found["change"].to_numpy()
+        after = _follow(t, change, min_gap)
+        end = np.arange(len(t))
+        for k in range(len(t) - 1, -1, -1):
+            end[k] = end[after[k]] if after[k] < len(t) else k
+        near = min(len(t), int(np.searchsorted(t, t[0] + min_gap)) + 1)  # whoever comes from before enters at one of these
+        told = [{"t": int(t[k]), "change": float(change[k]), "last_t": int(t[end[k]]), "last_change": float(change[end[k]])} for k in range(near)]
+        return pd.DataFrame({"series": found["series"].iloc[:1], "block_": found["block_"].iloc[0], "first": int(t[0]), "exits": [told]})
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of a series in order; what is kept last goes from one to the next, and is told to both if the next takes its place."""
+        series = last = pending = None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if pending is not None and series != r.series:
+                    out.append((*pending, False))
+                    pending = None
+                if series != r.series:
+                    series, last = r.series, None
+                t, change = np.array([x["t"] for x in r.exits]), np.array([x["change"] for x in r.exits])
+                first = _entered(t, change, last, min_gap)
+                if first == len(t):  # nothing of the block is kept, and what was kept last still is
+                    continue
+                taken = last is not None and t[first] < last[0] + min_gap
+                if pending is not None:
+                    out.append((*pending, taken))
+                pending = (series, r.block_, *(last or (None, None)))
+                last = (r.exits[first]["last_t"], r.exits[first]["last_change"])
+            yield pd.DataFrame(out, columns=["series", "block_", "last_t_", "last_change_", "taken_"])
+        if pending is not None:
+            yield pd.DataFrame([(*pending, False)], columns=["series", "block_", "last_t_", "last_change_", "taken_"])
+
+    def keep(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["t", "change"], kind="stable", ascending=[True, False])
+        t, change = found["t"].to_numpy(), found["change"].to_numpy()
+        last = None if pd.isna(found["last_t_"].iloc[0]) else (int(found["last_t_"].iloc[0]), float(found["last_change_"].iloc[0]))
+        after, k, kept = _follow(t, change, min_gap), _entered(t, change, last, min_gap), []
+        while k < len(t):
+            far = after[k] == len(t) or t[after[k]] - t[k] >= min_gap
+            if far and not (after[k] == len(t) and found["taken_"].iloc[0]):
                 kept.append(k)
-        return rows.iloc[kept].drop(columns="island_")
+            k = after[k]
+        return found.iloc[kept][names]
 
-    return islands.groupBy("series", F.expr(f"island_ div {TOGETHER}")).applyInPandas(choose, moments.schema)
+    kind = moments.schema["series"].dataType.simpleString()
+    maps = cut(rows.select("series", "block_", "t", "change").groupBy("series", "block_").applyInPandas(exits, f"series {kind}, {BLOCK_EXITS}"))
+    entered = maps.repartition("series").sortWithinPartitions("series", "block_").mapInPandas(compose, f"series {kind}, block_ bigint, last_t_ bigint, last_change_ double, taken_ boolean")
+    return rows.join(entered, ["series", "block_"]).groupBy("series", "block_").applyInPandas(keep, moments.schema)
 
 
 def drop_same_screens(moments: DataFrame, delta: float, same: float = SAME_SCREEN) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cue_midpoint
 from ..functions.text import bare_text, points_at_screen
+from ..operators import scans
 
 _EVENTS = "struct<events: array<struct<tStartMs: double, dDurationMs: double, segs: array<struct<utf8: string>>>>>"
 #: fixed value: characters from which a line that grows at its end is one rolling caption
@@ -61,10 +62,9 @@ def merge_rolling(rows: DataFrame) -> DataFrame:
 
     A merged line's text is its last one, so comparing with the row before is enough.
     """
-    order = Window.partitionBy("series").orderBy("pos")
-    before = F.lag("text").over(order)
+    before, block = F.col("before_.text"), scans.block_of(F.col("pos"))
     goes_on = (F.col("text") == before) | (F.col("text").startswith(before) & (F.length(before) >= ROLLING_MIN))
-    blocks = rows.withColumn("new", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("block", F.sum("new").over(order))
+    blocks = scans.running(scans.lagged(rows, block, ["pos"], ["text"]), block, ["pos"], F.coalesce(~goes_on, F.lit(True)).cast("int"), "block")
     merged = blocks.groupBy("series", "block").agg(F.min_by("t0_ms", "pos").alias("t0_ms"), F.max("t1_ms").alias("t1_ms"), F.max_by("text", "pos").alias("text"))
     return merged.select("series", (F.col("block") - 1).cast("bigint").alias("i"), "t0_ms", "t1_ms", "text")
 

@@ -150,3 +150,37 @@ def test_cue_anchors(spark):
     c = spark.createDataFrame([("s", t) for t in cues] + [("other", 5)], "series string, t bigint")
     got = greedy.cue_anchors(c, m, 3000).collect()
     assert sorted(x.t for x in got if x.series == "s") == taken and [x.t for x in got if x.series == "other"] == [5]
+
+
+@pytest.mark.parametrize("span", [750, 1000, 5000, None])
+def test_thin_close_in_blocks(spark, span):
+    """Dense and sparse series, ties of time, and blocks that keep nothing."""
+    data = {}
+    for k in range(6):
+        r = random.Random(k)
+        t, rows = -3000 if k == 1 else 0, []
+        for _ in range(150):
+            t += r.choice([0, 1, 40, 90] if k % 2 else [0, 300, 700, 751, 4000])
+            rows.append((t, r.choice([0.0, 0.1, 0.5, r.random()])))
+        data[f"s{k}"] = rows
+    data["falling"] = [(100 * k, 1.0 - k / 1000) for k in range(100)]
+    data["rising"] = [(100 * k, k / 1000) for k in range(100)]
+    df = spark.createDataFrame([(s, t, c, f"{t}") for s, rows in data.items() for t, c in rows], "series string, t bigint, change double, more string")
+    got = {}
+    for r in greedy.thin_close(df.repartition(4), 750, span).orderBy("series", "t").collect():
+        got.setdefault(r.series, []).append((r.t, r.change))
+        assert r.more == f"{r.t}"
+    assert got == {s: thin(rows, 750) for s, rows in data.items()}
+
+
+def test_one_endless_island_is_spread(spark):
+    """A million rows of one series, each close to the one before."""
+    df = spark.range(1_000_000, numPartitions=8).selectExpr("'s' as series", "id * 100 as t", "cast(pmod(hash(id), 1000) as double) as change")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = greedy.thin_close(df, 750).selectExpr("t", "change", "spark_partition_id() as task").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [(r.t, r.change) for r in df.toPandas().itertuples()]
+    assert sorted(zip(got["t"], got["change"], strict=True)) == thin(rows, 750)
+    assert got["task"].nunique() == 8 and got["task"].value_counts().max() < len(got) / 4
