@@ -136,9 +136,25 @@ def burst_settle(spark, sf_dir):
     return bursts.settled(s, bursts.sessions(s, ACTIVE, MERGE), QUIET, 5).select("series", "burst", "i_settle")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BURSTS}, ends AS (SELECT series, max(i) AS last FROM signal GROUP BY series),
+calm AS (SELECT b.series, b.burst, min(s.i) AS calm FROM bursts b LEFT JOIN signal s ON s.series = b.series AND s.i > b.i_to AND s.change <= {QUIET} GROUP BY b.series, b.burst),
+found AS (
+  SELECT b.series, b.burst, i_from, least(greatest(least(coalesce(calm - 1, least(last, i_to + 5)), least(last, i_to + 5)), i_to) + 1, last) AS i_settle
+  FROM bursts b JOIN ends ON ends.series = b.series JOIN calm ON calm.series = b.series AND calm.burst = b.burst
+), inside AS MATERIALIZED (
+  SELECT f.series, f.burst, s.i, s.t, s.change, s.i - i_from AS n, i_settle - i_from AS last_n, (max(s.t) OVER w) - (min(s.t) OVER w) > {6 * HOUR} AS long
+  FROM found f JOIN signal s ON s.series = f.series AND s.i BETWEEN i_from AND i_settle WINDOW w AS (PARTITION BY f.series, f.burst)
+), added AS (
+  SELECT series, burst, n, change::DOUBLE AS held, NULL::BIGINT AS last_t, long AND change >= 300 AS hit, t FROM inside WHERE n = 0
+  UNION ALL
+  SELECT i.series, i.burst, i.n, (CASE WHEN a.hit THEN 0 ELSE a.held END) + i.change, CASE WHEN a.hit THEN a.t ELSE a.last_t END,
+         long AND (CASE WHEN a.hit THEN 0 ELSE a.held END) + i.change >= 300 AND (CASE WHEN a.hit THEN a.t ELSE a.last_t END IS NULL OR i.t - CASE WHEN a.hit THEN a.t ELSE a.last_t END >= {MIN_GAP}), i.t
+  FROM added a JOIN inside i ON i.series = a.series AND i.burst = a.burst AND i.n = a.n + 1
+)
+SELECT i.series, i.burst, i.i, i.t FROM added a JOIN inside i ON i.series = a.series AND i.burst = a.burst AND i.n = a.n
+WHERE hit OR (i.n = last_n AND (last_t IS NULL OR i.t - last_t >= {MIN_GAP}))""")
 def burst_split(spark, sf_dir):
-    """Moments inside long bursts (no SQL: a sum that starts anew whenever it is spent)."""
+    """Moments inside long bursts: a sum that starts anew whenever it is spent."""
     s = signal(spark, sf_dir)
     found = bursts.settled(s, bursts.sessions(s, ACTIVE, MERGE), QUIET, 5)
     inside = found.select("series", "burst", F.explode(F.sequence("i_from", "i_settle")).alias("i")).join(s, ["series", "i"])
@@ -160,9 +176,32 @@ def min_gap_thin(spark, sf_dir):
     return greedy.thin_close(m, MIN_GAP).select("series", "t")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EV}, placed AS (
+  SELECT *, CASE event_type WHEN 'view' THEN 'grid' WHEN 'click' THEN 'cue' ELSE 'change' END AS reason, row_number() OVER (PARTITION BY series ORDER BY t) AS n FROM ev
+), fold AS (
+  SELECT series, n, t AS kept_t, value AS kept_v, 1 AS kept, reason FROM placed WHERE n = 1
+  UNION ALL
+  SELECT p.series, p.n, CASE WHEN p.t - f.kept_t >= {MIN_GAP} OR p.value > f.kept_v THEN p.t ELSE f.kept_t END,
+         CASE WHEN p.t - f.kept_t >= {MIN_GAP} OR p.value > f.kept_v THEN p.value ELSE f.kept_v END,
+         f.kept + CASE WHEN p.t - f.kept_t >= {MIN_GAP} THEN 1 ELSE 0 END,
+         CASE WHEN p.t - f.kept_t >= {MIN_GAP} OR p.value > f.kept_v THEN p.reason ELSE f.reason END
+  FROM fold f JOIN placed p ON p.series = f.series AND p.n = f.n + 1
+), thinned AS (SELECT series, max(kept_t) AS t, arg_max(kept_v, n) AS change, arg_max(reason, n) AS reason FROM fold GROUP BY series, kept),
+lists AS (SELECT series, list({{'t': t, 'reason': reason, 'change': change}} ORDER BY t) AS l FROM thinned GROUP BY series),
+fewer AS (
+  SELECT series, l, 0 AS step FROM lists
+  UNION ALL
+  SELECT series, list_concat(l[1 : k - 1], l[k + 1 :]), step + 1 FROM (
+    SELECT series, l, step, list_sort(list_filter(list_transform(range(1, len(l) + 1), lambda i: {{
+        'worth': CASE l[i].reason WHEN 'grid' THEN 0 WHEN 'cue' THEN 1 ELSE 2 END, 'strength': CASE WHEN l[i].reason = 'change' THEN l[i].change ELSE 0 END,
+        'stretch': CASE WHEN i < len(l) THEN l[i + 1].t ELSE {MONTH} END - CASE WHEN i > 1 THEN l[i - 1].t ELSE 0 END, 'i': i}}),
+      lambda x: x.stretch <= {24 * HOUR} AND NOT (x.i = 1 AND l[1].t = 0)))[1].i AS k
+    FROM fewer WHERE len(l) > 40
+  ) WHERE k IS NOT NULL
+), final AS (SELECT series, arg_max(l, step) AS l FROM fewer GROUP BY series)
+SELECT series, m.t AS t, m.reason AS reason, m.change AS change FROM (SELECT series, unnest(l) AS m FROM final)""")
 def thin_to_budget(spark, sf_dir):
-    """At most 40 moments a user while no stretch exceeds 24 hours (no SQL: each removal hangs on the ones before).
+    """At most 40 moments a user while no stretch exceeds 24 hours.
 
     Close moments are thinned first, so that a user's moments are bounded by the month over the least gap.
     """
@@ -238,9 +277,12 @@ def screen_distance(spark, sf_dir):
     return both.select("series", "i", F.round(share * seen).cast("bigint").alias("differ"), seen.cast("bigint").alias("seen"))
 
 
-@query()
+@query(f"""WITH {_PX}, compared AS (SELECT *, lag(p) OVER (PARTITION BY series, k ORDER BY i) AS q FROM px),
+told AS (SELECT series, i, CASE WHEN count(q) = 0 OR count(*) FILTER (abs(p - q) > {PIXEL_DELTA}) / 64.0 > 0.5 THEN 1 ELSE 0 END AS new FROM compared GROUP BY series, i),
+screens AS (SELECT series, i, sum(new) OVER (PARTITION BY series ORDER BY i) AS screen FROM told)
+SELECT series, max(i) * 10000 AS t, 'change' AS reason, 0.0::DOUBLE AS change, count(*) - 1 AS replaced FROM screens GROUP BY series, screen""")
 def same_screens(spark, sf_dir):
-    """Frames left when equal screens are merged (no SQL: compares with the last kept)."""
+    """Frames left when equal screens are merged: what was kept last is always the row before."""
     p = pictures(spark, sf_dir).select("series", "t", F.lit("change").alias("reason"), F.lit(0.0).alias("change"), "pixels", F.array_repeat(F.lit(True), SIDE * SIDE).alias("seen"))
     return greedy.drop_same_screens(p, PIXEL_DELTA, 0.5)
 
@@ -762,9 +804,16 @@ def live_sessions(spark, sf_dir):
     return found.select("series", start.alias("t_from"), "strength", "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EV}, free AS (
+  SELECT c.series, c.t, row_number() OVER (PARTITION BY c.series ORDER BY c.t) AS n FROM ev c
+  WHERE c.event_type = 'click' AND NOT EXISTS (SELECT 1 FROM ev m WHERE m.series = c.series AND m.event_type = 'purchase' AND abs(m.t - c.t) <= {4 * HOUR})
+), fold AS (
+  SELECT series, n, t AS taken FROM free WHERE n = 1
+  UNION ALL SELECT f.series, f.n, CASE WHEN f.t - fold.taken > {4 * HOUR} THEN f.t ELSE fold.taken END FROM fold JOIN free f ON f.series = fold.series AND f.n = fold.n + 1
+)
+SELECT DISTINCT series, taken AS t FROM fold""")
 def cue_anchors(spark, sf_dir):
-    """Cues that no moment is near to, nor a cue taken before (no SQL: it folds)."""
+    """Cues that no moment is near to, nor a cue taken before."""
     m = moments(spark, sf_dir)
     return greedy.cue_anchors(m.filter("event_type = 'click'"), m.filter("event_type = 'purchase'"), 4 * HOUR)
 

@@ -60,10 +60,10 @@ def baselines(cells: DataFrame) -> DataFrame:
     return long.groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "base"))), lambda x: x["base"]).alias("baseline"))
 
 
-def excess(cells: DataFrame, factor: float = BASELINE_FACTOR) -> DataFrame:
-    """Adds ``change``: the most that any cell exceeds its own baseline, between 0 and 1."""
+def excess(cells: DataFrame, factor: float = BASELINE_FACTOR, base: DataFrame | None = None) -> DataFrame:
+    """Adds ``change``: the most that any cell exceeds its own baseline (``base``, if it is known already), between 0 and 1."""
     over = F.array_max(F.zip_with("cells", "baseline", lambda c, b: c - b * factor))
-    return cells.join(baselines(cells), "series").withColumn("change", F.greatest(F.lit(0.0), F.least(F.lit(1.0), over))).drop("baseline")
+    return cells.join(baselines(cells) if base is None else base, "series").withColumn("change", F.greatest(F.lit(0.0), F.least(F.lit(1.0), over))).drop("baseline")
 
 
 def screen_distance(a: Column, b: Column, baseline: Column, cell_of: list[int], delta: float, noisy: float = NOISY) -> Column:

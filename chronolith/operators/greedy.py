@@ -81,7 +81,35 @@ def _entered(t: np.ndarray, change: np.ndarray, last: tuple[int, float] | None,
     return int(min(np.searchsorted(t, last[0] + min_gap), stronger[0] if len(stronger) else len(t)))
 
 
-BLOCK_EXITS = "block_ bigint, first bigint, exits array<struct<t: bigint, change: double, last_t: bigint, last_change: double>>"
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in frames of whole groups, with the bounds of these; a group that goes over several batches is put together."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        first, final = held[0][keys].iloc[0], batch[keys].iloc[-1]
+        if all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(first, final, strict=True)):
+            continue  # still in the group that the first of these rows is in
+        rows = pd.concat(held, ignore_index=True)
+        bounds = _bounds(rows, keys)
+        yield rows.iloc[: bounds[-2]], bounds[:-1]
+        held = [rows.iloc[bounds[-2] :]]
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, _bounds(rows, keys)
+
+
+def _bounds(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows) - 1, bool)
+    for k in keys:
+        x = rows[k].to_numpy()
+        none = pd.isna(x)
+        new |= (x[1:] != x[:-1]) & ~(none[1:] & none[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
+
+
+BLOCK_EXITS = "block_ bigint, t array<bigint>, change array<double>, last_t array<bigint>, last_change array<double>"
 
 
 def thin_close(moments: DataFrame, min_gap: int, span: int | None = None) -> DataFrame:
@@ -97,57 +125,62 @@ def thin_close(moments: DataFrame, min_gap: int, span: int | None = None) -> Dat
     names = moments.columns
     rows = moments.withColumn("block_", scans.block_of(F.col("t"), span))
 
-    def exits(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values(["t", "change"], kind="stable", ascending=[True, False])
-        t, change = found["t"].to_numpy(), found["change"].to_numpy()
-        after = _follow(t, change, min_gap)
-        end = np.arange(len(t))
-        for k in range(len(t) - 1, -1, -1):
-            end[k] = end[after[k]] if after[k] < len(t) else k
-        near = min(len(t), int(np.searchsorted(t, t[0] + min_gap)) + 1)  # whoever comes from before enters at one of these
-        told = [{"t": int(t[k]), "change": float(change[k]), "last_t": int(t[end[k]]), "last_change": float(change[end[k]])} for k in range(near)]
-        return pd.DataFrame({"series": found["series"].iloc[:1], "block_": found["block_"].iloc[0], "first": int(t[0]), "exits": [told]})
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found, bounds in _groups(batches, ["series", "block_"]):
+            ts, changes, told = found["t"].to_numpy(), found["change"].to_numpy(), []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                t, change = ts[lo:hi], changes[lo:hi]
+                after = _follow(t, change, min_gap).tolist()
+                end = list(range(hi - lo))
+                for k in range(hi - lo - 1, -1, -1):
+                    end[k] = end[after[k]] if after[k] < hi - lo else k
+                near = min(hi - lo, int(np.searchsorted(t, t[0] + min_gap)) + 1)  # whoever comes from before enters at one of these
+                told.append((t[:near], change[:near], t[end[:near]], change[end[:near]]))
+            heads = found.iloc[bounds[:-1]]
+            yield pd.DataFrame({"series": heads["series"].to_numpy(), "block_": heads["block_"].to_numpy()} | {c: pd.Series([x[j] for x in told], dtype=object) for j, c in enumerate(("t", "change", "last_t", "last_change"))})
 
     def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks of a series in order; what is kept last goes from one to the next, and is told to both if the next takes its place."""
+        columns = ["series", "block_", "last_t_", "last_change_", "taken_"]
         series = last = pending = None
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if pending is not None and series != r.series:
-                    out.append((*pending, False))
-                    pending = None
                 if series != r.series:
-                    series, last = r.series, None
-                t, change = np.array([x["t"] for x in r.exits]), np.array([x["change"] for x in r.exits])
-                first = _entered(t, change, last, min_gap)
-                if first == len(t):  # nothing of the block is kept, and what was kept last still is
+                    if pending is not None:
+                        out.append((*pending, False))
+                    series, last, pending = r.series, None, None
+                first = _entered(r.t, r.change, last, min_gap)
+                if first == len(r.t):  # nothing of the block is kept, and what was kept last still is
                     continue
-                taken = last is not None and t[first] < last[0] + min_gap
                 if pending is not None:
-                    out.append((*pending, taken))
+                    out.append((*pending, bool(r.t[first] < last[0] + min_gap)))
                 pending = (series, r.block_, *(last or (None, None)))
-                last = (r.exits[first]["last_t"], r.exits[first]["last_change"])
-            yield pd.DataFrame(out, columns=["series", "block_", "last_t_", "last_change_", "taken_"])
+                last = (int(r.last_t[first]), float(r.last_change[first]))
+            yield pd.DataFrame(out, columns=columns)
         if pending is not None:
-            yield pd.DataFrame([(*pending, False)], columns=["series", "block_", "last_t_", "last_change_", "taken_"])
-
-    def keep(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values(["t", "change"], kind="stable", ascending=[True, False])
-        t, change = found["t"].to_numpy(), found["change"].to_numpy()
-        last = None if pd.isna(found["last_t_"].iloc[0]) else (int(found["last_t_"].iloc[0]), float(found["last_change_"].iloc[0]))
-        after, k, kept = _follow(t, change, min_gap), _entered(t, change, last, min_gap), []
-        while k < len(t):
-            far = after[k] == len(t) or t[after[k]] - t[k] >= min_gap
-            if far and not (after[k] == len(t) and found["taken_"].iloc[0]):
-                kept.append(k)
-            k = after[k]
-        return found.iloc[kept][names]
+            yield pd.DataFrame([(*pending, False)], columns=columns)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found, bounds in _groups(batches, ["series", "block_"]):
+            ts, changes, kept = found["t"].to_numpy(), found["change"].to_numpy(), []
+            heads = found.iloc[bounds[:-1]]
+            for lo, hi, last_t, last_change, taken in zip(bounds, bounds[1:], heads["last_t_"], heads["last_change_"], heads["taken_"], strict=False):
+                t, change = ts[lo:hi], changes[lo:hi]
+                last = None if pd.isna(last_t) else (int(last_t), float(last_change))
+                after, k = _follow(t, change, min_gap).tolist(), _entered(t, change, last, min_gap)
+                while k < hi - lo:
+                    far = after[k] == hi - lo or t[after[k]] - t[k] >= min_gap
+                    if far and not (taken and after[k] == hi - lo):
+                        kept.append(lo + k)
+                    k = after[k]
+            yield found.iloc[kept][names]
 
     kind = moments.schema["series"].dataType.simpleString()
-    maps = cut(rows.select("series", "block_", "t", "change").groupBy("series", "block_").applyInPandas(exits, f"series {kind}, {BLOCK_EXITS}"))
+    in_blocks = lambda df: df.repartition("series", "block_").sortWithinPartitions("series", "block_", "t", F.desc("change"))
+    maps = cut(in_blocks(rows.select("series", "block_", "t", "change")).mapInPandas(exits, f"series {kind}, {BLOCK_EXITS}"))
     entered = maps.repartition("series").sortWithinPartitions("series", "block_").mapInPandas(compose, f"series {kind}, block_ bigint, last_t_ bigint, last_change_ double, taken_ boolean")
-    return rows.join(entered, ["series", "block_"]).groupBy("series", "block_").applyInPandas(keep, moments.schema)
+    return in_blocks(rows.join(entered, ["series", "block_"])).mapInPandas(keep, moments.schema)
 
 
 def drop_same_screens(moments: DataFrame, delta: float, same: float = SAME_SCREEN) -> DataFrame:

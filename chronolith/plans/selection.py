@@ -20,11 +20,11 @@ def signal_of(pictures: DataFrame, delta: float, height: int, width: int) -> Dat
     pixels of cells that are not noisy.
     """
     cells = cut(frames.cell_change(pictures, delta, height, width))
-    base = frames.baselines(cells)
+    base = cut(frames.baselines(cells))
     places = frames.cell_places(height, width)
     cell_of = [next(c for c, own in enumerate(places) if p in own) for p in range(height * width)]
     seen = F.transform(F.array(*[F.lit(c + 1) for c in cell_of]), lambda c: F.element_at("baseline", c) <= frames.NOISY)
-    change = frames.excess(cells).select("series", "i", "change", "change_global")
+    change = frames.excess(cells, base=base).select("series", "i", "change", "change_global")
     masks = base.select("series", seen.alias("seen"))
     return pictures.select("series", "i", "t", "pixels").join(change, ["series", "i"]).join(masks, "series")
 
