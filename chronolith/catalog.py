@@ -421,6 +421,20 @@ def vtt_captions(spark, sf_dir):
     return captions.vtt_segments(s.groupBy("series").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), lines).alias("raw")))
 
 
+@query(r"""WITH read AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS i, turn * 10000 AS t0_ms, turn * 10000 + 8000 AS t1_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT kind || conv_id::VARCHAR AS series, i, t0_ms, t1_ms, text FROM read, (VALUES ('json'), ('bare'), ('vtt')) AS kinds(kind)""")
+def caption_files(spark, sf_dir):
+    """Every conversation as three caption files, one of them told apart by its first character alone, through one reader."""
+    s = segments(spark, sf_dir)
+    event = F.struct(F.col("t0_ms").alias("tStartMs"), (F.col("t1_ms") - F.col("t0_ms")).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
+    clock = lambda ms: F.format_string("%02d:%02d:%02d.%03d", F.expr(f"{ms} div 3600000"), F.expr(f"{ms} div 60000 % 60"), F.expr(f"{ms} div 1000 % 60"), F.expr(f"{ms} % 1000"))
+    cue = F.concat(clock("t0_ms"), F.lit(" --> "), clock("t1_ms"), F.lit("\n"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n\n"))
+    rows = F.sort_array(F.collect_list(F.struct("i", event.alias("e"), cue.alias("cue"))))
+    written = s.groupBy("series").agg(rows.alias("r")).select("series", F.to_json(F.struct(F.transform("r", lambda x: x["e"]).alias("events"))).alias("json"), F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("r", lambda x: x["cue"]), "")).alias("vtt"))
+    file = lambda kind, path, raw: F.struct(F.concat(F.lit(kind), F.col("series").cast("string")).alias("series"), F.lit(path).alias("path"), F.col(raw).alias("raw"))
+    return captions.caption_segments(written.select(F.inline(F.array(file("json", "a.json3", "json"), file("bare", "a", "json"), file("vtt", "a.vtt", "vtt")))))
+
+
 # joins of moments and segments
 
 
@@ -564,6 +578,59 @@ def second_look(spark, sf_dir):
 # scalar functions
 
 
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey * 7 % 36000 - 3000) / 4.0::DOUBLE AS s FROM lineitem),
+p AS (SELECT *, floor(abs(s) / 3600)::BIGINT AS h, floor((abs(s) % 3600) / 60)::BIGINT AS m, round_even((abs(s) % 60) * 10, 0)::BIGINT AS d, round_even(s, 0)::BIGINT AS r FROM s)
+SELECT k, n, CASE WHEN s < 0 THEN '-' ELSE '' END || CASE WHEN h > 0 THEN h::VARCHAR || ':' || lpad(m::VARCHAR, 2, '0') ELSE m::VARCHAR END || ':' || lpad((d // 10)::VARCHAR, 2, '0') || '.' || (d % 10)::VARCHAR AS full,
+       CASE WHEN r >= 0 THEN CASE WHEN r >= 3600 THEN (r // 3600)::VARCHAR || ':' || lpad(((r % 3600) // 60)::VARCHAR, 2, '0') ELSE ((r % 3600) // 60)::VARCHAR END || ':' || lpad((r % 60)::VARCHAR, 2, '0') END AS short FROM p""")
+def timecode_quarters(spark, sf_dir):
+    """Time codes of quarter seconds, so that tenths and seconds have halves to round; before 0 too."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.expr("(l_partkey * 7 % 36000 - 3000) / 4.0D").alias("s"))
+    return s.select("k", "n", scalars.timecode(F.col("s")).alias("full"), F.when(F.rint("s") >= 0, scalars.timecode_short(F.col("s"))).alias("short"))
+
+
+@query("SELECT o_orderkey AS k, least(600, greatest(40, round_even((o_orderkey % 9000)::DOUBLE / 60 * 6, 0)))::BIGINT AS budget FROM orders")
+def moment_budgets(spark, sf_dir):
+    """Budgets of durations in whole seconds: halves are rounded to even."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), scalars.moment_budget((F.col("o_orderkey") % 9000).cast("double")).cast("bigint").alias("budget"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^[\s\p{Z}\x{0b}\x{85}]+|[\s\p{Z}\x{0b}\x{85}]+$', '', 'g'), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\p{Z}\x{0b}\x{85}-]', '', 'g') AS s FROM documents),
+h AS (SELECT doc_id, regexp_replace(regexp_replace(s, '[\s\p{Z}\x{0b}\x{85}_]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM t)
+SELECT doc_id, lower(CASE WHEN s IS NULL THEN NULL WHEN regexp_replace(substr(s, 1, 60), '-+$', '') = '' THEN 'video' ELSE regexp_replace(substr(s, 1, 60), '-+$', '') END) AS slug FROM h""")
+def document_slugs(spark, sf_dir):
+    """Folder names of whole texts in all languages."""
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.slug(F.col("text")).alias("slug"))
+
+
+@query("""SELECT page_id, host, CASE host WHEN 0 THEN url || '#t=' || s WHEN 1 THEN 'https://youtu.be/' || page_id || '?t=' || s WHEN 2 THEN 'https://www.youtube.com/watch?v=' || page_id || '&t=' || s ELSE '#t=' || s END AS link
+FROM (SELECT page_id, url, (page_id % 500)::VARCHAR AS s FROM pages), range(0, 4) AS r(host)""")
+def moment_links(spark, sf_dir):
+    """Links to moments on hosts that know times, with and without a query, on others, and without a link."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("host"))
+    name = F.col("page_id").cast("string")
+    url = F.when(F.col("host") == 0, F.col("url")).when(F.col("host") == 1, F.concat(F.lit("https://youtu.be/"), name)).when(F.col("host") == 2, F.concat(F.lit("https://www.youtube.com/watch?v="), name))
+    return p.select("page_id", "host", scalars.moment_link(url, F.col("page_id") % 500 + 0.75).alias("link"))
+
+
+@query("""WITH l AS (SELECT page_id, (page_id + 1000000)::VARCHAR AS id, md5(url) AS m FROM pages), u AS (SELECT *, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS uuid FROM l)
+SELECT page_id, uuid AS own, NULL::VARCHAR AS other, CASE WHEN page_id % 2 = 0 THEN uuid ELSE id END AS in_page FROM u""")
+def host_links(spark, sf_dir):
+    """Ids of links of one host, of a host whose name only ends alike, and inside whole pages."""
+    m = F.md5(F.col("url").cast("binary"))
+    uuid = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    link = lambda host: F.concat(F.lit(f"https://{host}/embed/"), F.upper(uuid), F.lit("?x=1"))
+    number = (F.col("page_id") + 1_000_000).cast("string")
+    page = F.concat("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<script>{"id":"'), uuid, F.lit('"}</script>'))).otherwise(F.concat(F.lit('<script>{grid: "77", id : "'), number, F.lit('"}</script>'))))
+    return table(spark, sf_dir, "pages").select("page_id", text.video_id(link("play.media.example"), "media.example").alias("own"), text.video_id(link("notmedia.example"), "media.example").alias("other"), text.page_video_id(page).alias("in_page"))
+
+
+@query(f"""WITH {_SPANS}, bare AS (SELECT series, a, b, row_number() OVER (PARTITION BY series ORDER BY a, b) AS n FROM spans WHERE b - a > {MAX_GAP})
+SELECT series, a, b, n FROM bare WHERE n <= 8""")
+def report_gaps(spark, sf_dir):
+    """The first eight bare stretches of every series, as a report shows them."""
+    return coverage.first_gaps(coverage.gaps(moments(spark, sf_dir), MONTH, MAX_GAP)).withColumn("n", F.col("n").cast("bigint"))
+
+
 @query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey * 7 % 9000)::BIGINT AS s FROM lineitem)
 SELECT k, n, s, CASE WHEN s >= 3600 THEN (s // 3600)::BIGINT::VARCHAR || ':' || lpad(((s % 3600) // 60)::BIGINT::VARCHAR, 2, '0') || ':' ELSE (s // 60)::BIGINT::VARCHAR || ':' END || lpad((s % 60)::VARCHAR, 2, '0') AS short,
        CASE WHEN s >= 3600 THEN (s // 3600)::BIGINT::VARCHAR || ':' || lpad(((s % 3600) // 60)::BIGINT::VARCHAR, 2, '0') || ':' ELSE (s // 60)::BIGINT::VARCHAR || ':' END || lpad((s % 60)::VARCHAR, 2, '0') || '.0' AS full, s::DOUBLE AS parsed FROM s""")

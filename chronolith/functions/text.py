@@ -98,6 +98,7 @@ def bare_text(markup: Column) -> Column:
 
 def plain_escapes(text: Column) -> Column:
     r"""``\uXXXX`` as the character, where that is printable ASCII; a backslash comes last, so that it makes no new escape."""
+    # fixed value: JavaScript's escape of four hexadecimal digits
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1)))
     number = lambda c: F.conv(c, 16, 10).cast("int")
     plain = F.filter(codes, lambda c: number(c).between(0x20, 0x7E))
@@ -107,6 +108,7 @@ def plain_escapes(text: Column) -> Column:
 
 def link_signature(source: Column, keys: tuple[str, ...] = ("expires", "sign", "token")) -> Column:
     """``key=value`` of each signing key, the first value of it, in the order of first places."""
+    # fixed value: how links and pages write a signing key; what else ended a value would give other results
     pattern = rf"(?i)\b({'|'.join(keys)})=([^&\"'\s<>]+)"
     clean = plain_escapes(F.coalesce(source, F.lit("")))
     all_of = lambda group: F.regexp_extract_all(clean, F.lit(pattern), F.lit(group))
@@ -116,6 +118,13 @@ def link_signature(source: Column, keys: tuple[str, ...] = ("expires", "sign", "
     return F.array_join(first, "&")
 
 
+def page_video_id(page: Column) -> Column:
+    """The first UUID or number of six digits or more that a page's script gives as ``id``, quoted name or not; null without one."""
+    # fixed value: the two ways in which players write it
+    found = F.regexp_extract(F.lower(page), r"\bid\"?\s*:\s*\"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|\d{6,})\"", 1)
+    return F.when(found != "", found)
+
+
 def video_id(url: Column, host: str | None = None) -> Column:
     """A UUID or a number of six digits or more that stands as a part of a link's path; null without one.
 

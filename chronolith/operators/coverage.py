@@ -6,7 +6,7 @@ series' start); ``duration`` is a column or a number in the same unit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scans
@@ -45,6 +45,12 @@ def gap_stats(moments: DataFrame, duration: int, blind: int) -> DataFrame:
     return out.select("series", "n_moments", "blind", F.col("w.size").alias("longest"), F.col("w.a").alias("longest_from"), F.col("w.b").alias("longest_to"))
 
 
+def first_gaps(bare: DataFrame, most: int = 8) -> DataFrame:
+    """Of stretches ``series, a, b`` and whatever else the first ``most`` of each series, with ``n`` from 1 on."""
+    place = F.row_number().over(Window.partitionBy("series").orderBy("a", "b"))
+    return bare.withColumn("n", place).filter(F.col("n") <= most)
+
+
 def compare(before: DataFrame, after: DataFrame, duration: int, blind: int) -> DataFrame:
     """gap_stats of two selections side by side, for series that either has."""
     named = lambda df, p: gap_stats(df, duration, blind).select("series", *[F.col(c).alias(f"{c}_{p}") for c in ("n_moments", "blind", "longest")])

@@ -23,6 +23,8 @@ SPLIT_SECONDS, MIN_GAP_SECONDS, NOVELTY, SAME_SCREEN = 2.5, 0.75, 5.0, 0.001
 CUE_SECONDS = 3.0
 #: bursts of a series that one call gets
 TOGETHER = 256
+#: moments of a series too long for its budget that a block should have at least
+BUDGET_ROWS = 2048
 #: reasons by worth: a grid point goes first, a caught change last
 WORTH = {"grid": 0, "cue": 1, "change": 2}
 
@@ -223,45 +225,103 @@ def cue_anchors(cues: DataFrame, moments: DataFrame, tolerance: int) -> DataFram
     return thin_close(free.withColumn("change", F.lit(0.0)), tolerance + 1).select("series", "t")
 
 
-def fit_budget(moments: DataFrame) -> DataFrame:
+def _drop_in_block(t: np.ndarray, worth: np.ndarray, strength: np.ndarray, place: np.ndarray, max_gap: int, before: tuple | None, after: tuple | None, start: int, end: int) -> tuple[list[int], list[tuple]]:
+    """One round over a block's moments in order: which are dropped, and at what cost.
+
+    ``before`` and ``after`` are the neighbours outside, with what dropping them would cost at least (none
+    at the series' ends, where ``start`` and ``end`` stand). A moment goes while no neighbour would go before
+    it; one that has to wait for a neighbour lets its own neighbours wait.
+    """
+    n = len(t)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    low, high = (before[0] if before else start), (after[0] if after else end)
+    times = t.tolist()
+
+    def cost(k: int) -> tuple:
+        stretch = (times[right[k]] if right[k] < n else high) - (times[left[k]] if left[k] >= 0 else low)
+        return (int(worth[k]), float(strength[k]), stretch, int(place[k]))
+
+    waits = [False] * n
+    heap = [(cost(k), k) for k in range(n) if place[k] > 0 or times[k] > 0]
+    heapq.heapify(heap)
+    dropped, costs = [], []
+    while heap:
+        known, k = heapq.heappop(heap)
+        now = cost(k)
+        if now[2] > max_gap:
+            continue
+        if now != known:
+            heapq.heappush(heap, (now, k))
+            continue
+        i, j = left[k], right[k]
+        outside = [x[1] for x in ((before if i < 0 else None), (after if j >= n else None)) if x is not None and x[1] is not None]
+        if any(waits[x] for x in (i, j) if 0 <= x < n) or any(x < now for x in outside):
+            waits[k] = True
+            continue
+        dropped.append(k)
+        costs.append(now)
+        if i >= 0:
+            right[i] = j
+        if j < n:
+            left[j] = i
+    return dropped, costs
+
+
+def fit_budget(moments: DataFrame, blocks: int = 4096) -> DataFrame:
     """Drops moments until a series has ``cap`` of them, as far as no stretch becomes longer than its ``max_gap``.
 
-    Rows ``series, t, reason, change, cap, duration, max_gap``. Of those that may go, the one of
+    Rows ``series, t, reason, change, cap, duration, max_gap``, one a time. Of those that may go, the one of
     least worth goes first (a change by its strength), then the one that leaves the
-    shortest stretch, then the earliest; a moment at 0 stays. Neighbours only draw
-    apart, so costs only rise, and a heap that is checked late gives the same order
-    as comparing all of them each time.
-    """
+    shortest stretch, then the earliest; a moment at 0 stays.
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable").reset_index(drop=True)
-        n = len(rows)
-        cap, end, max_gap = (int(rows[c].iloc[0]) for c in ("cap", "duration", "max_gap"))
-        if n <= cap:
-            return rows[["series", "t", "reason", "change"]]
-        t = rows["t"].to_numpy()
-        worth = rows["reason"].map(WORTH).to_numpy()
-        strength = np.where(worth == 2, rows["change"].to_numpy(), 0.0)
-        left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
-        alive = np.ones(n, bool)
-        stretch = lambda k: (t[right[k]] if right[k] < n else end) - (t[left[k]] if left[k] >= 0 else 0)
-        heap = [(worth[k], strength[k], stretch(k), k) for k in range(n) if t[k] > 0 or k > 0]
-        heapq.heapify(heap)
-        over = n - cap
-        while heap and over:
-            w, s, d, k = heapq.heappop(heap)
-            now = stretch(k)
-            if now > max_gap:
-                continue
-            if now != d:
-                heapq.heappush(heap, (w, s, now, k))
-                continue
-            alive[k] = False
-            over -= 1
-            if left[k] >= 0:
-                right[left[k]] = right[k]
-            if right[k] < n:
-                left[right[k]] = left[k]
-        return rows[alive][["series", "t", "reason", "change"]]
-
-    return moments.groupBy("series").applyInPandas(choose, moments.select("series", "t", "reason", "change").schema)
+    Neighbours only draw apart, so costs only rise: what is cheaper than both its neighbours
+    goes before them whatever happens elsewhere, and costs in order of dropping go up. So
+    blocks of a timeline drop theirs by themselves, in rounds in which they tell each other their outermost moments, until none
+    can; of all that could go, the cheapest are dropped, as many as are too many. A series
+    that fits in one block needs one round. A task holds a block.
+    """
+    worth = F.element_at(F.create_map(*[F.lit(x) for pair in WORTH.items() for x in pair]), F.col("reason"))
+    counted = moments.groupBy("series").agg(F.count("*").alias("n_"), F.max("cap").alias("cap_"))
+    over = counted.filter(F.col("n_") > F.col("cap_")).select("series", (F.col("n_") - F.col("cap_")).alias("over_"), F.greatest(F.lit(1), F.least(F.lit(blocks), F.expr(f"n_ div {BUDGET_ROWS}"))).alias("parts_"))
+    kind = moments.schema["series"].dataType.simpleString()
+    block = F.floor(F.least(F.greatest(F.col("t"), F.lit(0)), F.col("duration")) / F.greatest(F.col("duration"), F.lit(1)) * (F.col("parts_") - F.lit(1e-9)))
+    rows = moments.join(over, "series").select("series", "t", worth.alias("worth"), F.when(F.col("reason") == "change", F.col("change").cast("double")).otherwise(F.lit(0.0)).alias("strength"), "duration", "max_gap", block.alias("block"))
+    state = cut(scans.running(rows, F.col("block"), ["t"], F.lit(1), "place").withColumn("place", F.col("place") - 1))
+    edge = "struct<t: bigint, worth: int, strength: double, stretch: bigint, place: bigint>"
+    told = f"series {kind}, t bigint, worth int, strength double, duration bigint, max_gap bigint, block bigint, place bigint, cost {edge}, fresh boolean"
+
+    def round_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found, bounds in _groups(batches, ["series", "block"]):
+            gone: dict[int, tuple] = {}
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                part = found.iloc[lo:hi]
+                one = part.iloc[0]
+                edges = [None if e is None else (e["t"], None if e["stretch"] > one.max_gap or e["place"] == 0 and e["t"] <= 0 else (e["worth"], e["strength"], e["stretch"], e["place"])) for e in (one.before, one.after)]
+                dropped, costs = _drop_in_block(part["t"].to_numpy(), part["worth"].to_numpy(), part["strength"].to_numpy(), part["place"].to_numpy(), int(one.max_gap), *edges, 0, int(one.duration))
+                gone |= {lo + k: (int(part["t"].iloc[k]), *c) for k, c in zip(dropped, costs, strict=True)}
+            cost = [None if k not in gone else dict(zip(("t", "worth", "strength", "stretch", "place"), gone[k], strict=True)) for k in range(len(found))]
+            yield found[["series", "t", "worth", "strength", "duration", "max_gap", "block", "place"]].assign(cost=pd.Series(cost, index=found.index, dtype=object), fresh=[k in gone for k in range(len(found))])
+
+    dropped = None
+    while True:
+        of_block = Window.partitionBy("series", "block").orderBy("t")
+        # what a moment would cost with the neighbours that it has now
+        near = scans.lagged(state, F.col("block"), ["t"], ["t"]).withColumn("low_", F.coalesce("before_.t", F.lit(0))).drop("before_")
+        placed = near.withColumn("next_", F.lead("t").over(of_block))
+        outer = placed.groupBy("series", "block", "duration").agg(F.min_by(F.struct("t", "worth", "strength", "place", "low_", "next_"), "t").alias("f"), F.max_by(F.struct("t", "worth", "strength", "place", "low_"), "t").alias("l"))
+        by_block = Window.partitionBy("series").orderBy("block")
+        following = outer.withColumn("start_", F.lead("f.t").over(by_block))
+        as_edge = lambda e, nxt: F.struct(e["t"].alias("t"), e["worth"].cast("int").alias("worth"), e["strength"].alias("strength"), (nxt - e["low_"]).cast("bigint").alias("stretch"), e["place"].cast("bigint").alias("place"))
+        beyond = F.coalesce(F.col("start_"), F.col("duration"))
+        faces = following.select("series", "block", as_edge(F.col("f"), F.coalesce(F.col("f.next_"), beyond)).alias("f"), as_edge(F.col("l"), beyond).alias("l"))
+        faces = faces.select("series", "block", F.lag("l").over(by_block).alias("before"), F.lead("f").over(by_block).alias("after"))
+        asked = state.join(faces, ["series", "block"]).repartition("series", "block").sortWithinPartitions("series", "block", "t")
+        done = cut(asked.mapInPandas(round_, told))
+        now = done.filter("fresh").select("series", "t", "cost")
+        dropped = now if dropped is None else dropped.unionByName(now)
+        if done.filter("fresh").isEmpty() or state.select("series", "block").distinct().groupBy("series").count().filter("count > 1").isEmpty():
+            break
+        state = done.filter("not fresh").drop("cost", "fresh")
+    cheapest = Window.partitionBy("series").orderBy("cost.worth", "cost.strength", "cost.stretch", "cost.place")
+    gone = dropped.withColumn("n_", F.row_number().over(cheapest)).join(over, "series").filter(F.col("n_") <= F.col("over_")).select("series", "t")
+    return moments.join(gone, ["series", "t"], "left_anti").select("series", "t", "reason", "change")

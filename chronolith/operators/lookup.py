@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def _bucketed(intervals: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
     first, last = F.floor(low / width), F.floor(high / width)
@@ -46,13 +48,14 @@ def near_texts(points: DataFrame, segments: DataFrame, slack: int, width: int) -
     return points.join(texts, ["series", "id"], "left").withColumn("near", F.coalesce("near", F.lit("")))
 
 
-def nearest(probes: DataFrame, moments: DataFrame, k: int) -> DataFrame:
+def nearest(probes: DataFrame, moments: DataFrame, k: int, span: int = 1 << 22) -> DataFrame:
     """``series, probe, id, t, distance``: the k moments (``series, id, t``) nearest to each probe (``series, probe, at``), by time.
 
     Ties go to the earlier time, then to the smaller id, so the k nearest are among the k
     last up to the probe and the k first behind it; only these are compared. Each row
     knows its place among the moments of its series, of equal times once in falling and
-    once in rising order of ids, and probes ask for places.
+    once in rising order of ids, and probes ask for places. Places are counted inside blocks
+    of ``span`` of time, and over blocks, so that a long series is spread.
     """
     own = F.struct("t", "id")
     kind = moments.select(own.alias("own")).schema["own"].dataType
@@ -61,8 +64,7 @@ def nearest(probes: DataFrame, moments: DataFrame, k: int) -> DataFrame:
     )
     sides = []
     for ids, first, last in ((F.col("own.id").desc(), 1 - k, 0), (F.col("own.id").asc(), 1, k)):
-        order = Window.partitionBy("series").orderBy("t", "is_probe", ids).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = both.withColumn("place", F.sum(1 - F.col("is_probe")).over(order))
+        placed = scans.running(both, scans.block_of(F.col("t"), span), [F.col("t"), F.col("is_probe"), ids], 1 - F.col("is_probe"), "place")
         asked = placed.filter("is_probe = 1").select("series", "probe", F.col("t").alias("at"), F.explode(F.sequence(F.col("place") + first, F.col("place") + last)).alias("place"))
         known = placed.filter("is_probe = 0").select("series", "place", "own.id", F.col("own.t").alias("t"))
         sides.append(asked.join(known, ["series", "place"]))

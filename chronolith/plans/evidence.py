@@ -93,7 +93,7 @@ def frames(spark: SparkSession, root: str, probes: DataFrame | None = None, ids:
     found = selection.cut(found)
     if log:
         store.log_served(root, found.select("series", "id", "t").distinct(), batch)
-    return found
+    return found.orderBy("series", *[c for c in ("probe",) if c in found.columns], "place")
 
 
 def verify(spark: SparkSession, root: str, answers: DataFrame) -> DataFrame:
@@ -107,7 +107,6 @@ def report(spark: SparkSession, root: str) -> DataFrame:
     now = store.snapshot(spark, root)
     rows = now.table("frames")
     counts = rows.groupBy("series").agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("grid", "cue", "change")], F.sum("est_tokens").alias("tokens_all"))
-    place = F.row_number().over(Window.partitionBy("series").orderBy("a"))
-    first = now.table("gaps").withColumn("n", place).filter("n <= 8").groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "tc"))), lambda g: g["tc"]).alias("gaps"))
+    first = coverage.first_gaps(now.table("gaps")).groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "tc"))), lambda g: g["tc"]).alias("gaps"))
     out = now.table("summary").join(counts, "series", "left").join(first, "series", "left")
     return out.withColumn("tokens_call", F.col("est_tokens_per_frame") * scalars.FRAMES_PER_CALL)

@@ -34,6 +34,7 @@ def json3_segments(files: DataFrame) -> DataFrame:
 
 def vtt_time(value: Column, strict: bool = True) -> Column:
     """Milliseconds of ``HH:MM:SS.mmm``; null without one. ``strict`` off also reads ``MM:SS.mmm``."""
+    # fixed value: clocks of WebVTT and SRT
     pattern = r"(\d{1,2}):(\d{2}):(\d{2})[.,](\d{1,3})" if strict else r"(?:(\d{1,2}):)?(\d{2}):(\d{2})[.,](\d{1,3})"
     part = lambda i: F.coalesce(F.regexp_extract(value, pattern, i).try_cast("bigint"), F.lit(0))
     ms = F.rpad(F.regexp_extract(value, pattern, 4), 3, "0").try_cast("bigint")
@@ -57,6 +58,12 @@ def vtt_segments(files: DataFrame, strict: bool = True) -> DataFrame:
     return merge_rolling(rows.filter("t0_ms is not null and text <> ''"))
 
 
+def caption_segments(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Segments of caption files ``series, path, raw`` of either kind, as each file's name or first character tells."""
+    kind = is_json3(F.coalesce("path", F.lit("")), F.coalesce("raw", F.lit("")))
+    return json3_segments(files.filter(kind)).unionByName(vtt_segments(files.filter(~kind), strict))
+
+
 def merge_rolling(rows: DataFrame) -> DataFrame:
     """``series, pos, t0_ms, t1_ms, text`` with each repeated or growing line merged into one, numbered anew.
 

@@ -48,6 +48,7 @@ def dash_tracks(manifests: DataFrame, strict: bool = True) -> DataFrame:
 
 def attributes(line: Column) -> Column:
     """``KEY="value"`` and ``KEY=value`` of a tag line as a map; of a repeated key the last."""
+    # fixed value: attributes of tag lines as the playlist format writes them
     pattern = F.lit(r'([A-Za-z0-9-]+)=(?:"([^"]*)"|([^,]*))')
     of = lambda group: F.regexp_extract_all(line, pattern, F.lit(group))
     values = F.zip_with(of(2), of(3), lambda q, b: F.when(q != "", q).otherwise(b))
@@ -66,6 +67,7 @@ def hls_subtitles(playlists: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("a")["NAME"], F.lit(""))
     host = F.regexp_extract("base", r"^(\w+://[^/]+)", 1)
     url = F.when(uri.rlike(r"^\w+://"), uri).when(uri.startswith("/"), F.concat(host, uri)).otherwise(F.concat("base", uri))
+    # fixed value: the words by which automatic tracks are known
     return found.select("series", "place", F.lower(F.coalesce(F.col("a")["LANGUAGE"], F.lit(""))).alias("lang"), name.alias("name"), url.alias("url"), F.lower(name).rlike("авто|auto").alias("auto"))
 
 

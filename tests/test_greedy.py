@@ -80,8 +80,10 @@ def fit(rows, cap, end, gap):
     return kept
 
 
-@pytest.mark.parametrize("cap", [1, 20, 60])
-def test_fit_budget(spark, cap):
+@pytest.mark.parametrize(("cap", "least"), [(1, 2048), (20, 2048), (60, 2048), (1, 7), (30, 20)])
+def test_fit_budget(spark, monkeypatch, cap, least):
+    """One block a series, and many that wait for each other."""
+    monkeypatch.setattr(greedy, "BUDGET_ROWS", least)
     data = {}
     for k in range(6):
         r = random.Random(k)
