@@ -185,27 +185,29 @@ def thin_close(moments: DataFrame, min_gap: int, span: int | None = None) -> Dat
     return in_blocks(rows.join(entered, ["series", "block_"])).mapInPandas(keep, moments.schema)
 
 
-def drop_same_screens(moments: DataFrame, delta: float, same: float = SAME_SCREEN) -> DataFrame:
+def drop_same_screens(moments: DataFrame, delta: float, same: float = SAME_SCREEN, span: int = 1 << 22) -> DataFrame:
     """A moment whose screen equals that of the last kept one takes its place; grid points neither take nor give place.
 
     Rows ``series, t, reason, change, pixels, seen`` (``seen``: a flag for each pixel
-    that counts); what is kept comes with ``replaced``, how many it took the place of.
+    that counts; a series' first row has those of all); what is kept comes with ``replaced``, how many it took the place of.
+    A series is cut into blocks of ``span`` of time.
     """
 
-    order = Window.partitionBy("series").orderBy("t", "reason", "change")
+    order, block = ["t", "reason", "change"], scans.block_of(F.col("t"), span)
+    first = moments.groupBy("series").agg(F.min_by("seen", F.struct(*order)).alias("mask_"))
     # what is kept last is always the row before: that one either was appended or took the last one's place
-    rows = moments.withColumn("before_", F.lag("pixels").over(order)).withColumn("grid_", (F.col("reason") == "grid") | (F.lag("reason").over(order) == "grid"))
-    rows = rows.withColumn("mask_", F.first("seen").over(order)).withColumn("mask_", F.when(F.exists("mask_", lambda m: m), F.col("mask_")).otherwise(F.transform("mask_", lambda m: F.lit(True))))
+    rows = scans.lagged(moments, block, order, ["pixels", "reason"]).join(first, "series").withColumn("grid_", (F.col("reason") == "grid") | (F.col("before_.reason") == "grid"))
+    rows = rows.withColumn("mask_", F.when(F.exists("mask_", lambda m: m), F.col("mask_")).otherwise(F.transform("mask_", lambda m: F.lit(True))))
 
     def differs(x, y):
         far = F.abs(x.cast("double") - y.cast("double"))
         return F.coalesce((far > delta) & ~F.isnan(far), F.lit(False))
 
-    far = F.zip_with(F.zip_with("pixels", "before_", differs), "mask_", lambda d, m: d & m)
+    far = F.zip_with(F.zip_with("pixels", "before_.pixels", differs), "mask_", lambda d, m: d & m)
     share = F.size(F.filter(far, lambda x: x)) / F.size(F.filter("mask_", lambda m: m))
     new = F.col("before_").isNull() | F.col("grid_") | (share > same)
     rows = rows.select("series", "t", "reason", "change", F.when(new, 1).otherwise(0).alias("new_"))
-    rows = rows.withColumn("screen_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = scans.running(rows, block, order, F.col("new_"), "screen_")
     of_screen = rows.groupBy("series", "screen_").agg(F.max(F.struct("t", "reason", "change")).alias("last"), (F.count(F.lit(1)) - 1).alias("replaced"))
     return of_screen.select("series", "last.t", "last.reason", "last.change", "replaced")
 

@@ -186,3 +186,12 @@ def test_one_endless_island_is_spread(spark):
     rows = [(r.t, r.change) for r in df.toPandas().itertuples()]
     assert sorted(zip(got["t"], got["change"], strict=True)) == thin(rows, 750)
     assert got["task"].nunique() == 8 and got["task"].value_counts().max() < len(got) / 4
+
+
+def test_same_screens_over_blocks(spark):
+    """Blocks of a series make no difference."""
+    r = random.Random(8)
+    rows = [("s", k * 10, r.choice(["change", "cue", "grid"]), r.random(), [float(r.choice([0, 0, 0, 1]))] * 3, [True] * 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "series string, t bigint, reason string, change double, pixels array<double>, seen array<boolean>").repartition(4)
+    whole, cut = (sorted(map(tuple, greedy.drop_same_screens(df, 0.5, 0.1, span).collect())) for span in (1 << 22, 30))
+    assert whole == cut and any(x[-1] for x in whole)

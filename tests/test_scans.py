@@ -53,7 +53,7 @@ def test_a_hot_series_is_spread(spark):
     assert sum(sizes) == 50_000 and len(sizes) >= 6 and max(sizes) < 20_000
 
 
-@pytest.mark.parametrize("few", [1, 3, 100_000])
+@pytest.mark.parametrize("few", [1, 100_000])
 def test_medians_are_exact(spark, few):
     r = random.Random(few)
     groups = {
