@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import struct
 import sys
 import unicodedata
@@ -31,8 +32,10 @@ from .textarrays import give_back, slices
 
 #: fixed value: how the vocabulary's file cuts normal text into words
 WORDS = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: words and fragments that a worker remembers
-CACHE = 300_000
+#: the same in ASCII of lower case, where no tables of letters are needed
+ASCII_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: words, and fragments of words that are cut, that a worker remembers
+CACHE = 400_000
 #: bytes of a word that is short: remembered, and merged by trying all its pairs
 SHORT = 32
 #: characters of a text whose words are found at once, and words that are found at once in a longer one
@@ -129,8 +132,9 @@ class Vocabulary:
 
     def word(self, data: bytes) -> bytes:
         """Ids of a word's bytes as little-endian 32-bit integers."""
-        out: list[int] = []
-        edges = [0, *self.cuts(data), len(data)]
+        cuts = self.cuts(data)
+        out: list[int] = [] if cuts else self.merge(data, True)
+        edges = [0, *cuts, len(data)] if cuts else []
         for lo, hi in zip(edges, edges[1:], strict=False):
             key = (data[lo:hi], hi == len(data))
             found = self.fragments.get(key)
@@ -156,11 +160,12 @@ class Vocabulary:
             return
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes by single signs: no final sigma
+        words = ASCII_WORDS if text.isascii() else WORDS
         text = text.lower()
         if len(text) <= WHOLE:
-            yield WORDS.findall(text)
+            yield words.findall(text)
             return
-        found = WORDS.finditer(text)
+        found = words.finditer(text)
         while run := [m.group() for m in islice(found, RUN)]:
             yield run
 
@@ -173,7 +178,12 @@ class Vocabulary:
                 continue
             for run in self.split(part):
                 known = list(map(self.words.get, run))
-                for i in [i for i, found in enumerate(known) if found is None] if None in known else ():
+                try:
+                    out.append(b"".join(known))
+                    continue
+                except TypeError:  # some are not known yet
+                    new = [i for i, found in enumerate(known) if found is None]
+                for i in new:
                     known[i] = found = self.words.get(run[i]) or self.word(run[i].encode())
                     if len(self.words) >= CACHE:
                         self.words.clear()
