@@ -9,8 +9,9 @@ same set (by size and two independent 64-bit sums) are one class and one query.
 2. Inside a group, members are told apart by their difference from the shingles that
    most members have. If two differences together are small enough, both members link
    with the member of the smallest one; if not, linked members have some of their
-   differing shingles in common. Only these are joined, and of those that many members
-   have only where the rare ones might not tell (as in 3).
+   differing shingles in common: a rare one, or enough frequent ones. Members are joined
+   on rare ones alone; by frequent ones members fall into kinds, and kinds are joined on
+   the first shingles of each.
 3. Between groups (from here on the connected members of one), the matrix holds, for every
    shingle and group, whether a member has it among its leading shingles in a fixed order
    of all shingles (rare ones by hash first, then dense ones). A set of n shingles with a
@@ -289,34 +290,83 @@ def stars(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     return pairs.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")), far
 
 
+def apart_from_most(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``g, rep, n, k, odd, f``: members of groups in parts, by their difference from the shingles that most members have."""
+    of_g = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("k").alias("low"), F.max("k").alias("high"))
+    m = saved(members.join(of_g.filter("low <> high").select("g", "members"), "g").join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "inside")
+    most = m.select("g", "members", F.explode("tokens").alias("token")).groupBy("g", "members", "token").count().filter(2 * F.col("count") > F.col("members")).groupBy("g").agg(F.collect_list("token").alias("most"))
+    known = F.coalesce("most", F.array().cast("array<bigint>"))
+    apart = m.join(most, "g", "left").select("g", "rep", "n", "k", F.concat(F.array_except("tokens", known), F.array_except(known, "tokens")).alias("odd"))
+    return apart.withColumn("f", F.size("odd") * (den + num) - F.col("n") * (den - num))
+
+
+def rare_rows(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of members at every rare shingle that both differ in: fewer than ``MANY`` a cell, however large the group."""
+    met = _side(cells, "q_", ["g", "token"]).join(_side(cells, "m_", ["g", "token"]), ["g", "token"])
+    sized = (F.col("q_n") * den >= F.col("m_n") * num) & (F.col("m_n") * den >= F.col("q_n") * num)
+    return met.filter((F.col("q_rep") < F.col("m_rep")) & (F.col("q_k") != F.col("m_k")) & sized & (F.col("q_f") + F.col("m_f") > 0))
+
+
+def dense_rows(kinds: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of kinds at shingles among the first ones of both, where what is left there can still reach the bound.
+
+    A kind that shares c of its d shingles (rarest first) shares one of its first d - c + 1. The one of
+    lesser f needs at least what two of its f need, the other at least what it needs with the least f of the group.
+    """
+    whole = 2 * (den + num)
+    floor = kinds.groupBy("g").agg(F.min("f").alias("floor"))
+    k = kinds.withColumn("d", F.size("common"))
+    first = lambda over: F.col("d") - F.greatest(F.lit(1), F.ceil(over / whole)) + 1
+    spread = lambda df, long: df.filter(long > 0).select("g", "kind", "f", "d", "low", "high", F.posexplode(F.slice("common", F.lit(1), long.cast("int"))).alias("at", "cell")).select("*", F.col("cell.token").alias("token")).drop("cell")
+    less, more = spread(k, first(2 * F.col("f"))), spread(k.join(floor, "g"), first(F.col("f") + F.col("floor")))
+    met = _side(less, "q_", ["g", "token"]).join(_side(more, "m_", ["g", "token"]), ["g", "token"])
+    once = (F.col("q_f") < F.col("m_f")) | ((F.col("q_f") == F.col("m_f")) & (F.col("q_kind") < F.col("m_kind")))
+    apart = (F.col("q_low") != F.col("m_low")) | (F.col("q_high") != F.col("m_high")) | (F.col("q_low") != F.col("q_high"))
+    over = F.col("q_f") + F.col("m_f")
+    left = F.least(F.col("q_d") - F.col("q_at"), F.col("m_d") - F.col("m_at"))
+    return met.filter(once & apart & (over > 0) & (left * whole >= over)).select("g", "q_kind", "m_kind", over.alias("over"))
+
+
 def inside(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that connect all linked ones of a group, and some that don't link.
 
-    ``members`` has ``g, rep, n, k`` (the component). With e shingles of difference from what most of
-    a group have, two members whose e together are at most (den - num) / (den + num) of
-    their sizes link, both with the member of the least e (den + num) - n (den - num).
-    All other linked ones have at least half of what is over that in common.
+    ``members`` has ``g, rep, n, k`` (the component). Two members with e and e' shingles of
+    difference from what most of a group have, c of them in common, link if and only if
+    2 c (den + num) is f + f' or more, where f = e (den + num) - n (den - num). Where f + f' is 0
+    or less, both link with the member of the least f. Other links take a rare shingle
+    (fewer than ``MANY`` members of the group differ in it), or frequent ones alone.
+
+    Members of one f that differ in the same frequent shingles are of one kind, however
+    many they are: of two kinds with enough of these in common all members link, so kinds are joined and not members.
+    Each member then gets one partner of a kind that its own links with, and kinds their firsts.
     """
-    of_g = members.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "k"))["k"].alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("parts"))
-    m = saved(members.join(of_g.filter("parts > 1"), "g").join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "inside")
-    most = m.select("g", "members", F.explode("tokens").alias("token")).groupBy("g", "members", "token").count().filter(2 * F.col("count") > F.col("members")).groupBy("g").agg(F.collect_list("token").alias("most"))
-    most = F.coalesce("most", F.array().cast("array<bigint>")), most
-    apart = m.join(most[1], "g", "left").select("g", "rep", "n", "k", "main", F.concat(F.array_except("tokens", most[0]), F.array_except(most[0], "tokens")).alias("odd"))
-    apart = saved(apart.withColumn("f", F.size("odd") * (den + num) - F.col("n") * (den - num)), "apart")
+    whole = 2 * (den + num)
+    apart = saved(apart_from_most(members, sets, num, den), "apart")
     least = apart.groupBy("g").agg(F.min(F.struct("f", "rep", "k")).alias("low"))
     auto = apart.join(least, "g").filter((F.col("k") != F.col("low.k")) & (F.col("f") + F.col("low.f") <= 0)).select(F.col("rep").alias("a"), F.col("low.rep").alias("b"))
-    cells = apart.withColumn("token", F.explode("odd")).drop("odd")
-    often = cells.groupBy("g", "token").count().filter(F.col("count") >= MANY).select("g", "token", F.lit(True).alias("dense"))
-    cells = saved(cells.join(often, ["g", "token"], "left").fillna(False, ["dense"]), "odd-cells")
-    cells = cells.join(cells.groupBy("rep").agg(F.count_if("dense").alias("d")), "rep")
-    one, two = _side(cells.filter("k <> main").drop("main"), "q_", ["g", "token"]), _side(cells, "m_", ["g", "token"])
-    once = (F.col("m_k") == F.col("m_main")) | (F.col("q_rep") < F.col("m_rep"))
-    sized = (F.col("q_n") * den >= F.col("m_n") * num) & (F.col("m_n") * den >= F.col("q_n") * num)
-    over = F.col("q_f") + F.col("m_f")
-    needed, common_dense = F.ceil(over / (2 * (den + num))), F.least("q_d", "m_d")
-    met = one.join(two, ["g", "token"]).filter((F.col("q_k") != F.col("m_k")) & once & sized & (over > 0) & (~F.col("q_dense") | (needed <= common_dense)))
-    met = met.groupBy("q_rep", "m_rep").agg(F.count(F.lit(1)).alias("common"), F.first(needed - F.when(needed > common_dense, common_dense).otherwise(0)).alias("needed")).filter("common >= needed")
-    return auto.unionByName(met.select(F.col("q_rep").alias("a"), F.col("m_rep").alias("b")))
+
+    cells = apart.select("g", "rep", "n", "k", "f", F.explode("odd").alias("token"))
+    counts = cells.groupBy("g", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")  # what one member alone has joins nothing
+    cells = saved(cells.join(counts, ["g", "token"]), "odd-cells")
+    common = cells.filter(F.col("c") >= MANY).groupBy("g", "rep", "k", "f").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("common"))
+    common = saved(common, "frequent")
+
+    rare = cells.filter(F.col("c") < MANY).drop("c").join(common.select("rep", F.size("common").alias("d")), "rep", "left").fillna(0, ["d"])
+    met = rare_rows(rare, num, den).groupBy("q_rep", "m_rep").agg(F.count(F.lit(1)).alias("common"), F.first(F.ceil((F.col("q_f") + F.col("m_f")) / whole) - F.least("q_d", "m_d")).alias("needed"))
+    by_rare = met.filter("common >= needed").select(F.col("q_rep").alias("a"), F.col("m_rep").alias("b"))
+
+    key = ["g", "f", "common"]
+    kinds = saved(common.groupBy(*key).agg(F.min("rep").alias("kind"), F.min("k").alias("low"), F.max("k").alias("high")), "kinds")
+    pairs = dense_rows(kinds, num, den).distinct()
+    for side in ("q", "m"):
+        pairs = pairs.join(kinds.select(F.col("kind").alias(f"{side}_kind"), F.col("common").alias(f"{side}_common")), f"{side}_kind")
+    pairs = pairs.filter(F.size(F.array_intersect("q_common", "m_common")) * whole >= F.col("over")).select(F.col("q_kind").alias("a"), F.col("m_kind").alias("b"))
+    pairs = saved(pairs, "kind-pairs")
+    itself = kinds.filter((F.col("low") != F.col("high")) & (F.col("f") > 0) & (F.size("common") * whole >= 2 * F.col("f"))).select(F.col("kind").alias("a"), F.col("kind").alias("b"))
+    partner = pairs.union(pairs.select("b", "a")).union(itself).groupBy("a").agg(F.min("b").alias("b"))
+    of_kind = common.join(kinds.filter("low <> high").select(*key, "kind"), key).join(partner.withColumnRenamed("a", "kind"), "kind")
+    by_kind = of_kind.filter("rep <> b").select(F.col("rep").alias("a"), "b")
+    return auto.unionByName(by_rare).unionByName(pairs).unionByName(by_kind).distinct()
 
 
 def asked(cells: DataFrame, num: int, den: int) -> tuple[DataFrame, Column, Column]:
