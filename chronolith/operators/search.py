@@ -17,6 +17,8 @@ from ..plans.lineage import cut
 TRIGRAM = 3
 #: texts of a block, as a power of two: what a posting list spans at most and a search opens at least
 BLOCK_BITS = 16
+#: quotes of so many words are judged by counts alone: without the first and the last one 60% are left
+COUNTED = 5
 #: folders that posting lists are divided among by their gram
 BUCKETS = 32
 #: blocks that a query names one by one; where more have hits, the join alone picks their texts
@@ -135,21 +137,39 @@ def holders(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) ->
 
     A text that holds a quote lacks few of its words: what the share leaves, or the first
     and the last one if it holds the quote literally. So it has one of the quote's words
-    that are in fewest texts, as many as weigh more than that; pairs come from these, and are then
-    judged whole. Quotes of fewer than three words have no such word and meet every text,
+    that are in fewest texts, as many as weigh more than that; pairs come from these. For quotes of
+    ``COUNTED`` words or more that is all: the words between the first and the last are the share already,
+    so pairs are judged by counts of words and no text is moved. Shorter ones are judged with
+    the text. Quotes of fewer than three words have no rare word that must be there and meet every text,
     as a query set. Ids are unique; null quotes and null or empty texts give no pair.
     """
     q = quotes.filter("quote is not null").select(quote_id, normalized(F.col("quote")).alias("q"), words(F.col("quote")).alias("q_words"))
-    t = texts.filter("body <> ''").select(text_id, normalized(F.col("body")).alias("h"), F.array_distinct(words(F.col("body"))).alias("h_words"))
-    held = holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
-    short = F.size("q_words") < 3
-    asked = q.filter(~short).select(quote_id, F.size("q_words").alias("total"), F.explode("q_words").alias("word")).groupBy(quote_id, "total", "word").agg(F.count(F.lit(1)).alias("n"))
-    known = t.select(text_id, F.explode("h_words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    t = texts.filter("body <> ''")
+    asked = q.filter(F.size("q_words") >= 3).select(quote_id, F.size("q_words").alias("total"), F.explode("q_words").alias("word")).groupBy(quote_id, "total", "word").agg(F.count(F.lit(1)).alias("n"))
+    held = t.select(text_id, F.explode(F.array_distinct(words(F.col("body")))).alias("word"))
+    known = cut(held.join(asked.select("word").distinct(), "word", "left_semi"))
     often = known.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
     rare_first = Window.partitionBy(quote_id).orderBy("texts", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = asked.join(often, "word", "left").fillna(0, ["texts"]).withColumn("before", F.sum("n").over(rare_first) - F.col("n"))
-    lacking = lambda total: F.greatest(F.lit(20), (10 - int(QUOTE_SHARE * 10)) * total)
-    near = ranked.filter((10 * F.col("before") <= lacking(F.col("total"))) & (F.col("texts") > 0)).join(known, "word").select(quote_id, text_id).distinct()
-    may = 10 * F.size(F.array_except("q_words", "h_words")) <= lacking(F.size("q_words"))  # cheaper, and leaves few
-    found = near.join(q, quote_id).join(t, text_id).filter(F.when(may, held)).select(quote_id, text_id)
-    return found.unionByName(q.filter(short).join(t, held).select(quote_id, text_id))
+    tenths = int(QUOTE_SHARE * 10)
+    needed = 10 * F.col("before") <= F.greatest(F.lit(20), (10 - tenths) * F.col("total"))
+    ranked = cut(ranked.filter("texts > 0").withColumn("first", needed))
+
+    near = ranked.filter("first").join(known, "word")
+    few = near.filter(F.col("total") < COUNTED).select(quote_id, text_id).distinct()
+    body = t.select(text_id, normalized(F.col("body")).alias("h"), F.array_distinct(words(F.col("body"))).alias("h_words"))
+    judged = holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
+    by_text = few.join(q, quote_id).join(body, text_id).filter(judged)
+
+    # what the words outside the first ones can add at most, then what they do
+    counted = near.filter(F.col("total") >= COUNTED).groupBy(quote_id, text_id, "total").agg(F.sum("n").alias("hits"))
+    others = ranked.filter(~F.col("first") & (F.col("total") >= COUNTED))
+    most = others.groupBy(quote_id).agg(F.sum("n").alias("most"))
+    counted = cut(counted.join(most, quote_id, "left").filter(10 * (F.col("hits") + F.coalesce("most", F.lit(0))) >= tenths * F.col("total")).drop("most"))
+    more = counted.drop("hits").join(others.select(quote_id, "word", F.col("n").alias("hits")), quote_id).join(known, [text_id, "word"])
+    sums = counted.unionByName(more.select(quote_id, text_id, "total", "hits")).groupBy(quote_id, text_id, "total").agg(F.sum("hits").alias("hits"))
+    by_count = sums.filter(10 * F.col("hits") >= tenths * F.col("total"))
+
+    by_all = q.filter(F.size("q_words") < 3).join(body, judged)
+    ids = [quote_id, text_id]
+    return by_count.select(ids).unionByName(by_text.select(ids)).unionByName(by_all.select(ids))

@@ -28,3 +28,19 @@ def test_holders_of_nothing(spark):
     t = spark.createDataFrame(TEXTS, "doc long, body string")
     assert search.holders(q.limit(0), "item", t, "doc").count() == 0
     assert search.holders(q, "item", t.limit(0), "doc").count() == 0
+
+
+def test_long_quotes_are_judged_without_their_texts(spark):
+    """Ends inside longer words, repeated words, exactly 60% and just less, words that all texts have."""
+    common = "of the and to in"
+    q = spark.createDataFrame([
+        (1, "pha beta gamma delta eps"), (2, f"{common} rare"), (3, "red red red blue green"), (4, "aa bb cc dd ee ff gg hh ii jj"), (5, "x yy zz ww vv uu"),
+    ], "item long, quote string")
+    t = spark.createDataFrame([
+        (1, "alpha beta gamma delta epsilon"), (2, "red"), (3, "blue green"), (4, "aa bb cc dd ee ff"), (5, "jj ii hh gg ff"), (6, "zz yy ww"),
+        *[(10 + i, f"{common} {i}") for i in range(30)], (50, "of the rare"), (51, "of the in rare"),
+    ], "doc long, body string")
+    judged = q.crossJoin(t).filter(T.quote_supported(F.col("quote"), F.col("body")))
+    want = sorted((r["item"], r["doc"]) for r in judged.collect())
+    got = sorted((r["item"], r["doc"]) for r in search.holders(q, "item", t, "doc").collect())
+    assert got == want and {(1, 1), (2, 10), (3, 2), (4, 4), (5, 6), (2, 51)} <= set(got) and not {(4, 5), (3, 3), (2, 50)} & set(got)
