@@ -4,15 +4,20 @@ Words are tagged outside, begin or inside of a secret. A word's features are its
 (shares of character classes, length, distinct bytes), keywords in it and in the words
 before and after, and how its file looks (long, full of digits). Viterbi decodes each
 line. Runs of begin and inside words that no base match touches become ``crf`` spans,
-cut to the part that looks like a secret.
+without the quotes and signs around them; nothing but the field decides on them.
 
-The base patterns teach it: words that base matches cover, in a bounded sample of texts,
-each of which is learned from twice, as it is and without the names of secrets.
+The base patterns teach it where secrets stand, in a bounded sample of texts. What secrets
+look like is taught by lessons: the same texts with each secret drawn anew from other
+alphabets, more of them among the words, and decoys (paths, names, times, addresses made of
+the text's own words) that are none. Each line is learned from twice, as it is and without
+the names of secrets.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +41,11 @@ _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 600_000
 EPOCHS = 60
-#: a secret of the model has at least so many characters, of two classes or more
-CRF_MIN = 16
+#: training lines are cut into pieces of so many words; of pieces with a secret, with a long word only and of others at most so many are learned from
+PIECE = 24
+PIECES = (300, 700, 200)
+#: secrets and decoys that a lesson puts among the words of a text
+DRAWN, DECOYS = 4, 12
 
 _BYTES = np.arange(256)
 _CLASS = {
@@ -49,6 +57,10 @@ _CLASS = {
     "other": ~(((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | np.isin(_BYTES, list(b"+/_=-."))),
 }
 _HEXISH = _CLASS["hex"]
+_VOWEL = np.isin(_BYTES | 32, list(b"aeiou")) & (_BYTES >= 65) & (_BYTES <= 122)
+#: alphabets that lessons draw secrets from
+_UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = (_UPPER + _LOWER + _DIGIT, _UPPER + _LOWER + _DIGIT + "+/", _UPPER + _LOWER + _DIGIT + "_-", _UPPER + _DIGIT, _LOWER + _DIGIT, "0123456789ABCDEF", "0123456789abcdef")
 _BODY = re.compile(rb"[A-Za-z0-9+/_.=-]+")
 
 
@@ -97,9 +109,17 @@ def word_features(w: Words, raw: np.ndarray) -> np.ndarray:
     cols[-1] -= gap
     digit, upper, lower, hexed, join, other = cols
     mixed = (np.minimum(digit, 1) + np.minimum(upper, 1) + np.minimum(lower, 1) + np.minimum(join, 1))
-    change = np.zeros(len(raw), np.int32)
-    change[1:] = _CLASS["digit"][raw[1:]] != _CLASS["digit"][raw[:-1]]
-    changes = np.add.reduceat(change, w.start).astype(np.float32)
+
+    def turns(kind: np.ndarray) -> np.ndarray:
+        """How often a word goes into or out of a class of bytes, its first byte counted as a step from outside."""
+        change = np.zeros(len(raw), np.int32)
+        change[1:] = kind[raw[1:]] != kind[raw[:-1]]
+        change[w.end[w.end < len(raw)]] = 0
+        change[w.start] = kind[raw[w.start]]  # whatever the text before ends with
+        return np.add.reduceat(change, w.start).astype(np.float32)
+
+    changes, cases = turns(_CLASS["digit"]), turns(_CLASS["upper"])
+    vowels = np.add.reduceat(_VOWEL[raw].astype(np.int32), w.start).astype(np.float32)
     key = np.zeros(n, np.float32)
     low = w.data.tobytes()
     for cue in _CUES:
@@ -113,6 +133,7 @@ def word_features(w: Words, raw: np.ndarray) -> np.ndarray:
     own = np.stack([
         np.minimum(length, 64) / 16, (length >= 12).astype(np.float32), (length >= 20).astype(np.float32), digit / length, upper / length, join / length, other / length,
         hexed / length, (digit >= 3) * (length >= 16) * 1.0, (mixed >= 2) * (length >= 16) * 1.0, (mixed >= 3) * (length >= 16) * 1.0, np.minimum(changes, 16) / 8, key, assign, (length >= 16) * (digit / length > 0.15) * 1.0,
+        np.minimum(cases, 16) / 8, vowels / length, (length >= 16) * (changes + cases >= length / 4) * 1.0, (length >= 16) * (vowels <= length / 4) * (other == 0) * 1.0, (join > 0) * (digit + join == length) * 1.0,
     ], axis=1).astype(np.float32)
     side = own[:, [0, 3, 12, 13, 14]]
     head = np.concatenate([[True], w.row[1:] != w.row[:-1]])
@@ -127,9 +148,9 @@ def word_features(w: Words, raw: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after, by_file, np.ones((n, 1), np.float32)], axis=1)
 
 
-N_FEATURES = 15 + 5 + 5 + 3 + 1
+N_FEATURES = 20 + 5 + 5 + 3 + 1
 #: features that come from names of secrets and from the sign behind them, of a word, its neighbours and its file
-NAMES = [12, 13, 17, 18, 22, 23, 27]
+NAMES = [12, 13, 22, 23, 27, 28, 32]
 _BANNED = np.array([[0, 0, -1e4], [0, 0, 0], [0, 0, 0]], np.float64)  # inside never follows outside
 
 
@@ -176,55 +197,134 @@ def viterbi(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarra
 
 
 def _marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of states by word, and of neighbouring states summed over all words; forward and backward sums are scaled step by step."""
     begin, reach = _steps(first)
-    n = len(emit)
-    a, b = np.zeros((n, 3)), np.zeros((n, 3))
-    lse = lambda x: np.logaddexp(np.logaddexp(x[..., 0], x[..., 1]), x[..., 2])
+    see, go = np.exp(np.maximum(emit - emit.max(axis=1, keepdims=True), -500.0)).astype(np.float64), np.exp(moves)
+    see[first[:-1], 2] = 0
+    a, b = np.ones(see.shape), np.ones(see.shape)
+    scaled = lambda x: x / x.sum(axis=1, keepdims=True)
     for t, k in enumerate(reach):
         i = begin[:k] + t
-        a[i] = emit[i]
-        if t == 0:
-            a[i, 2] = -1e4
-        else:
-            a[i] += lse(np.swapaxes(a[i - 1][:, :, None] + moves[None], 1, 2))
+        a[i] = scaled(see[i] * (a[i - 1] @ go) if t else see[i])
     for t in range(len(reach) - 2, -1, -1):
         i = begin[: reach[t + 1]] + t
-        b[i] = lse(moves[None] + (b[i + 1] + emit[i + 1])[:, None, :])
-    z = lse(a + b)
-    p = np.exp(a + b - z[:, None])
-    inner = np.ones(n, bool)
+        b[i] = scaled((see[i + 1] * b[i + 1]) @ go.T)
+    inner = np.ones(len(emit), bool)
     inner[first[:-1]] = False
     i = np.flatnonzero(inner)
-    pair = np.exp(a[i - 1][:, :, None] + moves[None] + (emit[i] + b[i])[:, None, :] - z[i][:, None, None]).sum(axis=0)
-    return p, pair
+    pair = a[i - 1][:, :, None] * go * (see[i] * b[i])[:, None, :]
+    return scaled(a * b), (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+
+def _draw(r: np.random.Generator) -> str:
+    """A secret of 16 to 64 characters; one in eight is written in two parts."""
+    kind = _ALPHABETS[r.integers(len(_ALPHABETS))]
+    key = "".join(kind[k] for k in r.integers(len(kind), size=r.integers(16, 65)))
+    half = len(key) // 2
+    return f"{key[:half]} {key[half:]}" if half >= 16 and r.random() < 0.25 else key
+
+
+def _decoy(words: list[str], r: np.random.Generator) -> str:
+    """What may look like a secret and is none, made of words of the text and of numbers."""
+    some = [words[k] for k in r.integers(len(words), size=r.integers(2, 6))]
+    number = lambda low, high: str(r.integers(low, high))
+    kind = r.integers(10)
+    if kind == 6:
+        return "".join(some).lower()
+    if kind == 7:
+        return "".join(some).capitalize()
+    if kind == 0:
+        return "".join(x.capitalize() for x in some) + number(0, 100) * (r.random() < 0.3)
+    if kind == 1:
+        return "_".join(some).upper()
+    if kind == 2:
+        return ".".join(number(0, 256) for _ in range(4)) + f":{number(80, 9999)}" * (r.random() < 0.3)
+    if kind == 3:
+        return f"{number(1990, 2040)}-{number(10, 13)}-{number(10, 31)}T{number(10, 24)}:{number(10, 60)}:{number(10, 60)}.{number(100, 999)}Z"
+    if kind == 4:
+        return f"{some[0]}.{number(0, 2100)}@{some[1]}.example.com"
+    if kind == 5:
+        return "https://" + "/".join(some).lower() + f"?page={number(0, 1000)}" * (r.random() < 0.5)
+    return "-_/."[r.integers(4)].join(some) + f"-{number(0, 3000)}" * (r.random() < 0.3)
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """Where the secrets of base matches are, without their names, apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b, kind in base_matches(text):
+        a = ASSIGN.match(text, a).start(2) if kind == 0 else a
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _lesson(text: str, values: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text with secrets drawn anew, more of them if it has any, and decoys; where the secrets are now. The same for the same text."""
+    r = np.random.default_rng(zlib.crc32(text.encode()))
+    words = re.findall(r"[^\W\d_]{3,}", text) or ["x"]
+    gaps = [m.end() for m in re.finditer(r"[^\S\n]+", text) if not any(a < m.end() and m.start() < b for a, b in values)] if values else [m.end() for m in re.finditer(r"[^\S\n]+", text)]
+    put = [(a, b, "secret") for a, b in values]
+    for kind, count in (("secret", DRAWN if values else 0), ("decoy", DECOYS)):
+        put += [(gaps[k], gaps[k], kind) for k in r.integers(len(gaps), size=count if gaps else 0)]
+    out, at, size, found = [], 0, 0, []
+    for a, b, kind in sorted(put):
+        new = _draw(r) if kind == "secret" else _decoy(words, r)
+        size += a - at
+        if kind == "secret":
+            found.append((size, size + len(new)))
+        new += " " if a == b else ""
+        out += [text[at:a], new]
+        size, at = size + len(new), b
+    return "".join(out) + text[at:], found
+
+
+def _labelled(texts: list[str], secrets: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and states of all words, and the first words of the pieces of their lines."""
+    w = words_of(pa.array(texts, pa.string()), case=SAME, hashed=False)
+    raw, w.data = w.data, LOWER[w.data]
+    state = np.zeros(len(w.start), np.int64)
+    if not len(w.start):
+        return np.zeros((0, N_FEATURES), np.float32), state, np.zeros(1, np.int64)
+    for r, (text, found) in enumerate(zip(texts, secrets, strict=True)):
+        own = slice(int(w.first[r]), int(w.first[r + 1]))
+        for a, b in found:
+            a, b = (int(w.offsets[r]) + len(text[:x].encode()) for x in (a, b))
+            low = own.start + int(np.searchsorted(w.end[own], a, side="right"))
+            high = own.start + int(np.searchsorted(w.start[own], b))
+            state[low:high] = 2
+            state[low : low + 1] = 1
+    return word_features(w, raw), state, chains(w, raw)
+
+
+def _pieces(state: np.ndarray, long: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words to learn from, and where their pieces begin: at most ``PIECES`` pieces of the three kinds, spread evenly."""
+    size = np.diff(first)
+    n = -(-size // PIECE)
+    which = np.repeat(np.arange(len(size)), n)
+    start = first[which] + PIECE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    stop = np.minimum(start + PIECE, first[which + 1])
+    kind = np.where(np.maximum.reduceat(state, start) > 0, 0, np.where(np.maximum.reduceat(long, start), 1, 2)) if len(start) else start
+    of_kind = [np.flatnonzero(kind == x) for x in range(3)]
+    kept = np.sort(np.concatenate([k[np.unique(np.linspace(0, len(k) - 1, min(len(k), most)).astype(np.int64))] for k, most in zip(of_kind, PIECES, strict=True)]))
+    size = (stop - start)[kept]
+    first = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(start[kept] - first[:-1], size) + np.arange(first[-1]), first
 
 
 def fit(texts: list[str], epochs: int = EPOCHS) -> Model:
     """Learns from base matches; without any, the model finds nothing."""
     nothing = Model(np.zeros((N_FEATURES, 3)) + np.array([1.0, 0.0, 0.0]) * (np.arange(N_FEATURES) == N_FEATURES - 1)[:, None], _BANNED.copy())
-    if not texts:
-        return nothing
-    col = pa.array(texts, pa.string())
-    w = words_of(col, case=SAME, hashed=False)
-    raw, w.data = w.data, LOWER[w.data]
-    if not len(w.start):
-        return nothing
-    state = np.zeros(len(w.start), np.int64)
-    for r, text in enumerate(texts):
-        own = np.arange(w.first[r], w.first[r + 1])
-        if not len(own):
-            continue
-        for a, b, kind in base_matches(text):
-            if kind == 0:  # the secret itself, not its name
-                a = ASSIGN.match(text, a).start(2)
-            a, b = (w.offsets[r] + len(text[:x].encode()) for x in (a, b))
-            hit = own[(w.start[own] < b) & (w.end[own] > a)]
-            state[hit] = 2
-            state[hit[:1]] = 1
-    if not state.any():
+    secrets = [_values(t) for t in texts]
+    if not any(secrets):
         return nothing
-    x, first = word_features(w, raw), chains(w, raw)
-    # every text once more without what names a secret, so that its own shape has to tell it
+    lessons = [_lesson(t, v) for t, v in zip(texts, secrets, strict=True)]
+    x, state, first = _labelled(texts + [t for t, _ in lessons], secrets + [v for _, v in lessons])
+    chosen, first = _pieces(state, x[:, 1] > 0, first)
+    x, state = x[chosen], state[chosen]
+    state[first[:-1]] = np.where(state[first[:-1]] == 2, 1, state[first[:-1]])  # a secret that a piece cuts begins there
+    # every piece once more without what names a secret, so that its own shape has to tell it
     blind = x.copy()
     blind[:, NAMES] = 0
     x, state, first = np.concatenate([x, blind]), np.concatenate([state, state]), np.concatenate([first, first[1:] + len(state)])
@@ -246,12 +346,9 @@ def fit(texts: list[str], epochs: int = EPOCHS) -> Model:
     return Model(p[:-9].reshape(N_FEATURES, 3), p[-9:].reshape(3, 3) + _BANNED)
 
 
-def _secret_part(data: bytes) -> tuple[int, int] | None:
-    """The longest stretch of secret characters in the bytes, if it is long and mixed enough."""
-    best = max(((m.start(), m.end()) for m in _BODY.finditer(data)), key=lambda s: s[1] - s[0], default=(0, 0))
-    part = data[best[0] : best[1]]
-    kinds = bool(re.search(rb"[0-9]", part)) + bool(re.search(rb"[a-z]", part)) + bool(re.search(rb"[A-Z]", part))
-    return best if best[1] - best[0] >= CRF_MIN and kinds >= 2 and len(re.findall(rb"[0-9]", part)) >= 2 else None
+def _bare(word: bytes) -> tuple[int, int]:
+    """The longest stretch of the bytes that secrets are made of, the first of equals; all of a word without any."""
+    return max(((m.start(), m.end()) for m in _BODY.finditer(word)), key=lambda s: s[1] - s[0], default=(0, len(word)))
 
 
 def scan_texts(model: Model, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
@@ -268,19 +365,21 @@ def scan_texts(model: Model, texts: pa.Array) -> list[list[tuple[int, int, int]]
     if not len(begins):
         return out
     stops = np.flatnonzero(np.concatenate([tags[1:] != 2, [True]]))
-    for i in begins.tolist():
-        last = int(stops[np.searchsorted(stops, i)])
-        r = int(w.row[i])
-        lo, hi = int(w.start[i]), int(w.end[last])
-        part = _secret_part(raw[lo:hi].tobytes())
-        if part is None:
-            continue
-        head = raw[w.offsets[r] : lo + part[1]].tobytes()
-        split = lo + part[0] - int(w.offsets[r])
-        a = len(head[:split].decode("utf-8", "replace"))
-        b = a + part[1] - part[0]
-        if not any(a < y and x < b for x, y, _ in out[r]):
-            out[r].append((a, b, 3))
+    rows = w.row[begins]
+    for r in np.unique(rows).tolist():
+        base = out[r]
+        reach = np.maximum.accumulate([b for _, b, _ in base]) if base else []
+        point = np.cumsum((raw[w.offsets[r] : w.offsets[r + 1]] & 0xC0) != 0x80)  # code points up to each byte
+        added = []
+        for i in begins[np.searchsorted(rows, r) : np.searchsorted(rows, r, side="right")].tolist():
+            last = int(stops[np.searchsorted(stops, i)])
+            lo = int(w.start[i]) + _bare(raw[w.start[i] : w.end[i]].tobytes())[0]
+            hi = int(w.start[last]) + _bare(raw[w.start[last] : w.end[last]].tobytes())[1]
+            a, b = int(point[lo - w.offsets[r]]) - 1, int(point[hi - 1 - w.offsets[r]])
+            before = bisect_left(base, (b,))  # base spans that begin before this one's end
+            if not before or reach[before - 1] <= a:
+                added.append((a, b, 3))
+        base += added
     for spans in out:
         spans.sort(key=lambda x: (x[0], x[2]))
     return out
