@@ -5,7 +5,10 @@ them. Runs of neighbouring pre-tokens are the leaves of a segment tree that sums
 characters and tokens. An edit replaces a range of characters: the tree leads to the
 pre-tokens around it, the text from a little before the edit is cut again until a cut
 falls on an old one behind the edit, and only those pre-tokens are encoded; then the
-sums above the touched leaves are renewed.
+sums above the touched leaves are renewed. A leaf never holds more than ``MOST`` pre-tokens:
+where an edit puts in more than the touched leaves can take, new leaves follow them and the
+tree over leaves is summed again. New leaves have room for three times what they hold, so
+that happens once in many edits.
 
 A cut depends on the text from its start to two characters behind its end at most, or,
 in white space, to the first other character. So cuts that end three characters before
@@ -31,8 +34,8 @@ from .textarrays import slices
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: how its public tokenizer cuts texts into pre-tokens
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: pre-tokens of a leaf when it is made
-LEAF = 16
+#: pre-tokens of a leaf when it is made, and at most
+LEAF, MOST = 16, 64
 #: pre-tokens whose counts a worker remembers
 CACHE = 500_000
 #: characters before an edit at which cuts may already hang on it
@@ -44,9 +47,9 @@ Edit = tuple[int, int, str]
 class Encoder:
     """Cuts texts and counts the tokens of pre-tokens."""
 
-    def __init__(self, ranks: str = RANKS) -> None:
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, ranks: bytes) -> None:
+        """``ranks`` is what the vocabulary's file holds: a token in base 64 and its rank on each line."""
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.codec = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
@@ -61,18 +64,34 @@ class Encoder:
         return n
 
 
+def _sums(values: list[int]) -> np.ndarray:
+    """Sums of leaves of ``LEAF`` values."""
+    return np.add.reduceat(np.array(values, np.int64), np.arange(0, len(values), LEAF)) if values else np.zeros(1, np.int64)
+
+
+def _tree(leaves: np.ndarray) -> np.ndarray:
+    """The sum tree over leaves, of a size that is a power of two."""
+    size = 1 << (len(leaves) - 1).bit_length()
+    tree = np.zeros(2 * size, np.int64)
+    tree[size : size + len(leaves)] = leaves
+    level = size
+    while level > 1:
+        tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(axis=1)
+        level //= 2
+    return tree
+
+
 @dataclass
 class CountedText:
     """A text, the lengths and counts of its pre-tokens by leaf, and two sum trees over leaves.
 
-    Node ``i`` of a tree is the sum of nodes ``2 i`` and ``2 i + 1``; leaves begin at ``size``.
+    Node ``i`` of a tree is the sum of nodes ``2 i`` and ``2 i + 1``; leaves begin at ``size``, half the tree's length.
     """
 
     encoder: Encoder
     text: str
     lengths: list[list[int]]
     counts: list[list[int]]
-    size: int
     chars: np.ndarray
     tokens: np.ndarray
 
@@ -82,20 +101,12 @@ class CountedText:
         known, count = encoder.known, encoder.count
         per = [known.get(p) or count(p) for p in pieces]
         lens = [len(p) for p in pieces]
-        n_leaves = max(1, -(-len(pieces) // LEAF))
-        size = 1 << (n_leaves - 1).bit_length()
         cut = range(0, max(1, len(pieces)), LEAF)
-        trees = []
-        for values in (lens, per):
-            tree = np.zeros(2 * size, np.int64)
-            if values:
-                tree[size : size + n_leaves] = np.add.reduceat(np.array(values, np.int64), np.array(cut))
-            level = size
-            while level > 1:
-                tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(axis=1)
-                level //= 2
-            trees.append(tree)
-        return cls(encoder, text, [lens[i : i + LEAF] for i in cut], [per[i : i + LEAF] for i in cut], size, *trees)
+        return cls(encoder, text, [lens[i : i + LEAF] for i in cut], [per[i : i + LEAF] for i in cut], *(_tree(_sums(values)) for values in (lens, per)))
+
+    @property
+    def size(self) -> int:
+        return len(self.chars) // 2
 
     @property
     def n_tokens(self) -> int:
@@ -160,12 +171,25 @@ class CountedText:
         head = (self.lengths[first_leaf][:keep], self.counts[first_leaf][:keep])
         all_lens, all_per = head[0] + lens + tail[0], head[1] + per + tail[1]
         room = last_leaf - first_leaf + 1
+        if len(all_lens) > MOST * room:
+            self._split(first_leaf, last_leaf + 1, all_lens, all_per)
+            return len(lens)
         step = -(-len(all_lens) // room)
         for k in range(room):
             self.lengths[first_leaf + k], self.counts[first_leaf + k] = all_lens[k * step : (k + 1) * step], all_per[k * step : (k + 1) * step]
             self._renew(first_leaf + k)
         return len(lens)
 
+    def _split(self, first: int, end: int, lens: list[int], per: list[int]) -> None:
+        """Leaves [first, end) give way to as many new ones of ``LEAF`` pre-tokens as it takes, and the trees are summed again."""
+        trees = []
+        for tree, values in ((self.chars, lens), (self.tokens, per)):
+            leaves = tree[self.size : self.size + len(self.lengths)]
+            trees.append(_tree(np.concatenate([leaves[:first], _sums(values), leaves[end:]])))
+        cut = range(0, len(lens), LEAF)
+        self.lengths[first:end], self.counts[first:end] = [lens[i : i + LEAF] for i in cut], [per[i : i + LEAF] for i in cut]
+        self.chars, self.tokens = trees
+
     def _forward(self, leaf: int, place: int, at: int, to: int) -> tuple[int, int, int]:
         """The first old cut at or behind ``to``."""
         while at < to:
@@ -196,13 +220,15 @@ def edited_counts(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
     in order, each to what the one before left; positions are code points and are cut to the text.
     ``n_encoded`` counts the pre-tokens that the edits had encoded again. A null text
     counts as empty; null edits are none. Other columns are ignored; repeated rows
-    give rows of their own.
+    give rows of their own. The driver reads the file ``ranks`` and sends what it holds (0.8 MB) to the executors.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
+    with open(ranks, "rb") as file:
+        sent = documents.sparkSession.sparkContext.broadcast(file.read())
     names = ["n_pieces", "n_tokens", "n_edits", "n_encoded", "n_pieces_after", "n_tokens_after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks)
+        encoder = Encoder(sent.value)
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
                 rows, texts = [], []

@@ -1,13 +1,15 @@
 """Counts after edits against counting the edited text anew."""
 
 import random
+import shutil
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronolith.llm.token_counts import CountedText, Encoder, edited_counts
+from chronolith.llm.token_counts import LEAF, MOST, RANKS, CountedText, Encoder, edited_counts
 
-ENCODER = Encoder()
+ENCODER = Encoder(Path(RANKS).read_bytes())
 PARTS = ["a", "b", " ", "  ", "\n", "'", "l", "re", "s", "9", "12", ".", "!", "é", " ", "\t", "日", "'ll", "Word"]
 
 
@@ -33,6 +35,35 @@ def test_only_the_neighbourhood_is_encoded():
     assert c.n_tokens == fresh(c.text)
 
 
+def test_a_large_insertion_makes_leaves():
+    """10^5 words put into a short text, then 300 small edits there: no leaf grows over its bound, and sums stay those of the text."""
+    c = CountedText.of(ENCODER, "a short text of some words")
+    assert c.edit(8, 8, "put in " * 50_000) >= 100_000
+    assert max(map(len, c.lengths)) == LEAF and len(c.lengths) > 6_000
+    r = random.Random(3)
+    for _ in range(300):
+        at = r.randrange(len(c.text))
+        assert c.edit(at, at + r.randrange(9), r.choice(["", " x", "it's", " one two three"])) < 30
+    for _ in range(40):  # all at one place, until its leaves are full and more
+        assert c.edit(5_000, 5_000, " w" * 30) < 60
+    assert max(map(len, c.lengths)) <= MOST and c.size >= len(c.lengths)
+    again = CountedText.of(ENCODER, c.text)
+    assert sum(c.lengths, []) == sum(again.lengths, []) and sum(c.counts, []) == sum(again.counts, [])
+    leaves = slice(c.size, c.size + len(c.lengths))
+    assert c.chars[leaves].tolist() == [sum(x) for x in c.lengths] and c.tokens[leaves].tolist() == [sum(x) for x in c.counts]
+    assert c.n_tokens == again.n_tokens == fresh(c.text) and int(c.chars[1]) == len(c.text)
+
+
+def test_executors_need_no_file(spark, tmp_path):
+    ranks = tmp_path / "ranks"
+    shutil.copy(RANKS, ranks)
+    df = spark.createDataFrame([(1, "some text", [(0, 0, "more ")])], "doc_id bigint, text string, edits array<struct<start: int, end: int, put: string>>")
+    counted = edited_counts(df, str(ranks))
+    ranks.unlink()
+    (row,) = counted.collect()
+    assert (row.n_tokens, row.n_tokens_after) == (fresh("some text"), fresh("more some text"))
+
+
 def test_odd_rows(spark, odd, none):
     r = random.Random(2)
     edits = {i: [(r.randint(-5, 90), r.choice([None, 3, 500]), r.choice(["", " put", None]))] for i in range(12)}
