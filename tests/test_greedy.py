@@ -195,3 +195,40 @@ def test_same_screens_over_blocks(spark):
     df = spark.createDataFrame(rows, "series string, t bigint, reason string, change double, pixels array<double>, seen array<boolean>").repartition(4)
     whole, cut = (sorted(map(tuple, greedy.drop_same_screens(df, 0.5, 0.1, span).collect())) for span in (1 << 22, 30))
     assert whole == cut and any(x[-1] for x in whole)
+
+
+@pytest.fixture
+def late_broadcast(spark):
+    """As with many rows: what is told of the blocks is broadcast when the rows' exchange is done, and several tasks read that."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    yield
+    for k in confs:
+        spark.conf.unset(k)
+
+
+def scattered(spark):
+    """Rows of a block come from many tasks."""
+    ids = spark.range(0, 40_000, 1, 16)
+    return ids.selectExpr("id % 50 as series", "id div 50 * 300 as t", "'change' as reason", "cast(pmod(hash(id), 1000) as double) as change").repartition(16)
+
+
+def by_series(rows):
+    out = {}
+    for r in sorted(rows):
+        out.setdefault(r[0], []).append(tuple(r)[1:])
+    return out
+
+
+def test_blocks_stay_whole_wherever_rows_lie(spark, late_broadcast):
+    moments = scattered(spark).select("series", "t", "change")
+    got = by_series(greedy.thin_close(moments, 1000, span=120_000).collect())
+    assert got == {s: thin(rows, 1000) for s, rows in by_series(moments.collect()).items()}
+
+
+def test_budget_blocks_stay_whole_wherever_rows_lie(spark, monkeypatch, late_broadcast):
+    monkeypatch.setattr(greedy, "BUDGET_ROWS", 400)
+    moments = scattered(spark).selectExpr("*", "300 as cap", "240000L as duration", "1500L as max_gap").filter("series < 4")
+    got = by_series(greedy.fit_budget(moments).select("series", "t", "reason", "change").collect())
+    assert got == {s: fit(rows, 300, 240_000, 1500) for s, rows in by_series(moments.select("series", "t", "reason", "change").collect()).items()}
