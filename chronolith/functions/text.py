@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,9 +93,23 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-def bare_text(markup: Column) -> Column:
-    """Entities first, then tags, so that escaped tags go too."""
-    return F.trim(F.regexp_replace(unescaped(markup), r"<[^>]+>", ""))
+#: fixed value: a character reference that its semicolon ends
+CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _closed_only(text: str) -> str:
+    return CLOSED.sub(lambda m: m[0] if m[1] and f"{m[1]};" not in html.entities.html5 else html.unescape(m[0]), text)
+
+
+@F.pandas_udf(StringType())
+def unescaped_closed(text: pd.Series) -> pd.Series:
+    """As ``unescaped``, but what no semicolon ends is text."""
+    return text.map(lambda t: None if t is None else _closed_only(t))
+
+
+def bare_text(markup: Column, closed: bool = False) -> Column:
+    """Entities first, then tags, so that escaped tags go too. With ``closed``, entities cut off before their semicolon stay as they are."""
+    return F.trim(F.regexp_replace((unescaped_closed if closed else unescaped)(markup), r"<[^>]+>", ""))
 
 
 def plain_escapes(text: Column) -> Column:

@@ -80,3 +80,9 @@ def test_folding_and_quotes(spark):
     assert values(spark, [("say «first one» and `code x` or \"two\"",)], "x string", T.quotes(F.col("x"))) == [["first one", "code x", "two"]]
     assert values(spark, [("  - **done** — [4:12 / f0043]",)], "x string", T.claim_text(F.col("x"))) == ["**done**"]
     assert values(spark, [("&lt;b&gt;x&lt;/b&gt; &amp; <i>y</i>",)], "x string", T.bare_text(F.col("x"))) == ["x & y"]
+
+
+def test_closed_entities(spark):
+    given = [("a &amp<p>b &am</p>",), ("&copy; &#65;&#x42; &amp;lt; &notit; &unknown;",), (None,)]
+    assert values(spark, given, "x string", T.bare_text(F.col("x"), closed=True)) == ["a &ampb &am", "© AB &lt; &notit; &unknown;", None]
+    assert values(spark, given[:1], "x string", T.bare_text(F.col("x"))) == ["a &b &am"]
