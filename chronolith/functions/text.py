@@ -42,8 +42,8 @@ def normalized(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words of two characters or more, in order, repeats included."""
-    return F.filter(F.regexp_extract_all(normalized(text), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 1)
+    """Words of two characters or more, in order, repeats included. No white space is part of a word, so it need not be made even first."""
+    return F.filter(F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 1)
 
 
 def holds(quote: Column, quote_words: Column, haystack: Column, haystack_words: Column) -> Column:

@@ -127,9 +127,15 @@ def indexed(postings: DataFrame, body: DataFrame, query: str, limit: int = 20, l
 
 
 def reliable_terms(frames: DataFrame, least: int = 2) -> DataFrame:
-    """``series, term, n``: words of screen texts that are seen on ``least`` frames or more."""
+    """``series, term, n``: words of screen texts that are seen on ``least`` frames or more.
+
+    Each text gives a word once, so rows are counted where they are, and a task sends a term once. Only
+    if some id of a series comes twice, which is asked first, ids go with their words to be told apart.
+    """
     terms = frames.select("series", "id", F.explode(F.array_distinct(words(F.col("ocr")))).alias("term"))
-    return terms.groupBy("series", "term").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= least)
+    again = frames.filter("id is not null").groupBy("series", "id").count().filter("count > 1")
+    seen = F.count("id") if again.isEmpty() else F.count_distinct("id")
+    return terms.groupBy("series", "term").agg(seen.alias("n")).filter(F.col("n") >= least)
 
 
 def holders(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) -> DataFrame:

@@ -44,3 +44,15 @@ def test_long_quotes_are_judged_without_their_texts(spark):
     want = sorted((r["item"], r["doc"]) for r in judged.collect())
     got = sorted((r["item"], r["doc"]) for r in search.holders(q, "item", t, "doc").collect())
     assert got == want and {(1, 1), (2, 10), (3, 2), (4, 4), (5, 6), (2, 51)} <= set(got) and not {(4, 5), (3, 3), (2, 50)} & set(got)
+
+
+def test_terms_are_counted_where_they_are(spark):
+    """Ids that come once are not dealt out with their words; an id that comes twice counts once, a null one never."""
+    rows = [("a", "1", "one two"), ("a", "2", "two Two three"), ("a", "3", None), ("b", "1", "two")]
+    frames = spark.createDataFrame(rows, "series string, id string, ocr string")
+    found = search.reliable_terms(frames)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and " id#" in x]
+    assert [tuple(r) for r in found.collect()] == [("a", "two", 2)]
+    twice = frames.union(spark.createDataFrame([("a", "1", "one"), ("a", None, "one three"), ("a", None, "three")], frames.schema))
+    assert [tuple(r) for r in search.reliable_terms(twice).collect()] == [("a", "two", 2)]
