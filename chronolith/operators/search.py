@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from ..functions import grams as G
 from ..functions.text import QUOTE_SHARE, folded, holds, normalized, words
 from ..plans.lineage import cut
 
 #: fixed value: shorter queries have no trigram
-TRIGRAM = 3
+TRIGRAM = G.TRIGRAM
 #: texts of a block, as a power of two: what a posting list spans at most and a search opens at least
 BLOCK_BITS = 16
 #: quotes of so many words are judged by counts alone: without the first and the last one 60% are left
 COUNTED = 5
 #: folders that posting lists are divided among by their gram
 BUCKETS = 32
+#: parts of a bucket that are sorted apart, so that tasks are more than buckets
+PARTS = 8
 #: blocks that a query names one by one; where more have hits, the join alone picks their texts
 OPENED = 2000
 
@@ -50,7 +54,14 @@ def search(body: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 def postings(body: DataFrame) -> DataFrame:
     """``gram, series, ref``: each trigram of each text once."""
-    return body.select("series", "ref", F.explode(_grams(F.lower("body"))).alias("gram"))
+    low = body.select("series", "ref", F.lower("body").alias("low"))
+    return low.mapInArrow(_listed_grams, low.drop("low").withColumn("grams", F.array(F.lit(""))).schema).select("series", "ref", F.explode("grams").alias("gram"))
+
+
+def _listed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in G.slices(batch, "low"):
+            yield pa.RecordBatch.from_arrays([part.column("series"), part.column("ref"), G.of_each_text(part.column("low"))], ["series", "ref", "grams"])
 
 
 def search_postings(index: DataFrame, body: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -70,12 +81,6 @@ def numbered(body: DataFrame) -> DataFrame:
     return placed.withColumn("doc", F.monotonically_increasing_id()).withColumn("block", F.shiftright("doc", BLOCK_BITS))
 
 
-def _grams(text: Column) -> Column:
-    """All runs of three characters, each once. Overlapping ones come from three passes of a plain split."""
-    runs = [F.regexp_extract_all(F.substr(text, F.lit(k + 1)), F.lit(r"(?s).{3}"), F.lit(0)) for k in range(TRIGRAM)]
-    return F.array_distinct(F.flatten(F.array(*runs)))
-
-
 def bucket_of(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
@@ -83,11 +88,53 @@ def bucket_of(gram: Column) -> Column:
 def packed_postings(body: DataFrame) -> DataFrame:
     """``bucket, gram, block, n, first, gaps``: of each trigram and block the numbers of texts that hold it, as the first one and differences.
 
-    A list has at most 2**``BLOCK_BITS`` numbers, however often a gram occurs.
+    A list has at most 2**``BLOCK_BITS`` numbers, however often a gram occurs. Tasks make a list of each slice of
+    their texts, so what is dealt out by gram are lists. Rows come sorted by bucket, gram and block, a gram in one task.
     """
-    lists = body.select("block", "doc", F.explode(_grams(F.lower("body"))).alias("gram")).groupBy("gram", "block").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    gaps = F.transform("docs", lambda d, i: F.when(i == 0, F.lit(0)).otherwise((d - F.col("docs")[i - 1]).cast("int")))
-    return lists.select(bucket_of(F.col("gram")).alias("bucket"), "gram", "block", F.size("docs").alias("n"), F.col("docs")[0].alias("first"), gaps.alias("gaps"))
+    pieces = body.select("block", "doc", F.lower("body").alias("low")).mapInArrow(_slice_lists, "gram string, block bigint, least bigint, beyond array<int>")
+    dealt = pieces.withColumn("bucket", bucket_of(F.col("gram"))).withColumn("part", F.pmod(F.shiftright(F.xxhash64("gram"), 32), F.lit(PARTS)))
+    placed = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "gram", "block", "least")
+    return placed.drop("part").mapInArrow(_joined_lists, "bucket int, gram string, block bigint, n int, first bigint, gaps array<int>")
+
+
+def _slice_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in G.slices(batch, "low"):
+            gram, block, least, beyond = G.listed(part.column("low"), *(np.asarray(part.column(c)) for c in ("block", "doc")))
+            yield pa.RecordBatch.from_arrays([gram, pa.array(block, pa.int64()), pa.array(least, pa.int64()), beyond], ["gram", "block", "least", "beyond"])
+
+
+def _joined_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of one gram and block stand together; what the end of a batch may cut waits for the next one."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if kept is None else [kept, batch.cast(kept.schema)]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        batch = rows.to_batches()[0]
+        at = _begins(batch)
+        last = int(at[-1])
+        if last:
+            yield _whole_lists(batch.slice(0, last))
+        kept = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(last).columns], batch.schema.names)
+    if kept is not None:
+        yield _whole_lists(kept)
+
+
+def _begins(rows: pa.RecordBatch) -> np.ndarray:
+    """Where rows of another gram or block than the one before begin."""
+    gram = np.asarray(rows.column("gram").dictionary_encode().indices)
+    block = np.asarray(rows.column("block"))
+    return np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))
+
+
+def _whole_lists(rows: pa.RecordBatch) -> pa.RecordBatch:
+    begins = np.zeros(rows.num_rows, np.int64)
+    begins[_begins(rows)] = 1
+    at, first, gaps = G.merged(np.cumsum(begins), np.asarray(rows.column("least")), rows.column("beyond"))
+    head = rows.select(["bucket", "gram", "block"]).take(pa.array(at))
+    n = np.diff(np.asarray(gaps.offsets)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*head.columns, pa.array(n), pa.array(first, pa.int64()), gaps], ["bucket", "gram", "block", "n", "first", "gaps"])
 
 
 @F.pandas_udf(ArrayType(LongType()))

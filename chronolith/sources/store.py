@@ -28,6 +28,8 @@ SCHEMAS = {
     "postings": "gram string, block bigint, n int, first bigint, gaps array<int>",
 }
 OWNED = ("segments", "frames", "gaps", "summary", "corpus")
+#: what the rows of a long series are dealt out by
+ORDER = {"segments": ("i",), "frames": ("place",)}
 #: how each table's files are divided further, for readers that need few of them
 PARTS = {"corpus": ("block", "bigint"), "postings": ("bucket", "int")}
 
@@ -122,11 +124,12 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
 def _put(df: DataFrame, root: str, table: str, written: str) -> None:
     """Writes rows of a table into the folder of one write; a reader that looks for a series passes over most row groups."""
     if table == "postings":
-        placed = df.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram", "block")
+        placed = df.sortWithinPartitions("bucket", "gram", "block")  # as they come, which Spark does not know
     elif table == "corpus":
         placed = df
     else:
-        placed = df.repartitionByRange("series").sortWithinPartitions("series")
+        keys = ["series", *ORDER.get(table, ())]  # a long series is cut
+        placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     writer = placed.write.partitionBy(PARTS[table][0]) if table in PARTS else placed.write
     writer.parquet(f"{root}/{table}/written={written}")
 

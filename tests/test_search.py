@@ -56,3 +56,33 @@ def test_terms_are_counted_where_they_are(spark):
     assert [tuple(r) for r in found.collect()] == [("a", "two", 2)]
     twice = frames.union(spark.createDataFrame([("a", "1", "one"), ("a", None, "one three"), ("a", None, "three")], frames.schema))
     assert [tuple(r) for r in search.reliable_terms(twice).collect()] == [("a", "two", 2)]
+
+
+def test_postings_are_dealt_out_as_lists(spark):
+    """Lists are those of plain loops, whatever the order of texts and the size of batches; no row of a gram and a text is dealt out."""
+    texts = ["abcabc", "", None, "ab", "xabcx", "\U0001f600ab\U0001f600abc", "Ёлка\nёлка", "a\x00bc"] * 40
+    rows = [(k * 7 % 320, (k * 7 % 320) >> 6, texts[k]) for k in range(320)]
+    body = spark.createDataFrame(rows, "doc long, block long, body string").repartition(3)
+    want = {}
+    for doc, block, text in rows:
+        for gram in {text.lower()[i : i + 3] for i in range(len(text) - 2)} if text else ():
+            want.setdefault((gram, block), set()).add(doc)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = search.packed_postings(body)
+        lists = found.collect()
+        plain = search.postings(body.select(F.lit(1).alias("series"), F.col("doc").cast("string").alias("ref"), "body")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in lists:
+        assert (r.gram, r.block) not in got and r.n == len(r.gaps)
+        doc, docs = r.first, []
+        for gap in r.gaps:
+            doc += gap
+            docs.append(doc)
+        got[r.gram, r.block] = docs
+    assert got == {key: sorted(docs) for key, docs in want.items()}
+    assert sorted((r.gram, int(r.ref)) for r in plain) == sorted((gram, doc) for (gram, _), docs in want.items() for doc in docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan

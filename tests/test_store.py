@@ -184,3 +184,18 @@ def test_lists_are_differences(spark):
     rows = {(r.gram, r.block): r for r in search.packed_postings(body).collect()}
     assert len(rows) == 8 and rows["abc", 1].first == 20 and rows["abc", 1].gaps == [0, 5, 5] and rows["abc", 1].n == 3
     assert {r.bucket for r in rows.values()} == {b[0] for b in spark.createDataFrame([("abc",), ("xyz",)], "g string").select(search.bucket_of(F.col("g"))).collect()}
+
+
+def test_rows_of_one_series_are_cut(spark, tmp_path):
+    """Frames of one series are not all written by one task."""
+    rows = [("s", k, f"f{k:04d}", float(k)) for k in range(400)]
+    missing = [c for c in store.SCHEMAS["frames"].split(", ") if c.split()[0] not in ("series", "place", "id", "t")]
+    frames = spark.createDataFrame(rows, "series string, place bigint, id string, t double").select("*", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in missing])
+    series = frames.select("series").distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.commit(store.snapshot(spark, str(tmp_path)), {"frames": frames}, series)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    now = store.read(spark, str(tmp_path), "frames")
+    assert now.count() == 400 and len(now.inputFiles()) > 4
