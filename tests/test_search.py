@@ -86,3 +86,13 @@ def test_postings_are_dealt_out_as_lists(spark):
     assert sorted((r.gram, int(r.ref)) for r in plain) == sorted((gram, doc) for (gram, _), docs in want.items() for doc in docs)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_postings_are_read_once_for_a_union(spark):
+    """What holds all grams is worked out once, not for each part of a corpus."""
+    speech = spark.createDataFrame([("a", "speech", 1.0, "seg#1", "alpha beta", 1)], "series string, kind string, t double, ref string, body string, place long")
+    screen = spark.createDataFrame([("a", "screen", 2.0, "f1", "the Alpha", 1)], speech.schema)
+    body = speech.unionByName(screen)
+    found = search.search_postings(search.postings(body), body, "alpha")
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.ref for r in found.collect()] == ["seg#1", "f1"]
