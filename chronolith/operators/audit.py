@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scalars import parse_timecode, timecode_short
+from ..plans.lineage import cut
 from .lookup import in_gap, near_texts
 
 #: fixed values: seconds that a claim may be off its frame, and by which speech counts as near; tasks of a plan
@@ -50,7 +51,8 @@ def audit(answers: DataFrame, frames: DataFrame, segments: DataFrame, gaps: Data
     own = frames.groupBy("series", F.col("id").alias("frame_id")).agg(F.max_by(F.struct(F.col("t").alias("t"), F.coalesce("ocr", F.lit("")).alias("ocr"), F.col("path").alias("path")), "place").alias("frame"))
     opened = served.select("series", F.col("id").alias("frame_id"), F.lit(True).alias("opened")).distinct()
     base = claims(answers).withColumnRenamed("t", "claimed").join(own, ["series", "frame_id"], "left").join(opened, ["series", "frame_id"], "left")
-    base = base.withColumn("id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("n").cast("string"))).withColumn("t", ms("claimed"))
+    # claims are asked for by gaps, by speech and by themselves: texts are taken apart once
+    base = cut(base.withColumn("id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("n").cast("string"))).withColumn("t", ms("claimed")))
     g = gaps.select("series", ms("a").alias("a"), ms("b").alias("b"))
     s = segments.select("series", "i", ms("t0").alias("t0"), ms("t1").alias("t1"), "text")
     seen = near_texts(in_gap(base.withColumnRenamed("text", "claim"), g, BUCKET_MS), s, NEAR_MS, BUCKET_MS)

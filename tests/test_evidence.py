@@ -112,6 +112,13 @@ def test_claims_of_wrapped_lines(spark):
     assert evidence(spark, "no tags").count() == 0
 
 
+def test_texts_are_taken_apart_once(spark):
+    """Gaps and speech are asked of claims that are there already: no plan of the audit goes back to the texts."""
+    judged = evidence(spark, "- first [1:00 / f0001]\n- second [2:00 / f0002]")
+    assert "posexplode" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert judged.count() == 2
+
+
 def test_search_paths(spark):
     seg = spark.createDataFrame([("s", i, float(10 - i), f"Speech {i} AI ёлка" if i % 2 else "other") for i in range(6)], "series string, i bigint, t0 double, text string")
     frames = spark.createDataFrame([("s", 0, "f0000", 1.0, "ai on screen, Ёлка"), ("s", 1, "f0001", 2.0, ""), ("s", 2, "f0002", 3.0, None)], "series string, place bigint, id string, t double, ocr string")
