@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 FRAME_TAG = r"(?U)\[\s*(\d{1,2}(?::\d{2}){1,2})\s*/\s*(f\d{3,})\s*\]"
 TIME_TAG = r"(?U)\[\s*(\d{1,2}(?::\d{2}){1,2})\s*\]"
 QUOTE = r"""[«"'][^«»"']{3,200}[»"']|`[^`]{3,200}`"""
-WORD = r"(?U)[\w./:-]+"
+WORD = r"(?U)[\w./:-]{2,}"
 BLOCK = r"(?U)^\s*(?:[-*+>]\s|\d+[.)]\s|#{1,6}\s|\|)"
 MARKER = r"(?U)^\s*[-*+>]\s*|^\s*\d+[.)]\s*|^#+\s*"
 #: fixed values: share of a quote's words that has to be found, words below which a quote is not judged
@@ -33,7 +33,7 @@ POINTING = (
 
 def folded(text: Column) -> Column:
     """Lower case, with one letter for both of a Cyrillic pair."""
-    return F.translate(F.lower(text), "ё", "е")
+    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
 def normalized(text: Column) -> Column:
@@ -43,7 +43,7 @@ def normalized(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of two characters or more, in order, repeats included. No white space is part of a word, so it need not be made even first."""
-    return F.filter(F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 1)
+    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
 def holds(quote: Column, quote_words: Column, haystack: Column, haystack_words: Column) -> Column:
