@@ -200,8 +200,11 @@ def holders(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) ->
     q = quotes.filter("quote is not null").select(quote_id, normalized(F.col("quote")).alias("q"), words(F.col("quote")).alias("q_words"))
     t = texts.filter("body <> ''")
     asked = q.filter(F.size("q_words") >= 3).select(quote_id, F.size("q_words").alias("total"), F.explode("q_words").alias("word")).groupBy(quote_id, "total", "word").agg(F.count(F.lit(1)).alias("n"))
+    # words of quotes are numbered: numbers are dealt out and sorted in place of them
+    numbers = cut(asked.select("word").distinct().withColumn("number", F.monotonically_increasing_id()))
+    asked = asked.join(numbers, "word").drop("word").withColumnRenamed("number", "word")
     held = t.select(text_id, F.explode(F.array_distinct(words(F.col("body")))).alias("word"))
-    known = cut(held.join(asked.select("word").distinct(), "word", "left_semi"))
+    known = cut(held.join(numbers, "word").select(text_id, F.col("number").alias("word")))
     often = known.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
     rare_first = Window.partitionBy(quote_id).orderBy("texts", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = asked.join(often, "word", "left").fillna(0, ["texts"]).withColumn("before", F.sum("n").over(rare_first) - F.col("n"))
@@ -210,20 +213,28 @@ def holders(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) ->
     ranked = cut(ranked.filter("texts > 0").withColumn("first", needed))
 
     near = ranked.filter("first").join(known, "word")
-    few = near.filter(F.col("total") < COUNTED).select(quote_id, text_id).distinct()
-    body = t.select(text_id, normalized(F.col("body")).alias("h"), F.array_distinct(words(F.col("body"))).alias("h_words"))
-    judged = holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
-    by_text = few.join(q, quote_id).join(body, text_id).filter(judged)
-
     # what the words outside the first ones can add at most, then what they do
     counted = near.filter(F.col("total") >= COUNTED).groupBy(quote_id, text_id, "total").agg(F.sum("n").alias("hits"))
     others = ranked.filter(~F.col("first") & (F.col("total") >= COUNTED))
     most = others.groupBy(quote_id).agg(F.sum("n").alias("most"))
     counted = cut(counted.join(most, quote_id, "left").filter(10 * (F.col("hits") + F.coalesce("most", F.lit(0))) >= tenths * F.col("total")).drop("most"))
-    more = counted.drop("hits").join(others.select(quote_id, "word", F.col("n").alias("hits")), quote_id).join(known, [text_id, "word"])
+    # words of one weight in the quote meet those of the text as lists, so a pair is a row for each weight and not for each word
+    lists = others.groupBy(quote_id, "n").agg(F.collect_list("word").alias("asked"))
+    texts_words = known.groupBy(text_id).agg(F.collect_list("word").alias("has"))
+    more = counted.drop("hits").join(lists, quote_id).join(texts_words, text_id).withColumn("hits", F.col("n") * F.size(F.array_intersect("asked", "has")))
     sums = counted.unionByName(more.select(quote_id, text_id, "total", "hits")).groupBy(quote_id, text_id, "total").agg(F.sum("hits").alias("hits"))
     by_count = sums.filter(10 * F.col("hits") >= tenths * F.col("total"))
 
-    by_all = q.filter(F.size("q_words") < 3).join(body, judged)
     ids = [quote_id, text_id]
-    return by_count.select(ids).unionByName(by_text.select(ids)).unionByName(by_all.select(ids))
+    found = by_count.select(ids)
+    # whole texts are read again only for quotes that need them
+    body = lambda texts: texts.select(text_id, normalized(F.col("body")).alias("h"), F.array_distinct(words(F.col("body"))).alias("h_words"))
+    judged = holds(F.col("q"), F.col("q_words"), F.col("h"), F.col("h_words"))
+    middle, short = q.filter(F.size("q_words").between(3, COUNTED - 1)), q.filter(F.size("q_words") < 3)
+    if not middle.isEmpty():
+        few = cut(near.filter(F.col("total") < COUNTED).select(ids).distinct())
+        some = t.join(few.select(text_id).distinct(), text_id, "left_semi")
+        found = found.unionByName(few.join(q, quote_id).join(body(some), text_id).filter(judged).select(ids))
+    if not short.isEmpty():
+        found = found.unionByName(short.join(body(t), judged).select(ids))
+    return found
