@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, hash_filter, passes, saved
-from .textarrays import give_back, mix, slices, words_of
+from .textarrays import give_back, hashed_by_eights, mix, slices, words_of
 
 GAIN = 12.0
 DISCOUNT = 0.75
@@ -64,11 +64,11 @@ PIECE = 1 << 17
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each token, ends included, its row, and its place in the row."""
-    w = words_of(texts)
+    w = words_of(texts, hashed=False)
     size = np.diff(w.first) + 1
     first = np.cumsum(size) - size
     row = np.repeat(np.arange(len(size)), size)
-    return np.insert(w.hash, w.first[1:], END), row, np.arange(len(row)) - first[row]
+    return np.insert(hashed_by_eights(w), w.first[1:], END), row, np.arange(len(row)) - first[row]
 
 
 def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -133,3 +133,18 @@ def test_invented_words_are_the_least_likely_and_contexts_help(spark):
     assert rate[-1] < rate.drop(-1).min()
     real = got[got.doc_id >= 0]
     assert real.score.sum() > real.base_score.sum()
+
+
+def test_words_are_told_apart_by_eights():
+    """Equal words have equal hashes wherever they stand, others do not: ends of eight bytes, NUL, long words."""
+    import pyarrow as pa
+    from chronolith.llm import textarrays
+
+    words = ["a", "a\x00", "\x00a", "\x00", "abcdefgh", "abcdefghi", "abcdefgh\x00", "ihgfedcba", "é" * 8, "x" * 256, "x" * 257, "x" * 300 + "y", "x" * 300 + "z"]
+    texts = pa.array([" ".join(words), None, "", "\t".join(reversed(words)), *words])
+    w = textarrays.words_of(texts, hashed=False)
+    hashes = textarrays.hashed_by_eights(w)
+    of = {}
+    for s, e, h in zip(w.start, w.end, hashes, strict=True):
+        of.setdefault(w.data[s:e].tobytes(), set()).add(int(h))
+    assert len(of) == len(words) and all(len(h) == 1 for h in of.values()) and len(set.union(*of.values())) == len(words)
