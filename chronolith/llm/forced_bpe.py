@@ -229,7 +229,7 @@ def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(content.value)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 2 << 20):
                 ids = [words.encode(t or "") for t in part.column(text).to_pylist()]
                 found = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([words.decode(i) for i in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([c for c, f in zip(part.columns, part.schema, strict=True) if f.name != text] + found, names=[n for n in part.schema.names if n != text] + made)
