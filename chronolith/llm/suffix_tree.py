@@ -125,9 +125,31 @@ class Alphabet:
     codes: np.ndarray  # of each
     counts: np.ndarray  # tokens of each code; texts of the start
 
+    def __post_init__(self) -> None:
+        """Places by the low bits of a hash, a quarter of them taken at most; whoever finds its own taken goes to the next."""
+        self.mask = np.uint64((1 << max(1, 4 * len(self.keys) - 1).bit_length()) - 1)
+        self.placed, self.code_at = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.uint64)
+        left = np.arange(len(self.keys))
+        at = (self.keys & self.mask).astype(np.int64)
+        while len(left):
+            free = self.code_at[at] == 0
+            self.code_at[at[free]] = self.codes[left[free]]  # of several that come at once the last one stays
+            stays = self.code_at[at] == self.codes[left]
+            self.placed[at[stays]] = self.keys[left[stays]]
+            left, at = left[~stays], (at[~stays] + 1) & int(self.mask)
+
     def coded(self, hashes: np.ndarray) -> np.ndarray:
-        at, there = _found(self.keys, hashes)
-        return np.where(there, self.codes[at], np.uint64(RARE)) if len(self.keys) else np.full(len(hashes), RARE, np.uint64)
+        at = (hashes & self.mask).astype(np.int64)
+        out = self.code_at[at]
+        left = np.flatnonzero((self.placed[at] != hashes) & (out != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & int(self.mask)
+            out[left] = code = self.code_at[at]
+            on = (self.placed[at] != hashes[left]) & (code != 0)
+            left, at = left[on], at[on]
+        out[out == 0] = RARE
+        return out
 
 
 def alphabet(words: DataFrame, n: int, bits: int) -> Alphabet:
@@ -279,9 +301,9 @@ def divergent(entries: DataFrame, bits: int, gain: float, discount: float = DISC
     that isn't hands on. A kept context's entry is ``over`` times (log10) as likely as by
     the rest alone that it leaves to its suffix; one entry of it tells that as ``log_rest``.
     """
-    context = Window.partitionBy(F.shiftrightunsigned("key", bits))
+    context = Window.partitionBy("context")  # a column of its own, so that all windows share one exchange and sort
     c, n = F.col("c"), F.col("n")
-    e = entries.withColumn("rest", 1 - F.sum(c - discount).over(context) / n)
+    e = entries.withColumn("context", F.shiftrightunsigned("key", bits)).withColumn("rest", 1 - F.sum(c - discount).over(context) / n)
     handed = F.col("rest") * F.col("below")
     others = (c - 1 - discount) / F.greatest(n - 1, F.lit(1)) + handed
     e = e.withColumn("won", F.sum(c * F.log(others / F.col("below"))).over(context) + (n - F.sum("c").over(context)) * F.log("rest"))
@@ -457,11 +479,12 @@ def score(documents: DataFrame, tree: Tree, head_share: float = HEAD_SHARE) -> D
                     if order < depth:
                         more = passes(rest_bits[order], spread)
                         may |= more
-                    at_top, there = _found(top_keys, key)
-                    value += of_row(top_values[at_top[there]], where[there]) if len(top_keys) else 0
-                    may &= ~there
-                    kept[False].append((next_row + row[where[may]], key[may]))
-                    held += int(may.sum())
+                    ask = np.flatnonzero(may)  # the head's keys pass the filters too
+                    at_top, there = _found(top_keys, key[ask])
+                    value += of_row(top_values[at_top[there]], where[ask[there]]) if len(top_keys) else 0
+                    ask = ask[~there]
+                    kept[False].append((next_row + row[where[ask]], key[ask]))
+                    held += len(ask)
                     if order < depth:
                         # the context of the next length ends one token before
                         full = np.zeros(len(at) + 1, bool)

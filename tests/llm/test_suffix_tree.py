@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,23 @@ def test_words_are_told_apart_by_eights():
     for s, e, h in zip(w.start, w.end, hashes, strict=True):
         of.setdefault(w.data[s:e].tobytes(), set()).add(int(h))
     assert len(of) == len(words) and all(len(h) == 1 for h in of.values()) and len(set.union(*of.values())) == len(words)
+
+
+def test_windows_of_a_level_share_one_exchange(spark):
+    """Entries are dealt by context and sorted once (three exchanges before)."""
+    entries = spark.createDataFrame([(k << 4 | j, 5, 20, 0.01) for k in range(1, 9) for j in (4, 5)], "key bigint, c bigint, n bigint, below double")
+    level = suffix_tree.divergent(entries, 4, 1.0)
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and level.count() == 16
+
+
+def test_codes_are_looked_up_where_hashes_collide():
+    """Hashes of equal low bits, the one behind the last place, unknown ones and 0; a small alphabet and none."""
+    r = np.random.default_rng(1)
+    near = np.concatenate([np.arange(1, 40, dtype=np.uint64) << np.uint64(40), np.full(1, (1 << 64) - 1, np.uint64), r.integers(1, 1 << 63, 500, dtype=np.uint64)])
+    for keys in (np.unique(near), near[:2], near[:0]):
+        names = suffix_tree.Alphabet(16, keys, np.arange(len(keys), dtype=np.uint64) + np.uint64(suffix_tree.STOP), np.zeros(0))
+        wanted = np.concatenate([near, np.arange(3, dtype=np.uint64), r.integers(1, 1 << 63, 500, dtype=np.uint64)])
+        codes = {int(k): i + suffix_tree.STOP for i, k in enumerate(keys)}
+        assert names.coded(wanted).tolist() == [codes.get(int(h), suffix_tree.RARE) for h in wanted]
+        assert len(names.placed) >= 4 * len(keys)
